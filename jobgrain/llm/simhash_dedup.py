@@ -5,17 +5,18 @@ perfect binary Golay code puts every 23-bit word within 3 bits of exactly one co
 within 4 bits of a word are one (if the word is at most 2 bits from its codeword) or six. If two words differ
 in at most one bit, then the nearest codeword of either is within 4 bits of the other.
 
-Of at most 3 differing bits, the two least damaged segments have at most one each (pigeonhole). So for each of
-the three pairs of segments a fingerprint gives the keys (nearest of the first, each near one of the second)
-and (each near one of the first, nearest of the second): any two linked fingerprints share the key made of one's
-nearest codeword in the first segment and the other's in the second, for at least one pair of segments. Recall
-is complete, keys have 24 bits, and a fingerprint has 36 of them at most.
+Of at most 3 differing bits over three segments (pigeonhole), either some segment has none, and then another has one
+at most, or each has exactly one. For the first case a fingerprint gives the keys (whole segment i, each codeword
+near segment j), for the second (nearest of the first, near ones of the others) and (near ones of the first, nearest
+of the others): one's nearest codeword is near the other's word, so linked fingerprints always share a key. Recall is
+complete; keys have 30 to 36 bits, so unlinked fingerprints rarely meet, and a fingerprint has 77 of them at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
@@ -92,11 +93,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every key of every fingerprint, without repeats within a row."""
     u = fps.view(np.uint64)
-    near = [golay_near(((u >> np.uint64(lo)) & np.uint64((1 << n) - 1)).astype(np.int64)) for lo, n in SEGMENTS]
+    seg = [((u >> np.uint64(lo)) & np.uint64((1 << n) - 1)).astype(np.int64) for lo, n in SEGMENTS]
+    near = [golay_near(x) for x in seg]
     keys = []
-    for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        for first, second in ((near[i][:, :1], near[j]), (near[i][:, 1:], near[j][:, :1])):
-            keys.append(np.where((first < 0) | (second < 0), -1, k << 24 | first << 12 | second))
+    for i, j in permutations(range(3), 2):
+        keys.append(np.where(near[j] < 0, -1, (3 * i + j) << 36 | seg[i][:, None] << 12 | near[j]))
+    second, third = np.repeat(near[1], 6, axis=1), np.tile(near[2], 6)
+    for parts in ((near[0][:, :1], second, third), (near[0][:, 1:], near[1][:, :1], near[2][:, :1])):
+        missing = (parts[0] < 0) | (parts[1] < 0) | (parts[2] < 0)
+        keys.append(np.where(missing, -1, 9 << 36 | parts[0] << 24 | parts[1] << 12 | parts[2]))
     keys = np.concatenate(keys, axis=1)
     row = np.repeat(np.arange(len(fps)), keys.shape[1])
     keep = keys.ravel() >= 0
