@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobgrain.llm import chat_format, decontamination, embedding_dedup, license_scan, line_dedup, packing, sharding, simhash_dedup
+from jobgrain.llm import chat_format, decontamination, embedding_dedup, license_scan, line_dedup, packing, sharding, simhash_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_sharding": op4_sharding,
+        "op5_toxicity": op5_toxicity,
         "op6_decontamination": op6_decontamination,
         "op8_license_scan": op8_license_scan,
         "op9_chat_format": op9_chat_format,
