@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobgrain.llm import chat_format, decontamination, embedding_dedup, license_scan, line_dedup, packing, sharding, simhash_dedup, toxicity
+from jobgrain.llm import (
+    brown_lm,
+    chat_format,
+    decontamination,
+    embedding_dedup,
+    license_scan,
+    line_dedup,
+    packing,
+    sharding,
+    simhash_dedup,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +50,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": op4_sharding,
         "op5_toxicity": op5_toxicity,
         "op6_decontamination": op6_decontamination,
+        "op7_brown_lm": op7_brown_lm,
         "op8_license_scan": op8_license_scan,
         "op9_chat_format": op9_chat_format,
         "op10_packing": op10_packing,
