@@ -2,9 +2,9 @@
 
 1. Each line (lower case, white space collapsed) is named by the 128-bit hash of its normal form; exact repeats
    are one node from here on.
-2. 56 minima over its shingles of 7 characters in 14 bands of 4: two lines of Jaccard 0.8 share a band with
-   probability 0.9994. Short lines take one minimum per hash function; long ones split a single hash into 56 ranges
-   (one-permutation hashing, empty ranges borrowing from the next); lengths between 128 and 200 shingles give both.
+2. 48 minima over its shingles of 7 characters in 12 bands of 4: two lines of Jaccard 0.8 share a band with
+   probability 0.998, of Jaccard 0.85 with 0.9998. Short lines take one minimum per hash function; long ones split a single
+   hash into 48 ranges (one-permutation hashing, empty ranges borrowing from the next); between 89 and 140 shingles both.
 3. In each band's bucket the members are compared with the smallest one (as many pairs as members).
 4. Buckets that still hold several components after union-find are compared in full, in bounded blocks
    inside tasks, so that no link inside a bucket is lost and no group's pairs are ever written out.
@@ -23,12 +23,15 @@ from pyspark.sql import Window as W
 
 from jobgrain.llm.common import Forest, block_pairs, chunked, connected_components, materialize, mix64, require, rows_of
 
-SHINGLE, BANDS, ROWS = 7, 14, 4
+SHINGLE, BANDS, ROWS = 7, 12, 4
 MINIMA = BANDS * ROWS
+HASH_BITS = 44
+#: Bands of both kinds of signature, as a power of two.
+PLACES = 32
 #: Shingle counts: signatures by many hashes below the second, by one permutation from the first on, both within.
-LONG_FROM, SHORT_UNDER, SHORT_PARTNER = 128, 160, 200
+LONG_FROM, SHORT_UNDER, SHORT_PARTNER = 89, 112, 140
 #: Lines of one block.
-BLOCK = 256
+BLOCK = 192
 #: Line names that a task remembers so as not to send one again.
 SEEN = 1 << 20
 
@@ -42,38 +45,41 @@ def line_key(text: str) -> bytes:
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ends): 64-bit hashes of all character shingles of all texts, distinct within each text.
+    """(hashes, ends): 44-bit hashes of the character shingles of all texts, distinct and sorted within each text.
 
-    A text shorter than a shingle is one shingle.
+    A text shorter than a shingle is one shingle. At most 2^20 texts at a time.
     """
-    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in texts]
-    codes = [c if len(c) >= SHINGLE else np.concatenate([c, np.full(SHINGLE - len(c), 0x110000 + len(c), dtype="<u4")]) for c in codes]
-    n = np.array([len(c) for c in codes])
-    flat = np.concatenate(codes).astype(np.uint64)
+    n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    short = n < SHINGLE
+    if short.any():  # filled up with a sign that no text holds, and their length
+        texts = [t if len(t) >= SHINGLE else t + "\uffff" * (SHINGLE - len(t)) for t in texts]
+        n = np.maximum(n, SHINGLE)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     with np.errstate(over="ignore"):
         h = np.zeros(len(flat) - SHINGLE + 1, dtype=np.uint64)
         for k in range(SHINGLE):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + len(h)]
-    h = mix64(h)
-    line = np.repeat(np.arange(len(texts)), n)[: len(h)]
-    first = np.cumsum(n) - n
-    inside = np.arange(len(h)) - first[line] <= n[line] - SHINGLE
-    h, line = h[inside], line[inside]
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])
-    h, line = h[fresh], line[fresh]
-    return h, np.cumsum(np.bincount(line, minlength=len(texts)))
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += flat[k : k + len(h)]
+    line = np.repeat(np.arange(len(texts), dtype=np.uint64), n)[: len(h)]
+    inside = np.ones(len(h), dtype=bool)
+    ends = np.cumsum(n)
+    for k in range(1, SHINGLE):
+        inside[ends[:-1] - k] = False  # shingles that would reach into the next text
+    key = line[inside] << np.uint64(HASH_BITS) | mix64(h[inside]) >> np.uint64(64 - HASH_BITS)
+    key.sort()
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    return key & np.uint64((1 << HASH_BITS) - 1), np.searchsorted(key, np.arange(1, len(texts) + 1, dtype=np.uint64) << np.uint64(HASH_BITS))
 
 
 def _bands(minima: np.ndarray, kind: int) -> np.ndarray:
-    """A key per band from (lines, MINIMA) minima."""
+    """A key per band from (lines, MINIMA) minima; its lowest bits are the band's place."""
     m = minima.reshape(-1, BANDS, ROWS)
+    place = np.broadcast_to((2 * np.arange(BANDS) + kind).astype(np.uint64), m.shape[:2])
     with np.errstate(over="ignore"):
-        key = np.full(m.shape[:2], 2 * np.arange(BANDS) + kind + 1, dtype=np.uint64)
+        key = place + np.uint64(1)
         for r in range(ROWS):
             key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + m[:, :, r])
-    return key
+    return key & ~np.uint64(PLACES - 1) | place
 
 
 def _many_hashes(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -90,7 +96,7 @@ def _many_hashes(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def _one_permutation(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1]])
     line = np.repeat(np.arange(len(ends)), ends - starts)
-    bin_ = ((h >> np.uint64(32)) * np.uint64(MINIMA)) >> np.uint64(32)
+    bin_ = ((h >> np.uint64(HASH_BITS - 32)) * np.uint64(MINIMA)) >> np.uint64(32)
     cell = line * MINIMA + bin_.astype(np.int64)
     # shingles are sorted by hash within a line, so cells are in order and a cell's first hash is its least
     first = np.concatenate([[True], cell[1:] != cell[:-1]])
@@ -118,8 +124,7 @@ def band_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for kind, (make, own, lent) in enumerate(((_many_hashes, n < SHORT_UNDER, n <= SHORT_PARTNER), (_one_permutation, n >= SHORT_UNDER, n >= LONG_FROM))):
         at = np.flatnonzero(own | lent)
         if len(at):
-            take = np.concatenate([np.arange(starts[i], ends[i]) for i in at])
-            k = _bands(make(h[take], np.cumsum(n[at])), kind)
+            k = _bands(make(h[np.repeat(own | lent, n)], np.cumsum(n[at])), kind)
             rows.append(np.repeat(at, BANDS))
             keys.append(k.ravel())
     return np.concatenate(rows), np.concatenate(keys)
@@ -135,18 +140,25 @@ def _lines(batch: pa.RecordBatch):
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunked(batches):
-        found = [(r, no, line_key(form)) for r, no, form in _lines(b)]
-        row, no, key = zip(*found, strict=True) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([rows_of(b, "doc_id").take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), pa.array(key, pa.binary())], ["doc_id", "line_no", "key"])
+        found = [(r, no, line_key(form), form) for r, no, form in _lines(b)]
+        row, no, key, form = zip(*found, strict=True) if found else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [rows_of(b, "doc_id").take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), pa.array(key, pa.binary()), pa.array(form, pa.string())], ["doc_id", "line_no", "key", "form"]
+        )
 
 
-def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str]]]:
-    """Lines that the task has not sent lately, in portions of about a million characters."""
+def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bands of lines that the task has not sent lately, in portions of some hundred thousand characters."""
     seen: set[bytes] = set()
     keys, forms, size = [], [], 0
-    for b in chunked(batches):
-        for _, _, form in _lines(b):
-            if (key := line_key(form)) in seen:
+
+    def out() -> pa.RecordBatch:
+        row, band = band_keys(forms)
+        return pa.RecordBatch.from_arrays([pa.array(band.view(np.int64)), pa.array(keys, pa.binary()).take(pa.array(row))], ["band", "key"])
+
+    for b in batches:
+        for key, form in zip(rows_of(b, "key").to_pylist(), rows_of(b, "form").to_pylist(), strict=True):
+            if key in seen:
                 continue
             if len(seen) >= SEEN:
                 seen.clear()
@@ -154,29 +166,20 @@ def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], lis
             keys.append(key)
             forms.append(form)
             size += len(form)
-            if size > 1_000_000:
-                yield keys, forms
+            if size > 300_000:
+                yield out()
                 keys, forms, size = [], [], 0
     if keys:
-        yield keys, forms
-
-
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for keys, forms in _fresh(batches):
-        row, band = band_keys(forms)
-        yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64)), pa.array(keys, pa.binary()).take(pa.array(row))], ["band", "key"])
-
-
-def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for keys, forms in _fresh(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(forms)], ["key", "form"])
+        yield out()
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     """Of two sorted arrays of distinct hashes."""
     if min(len(a), len(b)) < threshold * max(len(a), len(b)) - 1e-9:
         return False
-    both = len(a) + len(b) - len(np.union1d(a, b))
+    both = np.concatenate([a, b])
+    both.sort()
+    both = int(np.count_nonzero(both[1:] == both[:-1]))
     return both >= threshold * (len(a) + len(b) - both) - 1e-9
 
 
@@ -195,46 +198,74 @@ def _verify_pairs(threshold: float):
     return run
 
 
+def _shared(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other, as one matrix product."""
+    names, column = np.unique(h, return_inverse=True)
+    holds = np.zeros((len(ends), len(names)), dtype=np.float32)
+    holds[np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), column] = 1
+    return holds @ holds.T
+
+
 def _verify_blocks(threshold: float):
-    """Links between the components that meet in a block pair; lines already together are not compared."""
+    """Links between the components that meet in a block pair.
+
+    Lines of one component are not compared, and two lines that share several buckets are compared in that of the lowest place only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunked(batches, 16):
             a_out, b_out = [], []
-            for same, items in zip((rows_of(b, "bi").to_numpy() == rows_of(b, "bj").to_numpy()), rows_of(b, "items").to_pylist(), strict=True):
-                sets, forest, first = _split([x["form"] for x in items]), Forest(len(items)), {}
-                for i, x in enumerate(items):
-                    forest.join(i, first.setdefault(x["root"], i))
+            whole = rows_of(b, "bi").to_numpy() == rows_of(b, "bj").to_numpy()
+            for same, band, items in zip(whole, rows_of(b, "band").to_pylist(), rows_of(b, "items").to_pylist(), strict=True):
+                names: dict[bytes, int] = {}
+                root = np.array([names.setdefault(x["root"], len(names)) for x in items])
+                side = np.array([x["side"] for x in items])
+                bands = np.zeros((len(items), PLACES), dtype=np.int64)
                 for i, x in enumerate(items):
-                    for j, y in enumerate(items[:i] if same else items):
-                        if (same or x["side"] < y["side"]) and forest.find(i) != forest.find(j) and jaccard_at_least(sets[i], sets[j], threshold):
-                            forest.join(i, j)
-                            a_out.append(x["id"])
-                            b_out.append(y["id"])
+                    own = np.array(x["bands"], dtype=np.int64)
+                    bands[i, own & (PLACES - 1)] = own
+                todo = np.triu(root[:, None] != root[None, :]) if same else (root[:, None] != root[None, :]) & (side[:, None] < side[None, :])
+                for place in range(band & (PLACES - 1)):
+                    todo &= (bands[:, None, place] != bands[None, :, place]) | (bands[:, None, place] == 0)
+                if not todo.any():
+                    continue
+                at = np.flatnonzero(todo.any(0) | todo.any(1))
+                h, ends = shingles([items[i]["form"] for i in at])
+                n = np.diff(ends, prepend=0)
+                both = _shared(h, ends)
+                near = todo[np.ix_(at, at)] & (both >= threshold * (n[:, None] + n[None, :] - both) - 1e-6)
+                forest, keys = Forest(len(names)), list(names)
+                for i, j in zip(*np.nonzero(near), strict=True):
+                    if forest.join(int(root[at[i]]), int(root[at[j]])):
+                        a_out.append(keys[root[at[i]]])
+                        b_out.append(keys[root[at[j]]])
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], ["a", "b"])
 
     return run
 
 
-def line_links(docs: DataFrame, threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """Verified links (a, b) between distinct lines, named by their keys; enough of them to join what is similar."""
-    text = docs.select("text")
+def line_roots(lines: DataFrame, threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """(key, form) rows, repeats included -> (key, root) of the lines that are similar to another one."""
     bucket = W.partitionBy("band")
-    rows = text.mapInArrow(_band_rows, "band long, key binary")
+    rows = lines.mapInArrow(_band_rows, "band long, key binary")
     met = rows.withColumn("low", F.min("key").over(bucket)).withColumn("high", F.max("key").over(bucket)).where("low <> high")
     met = materialize(met.select("band", "key", "low").distinct())
     need = met.select("key").distinct()
-    forms = materialize(text.mapInArrow(_text_rows, "key binary, form string").join(need, "key", "left_semi").dropDuplicates(["key"]))
+    forms = materialize(lines.join(need, "key", "left_semi").dropDuplicates(["key"]))
     pairs = met.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
     pairs = pairs.join(forms.select(F.col("key").alias("b"), F.col("form").alias("form_b")), "b")
     pairs = pairs.join(forms.select(F.col("key").alias("a"), F.col("form").alias("form_a")), "a")
-    near = materialize(pairs.select("a", "b", "form_a", "form_b").mapInArrow(_verify_pairs(threshold), "a binary, b binary"))
-    roots = connected_components(near)
-    named = met.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    near = pairs.select("a", "b", "form_a", "form_b").mapInArrow(_verify_pairs(threshold), "a binary, b binary")
+    roots = materialize(connected_components(near).withColumnRenamed("node", "key"))
+    named = met.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     mixed = named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("n > 2 and x <> y")
-    rest = named.join(mixed.select("band"), "band").join(forms, "key")
-    more = block_pairs(rest, ["band"], "key", ["root", "form"], block).select("bi", "bj", "items").mapInArrow(_verify_blocks(threshold), "a binary, b binary")
-    return near.union(more)
+    rest = materialize(named.join(mixed.select("band"), "band"))
+    members = rest.groupBy("key").agg(F.collect_list("band").alias("bands")).join(forms, "key")
+    found = block_pairs(rest.join(members, "key"), ["band"], "key", ["root", "form", "bands"], block).select("band", "bi", "bj", "items")
+    joined = connected_components(found.mapInArrow(_verify_blocks(threshold), "a binary, b binary"))
+    joined = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    alone = joined.join(roots.select("key"), joined["root"] == roots["key"], "left_anti").select(F.col("root").alias("key"), "top")  # lines without an earlier link
+    return roots.join(joined, "root", "left").select("key", F.coalesce("top", "root").alias("root")).union(alone)
 
 
 def line_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -246,8 +277,9 @@ def line_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     A null doc_id counts as larger than any other. An empty table gives an empty result; further columns are ignored.
     """
     docs = require(docs, "doc_id", "text")
-    seen = materialize(docs.mapInArrow(_occurrences, "doc_id long, line_no int, key binary"))
-    roots = connected_components(line_links(docs, threshold)).withColumnRenamed("node", "key")
+    seen = materialize(docs.mapInArrow(_occurrences, "doc_id long, line_no int, key binary, form string"))
+    roots = line_roots(seen.select("key", "form"), threshold)
+    seen = seen.drop("form")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
     firsts = seen.groupBy("key").agg(F.min(place).alias("p")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = firsts.groupBy("root").agg(F.min("p").alias("p"))

@@ -207,9 +207,9 @@ def pack_documents(
     names = [r[0] for r in docs.select("source").distinct().limit(MAX_QUEUES + 1).collect()]
     if len(names) <= MAX_QUEUES:
         names = sorted(names, key=lambda x: (x is not None, x))
-        queue = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(x)), i) for i, x in enumerate(names)], F.lit(0)) if len(names) <= 64 else F.coalesce(
-            F.element_at(F.create_map(*[y for i, x in enumerate(names) if x is not None for y in (F.lit(x), F.lit(i))]), F.col("source")), F.lit(0)
-        )
+        queue = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(x)), i) for i, x in enumerate(names)], F.lit(0)) if len(names) <= 64 else F.when(
+            F.col("source").isNotNull(), F.element_at(F.create_map(*[y for i, x in enumerate(names) if x is not None for y in (F.lit(x), F.lit(i))]), F.col("source"))
+        ).otherwise(0)
     else:
         if targets is not None:
             raise ValueError(f"targets need {MAX_QUEUES} sources at most")
