@@ -39,12 +39,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Types that the operators work with.
+TYPES = {"doc_id": "long", "vec_id": "long", "item_id": "long", "text": "string", "source": "string", "toxic": "int"}
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that further columns of the input can never clash with ours."""
+    """Only the named columns in their types, so that further columns of the input can never clash with ours."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df.select(*columns)
+    return df.select(*[F.col(c).cast(TYPES[c]).alias(c) if c in TYPES else F.col(c) for c in columns])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

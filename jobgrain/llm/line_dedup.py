@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from jobgrain.llm.common import Forest, block_pairs, chunked, connected_components, materialize, mix64, require, rows_of
+from jobgrain.llm.common import Forest, block_pairs, chunked, connected_components, free_name, materialize, mix64, require, rows_of
 
 SHINGLE, BANDS, ROWS = 7, 12, 4
 MINIMA = BANDS * ROWS
@@ -290,7 +290,8 @@ def line_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The documents with only the kept and the blank lines; columns, and texts that lose no line, stay as they are."""
-    lost = line_classes(docs, threshold).where("not kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("_lost"))
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_lost", i))
-    left = docs.join(lost, "doc_id", "left").withColumn("text", F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
+    gone = free_name(docs, "lost_lines")
+    lost = line_classes(docs, threshold).where("not kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias(gone))
+    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i))
+    left = docs.join(lost, "doc_id", "left").withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
     return left.select(docs.columns)
