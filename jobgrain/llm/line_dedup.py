@@ -1,7 +1,7 @@
 """Fuzzy line dedup: MinHash over character shingles, high-recall banding, exact Jaccard, distributed union-find.
 
-1. Each line (lower case, white space collapsed) is named by the 128-bit hash of its normal form; exact repeats
-   are one node from here on.
+1. Each line (lower case, white space collapsed) is named by 64 bits of the hash of its normal form; exact repeats are one
+   node from here on. 64 further bits tell lines apart whose names collide: only one of them takes part in what follows.
 2. 48 minima over its shingles of 7 characters in 12 bands of 4: two lines of Jaccard 0.8 share a band with
    probability 0.998, of Jaccard 0.85 with 0.9998. Short lines take one minimum per hash function; long ones split a single
    hash into 48 ranges (one-permutation hashing, empty ranges borrowing from the next); between 89 and 140 shingles both.
@@ -32,6 +32,8 @@ PLACES = 32
 LONG_FROM, SHORT_UNDER, SHORT_PARTNER = 89, 112, 140
 #: Lines of one block.
 BLOCK = 192
+#: Line names that are broadcast at most (8 MB of names); more of them are joined by a shuffle of the lines.
+BROADCAST_KEYS = 1_000_000
 #: Line names that a task remembers so as not to send one again.
 SEEN = 1 << 20
 
@@ -40,8 +42,10 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def line_key(text: str) -> bytes:
-    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+def line_keys(texts: list[str]) -> np.ndarray:
+    """128-bit hashes as rows of two signed integers: the name of a line, and a check on it."""
+    digests = b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts)
+    return np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,21 +144,23 @@ def _lines(batch: pa.RecordBatch):
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunked(batches):
-        found = [(r, no, line_key(form), form) for r, no, form in _lines(b)]
-        row, no, key, form = zip(*found, strict=True) if found else ((), (), (), ())
+        found = list(_lines(b))
+        row, no, form = zip(*found, strict=True) if found else ((), (), ())
+        key = line_keys(form)
         yield pa.RecordBatch.from_arrays(
-            [rows_of(b, "doc_id").take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), pa.array(key, pa.binary()), pa.array(form, pa.string())], ["doc_id", "line_no", "key", "form"]
+            [rows_of(b, "doc_id").take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(form, pa.string())],
+            ["doc_id", "line_no", "key", "sum", "form"],
         )
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bands of lines that the task has not sent lately, in portions of some hundred thousand characters."""
-    seen: set[bytes] = set()
+    seen: set[int] = set()
     keys, forms, size = [], [], 0
 
     def out() -> pa.RecordBatch:
         row, band = band_keys(forms)
-        return pa.RecordBatch.from_arrays([pa.array(band.view(np.int64)), pa.array(keys, pa.binary()).take(pa.array(row))], ["band", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(band.view(np.int64)), pa.array(np.array(keys, dtype=np.int64)[row])], ["band", "key"])
 
     for b in batches:
         for key, form in zip(rows_of(b, "key").to_pylist(), rows_of(b, "form").to_pylist(), strict=True):
@@ -217,7 +223,7 @@ def _verify_blocks(threshold: float):
             a_out, b_out = [], []
             whole = rows_of(b, "bi").to_numpy() == rows_of(b, "bj").to_numpy()
             for same, band, items in zip(whole, rows_of(b, "band").to_pylist(), rows_of(b, "items").to_pylist(), strict=True):
-                names: dict[bytes, int] = {}
+                names: dict[int, int] = {}
                 root = np.array([names.setdefault(x["root"], len(names)) for x in items])
                 side = np.array([x["side"] for x in items])
                 bands = np.zeros((len(items), PLACES), dtype=np.int64)
@@ -239,33 +245,36 @@ def _verify_blocks(threshold: float):
                     if forest.join(int(root[at[i]]), int(root[at[j]])):
                         a_out.append(keys[root[at[i]]])
                         b_out.append(keys[root[at[j]]])
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
     return run
 
 
 def line_roots(lines: DataFrame, threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """(key, form) rows, repeats included -> (key, root) of the lines that are similar to another one."""
+    """(key, sum, form) rows, repeats included -> (key, sum, root) of the lines that are similar to another one."""
     bucket = W.partitionBy("band")
-    rows = lines.mapInArrow(_band_rows, "band long, key binary")
+    rows = lines.select("key", "form").mapInArrow(_band_rows, "band long, key long")
     met = rows.withColumn("low", F.min("key").over(bucket)).withColumn("high", F.max("key").over(bucket)).where("low <> high")
     met = materialize(met.select("band", "key", "low").distinct())
-    need = met.select("key").distinct()
+    need = materialize(met.select("key").distinct())
+    if need.count() <= BROADCAST_KEYS:
+        need = F.broadcast(need)
     forms = materialize(lines.join(need, "key", "left_semi").dropDuplicates(["key"]))
     pairs = met.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
     pairs = pairs.join(forms.select(F.col("key").alias("b"), F.col("form").alias("form_b")), "b")
     pairs = pairs.join(forms.select(F.col("key").alias("a"), F.col("form").alias("form_a")), "a")
-    near = pairs.select("a", "b", "form_a", "form_b").mapInArrow(_verify_pairs(threshold), "a binary, b binary")
+    near = pairs.select("a", "b", "form_a", "form_b").mapInArrow(_verify_pairs(threshold), "a long, b long")
     roots = materialize(connected_components(near).withColumnRenamed("node", "key"))
     named = met.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     mixed = named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("n > 2 and x <> y")
     rest = materialize(named.join(mixed.select("band"), "band"))
     members = rest.groupBy("key").agg(F.collect_list("band").alias("bands")).join(forms, "key")
     found = block_pairs(rest.join(members, "key"), ["band"], "key", ["root", "form", "bands"], block).select("band", "bi", "bj", "items")
-    joined = connected_components(found.mapInArrow(_verify_blocks(threshold), "a binary, b binary"))
+    joined = connected_components(found.mapInArrow(_verify_blocks(threshold), "a long, b long"))
     joined = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
     alone = joined.join(roots.select("key"), joined["root"] == roots["key"], "left_anti").select(F.col("root").alias("key"), "top")  # lines without an earlier link
-    return roots.join(joined, "root", "left").select("key", F.coalesce("top", "root").alias("root")).union(alone)
+    every = roots.join(joined, "root", "left").select("key", F.coalesce("top", "root").alias("root")).union(alone)
+    return every.join(forms.select("key", "sum"), "key")
 
 
 def line_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -277,14 +286,15 @@ def line_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     A null doc_id counts as larger than any other. An empty table gives an empty result; further columns are ignored.
     """
     docs = require(docs, "doc_id", "text")
-    seen = materialize(docs.mapInArrow(_occurrences, "doc_id long, line_no int, key binary, form string"))
-    roots = line_roots(seen.select("key", "form"), threshold)
+    seen = materialize(docs.mapInArrow(_occurrences, "doc_id long, line_no int, key long, sum long, form string"))
+    roots = line_roots(seen.select("key", "sum", "form"), threshold)
     seen = seen.drop("form")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
-    firsts = seen.groupBy("key").agg(F.min(place).alias("p")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = firsts.groupBy("root").agg(F.min("p").alias("p"))
-    named = firsts.select("key", "root").join(least, "root").select("key", "p")
-    out = seen.join(named, "key").select("doc_id", "line_no", F.col("p.doc_id").alias("class_doc_id"), F.col("p.line_no").alias("class_line_no"))
+    firsts = seen.groupBy("key", "sum").agg(F.min(place).alias("first")).join(roots, ["key", "sum"], "left")
+    firsts = firsts.withColumn("lone", F.when(F.col("root").isNull(), F.col("sum"))).withColumn("root", F.coalesce("root", "key"))
+    least = firsts.groupBy("root", "lone").agg(F.min("first").alias("p")).withColumnsRenamed({"root": "r", "lone": "l"})
+    named = firsts.join(least, (F.col("root") == F.col("r")) & F.col("lone").eqNullSafe(F.col("l"))).select("key", "sum", "p")
+    out = seen.join(named, ["key", "sum"]).select("doc_id", "line_no", F.col("p.doc_id").alias("class_doc_id"), F.col("p.line_no").alias("class_line_no"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no")))
 
 
