@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from jobgrain.llm.common import chunked, materialize, mix64, require, rows_of
 
 LEXICON_WORDS, ENDINGS, CLASSES, ROUNDS = 1 << 15, 1 << 11, 64, 6
+#: Most frequent words whose counts every task knows; documents' other words are looked up by a join.
+COUNTED_WORDS = 1 << 17
 CLASS_SHARE, TRANSITION_PRIOR = 0.9, 8.0
 #: The end token cannot be a word, as words hold no white space.
 END = b" "
@@ -152,7 +154,7 @@ class ClassModel:
     """Tables of fixed size: lexicon, class of each item, log10 weight of each class pair; and the corpus totals."""
 
     lexicon: list[bytes]
-    counts: np.ndarray
+    counts: dict[bytes, int]
     classes: np.ndarray
     weight: np.ndarray
     n: int
@@ -212,8 +214,11 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     train = docs.where(training(F.col("doc_id"))).select("text")
     counts = materialize(train.mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(LEXICON_WORDS).toArrow()
-    lexicon = [bytes(w) for w in top.column("word").to_pylist()]
+    words = counts.where(F.col("word") != F.lit(END))
+    top = words.orderBy(F.desc("c"), "word").limit(COUNTED_WORDS).toArrow()
+    counted = [bytes(w) for w in top.column("word").to_pylist()]
+    known = dict(zip(counted, top.column("c").to_pylist(), strict=True))
+    lexicon = counted[:LEXICON_WORDS]
     items = Items(lexicon).size
     pairs = materialize(train.mapInArrow(_pairs(lexicon), "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n")))
     of = exchange(pairs, items, lexicon)
@@ -229,32 +234,37 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     emission = 1 / (size[0] + 0.5 * (size[1] + 1))
     weight = np.log10(CLASS_SHARE * transition * emission + (1 - CLASS_SHARE) / (n + 0.5 * (v + 1)))
     end = counts.where(F.col("word") == F.lit(END)).select("c").first()
-    known = np.append(top.column("c").to_numpy(), end[0] if end else 0)
-    rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(bytearray(w),) for w in [*lexicon, END]], "word binary")), "word", "left_anti")
+    last = counted[-1] if len(counted) == COUNTED_WORDS else None
+    rest = words.where(F.lit(False) if last is None else (F.col("c") < known[last]) | ((F.col("c") == known[last]) & (F.col("word") > F.lit(last))))
+    if end:
+        known[END] = end[0]
     return ClassModel(lexicon, known, of, weight, n, v), rest
 
 
+class KnownLogs(dict):
+    """Word -> log10(c + 0.5); not a number for words that the tasks do not know."""
+
+    def __missing__(self, word: bytes) -> float:
+        return math.nan
+
+
 def _score(model: ClassModel):
     """Per row: what the lexicon can tell, and the words beyond it with their numbers in the document."""
-    logs = np.log10(model.counts + 0.5)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, words = Items(model.lexicon), len(model.lexicon)
-        table = np.zeros(items.size)
-        table[:words], table[-1] = logs[:-1], logs[-1]
-        known = np.zeros(items.size, dtype=np.int64)
-        known[:words], known[-1] = 1, model.counts[-1] > 0
+        items, logs = Items(model.lexicon), KnownLogs((w, math.log10(c + 0.5)) for w, c in model.counts.items())
+        end_log, end_known = logs.get(END, math.log10(0.5)), int(END in logs)
         for b in chunked(batches, 256):
             n, seen, base, link, rare, times = [], [], [], [], [], []
             for text in rows_of(b, "text").to_pylist():
                 w = tokens(text)
-                x = items.of(w)
-                k = model.classes[x]
+                k = model.classes[items.of(w)]
+                each = np.fromiter(map(logs.__getitem__, w), dtype=np.float64, count=len(w))
+                unknown = np.isnan(each)
                 n.append(len(w) + 1)
-                seen.append(int(known[x[1:]].sum()))
-                base.append(float(table[x[1:]].sum()))
+                seen.append(len(w) - int(unknown.sum()) + end_known)
+                base.append(float(each[~unknown].sum()) + end_log)
                 link.append(float(model.weight[k[:-1], k[1:]].sum()))
-                other = Counter(w[i] for i in np.flatnonzero((x[1:-1] >= words)))
+                other = Counter(w[i] for i in np.flatnonzero(unknown))
                 rare.append(list(other))
                 times.append(list(other.values()))
             arrays = [rows_of(b, "row"), rows_of(b, "doc_id"), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(link)]

@@ -328,10 +328,19 @@ def test_brown_odd_cases(odd, empty):
     assert brown_lm.score_documents(empty).count() == 0
 
 
+def test_brown_scores_do_not_depend_on_what_tasks_know(docs, monkeypatch):
+    few = docs.limit(40)
+    want = {r.doc_id: r for r in brown_lm.score_documents(few).collect()}
+    monkeypatch.setattr(brown_lm, "LEXICON_WORDS", 1 << 6)
+    monkeypatch.setattr(brown_lm, "COUNTED_WORDS", 1 << 7)
+    got = {r.doc_id: r for r in brown_lm.score_documents(few).collect()}
+    assert all(got[i].base_score == pytest.approx(want[i].base_score) and got[i].n_known == want[i].n_known for i in want)
+
+
 def test_brown_distribution_sums_to_one(docs):
     model, rest = brown_lm.fit(docs.limit(60))
-    words = [*model.lexicon, brown_lm.END, *[bytes(r.word) for r in rest.collect()]]
-    count = dict(zip([*model.lexicon, brown_lm.END], model.counts.tolist(), strict=True)) | {bytes(r.word): r.c for r in rest.collect()}
+    count = model.counts | {bytes(r.word): r.c for r in rest.collect()}
+    words = list(count)
     items = brown_lm.Items(model.lexicon)
     k = np.array([model.classes[items[w]] for w in words])
     c = np.array([count[w] for w in words])
