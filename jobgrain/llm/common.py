@@ -80,7 +80,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         hung = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(low.select("u", F.col("m").alias("v")).union(hung).distinct())
