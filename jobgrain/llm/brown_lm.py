@@ -15,6 +15,7 @@ smoothed by their unigrams, and P(w) is the base model. A document begins and en
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -62,24 +63,26 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ending(word: bytes) -> int:
     """The group of a word that the lexicon does not hold: by its last three letters, signs at the end left out."""
-    tail = word.rstrip(b".,;:!?|\"')(")[-3:]
-    return int(mix64(np.array([int.from_bytes(tail, "little") + 1], dtype=np.uint64))[0] >> np.uint64(64 - 11)) % ENDINGS
+    return zlib.crc32(word.rstrip(b".,;:!?|\"')(")[-3:]) % ENDINGS
 
 
 class Items(dict):
-    """Word -> item: its place in the lexicon, or that of its ending behind them; the last item is the end token."""
+    """Word -> item: its place in the lexicon, or that of its ending behind them; the last item is the end token.
+
+    Other words are remembered up to a bound, so that repeated ones cost a look-up.
+    """
 
     def __init__(self, lexicon: list[bytes]) -> None:
         super().__init__((w, i) for i, w in enumerate(lexicon))
-        self.words, self.rest, self.size = len(lexicon), {}, len(lexicon) + ENDINGS + 1
+        self.words, self.size = len(lexicon), len(lexicon) + ENDINGS + 1
         self[END] = self.size - 1
+        self.fixed = dict(self)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self.rest) >= CACHE_WORDS:
-            self.rest.clear()
-        item = self.rest.get(word)
-        if item is None:
-            item = self.rest[word] = self.words + ending(word)
+        if len(self) >= self.words + CACHE_WORDS:
+            self.clear()
+            self.update(self.fixed)
+        self[word] = item = self.words + ending(word)
         return item
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -113,38 +116,58 @@ def _pairs(lexicon: list[bytes]):
     return run
 
 
-def _histograms(classes: np.ndarray):
-    """Each item's counts by class of the neighbour, on either side: (item, side * CLASSES + class, n)."""
-    c = int(classes.max()) + 1 if len(classes) else 1
+def neighbours(pairs: DataFrame, items: int) -> DataFrame:
+    """One row per item: its left neighbours, its right ones (their numbers raised by ``items``), and the counts of both.
+
+    An item has at most 2 * items neighbours, so a row is bounded whatever the corpus; the rounds then need no shuffle.
+    """
+    left = pairs.select(F.col("right").alias("item"), F.col("left").alias("other"), "n")
+    right = pairs.select(F.col("left").alias("item"), (F.col("right") + items).alias("other"), "n")
+    return materialize(left.union(right).groupBy("item").agg(F.collect_list("other").alias("others"), F.collect_list("n").alias("counts")))
+
+
+def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Items, and for each neighbour its row, number and count."""
+    others, counts = rows_of(b, "others"), rows_of(b, "counts")
+    ends = others.offsets.to_numpy()
+    return rows_of(b, "item").to_numpy(), np.repeat(np.arange(b.num_rows), np.diff(ends)), others.flatten().to_numpy(), counts.flatten().to_numpy()
+
+
+def _transitions(of: np.ndarray, c: int):
+    """Class x class counts of a share of the items and what stands to their right."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(classes) * 2 * c, dtype=np.int64)
-        for b in batches:
-            left, right, n = (rows_of(b, x).to_numpy() for x in ("left", "right", "n"))
-            np.add.at(total, right.astype(np.int64) * 2 * c + classes[left], n)
-            np.add.at(total, left.astype(np.int64) * 2 * c + c + classes[right], n)
+        total = np.zeros(c * c)
+        for b in chunked(batches, 2048):
+            item, row, other, n = _unpacked(b)
+            right = other >= len(of)
+            total += np.bincount(of[item[row[right]]] * c + of[other[right] - len(of)], weights=n[right], minlength=c * c)
         at = np.flatnonzero(total)
-        for lo in range(0, len(at), 100_000):
-            part = at[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array((part // (2 * c)).astype(np.int32)), pa.array((part % (2 * c)).astype(np.int32)), pa.array(total[part])], ["item", "cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array((at // c).astype(np.int32)), pa.array((at % c).astype(np.int32)), pa.array(total[at].astype(np.int64))], ["a", "b", "n"])
 
     return run
 
 
-def _best_classes(matrix: np.ndarray, sizes: np.ndarray, c: int):
+def transitions(table: DataFrame, of: np.ndarray, c: int) -> np.ndarray:
+    out = np.zeros((c, c))
+    for r in table.mapInArrow(_transitions(of, c), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # classes x classes rows at most
+        out[r["a"], r["b"]] = r["n"]
+    return out
+
+
+def _best_classes(of: np.ndarray, matrix: np.ndarray, c: int):
     """The class under which an item's neighbours and its own emission are likeliest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_p = np.log((matrix + 0.1) / (matrix.sum(1, keepdims=True) + 0.1 * c))  # [previous, next]
-        for b in batches:
-            cells, counts = rows_of(b, "cells"), rows_of(b, "counts")
-            ends = cells.offsets.to_numpy() - cells.offsets[0].as_py()
-            row = np.repeat(np.arange(b.num_rows), np.diff(ends))
-            h = np.zeros((b.num_rows, 2 * c))
-            h[row, cells.flatten().to_numpy()] = counts.flatten().to_numpy()
+        sizes = np.log(matrix.sum(0) + 1.0)
+        for b in chunked(batches, 2048):
+            item, row, other, n = _unpacked(b)
+            cell = row * 2 * c + np.where(other >= len(of), c, 0) + of[other % len(of)]
+            h = np.bincount(cell, weights=n, minlength=b.num_rows * 2 * c).reshape(-1, 2 * c)
             # the emission favours small classes: the item's share of a class is its count over the class's tokens
-            value = h[:, :c] @ log_p + h[:, c:] @ log_p.T - h[:, :c].sum(1, keepdims=True) * np.log(sizes + 1.0)
-            yield pa.RecordBatch.from_arrays([rows_of(b, "item"), pa.array(value.argmax(1).astype(np.int32))], ["item", "best"])
+            value = h[:, :c] @ log_p + h[:, c:] @ log_p.T - h[:, :c].sum(1, keepdims=True) * sizes
+            yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(value.argmax(1).astype(np.int32))], ["item", "best"])
 
     return run
 
@@ -161,39 +184,19 @@ class ClassModel:
     v: int
 
 
-def exchange(pairs: DataFrame, items: int, lexicon: list[bytes], classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+def exchange(table: DataFrame, lexicon: list[bytes], classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """The class of each item after ``rounds`` rounds; the end token keeps the last class to itself."""
     seeds = [ending(w) for w in lexicon] + list(range(ENDINGS))
     of = np.array([s % (classes - 1) for s in seeds] + [classes - 1], dtype=np.int64)
-    turn = mix64(np.arange(items, dtype=np.uint64)) & np.uint64(1)
+    turn = mix64(np.arange(len(of), dtype=np.uint64)) & np.uint64(1)
     for r in range(rounds):
-        cells = pairs.mapInArrow(_histograms(of), "item int, cell int, n long").groupBy("item", "cell").agg(F.sum("n").alias("n"))
-        cells = materialize(cells)
-        # class x class counts: what stands to the right of the items of each class
-        mapped = cells.where(F.col("cell") >= classes).mapInArrow(_to_classes(of, classes), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-        matrix = np.zeros((classes, classes))
-        for row in mapped.collect():  # classes x classes rows at most
-            matrix[row["a"], row["b"]] = row["n"]
-        best = cells.groupBy("item").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("counts"))
-        moved = best.mapInArrow(_best_classes(matrix, matrix.sum(0), classes), "item int, best int").toArrow()  # one row per item of the lexicon
+        moved = table.mapInArrow(_best_classes(of, transitions(table, of, classes), classes), "item int, best int").toArrow()  # one row per item
         item, to = moved.column("item").to_numpy(), moved.column("best").to_numpy()
-        free = (item != items - 1) & (to != classes - 1) & ((turn[item] == r % 2) | (r == 0))
+        free = (item != len(of) - 1) & (to != classes - 1) & ((turn[item] == r % 2) | (r == 0))
         of[item[free]] = to[free]
     return of
 
 
-def _to_classes(of: np.ndarray, c: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(c * c, dtype=np.int64)
-        for b in batches:
-            item, cell, n = (rows_of(b, x).to_numpy() for x in ("item", "cell", "n"))
-            np.add.at(total, of[item] * c + cell - c, n)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array((at // c).astype(np.int32)), pa.array((at % c).astype(np.int32)), pa.array(total[at])], ["a", "b", "n"])
-
-    return run
-
-
 def _class_sizes(items_of: list[bytes], of: np.ndarray):
     """(class, tokens, words) of a share of the word counts."""
 
@@ -220,12 +223,11 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     known = dict(zip(counted, top.column("c").to_pylist(), strict=True))
     lexicon = counted[:LEXICON_WORDS]
     items = Items(lexicon).size
-    pairs = materialize(train.mapInArrow(_pairs(lexicon), "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n")))
-    of = exchange(pairs, items, lexicon)
-    matrix = np.zeros((CLASSES, CLASSES))
-    cells = pairs.mapInArrow(_histograms(of), "item int, cell int, n long").where(F.col("cell") >= CLASSES)
-    for row in cells.mapInArrow(_to_classes(of, CLASSES), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
-        matrix[row["a"], row["b"]] = row["n"]
+    pairs = train.mapInArrow(_pairs(lexicon), "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+    pairs = materialize(pairs)
+    table = neighbours(pairs, items)
+    of = exchange(table, lexicon)
+    matrix = transitions(table, of, CLASSES)
     size = np.zeros((2, CLASSES))
     for row in counts.mapInArrow(_class_sizes(lexicon, of), "k int, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         size[:, row["k"]] = row["n"], row["v"]
@@ -242,16 +244,24 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
 
 
 class KnownLogs(dict):
-    """Word -> log10(c + 0.5); not a number for words that the tasks do not know."""
+    """Word -> log10(c + 0.5); not a number for words that the tasks do not know, which are remembered up to a bound."""
+
+    def __init__(self, counts: dict[bytes, int]) -> None:
+        super().__init__((w, math.log10(c + 0.5)) for w, c in counts.items())
+        self.fixed = dict(self)
 
     def __missing__(self, word: bytes) -> float:
+        if len(self) >= len(self.fixed) + CACHE_WORDS:
+            self.clear()
+            self.update(self.fixed)
+        self[word] = math.nan
         return math.nan
 
 
 def _score(model: ClassModel):
     """Per row: what the lexicon can tell, and the words beyond it with their numbers in the document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, logs = Items(model.lexicon), KnownLogs((w, math.log10(c + 0.5)) for w, c in model.counts.items())
+        items, logs = Items(model.lexicon), KnownLogs(model.counts)
         end_log, end_known = logs.get(END, math.log10(0.5)), int(END in logs)
         for b in chunked(batches, 256):
             n, seen, base, link, rare, times = [], [], [], [], [], []
