@@ -160,7 +160,7 @@ def learn_lexicons(sample: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     both, share = F.col("a") + F.col("b"), bad / (bad + good)
     g2 = 2 * (part(F.col("a"), both * share) + part(F.col("b"), both * (1 - share)))
-    strong = table.withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (F.col("a") >= LEAST_SHARE * both))
+    strong = materialize(table.withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (F.col("a") >= LEAST_SHARE * both)))
     of = lambda kind: frozenset(r[0] for r in strong.where(F.col("kind") == kind).orderBy(F.desc("g2"), "entry").limit(LEXICON_ROWS).select("entry").collect())
     return of("word"), of("beginning")
 
