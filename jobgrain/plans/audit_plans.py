@@ -143,11 +143,8 @@ SELECT a.canonical_url, arg_max(b.canonical_url, row(b.last_seen_epoch, -b.posti
 AND a.canonical_url <> b.canonical_url GROUP BY 1 HAVING count(*) = 1
 """)
 def j9_duplicate_of(spark, sf_dir):
-    """Pairs that share a source id."""
-    return A.duplicate_of(postings(spark, sf_dir)).join(
-        postings(spark, sf_dir).where("source_job_id <> ''").groupBy("ats_key", "source_job_id").agg(F.count("*").alias("n"), F.collect_list("canonical_url").alias("u")).where("n = 2")
-        .select(F.explode("u").alias("canonical_url")), "canonical_url", "left_semi",
-    )
+    """Groups of every size that share a source id. The SQL covers groups of two only."""
+    return A.duplicate_of(postings(spark, sf_dir))
 
 
 @query("""
