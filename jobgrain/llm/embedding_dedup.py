@@ -2,9 +2,12 @@
 
 Each pass orders all vectors lexicographically by a word of random hyperplane signs and compares every vector
 with its neighbours inside a window of the sorted order. Two vectors at the angle t agree in a sign with
-probability 1 - t/pi, so a pass finds a pair if the leading log2(rows / window) signs agree; the number of passes is
-computed from that, for every size alike, so that a pair just at the threshold is missed with probability
-``miss`` at most. Verified pairs of all passes are united (as forests, never as all pairs of a group).
+probability 1 - t/pi, so a pass surely finds a pair if both agree in the leading k signs and the run of rows that share
+them is no larger than the window. Every pass reports the k of each row (none where the run touches the edge of its
+range partition), so dense regions count as what they are: rows for which the passes so far leave a pair just at the
+threshold a chance above ``miss`` go into a further round among themselves, and where more passes would cost more than
+comparing those rows with each other, they are compared exactly. Verified pairs of all passes are united (as forests,
+never as all pairs of a group).
 
 Then the direct links of every vector are counted exactly inside its component, block against block:
 whatever a window was too narrow for is found there, so large groups of copies lose no link.
@@ -26,6 +29,10 @@ from jobgrain.llm.common import Forest, block_pairs, connected_components, mater
 WINDOW = 512
 #: Vectors of one block when links are counted inside a component.
 BLOCK = 1024
+#: Vectors of one block when rows of dense regions are compared exactly.
+DENSE_BLOCK = 4096
+#: Passes of one round at most.
+ROUND = 64
 SIGNS = 62
 
 
@@ -43,7 +50,28 @@ def _unit(col: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _signs(passes: int, seed: int):
+def _gains(keys: np.ndarray, threshold: float, window: int) -> np.ndarray:
+    """Of the sorted keys of one pass in one partition: -log of the chance that the pass misses a pair at the threshold.
+
+    Each row counts with the fewest leading signs whose run is no larger than the window, and with 0 if that run
+    touches an edge of the partition, as it may go on in the next one.
+    """
+    n, low, high = len(keys), np.zeros(len(keys), dtype=np.int64), np.full(len(keys), SIGNS + 1, dtype=np.int64)
+
+    def run(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start = (keys >> (SIGNS - k)) << (SIGNS - k)
+        return np.searchsorted(keys, start), np.searchsorted(keys, start + (np.int64(1) << (SIGNS - k)))
+
+    while (low < high).any():
+        k = np.minimum((low + high) // 2, SIGNS)
+        first, end = run(k)
+        fits = (end - first <= window + 1) & (first > 0) & (end < n)
+        low, high = np.where((low < high) & ~fits, k + 1, low), np.where((low < high) & fits, k, high)
+    agree = 1 - math.acos(threshold) / math.pi
+    return np.where(low <= SIGNS, -np.log1p(-np.minimum(agree ** low.astype(float), 1 - 1e-9)), 0.0)
+
+
+def _signs(passes: int, seed: int, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = rows_of(b, "dims").to_numpy()
@@ -51,7 +79,7 @@ def _signs(passes: int, seed: int):
             for d in np.unique(dims):  # vectors of another length are a world of their own
                 at = np.flatnonzero(dims == d)
                 x = _unit(rows_of(b, "vec").take(pa.array(at)))
-                planes = np.random.default_rng([seed, int(d)]).standard_normal((int(d), passes * SIGNS))
+                planes = np.random.default_rng([seed, int(d), turn] if turn else [seed, int(d)]).standard_normal((int(d), passes * SIGNS))
                 bits = (x @ planes > 0).reshape(len(at), passes, SIGNS)
                 key[at] = bits @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -75,23 +103,65 @@ def _windows(window: int, threshold: float):
                     b.append(int(ids[lo + j]))
         return a, b
 
+    def out(a: list, b: list, vid: np.ndarray, gain: np.ndarray) -> pa.RecordBatch:
+        pairs, rows = len(a), len(vid)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a + [None] * rows, pa.int64()), pa.array(b + [None] * rows, pa.int64()),
+             pa.concat_arrays([pa.nulls(pairs, pa.int64()), pa.array(vid, pa.int64())]), pa.concat_arrays([pa.nulls(pairs, pa.float64()), pa.array(gain, pa.float64())])],
+            ["a", "b", "vid", "gain"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: tuple | None = None
+        seen: list[tuple] = []  # ids and keys of the world that is being read
+
+        def gains() -> tuple[np.ndarray, np.ndarray]:
+            ids, keys = (np.concatenate(c) for c in zip(*seen, strict=True))
+            seen.clear()
+            return ids, _gains(keys, threshold, window)
+
         for b in batches:
-            ids, dims, turn = (rows_of(b, c).to_numpy() for c in ("vid", "dims", "pass"))
+            ids, dims, turn, keys = (rows_of(b, c).to_numpy() for c in ("vid", "dims", "pass", "key"))
             edges = [0, *(np.flatnonzero((dims[1:] != dims[:-1]) | (turn[1:] != turn[:-1])) + 1), len(ids)]
-            a_out, b_out = [], []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if lo == hi:
                     continue
                 x, own, world = _unit(rows_of(b, "vec").slice(lo, hi - lo)), ids[lo:hi], (dims[lo], turn[lo])
                 if tail and tail[0] == world:
                     own, x = np.concatenate([tail[1], own]), np.concatenate([tail[2], x])
-                a, c = links(own, x, hi - lo)
-                a_out += a
-                b_out += c
+                elif seen:
+                    yield out([], [], *gains())
+                seen.append((ids[lo:hi], keys[lo:hi]))
+                yield out(*links(own, x, hi - lo), np.empty(0, np.int64), np.empty(0))
                 tail = (world, own[-window:], x[-window:])
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+        if seen:
+            yield out([], [], *gains())
+
+    return run
+
+
+def _dense_links(threshold: float):
+    """Forest of the links between rows of different roots, block against block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items = rows_of(b, "items")
+            ends, flat = items.offsets.to_numpy(), items.flatten()
+            same = rows_of(b, "bi").to_numpy() == rows_of(b, "bj").to_numpy()
+            ids, side, roots = (flat.field(c).to_numpy() for c in ("id", "side", "root"))
+            vec, at0 = flat.field("vec"), ends[0]
+            a, c = [], []
+            for k in range(b.num_rows):
+                lo, hi = int(ends[k] - at0), int(ends[k + 1] - at0)
+                x, s, r, own, forest = _unit(vec.slice(lo, hi - lo)), side[lo:hi], roots[lo:hi], ids[lo:hi], Forest(hi - lo)
+                left, right = (np.arange(hi - lo),) * 2 if same[k] else (np.flatnonzero(s == 0), np.flatnonzero(s == 1))
+                for at in range(0, len(left), 256):
+                    near = left[at : at + 256]
+                    for i, j in zip(*np.nonzero((x[near] @ x[right].T >= threshold) & (r[near][:, None] != r[right])), strict=True):
+                        if forest.join(int(near[i]), int(right[j])):
+                            a.append(int(own[near[i]]))
+                            c.append(int(own[right[j]]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
     return run
 
@@ -123,6 +193,34 @@ def _count_links(threshold: float):
     return run
 
 
+def _passes(distinct: DataFrame, n: int, threshold: float, window: int, miss: float, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links that the sorted passes find, and the rows (vid, dims, vec) to be compared with each other exactly, if any.
+
+    A pair is settled if one of its rows is, so later rounds see the open rows only.
+    """
+    links, rows, done, turn = None, distinct.select("vid", "dims", "vec", F.lit(0.0).alias("had")), 0, 0
+    passes = min(passes_for(n, threshold, window, miss), ROUND)
+    while True:
+        signed = rows.select("vid", "dims", "vec").mapInArrow(_signs(passes, seed, turn), "vid long, dims int, vec array<double>, keys array<long>")
+        dealt = signed.select("vid", "dims", "vec", F.posexplode("keys").alias("pass", "key"))
+        parts = max(1, min(-(-n * passes // (16 * window)), 100_000))
+        dealt = dealt.repartitionByRange(parts, "dims", "pass", "key", "vid").sortWithinPartitions("dims", "pass", "key", "vid")
+        found = materialize(dealt.mapInArrow(_windows(window, threshold), "a long, b long, vid long, gain double"))
+        forest = found.where("a is not null").select("a", "b")
+        links = forest if links is None else links.union(forest)
+        done, turn = done + passes, turn + 1
+        gained = found.where("vid is not null").groupBy("vid").agg(F.sum("gain").alias("gain"))
+        rows = rows.join(gained, "vid").withColumn("had", F.col("had") + F.col("gain")).drop("gain").where(F.col("had") < -math.log(miss))
+        rows = materialize(rows)
+        needs = F.when(F.col("had") > 0, (F.lit(-math.log(miss)) - F.col("had")) * done / F.col("had")).otherwise(F.lit(1e15))
+        n, more = rows.agg(F.count("*"), F.percentile_approx(needs, 0.9)).first()
+        if n == 0:
+            return links, None
+        if n <= 2 * window * more:
+            return links, rows.select("vid", "dims", "vec")
+        passes = max(1, min(math.ceil(more), ROUND))
+
+
 def embedding_components(
     vectors: DataFrame, threshold: float = 0.9, window: int = WINDOW, miss: float = 1e-4, seed: int = 7, block: int = BLOCK
 ) -> DataFrame:
@@ -144,13 +242,13 @@ def embedding_components(
     )
     distinct = materialize(distinct)
     n = distinct.count()
-    passes = passes_for(n, threshold, window, miss)
-    signed = distinct.select("vid", "dims", "vec").mapInArrow(_signs(passes, seed), "vid long, dims int, vec array<double>, keys array<long>")
-    dealt = signed.select("vid", "dims", "vec", F.posexplode("keys").alias("pass", "key"))
-    parts = max(1, min(-(-n * passes // (16 * window)), 100_000))
-    dealt = dealt.repartitionByRange(parts, "dims", "pass", "key", "vid").sortWithinPartitions("dims", "pass", "key", "vid")
-    forest = dealt.mapInArrow(_windows(window, threshold), "a long, b long")
-    roots = materialize(connected_components(forest))
+    links, dense = _passes(distinct, n, threshold, window, miss, seed)
+    roots = materialize(connected_components(links))
+    if dense is not None:
+        near = dense.join(roots.withColumnRenamed("node", "vid"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+        more = materialize(block_pairs(near, ["dims"], "vid", ["root", "vec"], DENSE_BLOCK).select("bi", "bj", "items").mapInArrow(_dense_links(threshold), "a long, b long"))
+        if not more.isEmpty():
+            roots = materialize(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
     inside = roots.withColumnRenamed("node", "vid").join(distinct, "vid").select("root", "vid", "vec", "copies")
     counted = block_pairs(inside, ["root"], "vid", ["vec", "copies"], block).select("bi", "bj", "items").mapInArrow(_count_links(threshold), "vid long, n long")
     counted = counted.groupBy("vid").agg(F.sum("n").alias("n"))
