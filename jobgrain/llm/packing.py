@@ -85,15 +85,32 @@ def word_ids(path: str) -> WordIds:
     return _WORDS[path]
 
 
+_LOADED: dict[str, object] = {}
+
+
+def as_loaded(path: str):
+    """The tokenizer with its added tokens in force, for the few texts that hold one."""
+    if path not in _LOADED:
+        from tokenizers import Tokenizer
+
+        _LOADED[path] = Tokenizer.from_file(path)
+    return _LOADED[path]
+
+
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = word_ids(path), np.array([end_id], dtype="<u4").tobytes()
+        added = [t.content.lower() for t in words.tokenizer.get_added_tokens_decoder().values()]
         task, seen = TaskContext.get().partitionId(), {}
         for b in chunked(batches):
             ids, start = [], []
             queue = rows_of(b, "queue").to_pylist()
             for q, text in zip(queue, rows_of(b, "text").to_pylist(), strict=True):
-                doc = b"".join(map(words.__getitem__, (text or "").encode("utf-8").split())) + end
+                low = (text or "").lower()
+                if any(t in low for t in added):
+                    doc = np.array(as_loaded(path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + end
+                else:
+                    doc = b"".join(map(words.__getitem__, (text or "").encode("utf-8").split())) + end
                 ids.append(np.frombuffer(doc, dtype="<u4").astype("<u4" if words.wide else "<u2").tobytes())
                 start.append(seen.get(q, 0))
                 seen[q] = start[-1] + len(doc) // 4
