@@ -36,11 +36,41 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more (later tables do not need them to recover)."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.table_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_marks(df: DataFrame) -> DataFrame:
+    """``df`` with two columns that name its text by 128 bits, so that rows which share a doc_id can be told apart."""
+    return df.withColumns({MARKS[0]: F.xxhash64("text"), MARKS[1]: F.xxhash64(F.lit("mark"), F.col("text"))})
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose (doc_id, text) ``gone`` names by doc_id and marks; nulls equal nulls."""
+    names = {c: free_name(docs, c) for c in MARKS}
+    left = docs.withColumns({
+        names[MARKS[0]]: F.xxhash64(F.col("text").cast("string")), names[MARKS[1]]: F.xxhash64(F.lit("mark"), F.col("text").cast("string"))
+    })
+    right = gone.select("doc_id", *MARKS).distinct()
+    same = left["doc_id"].cast("long").eqNullSafe(right["doc_id"])
+    for c in MARKS:
+        same = same & (left[names[c]] == right[c])
+    return left.join(right, same, "left_anti").select(docs.columns)
 
 
 #: Types that the operators work with.
 TYPES = {"doc_id": "long", "vec_id": "long", "item_id": "long", "text": "string", "source": "string", "toxic": "int"}
+#: Columns of ``text_marks``.
+MARKS = ("text_mark_a", "text_mark_b")
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -62,9 +92,11 @@ def free_name(df: DataFrame, name: str) -> str:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links of any orderable type -> (node, root): root is the smallest node reachable.
 
-    Nodes without a link to another node do not appear. Each round is one large-star and one small-star step
-    (joins and grouped minima on node keys, combined map-side); the rounds end when no edge changes, after a
-    number of them that grows with the logarithm of the longest chain.
+    Nodes without a link to another node do not appear. Each round is one large-star and one small-star step on edges
+    (u, v), v < u. Only a node with a smaller neighbour moves its edges, so the root of a star, however large, is never
+    grouped, and its edges stay as they are. Smallest neighbours are combined map-side and written before they are joined, so
+    that Spark sees two plain shuffles and can split a hot node's rows. The rounds end when no edge changes, after a
+    number of them that grows with the logarithm of the longest chain. Tables of a round are deleted with the next.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
@@ -76,15 +108,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
+    def smallest(df: DataFrame) -> DataFrame:
+        return materialize(df.groupBy("u").agg(F.min("v").alias("m")))
+
     before = state(e)
     while True:
-        both = e.union(e.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        hung = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(low.select("u", F.col("m").alias("v")).union(hung).distinct())
-        after = state(e)
+        low = smallest(e)
+        over = low.select(F.col("u").alias("v"), "m")
+        large = materialize(e.join(over, "v", "left").select("u", F.coalesce("m", "v").alias("v")))
+        least = smallest(large)
+        hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        done = materialize(least.select("u", F.col("m").alias("v")).union(hung).distinct())
+        release(e, low, large, least)
+        e, after = done, state(done)
         if after == before:
             break
         before = after

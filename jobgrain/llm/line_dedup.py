@@ -1,13 +1,17 @@
 """Fuzzy line dedup: MinHash over character shingles, high-recall banding, exact Jaccard, distributed union-find.
 
-1. Each line (lower case, white space collapsed) is named by 64 bits of the hash of its normal form; exact repeats are one
-   node from here on. 64 further bits tell lines apart whose names collide: only one of them takes part in what follows.
+1. Each line (lower case, white space collapsed) is named by the 128-bit hash of its normal form; exact repeats are one node.
 2. 48 minima over its shingles of 7 characters in 12 bands of 4: two lines of Jaccard 0.8 share a band with
    probability 0.998, of Jaccard 0.85 with 0.9998. Short lines take one minimum per hash function; long ones split a single
    hash into 48 ranges (one-permutation hashing, empty ranges borrowing from the next); between 89 and 140 shingles both.
-3. In each band's bucket the members are compared with the smallest one (as many pairs as members).
+3. In each band's bucket the members are compared with the smallest one (as many pairs as members). A task first compares the
+   lines of a portion among themselves: of those that share a band only the smallest goes on to the band's bucket, so a bucket
+   gets one entry for each portion at most, however many lines share it. Entries travel packed, many to a row.
 4. Buckets that still hold several components after union-find are compared in full, in bounded blocks
    inside tasks, so that no link inside a bucket is lost and no group's pairs are ever written out.
+
+Bucket entries carry 64 bits of a name; as soon as texts are fetched, every distinct text (told apart by all 128 bits) is a node
+with a number of its own, so lines whose 64 bits collide are compared, linked and named apart.
 """
 
 from __future__ import annotations
@@ -16,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from jobgrain.llm.common import Forest, block_pairs, chunked, connected_components, free_name, materialize, mix64, require, rows_of
+from jobgrain.llm.common import MARKS, Forest, block_pairs, chunked, connected_components, free_name, materialize, mix64, require, rows_of, text_marks
 
 SHINGLE, BANDS, ROWS = 7, 12, 4
 MINIMA = BANDS * ROWS
@@ -32,10 +36,10 @@ PLACES = 32
 LONG_FROM, SHORT_UNDER, SHORT_PARTNER = 89, 112, 140
 #: Lines of one block.
 BLOCK = 192
-#: Line names that are broadcast at most (8 MB of names); more of them are joined by a shuffle of the lines.
-BROADCAST_KEYS = 1_000_000
-#: Line names that a task remembers so as not to send one again.
-SEEN = 1 << 20
+#: Lines of one portion, within which repeats of a line are stored and banded once.
+PORTION = 1 << 15
+#: Bucket entries that are packed into one destination, on average.
+ENTRIES = 1 << 20
 
 
 def normal(line: str) -> str:
@@ -143,40 +147,96 @@ def _lines(batch: pa.RecordBatch):
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per line; the text only at its first occurrence in a portion."""
+    seen: set[tuple[int, int]] = set()
+    carried = ["doc_id", *MARKS]
     for b in chunked(batches):
         found = list(_lines(b))
         row, no, form = zip(*found, strict=True) if found else ((), (), ())
-        key = line_keys(form)
+        key, take = line_keys(form), pa.array(row, pa.int64())
+        texts: list[str | None] = list(form)
+        for i, name in enumerate(map(tuple, key.tolist())):
+            if name in seen:
+                texts[i] = None
+            else:
+                seen.add(name)
+        if len(seen) >= PORTION:
+            seen.clear()
         yield pa.RecordBatch.from_arrays(
-            [rows_of(b, "doc_id").take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(form, pa.string())],
-            ["doc_id", "line_no", "key", "sum", "form"],
+            [*(rows_of(b, c).take(take) for c in carried), pa.array(no, pa.int32()), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(texts, pa.string())],
+            [*carried, "line_no", "key", "sum", "form"],
         )
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bands of lines that the task has not sent lately, in portions of some hundred thousand characters."""
-    seen: set[int] = set()
-    keys, forms, size = [], [], 0
+def _packed(values: np.ndarray, dest: np.ndarray) -> dict[int, bytes]:
+    order = np.argsort(dest, kind="stable")
+    values, dest = values[order], dest[order]
+    cuts = np.flatnonzero(np.diff(dest)) + 1
+    return {int(d[0]): v.tobytes() for v, d in zip(np.split(values, cuts), np.split(dest, cuts), strict=True) if len(d)}
 
-    def out() -> pa.RecordBatch:
-        row, band = band_keys(forms)
-        return pa.RecordBatch.from_arrays([pa.array(band.view(np.int64)), pa.array(np.array(keys, dtype=np.int64)[row])], ["band", "key"])
 
-    for b in batches:
-        for key, form in zip(rows_of(b, "key").to_pylist(), rows_of(b, "form").to_pylist(), strict=True):
-            if key in seen:
-                continue
-            if len(seen) >= SEEN:
-                seen.clear()
-            seen.add(key)
-            keys.append(key)
-            forms.append(form)
-            size += len(form)
-            if size > 300_000:
-                yield out()
-                keys, forms, size = [], [], 0
-    if keys:
-        yield out()
+def _entries(dests: int):
+    """The bands of a portion's lines, packed by destination: (band, key) of the smallest line of each band, and (band, key,
+    smallest) of all lines of the bands that several of the portion's lines share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, forms, size, held = [], [], 0, []
+
+        def band() -> None:
+            row, key = band_keys(forms)
+            held.append(np.stack([key, np.array(keys, dtype=np.int64).view(np.uint64)[row]], axis=1))
+
+        def out() -> pa.RecordBatch:
+            e = np.concatenate(held)
+            e = e[np.lexsort((e[:, 1].view(np.int64), e[:, 0]))]
+            e = e[np.concatenate([[True], (e[1:] != e[:-1]).any(axis=1)])]
+            first = np.concatenate([[True], e[1:, 0] != e[:-1, 0]])
+            least = e[first][np.cumsum(first) - 1, 1]
+            shared = ~first
+            shared[:-1] |= shared[1:]
+            alone = _packed(e[first], mix64(e[first, 0]) % np.uint64(dests))
+            members = np.concatenate([e[shared], least[shared, None]], axis=1)
+            more = _packed(members, mix64(members[:, 1]) % np.uint64(dests))
+            where = sorted({*alone, *more})
+            return pa.RecordBatch.from_arrays(
+                [pa.array(where, pa.int64()), pa.array([alone.get(d) for d in where], pa.binary()), pa.array([more.get(d) for d in where], pa.binary())],
+                ["dest", "entries", "members"],
+            )
+
+        for b in batches:
+            for key, form in zip(rows_of(b, "key").to_pylist(), rows_of(b, "form").to_pylist(), strict=True):
+                keys.append(key)
+                forms.append(form)
+                size += len(form)
+                if size > 300_000:
+                    band()
+                    keys, forms, size = [], [], 0
+                    if sum(map(len, held)) >= PORTION * BANDS:
+                        yield out()
+                        held.clear()
+        if keys:
+            band()
+        if held:
+            yield out()
+
+    return run
+
+
+def _buckets(table: pa.Table) -> pa.Table:
+    """Packed entries of one destination -> (band, key, low) of all lines that share a band with another one."""
+    join = lambda c, n: np.frombuffer(b"".join(x for x in table.column(c).to_pylist() if x), dtype=np.int64).reshape(-1, n)
+    e, members = join("entries", 2), join("members", 3)
+    e = e[np.lexsort((e[:, 1], e[:, 0]))]
+    keep = np.ones(len(e), dtype=bool)
+    keep[1:] = (e[1:] != e[:-1]).any(axis=1)
+    e = e[keep]
+    first = np.ones(len(e), dtype=bool)
+    first[1:] = e[1:, 0] != e[:-1, 0]
+    shared = ~first
+    shared[:-1] |= shared[1:]
+    low = e[first][np.cumsum(first) - 1, 1] if len(e) else e[:, 1]
+    rows = np.concatenate([np.concatenate([e[shared], low[shared, None]], axis=1), members])
+    return pa.table({c: rows[:, i] for i, c in enumerate(("band", "key", "low"))})
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -196,7 +256,10 @@ def _split(texts: list[str]) -> list[np.ndarray]:
 
 def _verify_pairs(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunked(batches, 1024):
+        for b in chunked(batches, 1024):  # pairs of one text are no pairs
+            b = b.filter(pc.not_equal(rows_of(b, "a"), rows_of(b, "b")))
+            if not b.num_rows:
+                continue
             left, right = (_split(rows_of(b, c).to_pylist()) for c in ("form_a", "form_b"))
             good = pa.array([jaccard_at_least(x, y, threshold) for x, y in zip(left, right, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([rows_of(b, "a").filter(good), rows_of(b, "b").filter(good)], ["a", "b"])
@@ -251,30 +314,47 @@ def _verify_blocks(threshold: float):
 
 
 def line_roots(lines: DataFrame, threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """(key, sum, form) rows, repeats included -> (key, sum, root) of the lines that are similar to another one."""
-    bucket = W.partitionBy("band")
-    rows = lines.select("key", "form").mapInArrow(_band_rows, "band long, key long")
-    met = rows.withColumn("low", F.min("key").over(bucket)).withColumn("high", F.max("key").over(bucket)).where("low <> high")
-    met = materialize(met.select("band", "key", "low").distinct())
-    need = materialize(met.select("key").distinct())
-    if need.count() <= BROADCAST_KEYS:
-        need = F.broadcast(need)
-    forms = materialize(lines.join(need, "key", "left_semi").dropDuplicates(["key"]))
-    pairs = met.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
-    pairs = pairs.join(forms.select(F.col("key").alias("b"), F.col("form").alias("form_b")), "b")
-    pairs = pairs.join(forms.select(F.col("key").alias("a"), F.col("form").alias("form_a")), "a")
+    """(key, sum, form) rows, repeats included -> (key, sum, root) of the lines that are similar to another one.
+
+    ``root`` is a number that the lines of one component share.
+    """
+    texts = lines.where("form is not null").select("key", "sum", "form")
+    dests = max(1, -(-texts.count() * BANDS // ENTRIES))
+    packed = texts.select("key", "form").mapInArrow(_entries(dests), "dest long, entries binary, members binary")
+    met = packed.groupBy("dest").applyInArrow(_buckets, "band long, key long, low long")
+    met = materialize(met.distinct())
+    forms = texts.join(met.select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "sum"])
+    forms = materialize(forms.withColumn("node", F.monotonically_increasing_id()))
+    side = lambda key, name: forms.select(F.col("key").alias(key), F.col("node").alias(name), F.col("form").alias(f"form_{name}"))
+    pairs = met.where("key <> low").select("low", "key").distinct().join(side("key", "b"), "key").join(side("low", "a"), "low")
     near = pairs.select("a", "b", "form_a", "form_b").mapInArrow(_verify_pairs(threshold), "a long, b long")
-    roots = materialize(connected_components(near).withColumnRenamed("node", "key"))
-    named = met.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    roots = materialize(connected_components(near))
+    named = met.join(forms.select("key", "node"), "key").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    named = materialize(named.distinct())
     mixed = named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("n > 2 and x <> y")
     rest = materialize(named.join(mixed.select("band"), "band"))
-    members = rest.groupBy("key").agg(F.collect_list("band").alias("bands")).join(forms, "key")
-    found = block_pairs(rest.join(members, "key"), ["band"], "key", ["root", "form", "bands"], block).select("band", "bi", "bj", "items")
+    members = rest.groupBy("node").agg(F.collect_list("band").alias("bands")).join(forms.select("node", "form"), "node")
+    found = block_pairs(rest.join(members, "node"), ["band"], "node", ["root", "form", "bands"], block).select("band", "bi", "bj", "items")
     joined = connected_components(found.mapInArrow(_verify_blocks(threshold), "a long, b long"))
     joined = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    alone = joined.join(roots.select("key"), joined["root"] == roots["key"], "left_anti").select(F.col("root").alias("key"), "top")  # lines without an earlier link
-    every = roots.join(joined, "root", "left").select("key", F.coalesce("top", "root").alias("root")).union(alone)
-    return every.join(forms.select("key", "sum"), "key")
+    alone = joined.join(roots.select("node"), joined["root"] == roots["node"], "left_anti").select(F.col("root").alias("node"), "top")  # lines without an earlier link
+    every = roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(alone)
+    return every.join(forms.select("key", "sum", "node"), "node").select("key", "sum", "root")
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """One row per non-blank line: doc_id, the marks of its text, line_no, and its class."""
+    docs = text_marks(require(docs, "doc_id", "text"))
+    marks = ", ".join(f"{c} long" for c in MARKS)
+    seen = materialize(docs.mapInArrow(_occurrences, f"doc_id long, {marks}, line_no int, key long, sum long, form string"))
+    roots = line_roots(seen.select("key", "sum", "form"), threshold)
+    seen = seen.drop("form")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
+    firsts = seen.groupBy("key", "sum").agg(F.min(place).alias("first")).join(roots, ["key", "sum"], "left")
+    linked = firsts.where("root is not null")
+    least = linked.groupBy("root").agg(F.min("first").alias("p"))
+    named = linked.join(least, "root").select("key", "sum", "p").union(firsts.where("root is null").select("key", "sum", "first"))
+    return seen.join(named, ["key", "sum"]).select("doc_id", *MARKS, "line_no", F.col("p.doc_id").alias("class_doc_id"), F.col("p.line_no").alias("class_line_no"))
 
 
 def line_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -285,23 +365,23 @@ def line_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     row. Rows that repeat a doc_id are ties: each line keeps a row, and lines that tie for the first place are all kept.
     A null doc_id counts as larger than any other. An empty table gives an empty result; further columns are ignored.
     """
-    docs = require(docs, "doc_id", "text")
-    seen = materialize(docs.mapInArrow(_occurrences, "doc_id long, line_no int, key long, sum long, form string"))
-    roots = line_roots(seen.select("key", "sum", "form"), threshold)
-    seen = seen.drop("form")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
-    firsts = seen.groupBy("key", "sum").agg(F.min(place).alias("first")).join(roots, ["key", "sum"], "left")
-    firsts = firsts.withColumn("lone", F.when(F.col("root").isNull(), F.col("sum"))).withColumn("root", F.coalesce("root", "key"))
-    least = firsts.groupBy("root", "lone").agg(F.min("first").alias("p")).withColumnsRenamed({"root": "r", "lone": "l"})
-    named = firsts.join(least, (F.col("root") == F.col("r")) & F.col("lone").eqNullSafe(F.col("l"))).select("key", "sum", "p")
-    out = seen.join(named, ["key", "sum"]).select("doc_id", "line_no", F.col("p.doc_id").alias("class_doc_id"), F.col("p.line_no").alias("class_line_no"))
+    out = _classes(docs, threshold).drop(*MARKS)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no")))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents with only the kept and the blank lines; columns, and texts that lose no line, stay as they are."""
+    """The documents with only the kept and the blank lines; columns, and texts that lose no line, stay as they are.
+
+    Lines go from the row (doc_id and text) that they stand in, so rows that share a doc_id keep their own lines, and
+    rows that are equal in both lose the same ones; rows with a null doc_id take part like others.
+    """
     gone = free_name(docs, "lost_lines")
-    lost = line_classes(docs, threshold).where("not kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias(gone))
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i))
-    left = docs.join(lost, "doc_id", "left").withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
-    return left.select(docs.columns)
+    kept = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no"))
+    lost = _classes(docs, threshold).where(~kept).groupBy("doc_id", *MARKS).agg(F.collect_set("line_no").alias(gone))
+    names = {c: free_name(docs, c) for c in MARKS}
+    text = F.col("text").cast("string")
+    left = docs.withColumns({names[MARKS[0]]: F.xxhash64(text), names[MARKS[1]]: F.xxhash64(F.lit("mark"), text)})
+    same = left["doc_id"].cast("long").eqNullSafe(lost["doc_id"]) & (left[names[MARKS[0]]] == lost[MARKS[0]]) & (left[names[MARKS[1]]] == lost[MARKS[1]])
+    lines = F.filter(F.split(left["text"], "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i))
+    out = left.join(lost, same, "left").withColumn("_text", F.when(F.col(gone).isNull(), left["text"]).otherwise(F.array_join(lines, "\n")))
+    return out.select(*[F.col("_text").alias(c) if c == "text" else left[c] for c in docs.columns])
