@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobgrain.llm.common import Forest, block_pairs, chunked, connected_components, materialize, require, rows_of
+from jobgrain.llm.common import MARKS, Forest, block_pairs, chunked, connected_components, materialize, require, rows_of, text_marks, without_rows
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
 GOLAY_GENERATOR = 0b101011100011
@@ -87,7 +87,8 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunked(batches):
         f = np.array([fingerprint(t) for t in rows_of(b, "text").to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([rows_of(b, "doc_id"), pa.array(f)], ["doc_id", "fp"])
+        carried = ["doc_id", *MARKS]
+        yield pa.RecordBatch.from_arrays([*(rows_of(b, c) for c in carried), pa.array(f)], [*carried, "fp"])
 
 
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,14 +147,10 @@ def simhash_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return block_pairs(keys, ["key"], "fp", [], block).select("bi", "bj", "items").mapInArrow(_verify, "a long, b long")
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
-    """documents -> one row per row: doc_id, fp (long), component_id (smallest doc_id reachable by links).
-
-    Null and empty texts have fingerprint zero and link like any other. Equal fingerprints are one node, so a
-    group of copies costs one key set. Rows with a null doc_id stay, and count as larger than any other id.
-    Repeated rows stay repeated; an empty table gives an empty result; further columns are ignored.
-    """
-    prints = materialize(require(docs, "doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"))
+def _components(docs: DataFrame) -> DataFrame:
+    """One row per row: doc_id, the marks of its text, fp, component_id."""
+    marks = ", ".join(f"{c} long" for c in MARKS)
+    prints = materialize(text_marks(require(docs, "doc_id", "text")).mapInArrow(_fingerprints, f"doc_id long, {marks}, fp long"))
     first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(simhash_links(first.select("fp")))
     named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -161,10 +158,23 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     )
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp")
+
+
+def simhash_components(docs: DataFrame) -> DataFrame:
+    """documents -> one row per row: doc_id, fp (long), component_id (smallest doc_id reachable by links).
+
+    Null and empty texts have fingerprint zero and link like any other. Equal fingerprints are one node, so a
+    group of copies costs one key set. Rows with a null doc_id stay, and count as larger than any other id.
+    Repeated rows stay repeated; an empty table gives an empty result; further columns are ignored.
+    """
+    return _components(docs).select("doc_id", "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest doc_id (rows with a null id stay too)."""
-    kept = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id is null"))
+    """The documents that stay: of each component the rows with the smallest doc_id.
+
+    Rows go by doc_id and text, so of rows that share a doc_id each is judged by its own component; rows with a null id
+    stay.
+    """
+    return without_rows(docs, _components(docs).where("doc_id is not null and doc_id <> component_id"))
