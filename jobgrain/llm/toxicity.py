@@ -3,7 +3,10 @@
 Features: densities of three lexicons (a fixed list of insults; words and word beginnings learned from labelled texts),
 their nearness to second-person pronouns, capitals, punctuation, lengthened and disguised words. Trees and calibration are
 fitted by Spark's ML library on a bounded sample of labelled rows (``SAMPLE_ROWS``, those with the smallest hashes of
-their ids): three quarters for the trees, one for the calibration. Scoring reads every document once and shuffles nothing.
+their ids): three quarters for the trees, one for the calibration. The learned lexicons are fitted out of fold: the features
+of a sampled text come from lexicons that its own fold (and copies of it) had no part in, so neither trees nor calibration see
+features that know their label; other documents get the lexicons of the whole sample. The score is the isotonic value
+itself. Scoring reads every document once and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -23,16 +26,17 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobgrain.llm.common import chunked, materialize, require, rows_of
+from jobgrain.llm.common import MARKS, chunked, materialize, require, rows_of, text_marks, without_rows
 
 #: Labelled rows that are used to fit, at most.
 SAMPLE_ROWS = 40_000
-#: Entries of each learned lexicon, at most.
-LEXICON_ROWS = 5_000
+#: Folds of the sample.
+FOLDS = 4
 #: An entry is learned if its log-likelihood ratio is at least this and so large a share of its texts is toxic.
 LEAST_G2, LEAST_SHARE = 18.0, 0.8
 PREFIXES = (4, 5, 6, 7)
-CACHE_WORDS = 500_000
+#: Words that a task remembers (about 10 MB).
+CACHE_WORDS = 60_000
 
 #: Common insults.
 INSULTS = frozenset(
@@ -111,58 +115,78 @@ def features(text: str | None, marks: WordMarks) -> list[float]:
     ]
 
 
-def _featurise(words: frozenset[str], beginnings: frozenset[str], carried: tuple[str, ...]):
+Lexicons = tuple[frozenset[str], frozenset[str]]
+
+
+def _featurise(lexicons: tuple[Lexicons, ...], carried: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = WordMarks(words, beginnings)
+        marks = [WordMarks(*x) for x in lexicons]
         for b in chunked(batches):
-            rows = np.array([features(t, marks) for t in rows_of(b, "text").to_pylist()]).reshape(-1, len(FEATURES))
+            which = rows_of(b, "lexicon").to_pylist()
+            rows = np.array([features(t, marks[k]) for t, k in zip(rows_of(b, "text").to_pylist(), which, strict=True)]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(rows_of(b, c) for c in carried), *(pa.array(x) for x in rows.T)], [*carried, *FEATURES])
 
     return run
 
 
-def featurise(df: DataFrame, lexicons: tuple[frozenset[str], frozenset[str]], carried: dict[str, str]) -> DataFrame:
+def featurise(df: DataFrame, lexicons: tuple[Lexicons, ...], carried: dict[str, str], which: Column | None = None) -> DataFrame:
+    """``which`` is the number of the row's lexicons."""
     schema = ", ".join([f"{c} {t}" for c, t in carried.items()] + [f"{f} double" for f in FEATURES])
-    return df.select(*carried, "text").mapInArrow(_featurise(*lexicons, tuple(carried)), schema)
+    rows = df.select(*carried, "text", (F.lit(0) if which is None else which).cast("int").alias("lexicon"))
+    return rows.mapInArrow(_featurise(lexicons, tuple(carried)), schema)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each label that hold a word or a beginning, counted within the task."""
-    count: Counter[tuple[str, str, int]] = Counter()
+    """Texts of each label and fold that hold a word or a beginning, counted within the task."""
+    count: Counter[tuple[str, str, int, int]] = Counter()
 
     def out() -> pa.RecordBatch:
-        kind, entry, label = zip(*count, strict=True) if count else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(entry, pa.string()), pa.array(label, pa.int32()), pa.array(list(count.values()), pa.int64())], ["kind", "entry", "label", "n"])
+        kind, entry, label, part = zip(*count, strict=True) if count else ((), (), (), ())
+        arrays = [pa.array(kind, pa.string()), pa.array(entry, pa.string()), pa.array(label, pa.int32()), pa.array(part, pa.int32()), pa.array(list(count.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, ["kind", "entry", "label", "fold", "n"])
 
     for b in chunked(batches):
-        for text, label in zip(rows_of(b, "text").to_pylist(), rows_of(b, "label").to_pylist(), strict=True):
-            held = {core(w) for w in set((text or "").split())} - {""}
-            count.update(("word", w, label) for w in held)
-            count.update(("beginning", p, label) for p in {w[:k] for w in held for k in PREFIXES if len(w) >= k})
-        if len(count) > 300_000:
+        for text, label, part in zip(*(rows_of(b, c).to_pylist() for c in ("text", "label", "fold")), strict=True):
+            held = {core(w) for w in set(text.split())} - {""}
+            count.update(("word", w, label, part) for w in held)
+            count.update(("beginning", p, label, part) for p in {w[:k] for w in held for k in PREFIXES if len(w) >= k})
+        if len(count) > 100_000:
             yield out()
             count.clear()
     yield out()
 
 
-def learn_lexicons(sample: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """(words, beginnings) that mark toxic texts of (text, label); equal texts count once."""
+def text_fold(text: Column) -> Column:
+    """By the text, so that copies share a fold."""
+    return F.pmod(F.xxhash64(F.lit("fold"), F.coalesce(text, F.lit(""))), F.lit(FOLDS)).cast("int")
+
+
+def learn_lexicons(sample: DataFrame) -> tuple[Lexicons, ...]:
+    """(words, beginnings) that mark toxic texts of (text, label): of all folds, then without fold 0, 1, ...
+
+    Equal texts count once. An entry needs its evidence (``LEAST_G2``) from the sample, whose size is bounded, so the lexicons
+    are bounded too and nothing is cut off.
+    """
     texts = sample.where("text is not null").groupBy("text").agg(F.max("label").alias("label"))
-    texts = materialize(texts)
-    total = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    bad, good = total.get(1, 0), total.get(0, 0)
-    if not bad or not good:
-        return frozenset(), frozenset()
-    table = texts.mapInArrow(_entries, "kind string, entry string, label int, n long").groupBy("kind", "entry").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"),
-        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).cast("double").alias("b"),
-    )
+    texts = materialize(texts.withColumn("fold", text_fold(F.col("text"))))
+    n = {(r["label"], r["fold"]): r["n"] for r in texts.groupBy("label", "fold").agg(F.count("*").alias("n")).collect()}
+    table = texts.mapInArrow(_entries, "kind string, entry string, label int, fold int, n long")
+    count = lambda label, k: F.sum(F.when((F.col("label") == label) & (F.lit(True) if k is None else F.col("fold") != k), F.col("n")).otherwise(0)).cast("double")
+    views = [None, *range(FOLDS)]
+    counts = table.groupBy("kind", "entry").agg(*[count(y, k).alias(f"{c}{i}") for i, k in enumerate(views) for c, y in (("a", 1), ("b", 0))])
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    both, share = F.col("a") + F.col("b"), bad / (bad + good)
-    g2 = 2 * (part(F.col("a"), both * share) + part(F.col("b"), both * (1 - share)))
-    strong = materialize(table.withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (F.col("a") >= LEAST_SHARE * both)))
-    of = lambda kind: frozenset(r[0] for r in strong.where(F.col("kind") == kind).orderBy(F.desc("g2"), "entry").limit(LEXICON_ROWS).select("entry").collect())
-    return of("word"), of("beginning")
+
+    def strong(i: int, k: int | None) -> Column:
+        bad, good = (sum(v for (y, f), v in n.items() if y == label and f != k) for label in (1, 0))
+        if not bad or not good:
+            return F.lit(False)
+        a, b, share = F.col(f"a{i}"), F.col(f"b{i}"), bad / (bad + good)
+        g2 = 2 * (part(a, (a + b) * share) + part(b, (a + b) * (1 - share)))
+        return F.coalesce((g2 >= LEAST_G2) & (a >= LEAST_SHARE * (a + b)), F.lit(False))
+
+    found = counts.select("kind", "entry", *[strong(i, k).alias(f"s{i}") for i, k in enumerate(views)])
+    found = found.where(" or ".join(f"s{i}" for i in range(len(views)))).collect()
+    return tuple(tuple(frozenset(r["entry"] for r in found if r["kind"] == kind and r[f"s{i}"]) for kind in ("word", "beginning")) for i in range(len(views)))
 
 
 def fold(doc_id: Column) -> Column:
@@ -174,21 +198,21 @@ def fold(doc_id: Column) -> Column:
 class ToxicityModel:
     """Lexicons, trees and calibration; ``prior`` alone if the sample holds one class only."""
 
-    lexicons: tuple[frozenset[str], frozenset[str]]
+    lexicons: Lexicons
     trees: GBTClassificationModel | None
     calibration: IsotonicRegressionModel | None
     prior: float
 
     def score(self, docs: DataFrame, carried: dict[str, str]) -> DataFrame:
-        """``carried`` columns and score: the calibrated probability, with a hundredth of the trees' own to part ties."""
+        """``carried`` columns and score: the isotonic value of the trees' probability."""
         if self.trees is None:
             return docs.select(*carried).withColumn("score", F.lit(self.prior))
-        rows = self.trees.transform(_assembled(featurise(docs, self.lexicons, carried)))
+        rows = self.trees.transform(_assembled(featurise(docs, (self.lexicons,), carried)))
         rows = rows.withColumn("raw", vector_to_array("probability")[1])
         if self.calibration is None:
             return rows.select(*carried, F.col("raw").alias("score"))
         rows = self.calibration.transform(rows.drop("features", "prediction").withColumn("features", F.col("raw")))
-        return rows.select(*carried, F.least(F.greatest(0.99 * F.col("prediction") + 0.01 * F.col("raw"), F.lit(0.0)), F.lit(1.0)).alias("score"))
+        return rows.select(*carried, F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
 def _assembled(df: DataFrame) -> DataFrame:
@@ -201,20 +225,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxicity
     chosen = labels.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it may be broadcast
     sample = materialize(require(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    lexicons = learn_lexicons(sample)
-    part = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0
-    table = materialize(featurise(sample.withColumn("part", part), lexicons, {"label": "int", "part": "boolean"}).coalesce(6))
+    every, *of_fold = learn_lexicons(sample)
+    part = F.pmod(F.xxhash64(F.lit("calibration"), F.coalesce("text", F.lit(""))), F.lit(4)) == 0
+    table = materialize(featurise(sample.withColumn("part", part), tuple(of_fold), {"label": "int", "part": "boolean"}, text_fold(F.col("text"))).coalesce(6))
     seen = {(r["part"], r["label"]): r["n"] for r in table.groupBy("part", "label").agg(F.count("*").alias("n")).collect()}
     bad, total = sum(n for (_, y), n in seen.items() if y == 1), sum(seen.values())
     if not all(seen.get((False, y)) for y in (0, 1)):
-        return ToxicityModel(lexicons, None, None, bad / total if total else 0.0)
+        return ToxicityModel(every, None, None, bad / total if total else 0.0)
     data = _assembled(table).withColumn("label", F.col("label").cast("double"))
     trees = GBTClassifier(maxIter=24, maxDepth=3, stepSize=0.2, maxBins=64, minInstancesPerNode=5, seed=7).fit(data.where("not part").select("features", "label").coalesce(6))
     calibration = None
     if all(seen.get((True, y)) for y in (0, 1)):
         held = trees.transform(data.where("part")).select(vector_to_array("probability")[1].alias("features"), "label")
         calibration = IsotonicRegression().fit(held.coalesce(1))
-    return ToxicityModel(lexicons, trees, calibration, bad / total)
+    return ToxicityModel(every, trees, calibration, bad / total)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -232,6 +256,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score is below one half; all columns."""
-    scored = fit(docs, labels).score(require(docs, "doc_id", "text").where("doc_id is not null"), {"doc_id": "long"})
-    return docs.join(scored.where("score >= 0.5").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The documents whose score is below one half; all columns. Rows that share a doc_id, or have none, are judged each by its text."""
+    rows = text_marks(require(docs, "doc_id", "text"))
+    scored = fit(docs, labels).score(rows, {"doc_id": "long"} | dict.fromkeys(MARKS, "long"))
+    return without_rows(docs, scored.where("score >= 0.5"))
