@@ -1,17 +1,22 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-A short item inside a long document has a tiny Jaccard similarity with it, so banded signatures of whole documents
-would need about as many rows as the document has shingles. The search keeps MinHash on the item's side instead: an item
-with q distinct shingles is partitioned by q, and its sketch is its k smallest shingle hashes, with k = q - ceil(t * q) + 1
-for the containment t. A document that holds t * q of the shingles lacks k - 1 at most, so it
-holds one of the sketch: the search misses nothing at any document length. Documents are read once; a fixed-size bit
-table of benchmark shingle hashes drops all but a few of their shingles before anything is shuffled.
+A short item inside a long document has a tiny Jaccard similarity with all of it, but not with the passage where it stands.
+So the items are partitioned by size, and for each partition a document is cut into windows somewhat longer than the
+partition's items, which overlap so far that any passage of an item's length lies inside one. An item that a window contains to
+``threshold`` then has a Jaccard similarity with it above a bound that the partition's sizes give; MinHash
+signatures of items and windows are banded to that bound, and item and window meet in a Spark join on (partition, band, key).
+Candidates are verified by the exact containment of the item's shingles in the whole document.
+
+Only windows that can qualify are signed: one that holds fewer benchmark shingles than the threshold asks of the smallest
+item of its partition is passed over. Benchmark shingles are told by a bit table, built by Spark from the
+benchmark and sized by it; what it lets through by mistake costs time and never a match.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,85 +24,197 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobgrain.llm.common import chunked, materialize, require, rows_of
+from jobgrain.llm.common import MARKS, chunked, materialize, mix64, require, rows_of, text_marks, without_rows
 
 SHINGLE = 5
-#: Bits of the filter (2^22: half a megabyte, whatever the size of the benchmark).
-FILTER_BITS = 22
-
-
-def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """Distinct signed 64-bit hashes of the lower-case word shingles; a shorter text is one shingle, an empty one none."""
+#: Sizes of neighbouring partitions stand in this ratio.
+RATIO = 1.25
+#: A window is so much longer than the partition's largest item, and the next one starts so much later.
+LONGER, STEP = 1.5, 0.25
+#: Hash functions of a signature, and the chance of missing an item at the threshold that sets the rows of a band.
+MINIMA, MISS = 48, 1e-3
+#: Bits of the table of benchmark shingles: 16 for each shingle, within these powers of two (32 MB at most).
+LEAST_BITS, MOST_BITS = 20, 28
+SEEDS = mix64(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """One hash per lower-case word."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    line, at = b" ".join(words), np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).tolist()
-    n = max(1, len(words) - width + 1)
-    digest = xxhash.xxh3_64_intdigest
-    hashes = [digest(line[at[i] : at[min(i + width, len(words))] - 1]) for i in range(n)]
-    return np.unique(np.array(hashes, dtype=np.uint64).view(np.int64))
-
-
-def sketch_size(q: int, threshold: float) -> int:
-    return q - math.ceil(threshold * q - 1e-9) + 1
-
-
-def _item_shingles(threshold: float, width: int):
+    return np.array(list(map(xxhash.xxh3_64_intdigest, words)), dtype=np.uint64)
+
+
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` words, in the order of the text, repeats included; none for a shorter text."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        h = np.full(n, width, dtype=np.uint64)
+        for k in range(width):
+            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n])
+    return h
+
+
+def partition_of(shingles: int) -> int:
+    """Number of the size partition of an item with so many shingles, repeats included."""
+    return math.ceil(math.log(shingles) / math.log(RATIO) - 1e-9)
+
+
+@dataclass(frozen=True)
+class Partition:
+    """Windows of one size partition. ``width`` is below ``SHINGLE`` for items of so few words, which are one shingle."""
+
+    width: int
+    number: int
+    fewest: int  # distinct shingles of the partition's smallest item
+
+    @property
+    def largest(self) -> int:
+        return math.floor(RATIO**self.number + 1e-9)
+
+    @property
+    def window(self) -> int:
+        return max(math.ceil(LONGER * self.largest), self.largest + self.step)
+
+    @property
+    def step(self) -> int:
+        return max(1, math.floor(STEP * self.largest))
+
+    def band_rows(self, threshold: float) -> int:
+        """The most rows of a band that still miss an item at the threshold by ``MISS`` at most; one at least."""
+        shared = threshold * self.fewest
+        similar = shared / (self.window + self.fewest - shared)
+        fits = [r for r in range(1, 9) if (1 - similar**r) ** (MINIMA // r) <= MISS]
+        return max(fits, default=1)
+
+
+def signature_keys(h: np.ndarray, rows: int) -> np.ndarray:
+    """Band keys of a set of shingle hashes; the band's number is part of the key."""
+    minima = np.array([mix64(h ^ s).min() for s in SEEDS])[: MINIMA // rows * rows].reshape(-1, rows)
+    with np.errstate(over="ignore"):
+        key = np.arange(1, len(minima) + 1, dtype=np.uint64)
+        for r in range(rows):
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + minima[:, r])
+    return key.view(np.int64)
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in chunked(batches):
+        width, number, shingles = [], [], []
+        for text in rows_of(b, "text").to_pylist():
+            words = word_hashes(text)
+            w = min(SHINGLE, len(words))
+            h = shingle_hashes(words, w) if w else words
+            width.append(w)
+            number.append(partition_of(len(h)) if w else 0)
+            shingles.append(np.unique(h).view(np.int64))
+        arrays = [rows_of(b, "item_id"), pa.array(width, pa.int32()), pa.array(number, pa.int32()), pa.array(shingles, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["item_id", "width", "number", "shingles"])
+
+
+def _item_keys(rows: dict[tuple[int, int], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunked(batches):
-            every = [shingle_hashes(t, width) for t in rows_of(b, "text").to_pylist()]
-            order = [h[np.argsort(h.view(np.uint64))] for h in every]
-            sketch = [h[: sketch_size(len(h), threshold)] for h in order]
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([rows_of(b, "item_id"), pa.array(order, kind), pa.array(sketch, kind)], ["item_id", "shingles", "sketch"])
+            shingles = rows_of(b, "shingles")
+            keys = [signature_keys(s.values.to_numpy().view(np.uint64), rows[p]) for s, p in zip(shingles, zip(rows_of(b, "width").to_pylist(), rows_of(b, "number").to_pylist(), strict=True), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*(rows_of(b, c) for c in ("item_id", "width", "number")), pa.array(keys, pa.list_(pa.int64()))], ["item_id", "width", "number", "keys"]
+            )
 
     return run
 
 
-def _document_hits(bits: np.ndarray, width: int):
+def _document_windows(table: bytes, bits: int, partitions: list[Partition], threshold: float):
+    """Per document: its benchmark shingles, and the (partition, key) of the bands of every window that can qualify."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(bits).astype(bool)
+        packed = np.frombuffer(table, dtype=np.uint8)
+        plans = {w: [(p.number, p.window, p.step, p.band_rows(threshold), math.ceil(threshold * p.fewest - 1e-9)) for p in partitions if p.width == w] for w in sorted({p.width for p in partitions})}
+
+        def known(h: np.ndarray) -> np.ndarray:
+            slot = h >> np.uint64(64 - bits)
+            return packed[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
+
         for b in chunked(batches):
-            ids, hits = [], []
-            for doc, text in zip(rows_of(b, "doc_id").to_pylist(), rows_of(b, "text").to_pylist(), strict=True):
-                h = shingle_hashes(text, width)
-                h = h[table[h.view(np.uint64) >> np.uint64(64 - FILTER_BITS)]]
-                if len(h):
-                    ids.append(doc)
-                    hits.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hits, pa.list_(pa.int64()))], ["doc_id", "hits"])
+            out = {k: [] for k in ("at", "hits", "width", "number", "keys")}
+            for at, text in enumerate(rows_of(b, "text").to_pylist()):
+                words, hits, found = word_hashes(text), [], []
+                for w, plan in plans.items():
+                    h = shingle_hashes(words, w)
+                    place = np.flatnonzero(known(h)) if len(h) else np.zeros(0, dtype=np.int64)
+                    if not len(place):
+                        continue
+                    hits.append(h[place])
+                    for number, window, step, rows, need in plan:
+                        back = -(-window // step)
+                        starts = np.unique(place // step - np.arange(back)[:, None])
+                        starts = starts[starts >= 0] * step
+                        held = np.searchsorted(place, starts + window) - np.searchsorted(place, starts)
+                        found += [(w, number, signature_keys(h[s : s + window], rows)) for s in starts[held >= need].tolist()]
+                if found:
+                    out["at"].append(at)
+                    out["hits"].append(np.unique(np.concatenate(hits)).view(np.int64))
+                    out["width"].append([f[0] for f in found for _ in f[2]])
+                    out["number"].append([f[1] for f in found for _ in f[2]])
+                    out["keys"].append(np.concatenate([f[2] for f in found]))
+            take, ints, longs = pa.array(out["at"], pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(rows_of(b, c).take(take) for c in ("doc_id", *MARKS)), pa.array(out["hits"], longs), pa.array(out["width"], ints), pa.array(out["number"], ints), pa.array(out["keys"], longs)],
+                ["doc_id", *MARKS, "hits", "width", "number", "keys"],
+            )
 
     return run
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, width: int = SHINGLE) -> DataFrame:
-    """documents, benchmark (item_id, text) -> doc_id, item_id, n_item, n_shared, containment of at least ``threshold``.
-
-    Shingles are distinct; a text of fewer words than the width is one shingle, so such an item is found only in a document
-    that is as short and equal to it. Null and empty texts hold nothing. Repeated doc_ids give one row for their
-    best copy; rows with a null id are left out; empty tables give an empty result; further columns are ignored.
-    """
-    items = require(benchmark, "item_id", "text").where("item_id is not null").mapInArrow(
-        _item_shingles(threshold, width), "item_id long, shingles array<long>, sketch array<long>"
-    )
-    items = materialize(items.where(F.size("shingles") > 0).distinct())
-    slot = F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("int")
-    slots = items.select(F.explode("shingles").alias("h")).select(slot.alias("s")).distinct()  # 2^FILTER_BITS rows at most
-    taken = np.zeros(1 << FILTER_BITS, dtype=bool)
-    for batch in slots.toArrow().to_batches():
-        taken[batch.column(0).to_numpy()] = True
-    hits = require(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(
-        _document_hits(np.packbits(taken), width), "doc_id long, hits array<long>"
+def _bit_table(items: DataFrame) -> tuple[bytes, int]:
+    """Bits of the leading bits of all benchmark shingles, put together by Spark in blocks of 4 KB."""
+    shingles = items.select(F.explode("shingles").alias("h"))
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * shingles.count()).bit_length()))
+    slot = (F.shiftrightunsigned("h", 64 - bits) + 1).cast("long")
+    blocks = shingles.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    table = bytearray(1 << (bits - 3))
+    for r in blocks.collect():  # 2^MOST_BITS bits at most
+        table[(r["block"] - 1) * 4096 : r["block"] * 4096] = bytes(r["bits"])
+    return bytes(table), bits
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, marks, item_id, n_item, n_shared, containment of each row of ``docs`` and each item that it holds."""
+    items = require(benchmark, "item_id", "text").where("item_id is not null").mapInArrow(_items, "item_id long, width int, number int, shingles array<long>")
+    items = materialize(items.where("width > 0").distinct())
+    parts = items.groupBy("width", "number").agg(F.min(F.size("shingles")).alias("fewest")).collect()  # partitions: the logarithm of the largest item
+    partitions = [Partition(r["width"], r["number"], r["fewest"]) for r in parts]
+    rows = {(p.width, p.number): p.band_rows(threshold) for p in partitions}
+    table, bits = _bit_table(items)
+    marked = text_marks(require(docs, "doc_id", "text"))
+    marks = ", ".join(f"{c} long" for c in MARKS)
+    hits = marked.mapInArrow(
+        _document_windows(table, bits, partitions, threshold), f"doc_id long, {marks}, hits array<long>, width array<int>, number array<int>, keys array<long>"
     )
     hits = materialize(hits.withColumn("row", F.monotonically_increasing_id()))
-    probe = hits.select("row", "doc_id", F.explode("hits").alias("h"))
-    found = probe.join(items.select("item_id", F.explode("sketch").alias("h")), "h").select("row", "item_id").distinct()
+    bands = ["width", "number", "key"]
+    windows = hits.select("row", F.explode(F.arrays_zip("width", "number", F.col("keys").alias("key"))).alias("x")).select("row", "x.width", "x.number", F.col("x.key").alias("key"))
+    signed = items.mapInArrow(_item_keys(rows), "item_id long, width int, number int, keys array<long>").select("item_id", "width", "number", F.explode("keys").alias("key"))
+    met = windows.join(signed, bands).select("row", "item_id").distinct()
     shared = F.size(F.array_intersect("hits", "shingles"))
-    exact = found.join(hits, "row").join(items, "item_id").select("doc_id", "item_id", F.size("shingles").alias("n_item"), shared.alias("n_shared"))
-    exact = exact.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= threshold - 1e-12)
-    return exact.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"), F.max("containment").alias("containment"))
+    exact = met.join(hits.drop("width", "number", "keys"), "row").join(items.select("item_id", "shingles"), "item_id")
+    exact = exact.select("doc_id", *MARKS, "item_id", F.size("shingles").alias("n_item"), shared.alias("n_shared"))
+    return exact.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= threshold - 1e-12)
+
+
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """documents, benchmark (item_id, text) -> doc_id, item_id, n_item, n_shared, containment of at least ``threshold``.
+
+    Shingles are distinct runs of five words; an item of fewer words is a single shorter shingle and is found wherever its words
+    stand in a row. Null and empty texts hold nothing and are held by nothing. Repeated doc_ids give one row for their best
+    copy, and an item_id with several texts one row for its best text; rows with a null id are left out; empty tables give
+    an empty result; further columns are ignored.
+    """
+    found = _found(docs, benchmark, threshold).where("doc_id is not null")
+    return found.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"), F.max("containment").alias("containment"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents that hold no benchmark item (rows with a null doc_id stay)."""
-    return docs.join(contaminated_pairs(docs, benchmark, threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows that hold no benchmark item; rows that share a doc_id, or have none, are judged each by its text."""
+    return without_rows(docs, _found(docs, benchmark, threshold))

@@ -138,6 +138,16 @@ def test_line_dedup_matches_brute_force(docs, local):
     got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in line_dedup.line_classes(docs).collect()}
     assert got.keys() == want.keys()
     assert sum(got[k] != want[k] for k in want) <= 0.002 * len(want)
+    fuzzy = {j for i, j in links} | {i for i, j in links}  # lines that some other line resembles
+    right = [got[p] == want[p] for i in fuzzy for p in forms[names[i]]]
+    assert len(right) > 30 and sum(right) >= 0.99 * len(right)
+
+
+def test_dedup_lines_matches_brute_force(docs, local):
+    kept = {(r.doc_id, r.line_no) for r in line_dedup.line_classes(docs).where("kept").collect()}
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) in kept or not x.split()) for d, t in local.itertuples(index=False) if t is not None}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect() if r.text is not None}
+    assert got == want
 
 
 def test_line_dedup_links_all_of_a_large_family(spark):
@@ -301,6 +311,30 @@ def test_decontamination_odd_cases(spark, odd, empty):
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated_pairs(odd, bench).collect()} == {(5, 3)}
     assert decontamination.contaminated_pairs(empty, bench).count() == 0
     assert decontamination.decontaminate(odd, bench.where("false")).count() == odd.count()
+    assert decontamination.decontaminate(odd, bench).where("doc_id is null").count() == 1  # the row that holds items goes, the empty one stays
+
+
+def test_short_items_are_found_inside_long_documents(spark):
+    rng = np.random.default_rng(4)
+    filler = lambda n: " ".join(f"w{rng.integers(5000)}" for _ in range(n))
+    items = {1: "the quick fox", 2: " ".join(f"item{i}" for i in range(9)), 3: " ".join(f"long{i}" for i in range(300)), 4: "one two"}
+    docs = {10 * k + j: f"{filler(n)} {items[k]} {filler(n)}" for k in items for j, n in enumerate((0, 7, 4000))} | {99: filler(3000)}
+    edited = items[3].split()
+    edited[40] = edited[200] = "changed"
+    docs[100] = filler(500) + " " + " ".join(edited) + " " + filler(500)
+    found = decontamination.contaminated_pairs(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(10 * k + j, k) for k in items for j in range(3)} | {(100, 3)}
+
+
+def test_rows_that_share_a_doc_id_are_judged_by_their_texts(spark):
+    rows = [(5, "first own line here\nalpha beta gamma delta"), (5, "second own text there\na unique line that nobody else has"), (6, "alpha beta gamma delta"), (None, "alpha beta gamma delta"), (None, "nothing of the kind")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = sorted((r.text for r in line_dedup.dedup_lines(docs).collect()), key=str)
+    assert lines == sorted([rows[0][1], rows[1][1], "", "", "nothing of the kind"])
+    bench = spark.createDataFrame([(1, "a unique line that nobody else has")], "item_id long, text string")
+    assert [r.text for r in decontamination.decontaminate(docs, bench).where("doc_id = 5").collect()] == [rows[0][1]]
+    copies = spark.createDataFrame([(4, rows[0][1]), (5, rows[0][1]), (5, "another text of the same id")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash_dedup.simhash_dedup(copies).collect()) == [(4, rows[0][1]), (5, "another text of the same id")]
 
 
 def test_brown_scores(docs, local):
