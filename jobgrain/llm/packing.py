@@ -28,12 +28,8 @@ from pyspark.sql import Window as W
 
 from jobgrain.llm.common import chunked, materialize, require, rows_of
 
-#: Queues at most: if there are more sources, they share queues by a hash of their name.
-MAX_QUEUES = 4096
-#: Words that a task remembers with their ids.
-CACHE_WORDS = 1_000_000
-#: Largest queue-offset table that is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Words, and pieces of words, that a Python worker remembers with their ids (about 15 MB each).
+CACHE_WORDS = 80_000
 
 
 #: Fixed value: the tokenizer's own split pattern, on lower-cased printable ASCII.
@@ -55,7 +51,6 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-            self.pieces.clear()
         text = word.decode("utf-8")
         if word.isascii() and text.isprintable():
             parts = ASCII_PIECES.findall(text.lower())
@@ -67,6 +62,8 @@ class WordIds(dict):
     def piece(self, part: str) -> bytes:
         known = self.pieces.get(part)
         if known is None:
+            if len(self.pieces) >= CACHE_WORDS:
+                self.pieces.clear()
             known = self.pieces[part] = np.array([t.id for t in self.model.tokenize(part)], dtype="<u4").tobytes()
         return known
 
@@ -104,7 +101,7 @@ def _tokenise(path: str, end_id: int):
         task, seen = TaskContext.get().partitionId(), {}
         for b in chunked(batches):
             ids, start = [], []
-            queue = rows_of(b, "queue").to_pylist()
+            queue = rows_of(b, "source").to_pylist()
             for q, text in zip(queue, rows_of(b, "text").to_pylist(), strict=True):
                 low = (text or "").lower()
                 if any(t in low for t in added):
@@ -116,9 +113,11 @@ def _tokenise(path: str, end_id: int):
                 seen[q] = start[-1] + len(doc) // 4
             n = pa.array([len(x) // (4 if words.wide else 2) for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [rows_of(b, "doc_id"), pa.array(queue, pa.int32()), pa.array([task] * b.num_rows, pa.int32()), pa.array(start, pa.int64()), n, pa.array(ids, pa.binary())],
-                ["doc_id", "queue", "task", "start_in_task", "doc_tokens", "ids"],
+                [rows_of(b, "doc_id"), rows_of(b, "source"), pa.array([task] * b.num_rows, pa.int32()), pa.array(start, pa.int64()), n, pa.array(ids, pa.binary())],
+                ["doc_id", "source", "task", "start_in_task", "doc_tokens", "ids"],
             )
+        words.clear()  # the worker lives on, and its next task may be another operator's
+        words.pieces.clear()
 
     return run
 
@@ -211,45 +210,32 @@ def _cut_up(mixture_of, window: int, wide: bool):
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, targets: dict[str | None, float] | None = None
+    docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, targets: dict[str | None, float] | None = None, power: float = 1.0
 ) -> DataFrame:
     """documents -> pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian uint32).
 
-    ``targets`` gives a positive weight for each source (others: 1); without it the sources' own token counts are the
-    weights, so that all queues last to the end. A null source is a queue of its own; null and empty texts are the
-    end id alone; repeated rows are packed each; an empty table gives no pieces; further columns are ignored.
-    Sequences are to be padded to ``window``; only the last can need it.
+    ``targets`` gives a positive weight for each source (others: 1); without it a source weighs as many tokens as it has,
+    raised to ``power``: 1 lets all queues last to the end, less gives small sources a larger part of each window while they last.
+    A null source is a queue of its own; null and empty texts are the end id alone; repeated rows are packed each; an empty
+    table gives no pieces; further columns are ignored. Sequences are to be padded to ``window``; only the last can need it.
+    One number per source, its length, reaches the driver and the tasks: the round-robin is over the queues, whose names
+    are those of a mixture.
     """
     docs = require(docs, "doc_id", "text", "source")
-    names = [r[0] for r in docs.select("source").distinct().limit(MAX_QUEUES + 1).collect()]
-    if len(names) <= MAX_QUEUES:
-        names = sorted(names, key=lambda x: (x is not None, x))
-        queue = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(x)), i) for i, x in enumerate(names)], F.lit(0)) if len(names) <= 64 else F.when(
-            F.col("source").isNotNull(), F.element_at(F.create_map(*[y for i, x in enumerate(names) if x is not None for y in (F.lit(x), F.lit(i))]), F.col("source"))
-        ).otherwise(0)
-    else:
-        if targets is not None:
-            raise ValueError(f"targets need {MAX_QUEUES} sources at most")
-        names, queue = [None] * MAX_QUEUES, F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("int")
     tokens = materialize(
-        docs.select("doc_id", "text", queue.cast("int").alias("queue")).mapInArrow(
-            _tokenise(tokenizer_path, end_id), "doc_id long, queue int, task int, start_in_task long, doc_tokens long, ids binary"
-        )
+        docs.mapInArrow(_tokenise(tokenizer_path, end_id), "doc_id long, source string, task int, start_in_task long, doc_tokens long, ids binary")
     )
-    by_task = materialize(tokens.groupBy("queue", "task").agg(F.sum("doc_tokens").alias("n")))
-    lengths = {r["queue"]: r["n"] for r in by_task.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES rows at most
-    if not lengths:
-        lengths = {0: 1}
-    used = sorted(lengths)
-    weights = [float(lengths[q]) if targets is None else float(targets.get(names[q], 1.0)) for q in used]
-    mixture = ([lengths[q] for q in used], weights)
-    before = W.partitionBy("queue").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
-    base = by_task.select("queue", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    base = base.withColumn("dense", F.array_position(F.array(*map(F.lit, used)), F.col("queue")).cast("int") - 1)
-    if by_task.count() <= BROADCAST_ROWS:
-        base = F.broadcast(base)
-    placed = tokens.join(base, ["queue", "task"]).select(
-        "doc_id", F.col("dense").alias("queue"), (F.col("start_in_task") + F.col("base")).alias("start"), "doc_tokens", "ids"
+    by_task = materialize(tokens.groupBy("source", "task").agg(F.sum("doc_tokens").alias("n")))
+    lengths = {r["source"]: r["n"] for r in by_task.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # one row per source
+    used = sorted(lengths, key=lambda x: (x is not None, x))
+    weights = [float(lengths[q]) ** power if targets is None else float(targets.get(q, 1.0)) for q in used]
+    mixture = ([lengths[q] for q in used] or [1], weights or [1.0])
+    numbers = docs.sparkSession.createDataFrame([(q, i) for i, q in enumerate(used)], "name string, queue int")
+    before = W.partitionBy("source").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    base = by_task.select("source", F.col("task").alias("of_task"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = materialize(base.join(numbers, F.col("source").eqNullSafe(F.col("name"))).select("name", "of_task", "queue", "base"))
+    placed = tokens.join(base, F.col("source").eqNullSafe(F.col("name")) & (F.col("task") == F.col("of_task"))).select(
+        "doc_id", "queue", (F.col("start_in_task") + F.col("base")).alias("start"), "doc_tokens", "ids"
     )
     return placed.mapInArrow(
         _cut_up(mixture, window, word_ids(tokenizer_path).wide),
