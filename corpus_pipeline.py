@@ -39,8 +39,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens, mixed by source."""
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), window=4096, end_id=2).drop("ids")
+    """Sequences of 4096 tokens, mixed by source: a source weighs the square root of its tokens while it lasts."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), window=4096, end_id=2, power=0.5).drop("ids")
 
 
 STAGES = [
