@@ -193,6 +193,26 @@ def test_embeddings_match_brute_force(spark):
     assert (got.component_id.to_numpy() == np.array(roots)).mean() > 0.995
 
 
+def test_codes_bound_their_error():
+    x = np.random.default_rng(8).standard_normal((300, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code, scale, lost = embedding_dedup.encode(x)
+    back = (code * scale[:, None]).astype(np.float32)
+    assert (np.abs(back @ back.T - x @ x.T) <= embedding_dedup.ROUNDING + (lost[:, None] + lost) * 1.01).all() and lost.max() < 2e-4
+
+
+def test_pairs_near_the_threshold_are_verified_exactly(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(200):
+        a, b = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+        c = 0.9 + (i % 20 - 9.5) * 3e-6
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * b).tolist())]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    links, _ = cosine_brute([i for i, _ in rows], [v for _, v in rows])
+    assert [got[i] for i, _ in rows] == links.tolist()
+
+
 def test_embeddings_odd_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [inf, 1.0]), (8, [1.0, 0.0, 0.0]), (9, []), (2, [0.0, 1.0]), (10, [0.0, 3.0]), (None, [1.0, 0.0])]
