@@ -1,15 +1,18 @@
 """Brown class n-grams: exchange clustering, class transitions and word emissions, smoothed document scores.
 
-Every word belongs to one class: the ``LEXICON_WORDS`` most frequent words each by themselves, all others by their last
-letters (``ENDINGS`` groups). Classes come from the exchange algorithm in rounds, as is usual when it is distributed: given
-the class transitions of the last round, each item moves to the class under which its neighbours are likeliest,
-half of the items in each round by turns, so that mutual neighbours do not swap forever. Counts of words,
-neighbour pairs and transitions cover all training documents and are gathered by Spark; only tables of fixed size
-(the lexicon with its classes, classes x classes) reach the driver.
+Every training word belongs to one class, which the exchange algorithm gives it: a word moves to the class under which its
+neighbours and its own emission are likeliest, given the class transitions of the round before, as is usual when the algorithm
+is distributed. The frequent words (the ``KNOWN_WORDS`` most frequent, ties at the end left out) move in rounds, half of them
+by turns so that mutual neighbours do not swap forever; each round's likelihood of the class bigrams is measured, and the rounds
+end when it stalls. While they move, all rarer words stand in for each other by their endings. Then each
+rarer word moves by itself, from its own neighbour counts, which Spark gathers by word: no vocabulary, however large, reaches
+the driver or a broadcast; the table (word, count, class) of the rarer words is joined where it is needed. Transitions,
+class sizes and emissions are counted again from the final classes of all words.
 
 log10 P(w | previous word) = log10 of  a * P(class(w) | class(previous)) * P(w | class(w)) + (1 - a) * P(w), where
 P(w | class) = (c(w) + 0.5) / (N_class + 0.5 * (V_class + 1)), the last term standing for unseen words, transitions are
-smoothed by their unigrams, and P(w) is the base model. A document begins and ends at the end token.
+smoothed by their unigrams, and P(w) is the base model. An unseen word has the class that most training words with its
+ending have. A document begins and ends at the end token.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +30,16 @@ from pyspark.sql import functions as F
 
 from jobgrain.llm.common import chunked, materialize, mix64, require, rows_of
 
-LEXICON_WORDS, ENDINGS, CLASSES, ROUNDS = 1 << 15, 1 << 11, 64, 6
-#: Most frequent words whose counts every task knows; documents' other words are looked up by a join.
-COUNTED_WORDS = 1 << 17
+#: Frequent words at most; tasks know their counts and classes.
+KNOWN_WORDS = 1 << 16
+ENDINGS, CLASSES = 1 << 11, 64
+#: Rounds at most, and the share of the likelihood that a round must gain for another one to follow.
+ROUNDS, STALL = 12, 1e-4
 CLASS_SHARE, TRANSITION_PRIOR = 0.9, 8.0
 #: The end token cannot be a word, as words hold no white space.
 END = b" "
 #: Entries that a task counts before it sends them on.
-HELD = 400_000
-CACHE_WORDS = 500_000
+HELD = 150_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -62,28 +66,21 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ending(word: bytes) -> int:
-    """The group of a word that the lexicon does not hold: by its last three letters, signs at the end left out."""
+    """The group of a word by its last three letters, signs at the end left out."""
     return zlib.crc32(word.rstrip(b".,;:!?|\"')(")[-3:]) % ENDINGS
 
 
-class Items(dict):
-    """Word -> item: its place in the lexicon, or that of its ending behind them; the last item is the end token.
-
-    Other words are remembered up to a bound, so that repeated ones cost a look-up.
-    """
+class Items:
+    """Word -> item: its place in the lexicon, or that of its ending's first class behind them; the last item is the end token."""
 
     def __init__(self, lexicon: list[bytes]) -> None:
-        super().__init__((w, i) for i, w in enumerate(lexicon))
-        self.words, self.size = len(lexicon), len(lexicon) + ENDINGS + 1
-        self[END] = self.size - 1
-        self.fixed = dict(self)
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.words + CACHE_WORDS:
-            self.clear()
-            self.update(self.fixed)
-        self[word] = item = self.words + ending(word)
-        return item
+        self.place = {w: i for i, w in enumerate(lexicon)}
+        self.words, self.size = len(lexicon), len(lexicon) + CLASSES
+        self.place[END] = self.size - 1
+
+    def __getitem__(self, word: bytes) -> int:
+        at = self.place.get(word)
+        return at if at is not None else self.words + ending(word) % (CLASSES - 1)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """The items of a document, between two end tokens."""
@@ -108,7 +105,7 @@ def _pairs(lexicon: list[bytes]):
                 x = items.of(tokens(text))
                 held.append(x[:-1] << 20 | x[1:])
                 size += len(x)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield out()
                 held, size = [], 0
         yield out()
@@ -172,113 +169,279 @@ def _best_classes(of: np.ndarray, matrix: np.ndarray, c: int):
     return run
 
 
+def likelihood(matrix: np.ndarray) -> float:
+    """Of the training tokens under the class bigrams, but for a constant of the words' own counts."""
+    part = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
+    return part(matrix) - part(matrix.sum(1)) - part(matrix.sum(0))
+
+
+def exchange(table: DataFrame, lexicon: list[bytes], classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, list[float]]:
+    """The class of each item, and the likelihood before the first round and after each; the end token keeps the last class to itself.
+
+    A round that loses likelihood is taken back, and the rounds end there or where they gain less than ``STALL``.
+    """
+    of = np.array([ending(w) % (classes - 1) for w in lexicon] + list(range(classes)), dtype=np.int64)
+    turn = mix64(np.arange(len(of), dtype=np.uint64)) & np.uint64(1)
+    matrix = transitions(table, of, classes)
+    reached = [likelihood(matrix)]
+    for r in range(rounds):
+        moved = table.mapInArrow(_best_classes(of, matrix, classes), "item int, best int").toArrow()  # one row per item
+        item, to = moved.column("item").to_numpy(), moved.column("best").to_numpy()
+        free = (item < len(lexicon)) & (to != classes - 1) & ((turn[item] == r % 2) | (r == 0))
+        new = of.copy()
+        new[item[free]] = to[free]
+        matrix = transitions(table, new, classes)
+        value = likelihood(matrix)
+        if value < reached[-1]:
+            break
+        of = new
+        reached.append(value)
+        if r and value - reached[-3] < STALL * abs(value):  # both halves have had their turn
+            break
+    return of, reached
+
+
 @dataclass(frozen=True)
 class ClassModel:
-    """Tables of fixed size: lexicon, class of each item, log10 weight of each class pair; and the corpus totals."""
+    """What every task knows: counts and classes of the frequent words, classes of endings, log10 weight of each class pair."""
 
-    lexicon: list[bytes]
     counts: dict[bytes, int]
-    classes: np.ndarray
+    classes: dict[bytes, int]
+    endings: np.ndarray
     weight: np.ndarray
     n: int
     v: int
+    end_count: int
+    likelihoods: list[float] = field(default_factory=list)
 
 
-def exchange(table: DataFrame, lexicon: list[bytes], classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each item after ``rounds`` rounds; the end token keeps the last class to itself."""
-    seeds = [ending(w) for w in lexicon] + list(range(ENDINGS))
-    of = np.array([s % (classes - 1) for s in seeds] + [classes - 1], dtype=np.int64)
-    turn = mix64(np.arange(len(of), dtype=np.uint64)) & np.uint64(1)
-    for r in range(rounds):
-        moved = table.mapInArrow(_best_classes(of, transitions(table, of, classes), classes), "item int, best int").toArrow()  # one row per item
-        item, to = moved.column("item").to_numpy(), moved.column("best").to_numpy()
-        free = (item != len(of) - 1) & (to != classes - 1) & ((turn[item] == r % 2) | (r == 0))
-        of[item[free]] = to[free]
-    return of
+def _runs(of: dict[bytes, int]):
+    """What touches rarer words: (word, neighbour's class, side) counts, and (left word, right word) counts of two in a row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: Counter[tuple[bytes, int]] = Counter()
+        twos: Counter[tuple[bytes, bytes]] = Counter()
+
+        def out() -> pa.RecordBatch:
+            words = [w for w, _ in sides] + [w for w, _ in twos]
+            place = [p for _, p in sides] + [None] * len(twos)
+            other = [None] * len(sides) + [o for _, o in twos]
+            n = [*sides.values(), *twos.values()]
+            sides.clear()
+            twos.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(place, pa.int32()), pa.array(other, pa.binary()), pa.array(n, pa.int64())], ["word", "place", "other", "n"])
+
+        get = of.get
+        for b in chunked(batches):
+            for text in rows_of(b, "text").to_pylist():
+                w = [END, *tokens(text), END]
+                k = list(map(get, w))
+                for i, c in enumerate(k):
+                    if c is None:
+                        left, right = k[i - 1], k[i + 1]
+                        sides[w[i], left if left is not None else ending(w[i - 1]) % (CLASSES - 1)] += 1
+                        if right is not None:
+                            sides[w[i], CLASSES + right] += 1
+                        else:
+                            sides[w[i], CLASSES + ending(w[i + 1]) % (CLASSES - 1)] += 1
+                            twos[w[i], w[i + 1]] += 1
+            if len(sides) + len(twos) > HELD:
+                yield out()
+        yield out()
 
-def _class_sizes(items_of: list[bytes], of: np.ndarray):
-    """(class, tokens, words) of a share of the word counts."""
+    return run
+
+
+def _assign(matrix: np.ndarray):
+    """The class of each rarer word: rows arrive sorted by word, and a word may go on in the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, c = Items(items_of), int(of.max()) + 1
-        tokens_, words = np.zeros(c, dtype=np.int64), np.zeros(c, dtype=np.int64)
+        log_p = np.log((matrix + 0.1) / (matrix.sum(1, keepdims=True) + 0.1 * CLASSES))
+        per_place = np.concatenate([log_p, log_p.T]) - np.concatenate([np.repeat(np.log(matrix.sum(0) + 1.0)[None], CLASSES, axis=0), np.zeros((CLASSES, CLASSES))])
+        per_place[:, CLASSES - 1] = -np.inf  # the end token's own class
+        held: tuple | None = None
+
+        def out(words: list, value: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(value.argmax(1).astype(np.int32))], ["word", "class"])
+
         for b in batches:
-            k = of[np.fromiter(map(items.__getitem__, rows_of(b, "word").to_pylist()), dtype=np.int64, count=b.num_rows)]
-            np.add.at(tokens_, k, rows_of(b, "c").to_numpy())
-            np.add.at(words, k, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(c, dtype=np.int32)), pa.array(tokens_), pa.array(words)], ["k", "n", "v"])
+            word = rows_of(b, "word").to_pylist()
+            starts = [i for i in range(len(word)) if i == 0 or word[i] != word[i - 1]]
+            value = np.add.reduceat(per_place[rows_of(b, "place").to_numpy()] * rows_of(b, "n").to_numpy()[:, None], starts, axis=0)
+            names = [word[i] for i in starts]
+            if held is not None:
+                if held[0] == names[0]:
+                    value[0] += held[1]
+                else:
+                    yield out([held[0]], held[1][None])
+            if len(names) > 1:
+                yield out(names[:-1], value[:-1])
+            held = (names[-1], value[-1])
+        if held is not None:
+            yield out([held[0]], held[1][None])
 
     return run
 
 
+def _matrix(rows: DataFrame) -> np.ndarray:
+    """(a, b, n) -> a class x class array."""
+    out = np.zeros((CLASSES, CLASSES))
+    for r in rows.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # classes x classes rows at most
+        out[r["a"], r["b"]] += r["n"]
+    return out
+
+
+def _known_pairs(of: np.ndarray, words: int):
+    """Class pairs of neighbouring items that are both frequent words or the end token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES)
+        for b in batches:
+            left, right = (rows_of(b, c).to_numpy() for c in ("left", "right"))
+            own = ((left < words) | (left == len(of) - 1)) & ((right < words) | (right == len(of) - 1))
+            total += np.bincount(of[left[own]] * CLASSES + of[right[own]], weights=rows_of(b, "n").to_numpy()[own], minlength=CLASSES * CLASSES)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((at // CLASSES).astype(np.int32)), pa.array((at % CLASSES).astype(np.int32)), pa.array(total[at].astype(np.int64))], ["a", "b", "n"])
+
+    return run
+
+
+def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(ENDINGS * CLASSES, dtype=np.int64)
+    for b in batches:
+        e = np.array([ending(w) for w in rows_of(b, "word").to_pylist()], dtype=np.int64)
+        total += np.bincount(e * CLASSES + rows_of(b, "class").to_numpy(), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array((at // CLASSES).astype(np.int32)), pa.array((at % CLASSES).astype(np.int32)), pa.array(total[at])], ["a", "b", "n"])
+
+
+def lexicon_of(counts: DataFrame) -> tuple[list[tuple[bytes, int]], int]:
+    """The frequent words with their counts, and the least count among them: all words with at least so many, ``KNOWN_WORDS`` at most."""
+    words, total = counts.where(F.col("word") != F.lit(END)), 0
+    least = None
+    for r in words.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(KNOWN_WORDS).toLocalIterator():
+        total += r["n"]
+        if total > KNOWN_WORDS:
+            break
+        least = r["c"]
+    if least is None:
+        return [], 1 << 62
+    rows = [(bytes(r["word"]), r["c"]) for r in words.where(F.col("c") >= least).collect()]
+    return sorted(rows, key=lambda x: (-x[1], x[0])), least
+
+
 def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
-    """The model, and the counts (word, c) of all training words beyond its lexicon."""
+    """The model, and the table (word, c, class) of all training words that it does not hold."""
     train = docs.where(training(F.col("doc_id"))).select("text")
     counts = materialize(train.mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    words = counts.where(F.col("word") != F.lit(END))
-    top = words.orderBy(F.desc("c"), "word").limit(COUNTED_WORDS).toArrow()
-    counted = [bytes(w) for w in top.column("word").to_pylist()]
-    known = dict(zip(counted, top.column("c").to_pylist(), strict=True))
-    lexicon = counted[:LEXICON_WORDS]
-    items = Items(lexicon).size
-    pairs = train.mapInArrow(_pairs(lexicon), "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
-    pairs = materialize(pairs)
-    table = neighbours(pairs, items)
-    of = exchange(table, lexicon)
-    matrix = transitions(table, of, CLASSES)
+    n, v, end = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))).first()
+    known, least = lexicon_of(counts)
+    lexicon = [w for w, _ in known]
+    pairs = materialize(train.mapInArrow(_pairs(lexicon), "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n")))
+    table = neighbours(pairs, Items(lexicon).size)
+    of, reached = exchange(table, lexicon)
+    classes = dict(zip(lexicon, of[: len(lexicon)].tolist(), strict=True)) | {END: CLASSES - 1}
+    runs = materialize(train.mapInArrow(_runs(classes), "word binary, place int, other binary, n long"))
+    by_word = runs.where("place is not null").select("word", "place", "n").groupBy("word", "place").agg(F.sum("n").alias("n"))
+    by_word = materialize(by_word)
+    sorted_ = by_word.repartition("word").sortWithinPartitions("word")
+    assigned = sorted_.mapInArrow(_assign(transitions(table, of, CLASSES)), "word binary, class int")
+    rest = counts.where((F.col("word") != F.lit(END)) & (F.col("c") < least))
+    rest = materialize(rest.join(assigned, "word").select("word", "c", "class"))
+    # transitions of the final classes: both frequent, one of them, none; neighbours of rarer words in a row are counted as such
+    twos = runs.where("other is not null").groupBy("word", "other").agg(F.sum("n").alias("n"))
+    named = rest.select("word", "class")
+    both = twos.join(named, "word").withColumnRenamed("class", "a").join(named.select(F.col("word").alias("other"), F.col("class").alias("b")), "other").select("a", "b", "n")
+    single = by_word.join(named, "word")
+    left = single.where(F.col("place") < CLASSES).select(F.col("place").alias("a"), F.col("class").alias("b"), "n")
+    right = single.where(F.col("place") >= CLASSES).select(F.col("class").alias("a"), (F.col("place") - CLASSES).alias("b"), "n")
+    doubled = twos.select(F.col("word"), F.col("other"), "n").mapInArrow(_doubled, "word binary, other binary, a int, b int, n long")
+    # a rarer word's rarer neighbour stood in by its ending's first class above; that share is taken out again
+    out_left = doubled.join(named.withColumnRenamed("word", "other"), "other").select("a", F.col("class").alias("b"), (-F.col("n")).alias("n"))
+    out_right = doubled.join(named, "word").select(F.col("class").alias("a"), "b", (-F.col("n")).alias("n"))
+    known_pairs = pairs.mapInArrow(_known_pairs(of, len(lexicon)), "a int, b int, n long")
+    matrix = _matrix(known_pairs.union(left).union(right).union(both).union(out_left).union(out_right))
     size = np.zeros((2, CLASSES))
-    for row in counts.mapInArrow(_class_sizes(lexicon, of), "k int, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        size[:, row["k"]] = row["n"], row["v"]
+    for w, c in known:
+        size[:, classes[w]] += c, 1
+    size[:, CLASSES - 1] += end, int(end > 0)
+    for r in rest.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        size[:, r["class"]] += r["c"], r["v"]
+    by_ending = np.zeros((ENDINGS, CLASSES))
+    for r in rest.mapInArrow(_endings, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # endings x classes rows at most
+        by_ending[r["a"], r["b"]] = r["n"]
+    for w in lexicon:
+        by_ending[ending(w), classes[w]] += 1
     unigram = (matrix.sum(0) + 1) / (matrix.sum() + CLASSES)
     transition = (matrix + TRANSITION_PRIOR * unigram) / (matrix.sum(1, keepdims=True) + TRANSITION_PRIOR)
     emission = 1 / (size[0] + 0.5 * (size[1] + 1))
     weight = np.log10(CLASS_SHARE * transition * emission + (1 - CLASS_SHARE) / (n + 0.5 * (v + 1)))
-    end = counts.where(F.col("word") == F.lit(END)).select("c").first()
-    last = counted[-1] if len(counted) == COUNTED_WORDS else None
-    rest = words.where(F.lit(False) if last is None else (F.col("c") < known[last]) | ((F.col("c") == known[last]) & (F.col("word") > F.lit(last))))
-    if end:
-        known[END] = end[0]
-    return ClassModel(lexicon, known, of, weight, n, v), rest
+    return ClassModel(dict(known), classes, by_ending.argmax(1), weight, n, v, end, reached), rest
 
 
-class KnownLogs(dict):
-    """Word -> log10(c + 0.5); not a number for words that the tasks do not know, which are remembered up to a bound."""
-
-    def __init__(self, counts: dict[bytes, int]) -> None:
-        super().__init__((w, math.log10(c + 0.5)) for w, c in counts.items())
-        self.fixed = dict(self)
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= len(self.fixed) + CACHE_WORDS:
-            self.clear()
-            self.update(self.fixed)
-        self[word] = math.nan
-        return math.nan
+def _doubled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two rarer words in a row, with the classes that stood in for them."""
+    first = lambda words: pa.array([ending(w) % (CLASSES - 1) for w in words], pa.int32())
+    for b in batches:
+        word, other = rows_of(b, "word"), rows_of(b, "other")
+        yield pa.RecordBatch.from_arrays([word, other, first(word.to_pylist()), first(other.to_pylist()), rows_of(b, "n")], ["word", "other", "a", "b", "n"])
 
 
 def _score(model: ClassModel):
-    """Per row: what the lexicon can tell, and the words beyond it with their numbers in the document."""
+    """Per row: what the frequent words tell, and the other words with their places and the classes of their neighbours.
+
+    A neighbour that is itself such a word has class -1; the pair of the two belongs to the second.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, logs = Items(model.lexicon), KnownLogs(model.counts)
-        end_log, end_known = logs.get(END, math.log10(0.5)), int(END in logs)
+        logs = {w: math.log10(c + 0.5) for w, c in model.counts.items()}
+        end_log, end_known = math.log10(model.end_count + 0.5), int(model.end_count > 0)
         for b in chunked(batches, 256):
-            n, seen, base, link, rare, times = [], [], [], [], [], []
+            out = {c: [] for c in ("n", "seen", "base", "link", "words", "places")}
             for text in rows_of(b, "text").to_pylist():
                 w = tokens(text)
-                k = model.classes[items.of(w)]
-                each = np.fromiter(map(logs.__getitem__, w), dtype=np.float64, count=len(w))
-                unknown = np.isnan(each)
-                n.append(len(w) + 1)
-                seen.append(len(w) - int(unknown.sum()) + end_known)
-                base.append(float(each[~unknown].sum()) + end_log)
-                link.append(float(model.weight[k[:-1], k[1:]].sum()))
-                other = Counter(w[i] for i in np.flatnonzero(unknown))
-                rare.append(list(other))
-                times.append(list(other.values()))
-            arrays = [rows_of(b, "row"), rows_of(b, "doc_id"), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(link)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], ["row", "doc_id", "n", "seen", "base", "link", "rare", "times"])
+                k = np.fromiter((model.classes.get(x, -1) for x in w), dtype=np.int64, count=len(w))
+                k = np.concatenate([[CLASSES - 1], k, [CLASSES - 1]])
+                frequent = (k[:-1] >= 0) & (k[1:] >= 0)
+                rare = np.flatnonzero(k < 0)
+                out["n"].append(len(w) + 1)
+                out["seen"].append(len(w) - len(rare) + end_known)
+                out["base"].append(math.fsum(logs[x] for x in w if x in logs) + end_log)
+                out["link"].append(float(model.weight[k[:-1][frequent], k[1:][frequent]].sum()))
+                out["words"].append([w[i - 1] for i in rare])
+                out["places"].append(rare << 14 | (k[rare - 1] + 1) << 7 | (k[rare + 1] + 1))
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows_of(b, "row"), rows_of(b, "doc_id"), *(pa.array(x, t) for x, t in zip(out.values(), types, strict=True))], ["row", "doc_id", *out])
+
+    return run
+
+
+def _unseen_classes(model: ClassModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c, k = rows_of(b, "c"), rows_of(b, "class").to_pylist()
+            own = [int(model.endings[ending(w)]) if x is None else x for w, x in zip(rows_of(b, "word").to_pylist(), k, strict=True)]
+            yield pa.RecordBatch.from_arrays([rows_of(b, "row"), rows_of(b, "place"), c, pa.array(own, pa.int32())], ["row", "place", "c", "class"])
+
+    return run
+
+
+def _rare_sums(model: ClassModel):
+    """Rows of one document: its rarer words' classes, counts and places -> their part of the sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunked(batches, 512):
+            seen, base, link = [], [], []
+            for items in rows_of(b, "items"):
+                place, c, k = (items.values.field(f).to_numpy(zero_copy_only=False) for f in ("place", "c", "class"))
+                order = np.argsort(place)
+                place, c, k = place[order], c[order], k[order].astype(np.int64)
+                left, right = (place >> 7 & 127) - 1, (place & 127) - 1
+                left = np.where(left < 0, np.concatenate([[0], k[:-1]]), left)
+                total = model.weight[left, k].sum() + model.weight[k[right >= 0], right[right >= 0]].sum()
+                seen.append(int(np.count_nonzero(c)))
+                base.append(float(np.log10(c + 0.5).sum()))
+                link.append(float(total))
+            yield pa.RecordBatch.from_arrays([rows_of(b, "row"), pa.array(seen, pa.int64()), pa.array(base), pa.array(link)], ["row", "more_seen", "more_base", "more_link"])
 
     return run
 
@@ -293,16 +456,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
     docs = require(docs, "doc_id", "text")
     model, rest = fit(docs)
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    rows = materialize(numbered.mapInArrow(_score(model), "row long, doc_id long, n long, seen long, base double, link double, rare array<binary>, times array<long>"))
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    found = rare.join(rest, "word").groupBy("row").agg(
-        F.sum("times").alias("more"), F.sum(F.col("times") * (F.log10(F.col("c") + 0.5) - math.log10(0.5))).alias("gain")
-    )
-    all_ = rows.withColumn("others", F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)).drop("rare", "times").join(found, "row", "left")
-    # log10(c + 0.5) over all tokens; a word that the training never saw has log10(0.5)
-    logs = F.col("base") + F.col("others") * F.lit(math.log10(0.5)) + F.coalesce("gain", F.lit(0.0))
+    rows = materialize(numbered.mapInArrow(_score(model), "row long, doc_id long, n long, seen long, base double, link double, words array<binary>, places array<long>"))
+    rare = rows.select("row", F.explode(F.arrays_zip("words", "places")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.places").alias("place"))
+    rare = rare.join(rest, "word", "left").select("row", "word", "place", F.coalesce("c", F.lit(0)).cast("long").alias("c"), "class")
+    rare = rare.mapInArrow(_unseen_classes(model), "row long, place long, c long, class int")
+    sums = rare.groupBy("row").agg(F.collect_list(F.struct("place", "c", "class")).alias("items"))  # the words of one document
+    sums = sums.mapInArrow(_rare_sums(model), "row long, more_seen long, more_base double, more_link double")
+    all_ = rows.drop("words", "places").join(sums, "row", "left").fillna(0, ["more_seen", "more_base", "more_link"])
+    logs, link = F.col("base") + F.col("more_base"), F.col("link") + F.col("more_link")
     return all_.select(
-        "doc_id", (~training(F.col("doc_id"))).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("seen") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        "doc_id", (~training(F.col("doc_id"))).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("seen") + F.col("more_seen")).alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"), (logs - F.col("n") * F.lit(math.log10(model.n + 0.5 * (model.v + 1)))).alias("base_score"),
-        (logs + F.col("link")).alias("score"), F.pow(F.lit(10.0), -(logs + F.col("link")) / F.col("n")).alias("perplexity"),
+        (logs + link).alias("score"), F.pow(F.lit(10.0), -(logs + link) / F.col("n")).alias("perplexity"),
     )

@@ -382,22 +382,53 @@ def test_brown_odd_cases(odd, empty):
     assert brown_lm.score_documents(empty).count() == 0
 
 
-def test_brown_scores_do_not_depend_on_what_tasks_know(docs, monkeypatch):
-    few = docs.limit(40)
-    want = {r.doc_id: r for r in brown_lm.score_documents(few).collect()}
-    monkeypatch.setattr(brown_lm, "LEXICON_WORDS", 1 << 6)
-    monkeypatch.setattr(brown_lm, "COUNTED_WORDS", 1 << 7)
+def whole_model(docs):
+    """The fitted model with the classes and counts of all words in one place."""
+    model, rest = brown_lm.fit(docs)
+    rows = rest.collect()
+    return model, model.counts | {bytes(r["word"]): r["c"] for r in rows}, model.classes | {bytes(r["word"]): r["class"] for r in rows}
+
+
+def test_brown_scores_match_their_formula(docs, local, monkeypatch):
+    monkeypatch.setattr(brown_lm, "KNOWN_WORDS", 200)  # most words are rarer ones, many of them in a row
+    few = docs.limit(60)
+    model, counts, classes = whole_model(few)
+    counts[brown_lm.END] = model.end_count
     got = {r.doc_id: r for r in brown_lm.score_documents(few).collect()}
-    assert all(got[i].base_score == pytest.approx(want[i].base_score) and got[i].n_known == want[i].n_known for i in want)
+    train = [t for i, t in local.itertuples(index=False) if i in got and zlib.crc32(str(i).encode()) % 5 != 1]
+    matrix, size, kinds, place = np.zeros((64, 64)), np.zeros(64), np.zeros(64), dict(classes)
+    for w, c in counts.items():
+        size[classes[w]] += c
+        kinds[classes[w]] += 1
+    for t in train:
+        k = [place[w] for w in [brown_lm.END, *brown_lm.tokens(t), brown_lm.END]]
+        np.add.at(matrix, (k[:-1], k[1:]), 1)
+    unigram = (matrix.sum(0) + 1) / (matrix.sum() + 64)
+    transition = (matrix + brown_lm.TRANSITION_PRIOR * unigram) / (matrix.sum(1, keepdims=True) + brown_lm.TRANSITION_PRIOR)
+    base = lambda w: (counts.get(w, 0) + 0.5) / (model.n + 0.5 * (model.v + 1))
+    for i, t in local.itertuples(index=False):
+        if i not in got:
+            continue
+        w = [brown_lm.END, *brown_lm.tokens(t), brown_lm.END]
+        k = [classes.get(x, int(model.endings[brown_lm.ending(x)])) for x in w]
+        want = sum(
+            np.log10(0.9 * transition[a, b] * (counts.get(x, 0) + 0.5) / (size[b] + 0.5 * (kinds[b] + 1)) + 0.1 * base(x)) for a, b, x in zip(k[:-1], k[1:], w[1:], strict=True)
+        )
+        assert got[i].score == pytest.approx(want) and got[i].n_known == sum(x in counts for x in w[1:])
+
+
+def test_brown_words_all_have_their_best_class_and_likelihood_rises(docs):
+    model, counts, classes = whole_model(docs.limit(120))
+    assert counts.keys() | {brown_lm.END} == classes.keys()
+    assert model.likelihoods == sorted(model.likelihoods) and len(model.likelihoods) > 2 and model.likelihoods[-1] > model.likelihoods[0]
+    assert len(set(classes.values())) > 20
 
 
 def test_brown_distribution_sums_to_one(docs):
-    model, rest = brown_lm.fit(docs.limit(60))
-    count = model.counts | {bytes(r.word): r.c for r in rest.collect()}
+    model, count, classes = whole_model(docs.limit(60))
+    count[brown_lm.END] = model.end_count
     words = list(count)
-    items = brown_lm.Items(model.lexicon)
-    k = np.array([model.classes[items[w]] for w in words])
-    c = np.array([count[w] for w in words])
+    k, c = np.array([classes[w] for w in words]), np.array([count[w] for w in words])
     for previous in (0, 5, 63):
         seen = float(((c + 0.5) * 10 ** model.weight[previous, k]).sum())
         unseen = float((0.5 * (10 ** model.weight[previous] - (1 - brown_lm.CLASS_SHARE) / (model.n + 0.5 * (model.v + 1)))).sum()) + (1 - brown_lm.CLASS_SHARE) * 0.5 / (model.n + 0.5 * (model.v + 1))
