@@ -452,11 +452,29 @@ def test_native_queries_match_sql(spark, small, name):
 
 def test_license_sizes_and_odd_cases(spark, odd, empty):
     docs = spark.createDataFrame([(1, "first line\nReleased under the MIT License.\nlast line"), (2, "Licensed under CC BY-NC 4.0"), (3, license_scan.TEMPLATES["mit-text"]), (4, "released under the"), (5, None), (6, "")], "doc_id long, text string")
-    got = {(r.doc_id, r.line_no): r.license for r in license_scan.license_scan(docs).collect()}
-    assert got == {(1, 1): "mit", (2, 0): "cc-by-nc-4.0", (3, 0): "mit-text"}
+    got = {(r.doc_id, r.unit, r.place): r.license for r in license_scan.license_scan(docs).collect()}
+    assert got == {(1, "line", 1): "mit", (2, "line", 0): "cc-by-nc-4.0", (3, "line", 0): "mit-text"}
     assert license_scan.license_scan(odd).count() == 0 and license_scan.license_scan(empty).count() == 0
 
 
+def test_licenses_wrapped_inside_longer_texts_are_found(spark):
+    import textwrap
+
+    code = "\n".join(f"value_{i} = compute(value_{i - 1}, {i})" for i in range(200))
+    wrap = lambda x: textwrap.fill(x, 72)
+    rows = []
+    for i, (name, text) in enumerate(sorted(license_scan.TEMPLATES.items())):
+        rows.append((i, name, f"{code}\n\n# {wrap(text)}\n\n{code}"))
+    words = license_scan.TEMPLATES["mit-text"].split()
+    words[10] = words[60] = words[90] = "altered"
+    rows.append((99, "mit-text", code + "\n" + wrap(" ".join(words)) + "\n" + code))
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    found = license_scan.license_scan(docs).collect()
+    assert {(i, n) for i, n, _ in rows} <= {(r.doc_id, r.license) for r in found}
+    low = {(r.license, round(r.dice, 2)) for r in found if (r.doc_id, r.license) in {(i, n) for i, n, _ in rows} and r.dice < 0.85}
+    assert not low
+
+
 def test_preference_pairs(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "hello"), (0, 2, "user", "bye"), (0, 3, "assistant", "good"), (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "bye"), (1, 3, "assistant", "bad"), (1, 4, "user", None)]
     frame = spark.createDataFrame([(*t, "x") for t in turns + [(2, 0, "user", "alone"), (None, 0, "user", "lost")]], "conv_id long, turn long, role string, text string, part string")
