@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from jobgrain.llm.common import require
+from jobgrain.llm.common import materialize, require
 
 #: Rows of one shard that share a numbering bucket, about.
 BUCKET_ROWS = 100_000
@@ -78,19 +78,21 @@ def descend(df: DataFrame, key: str, tree: Node, shard: str) -> DataFrame:
     return df.withColumn(shard, F.element_at(names, F.concat_ws(",", F.col("_path").cast("array<string>")))).drop("_path")
 
 
-def number_rows(df: DataFrame, group: str, key: str, rows: int | None = None) -> DataFrame:
-    """Add ``slot``: 0, 1, ... without gaps within each group, however large the groups are.
+def number_rows(df: DataFrame, group: str, key: str) -> DataFrame:
+    """Add ``slot``: 0, 1, ... without gaps within each group, however large the groups are and however often a key repeats.
 
-    Rows are dealt to buckets of a group by a hash of ``key``; bucket counts (small, summed map-side) give each bucket
-    its first number, and only the rows of one bucket are numbered together.
+    The (narrow) rows are written once with a number of their own. They are dealt to buckets of a group by a hash of key and
+    number; bucket counts (small, summed map-side) give each bucket its first slot, and only the rows of one bucket are
+    numbered together.
     """
-    buckets = max(1, -(-(rows if rows is not None else df.count()) // BUCKET_ROWS)) * 8
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(buckets)).cast("int"))
+    df = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    buckets = max(1, -(-df.count() // BUCKET_ROWS)) * 8
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(key, "_row", F.lit("slot")), F.lit(buckets)).cast("int"))
     before = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     first = df.groupBy(group, "_bucket").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    own = W.partitionBy(group, "_bucket").orderBy(key, "size", "text_crc32")
+    own = W.partitionBy(group, "_bucket").orderBy(key, "_row")
     numbered = df.withColumn("_slot", F.row_number().over(own) - 1).join(first.drop("_n"), [group, "_bucket"])
-    return numbered.withColumn("slot", (F.col("_first") + F.col("_slot")).cast("long")).drop("_bucket", "_first", "_slot")
+    return numbered.withColumn("slot", (F.col("_first") + F.col("_slot")).cast("long")).drop("_bucket", "_first", "_slot", "_row")
 
 
 def shard_documents(docs: DataFrame, tree: Node | None = None, grown: Node | None = None) -> DataFrame:
@@ -106,6 +108,6 @@ def shard_documents(docs: DataFrame, tree: Node | None = None, grown: Node | Non
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law")
     )
     placed = descend(descend(sized, "doc_id", tree, "shard"), "doc_id", grown, "grown_shard")
-    return number_rows(placed, "shard", "doc_id", rows=docs.count()).select(
+    return number_rows(placed, "shard", "doc_id").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
