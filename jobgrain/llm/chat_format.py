@@ -3,8 +3,9 @@
 The two conversations of a pair are compared turn by turn. All turns before the first difference (other role or
 text, or a turn that one side lacks) are the prompt, rendered once and never trained on; the rest of each side is its
 completion, in which the assistant's messages are trained on and all others masked. The result has one row for each
-message, so a conversation of any length is never gathered in one task; ``assemble`` joins the rows of ordinary
-conversations into strings. Only built-in functions.
+message, so the comparison never gathers a conversation in one task; ``assemble`` joins the rows of a pair into the strings
+and trained spans of one training example. Markers of turns inside roles and texts are broken up, so that no text can
+open or close a turn. Only built-in functions.
 """
 
 from __future__ import annotations
@@ -17,8 +18,13 @@ from jobgrain.llm.common import require
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def escaped(c: Column) -> Column:
+    """Without the beginning of a marker."""
+    return F.replace(c, F.lit("<|"), F.lit("< |"))
+
+
 def render(role: Column, text: Column) -> Column:
-    return F.concat(F.lit(OPEN), role, F.lit("\n"), text, F.lit(CLOSE))
+    return F.concat(F.lit(OPEN), escaped(role), F.lit("\n"), escaped(text), F.lit(CLOSE))
 
 
 def preference_messages(chosen: DataFrame, rejected: DataFrame, trained_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -59,10 +65,27 @@ def pair_neighbours(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(rows.where(F.pmod("conv_id", F.lit(2)) == k).drop("conv_id") for k in (0, 1))
 
 
+def last_reply_pairs(conversations: DataFrame, reply: str = "assistant") -> tuple[DataFrame, DataFrame]:
+    """Pairs from plain conversations: chosen is conversation 2k; rejected is the same up to its last reply, with the last reply
+    of conversation 2k + 1 in that one's place.
+
+    Conversations without a reply or a neighbour with one make no pair; rows with a null conv_id or turn are left out.
+    """
+    rows = require(conversations, "conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null")
+    rows = rows.withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("long")).withColumn("first", F.pmod("conv_id", F.lit(2)) == 0)
+    ends = rows.groupBy("pair_id").agg(F.max(F.when(F.col("first") & (F.col("role") == reply), F.col("turn"))).alias("fork"), F.max(F.when(~F.col("first") & (F.col("role") == reply), F.col("turn"))).alias("other"))
+    rows = rows.join(ends.where("fork is not null and other is not null"), "pair_id")
+    columns = ["pair_id", "turn", "role", "text"]
+    chosen = rows.where("first")
+    kept = chosen.where("turn < fork").select(columns)
+    swapped = rows.where("not first and turn = other").where(F.col("role") == reply).select("pair_id", F.col("fork").alias("turn"), "role", "text")
+    return chosen.select(columns), kept.union(swapped)
+
+
 def assemble(messages: DataFrame) -> DataFrame:
     """One row per pair: prompt, chosen, rejected, and the trained spans [start, end) in characters of both completions.
 
-    Gathers the messages of a pair; for conversations that fit a training sequence.
+    Gathers the messages of a pair, which are one training example and one row of the result.
     """
     item = F.struct("turn", "seq", "rendered", "trained")
     of = lambda part: F.array_sort(F.collect_list(F.when(F.col("part") == part, item)))
@@ -83,17 +106,30 @@ def assemble(messages: DataFrame) -> DataFrame:
     )
 
 
+def written_spans(spans: Column) -> Column:
+    """As text: start-end, comma-separated; null if there are none."""
+    return F.nullif(F.array_join(F.transform(spans, lambda x: F.concat_ws("-", x["start"], x["end"])), ","), F.lit(""))
+
+
 ORACLE = f"""
-WITH m AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(role, ''), coalesce(text, '')) - 1 AS seq,
-                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-two AS (SELECT pair_id FROM m GROUP BY 1 HAVING count(DISTINCT side) = 2),
-c AS (SELECT * FROM m WHERE side = 0), r AS (SELECT * FROM m WHERE side = 1),
+WITH c AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+e AS (SELECT pair_id, max(turn) FILTER (side = 0 AND role = 'assistant') AS fork, max(turn) FILTER (side = 1 AND role = 'assistant') AS other FROM c GROUP BY 1),
+p AS (SELECT * FROM c JOIN e USING (pair_id) WHERE fork IS NOT NULL AND other IS NOT NULL),
+m0 AS (SELECT pair_id, 'c' AS side, turn, role, text FROM p WHERE side = 0
+       UNION ALL SELECT pair_id, 'r', turn, role, text FROM p WHERE side = 0 AND turn < fork
+       UNION ALL SELECT pair_id, 'r', fork, role, text FROM p WHERE side = 1 AND turn = other AND role = 'assistant'),
+m AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side, turn ORDER BY role, text) AS seq FROM m0),
 f AS (SELECT pair_id, min(turn) AS fork FROM (
-        SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn FROM c FULL JOIN r
+        SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn FROM (SELECT * FROM m WHERE side = 'c') c FULL JOIN (SELECT * FROM m WHERE side = 'r') r
         ON c.pair_id = r.pair_id AND c.turn = r.turn AND c.seq = r.seq AND c.role = r.role AND c.text = r.text
         WHERE c.pair_id IS NULL OR r.pair_id IS NULL) GROUP BY 1),
-x AS (SELECT m.*, CASE WHEN fork IS NULL OR turn < fork THEN 'prompt' WHEN side = 0 THEN 'chosen' ELSE 'rejected' END AS part
-      FROM m JOIN two USING (pair_id) LEFT JOIN f USING (pair_id))
-SELECT pair_id, part, turn, CAST(seq AS INTEGER) AS seq, role, '{OPEN}' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered,
-       part <> 'prompt' AND role = 'assistant' AS trained FROM x WHERE NOT (part = 'prompt' AND side = 1)
+x AS (SELECT m.pair_id, turn, seq, side, role, fork IS NULL OR turn < fork AS shared, role = 'assistant' AS trained,
+             '{OPEN}' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS t FROM m LEFT JOIN f USING (pair_id)),
+s AS (SELECT *, sum(length(t)) OVER (PARTITION BY pair_id, side ORDER BY turn, seq) AS stop FROM x WHERE NOT shared)
+SELECT pair_id, coalesce(string_agg(t, '' ORDER BY turn, seq) FILTER (shared AND side = 'c'), '') AS prompt,
+  coalesce(string_agg(t, '' ORDER BY turn, seq) FILTER (NOT shared AND side = 'c'), '') AS chosen, coalesce(string_agg(t, '' ORDER BY turn, seq) FILTER (NOT shared AND side = 'r'), '') AS rejected,
+  any_value(cs) AS chosen_trained, any_value(rs) AS rejected_trained
+FROM x LEFT JOIN (SELECT pair_id, string_agg((stop - length(t)) || '-' || stop, ',' ORDER BY turn, seq) FILTER (trained AND side = 'c') AS cs,
+                         string_agg((stop - length(t)) || '-' || stop, ',' ORDER BY turn, seq) FILTER (trained AND side = 'r') AS rs FROM s GROUP BY 1) USING (pair_id)
+GROUP BY pair_id
 """

@@ -59,7 +59,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.preference_messages(*chat_format.pair_neighbours(_table(spark, sf_dir, "conversations")))
+    pairs = chat_format.last_reply_pairs(_table(spark, sf_dir, "conversations"))
+    examples = chat_format.assemble(chat_format.preference_messages(*pairs))
+    return examples.withColumns({c: chat_format.written_spans(F.col(c)) for c in ("chosen_trained", "rejected_trained")})
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
