@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 from operator import or_
 
@@ -16,9 +18,24 @@ SUSPICIOUS_GEO_WORDS = ("remote", "remote only", "work from home", "wfh", "multi
 MISSING_REMOTE_WORDS = ("", "n/a", "na", "not available")
 #: Query parameters that only track the visitor (beside utm_*).
 TRACKING_PARAMETERS = ("_ga", "_gl", "gh_src", "iis", "iisn", "lever-source", "ref", "referrer", "source", "src")
-#: Accented letters and their plain forms; the first six pairs are the Turkish ones.
-ACCENTED = "İıŞşĞğÇçÖöÜüÁÀÂÄÃÅáàâäãåÉÈÊËéèêëÍÌÎÏíìîïÓÒÔÕóòôõÚÙÛúùûÑñÝýÿ"
-PLAIN = "iissggccoouuAAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOooooUUUuuuNnYyy"
+def _accented() -> dict[str, str]:
+    """Latin letters whose decomposition is an ASCII letter with marks, and that letter; the Turkish dotless i beside them."""
+    out = {"ı": "i"}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = unicodedata.normalize("NFD", chr(code))[0]
+        if base.isascii() and base.isalpha():
+            out[chr(code)] = base
+    return out
+
+
+PLAIN_LETTERS = _accented()
+ACCENTED, PLAIN = "".join(PLAIN_LETTERS), "".join(PLAIN_LETTERS.values())
+
+
+def fold_text(text: str) -> str:
+    """``fold`` of a constant."""
+    marked = re.sub("[\u0300-\u036f]", "", text)
+    return "".join(PLAIN_LETTERS.get(c, c) for c in marked).lower()
 
 
 def trimmed(c: Column) -> Column:
@@ -109,11 +126,14 @@ def posted_epoch(c: Column, as_of: int) -> Column:
     v = trimmed(c)
     low = F.regexp_replace(F.lower(v), r"^posted\s+", "")
     hours, days = (F.regexp_extract(low, rf"^(\d+)\s+{unit}s?\s+ago$", 1) for unit in ("hour", "day"))
-    parsed = F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy")])
+    iso = F.regexp_replace(v, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2")
+    zoned = F.unix_timestamp(iso.try_cast("timestamp"))
+    local = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), iso.try_cast("timestamp_ntz"))  # without a zone: UTC, whatever the session's
+    parsed = F.when(~iso.rlike(r"^\d{4}-"), None).when(iso.rlike(r"\d:\d\d(:\d\d(\.\d+)?)?\s*(Z|[+-]\d\d:?\d\d)$"), zoned).otherwise(local)
     return (
         F.when(v == "", None).when(low == "today", as_of).when(low == "yesterday", as_of - 86_400)
         .when(hours != "", F.lit(as_of) - hours.cast("long") * 3600).when(days != "", F.lit(as_of) - days.cast("long") * 86_400)
-        .when(v.rlike(r"^\d{10}$"), v.cast("long")).when(v.rlike(r"^\d{13}$"), F.floor(v.cast("long") / 1000).cast("long")).otherwise(F.unix_timestamp(parsed))
+        .when(v.rlike(r"^\d{10}$"), v.cast("long")).when(v.rlike(r"^\d{13}$"), F.floor(v.cast("long") / 1000).cast("long")).otherwise(parsed)
     ).cast("long")
 
 

@@ -149,7 +149,13 @@ def drift_events(observed: DataFrame, threshold: float = 0.55) -> DataFrame:
 
 
 def prefix_match(value: Column, query: str) -> Column:
-    """The query's words hit the value's words in order: at a word's start, or inside it from four letters on."""
-    out = F.contains(value, F.lit(query))
-    parts = [rf"(?:\b{t}\S*|\b\S*{t}\S*)" if len(t) >= 4 else rf"\b{t}\S*" for t in query.split()]
-    return (value != "") & (out | value.rlike(r"(?:^|\s)" + r"(?:\s+\S+)*?\s+".join(parts)))
+    """The value holds the query, or the query's words hit the value's words in order: at a word's start, or inside it from four letters on."""
+    tokens = query.split()
+    def step(found: Column, word: Column) -> Column:
+        out = found
+        for i, t in enumerate(tokens):
+            hit = F.contains(word, F.lit(t)) if len(t) >= 4 else F.startswith(word, F.lit(t))
+            out = F.when((found == i) & hit, i + 1).otherwise(out)
+        return out
+    met = F.aggregate(F.split(value, r"\s+"), F.lit(0), step)
+    return (value != "") & (F.contains(value, F.lit(query)) | ((met == len(tokens)) & F.lit(bool(tokens))))

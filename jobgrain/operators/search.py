@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from jobgrain.functions.text import fold, is_blank, percent
+from jobgrain.functions.text import fold, fold_text, is_blank, percent
 
 DAY = 86_400
 #: Windows that a freshness filter accepts.
@@ -40,13 +40,13 @@ class SearchOptions:
 
 
 def contains(c: Column, term: str) -> Column:
-    return F.contains(fold(c), fold(F.lit(term)))
+    return F.contains(fold(c), F.lit(fold_text(term)))
 
 
 def country_filter(countries: dict[str, tuple[str, ...]]) -> Column:
     """Stored country equals a term, or it is blank and the location names one."""
     terms = [t for label, aliases in countries.items() for t in (label, *aliases)]
-    stored = fold(F.col("country")).isin(*[t.lower() for t in terms])
+    stored = fold(F.col("country")).isin(*[fold_text(t) for t in terms])
     return stored | (is_blank(F.col("country")) & reduce(or_, [contains(F.col("location_text"), t) for t in terms]))
 
 

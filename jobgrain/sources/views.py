@@ -106,7 +106,7 @@ FROM postings
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A landed batch in arrival order, with repeats of a posting and blank fields."""
-    rows = table(spark, sf_dir, "lineitem").join(F.broadcast(table(spark, sf_dir, "supplier")), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     k = F.col("l_orderkey")
     return rows.select(
@@ -237,9 +237,82 @@ STATE_SQL = """
 SELECT 'https://jobs.example/p/' || o_orderkey AS canonical_url, o_orderkey % 6 = 0 AS applied, o_orderkey % 12 = 1 AS ignored FROM orders WHERE o_orderkey % 6 < 2
 """
 
+#: Location texts as boards write them.
+LOCATIONS = (
+    "Berlin, Germany", "Münich, Bavaria", "New York, NY", "Remote - California", "TX-Austin-HQ", "US-CA-San Jose", "CA-ON-Toronto", "Toronto, ON", "DE - Remote", "GBR-London",
+    "Zürich, Schweiz", "İstanbul, Türkiye", "Kraków, PL", "Paris / FR", "São Paulo, Brasil", "Hybrid - Škoda Plzeň, Czech Republic", "Multiple locations", "Worldwide", "Remote, EMEA", "Bengaluru",
+    "Springfield, Greene County, MO", "Springfield, IL", "Portland, Oregon, United States", "Atlantis, Lost Kingdom", "Latin America", "Sydney NSW, Australia", "Hong Kong", "Tokyo; Japan", "IN", "IN-Pune",
+    "You will be working with customers and our team to provide experience with skills in external places.", "Various - Nationwide", "Cork", "Georgia", "SGP", "Work from home",
+)
+
+
+def located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings with location texts of all kinds."""
+    k = F.col("posting_no")
+    place = F.element_at(F.array(*map(F.lit, LOCATIONS)), (k % len(LOCATIONS) + 1).cast("int"))
+    return postings(spark, sf_dir).select(
+        "canonical_url", "posting_no", "company_name", F.when(k % 8 == 0, F.concat("position_name", F.lit(" - remote"))).otherwise(F.col("position_name")).alias("position_name"), "ats_key",
+        F.when(k % 6 == 0, F.col("country")).otherwise("").alias("country"), F.when(k % 6 == 0, F.col("region")).otherwise("").alias("region"), "remote_type", "hidden", "last_seen_epoch", "posted_at_epoch",
+        "industry", "posting_date", "confidence", place.alias("location_text"),
+    )
+
+
+LOCATED_SQL = f"""
+SELECT canonical_url, posting_no, company_name, CASE WHEN posting_no % 8 = 0 THEN position_name || ' - remote' ELSE position_name END AS position_name, ats_key,
+  CASE WHEN posting_no % 6 = 0 THEN country ELSE '' END AS country, CASE WHEN posting_no % 6 = 0 THEN region ELSE '' END AS region, remote_type, hidden, last_seen_epoch, posted_at_epoch, industry, posting_date, confidence,
+  [{', '.join("'" + x + "'" for x in LOCATIONS)}][posting_no % {len(LOCATIONS)} + 1] AS location_text
+FROM postings
+"""
+
+
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl targets: their source key is spelled in several ways."""
+    k = F.col("c_custkey")
+    key = F.when(k % 3 == 0, "ats").when(k % 3 == 1, "ATS-").otherwise("Ats ")
+    return table(spark, sf_dir, "customer").select(
+        k.alias("company_id"), F.col("c_name").alias("company_name"), F.concat(key, (k % 12).cast("string")).alias("ats_key"),
+        F.concat(F.lit("https://c"), k.cast("string"), F.lit(".example")).alias("company_url"), (F.lit(1_700_000_000) + k * 4321).cast("long").alias("created_epoch"),
+    )
+
+
+COMPANIES_SQL = """
+SELECT c_custkey AS company_id, c_name AS company_name, CASE c_custkey % 3 WHEN 0 THEN 'ats' WHEN 1 THEN 'ATS-' ELSE 'Ats ' END || (c_custkey % 12) AS ats_key,
+  'https://c' || c_custkey || '.example' AS company_url, 1700000000 + c_custkey * 4321 AS created_epoch FROM customer
+"""
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per source, with its protection status."""
+    n = F.col("n")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 12).alias("n")).distinct()
+    status = F.when(n % 6 == 1, "quarantine_only").when(n % 6 == 2, "canary_only").when(n % 6 == 3, "auto_disabled").when(n % 6 == 4, "").otherwise("normal")
+    return rows.select(F.concat(F.lit("ats"), n.cast("string")).alias("ats_key"), F.concat(F.lit("Source "), n.cast("string")).alias("display_name"), (n % 6 != 3).alias("enabled"), status.alias("protection_status"))
+
+
+SOURCES_SQL = """
+SELECT 'ats' || n AS ats_key, 'Source ' || n AS display_name, n % 6 <> 3 AS enabled, CASE n % 6 WHEN 1 THEN 'quarantine_only' WHEN 2 THEN 'canary_only' WHEN 3 THEN 'auto_disabled' WHEN 4 THEN '' ELSE 'normal' END AS protection_status
+FROM (SELECT DISTINCT user_id % 12 AS n FROM events) e
+"""
+
+
+def source_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per day and source; those of the last day are running."""
+    day, n = F.floor(epoch("ts") / DAY).cast("long"), F.col("user_id") % 12
+    rows = table(spark, sf_dir, "events").groupBy((day * 100 + n).alias("id"), n.alias("n"), day.alias("day")).agg(
+        F.count("*").alias("fetch_count"), F.count_if(F.col("event_type").isin("purchase", "signup")).alias("accepted_count"), F.count_if(F.col("event_type") == "error").alias("rejected_count"), F.min(epoch("ts")).alias("started_epoch")
+    )
+    return rows.select("id", F.concat(F.lit("ats"), F.col("n").cast("string")).alias("ats_key"), "fetch_count", "accepted_count", "rejected_count", "started_epoch", F.when(F.col("day") >= 19752, "running").otherwise("done").alias("status"))
+
+
+SOURCE_RUNS_SQL = """
+SELECT day * 100 + n AS id, 'ats' || n AS ats_key, fetch_count, accepted_count, rejected_count, started_epoch, CASE WHEN day >= 19752 THEN 'running' ELSE 'done' END AS status FROM (
+  SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, user_id % 12 AS n, count(*) AS fetch_count, count(*) FILTER (event_type IN ('purchase', 'signup')) AS accepted_count, count(*) FILTER (event_type = 'error') AS rejected_count,
+    min(CAST(floor(epoch(ts)) AS BIGINT)) AS started_epoch FROM events GROUP BY 1, 2) r
+"""
+
 _SQL = {
     "postings": POSTINGS_SQL, "posting_cache": CACHE_SQL, "incoming": INCOMING_SQL, "search_events": SEARCH_EVENTS_SQL, "runs": RUNS_SQL, "run_errors": ERRORS_SQL,
-    "sync_state": SYNC_SQL, "application_state": STATE_SQL,
+    "sync_state": SYNC_SQL, "application_state": STATE_SQL, "located": LOCATED_SQL, "companies": COMPANIES_SQL, "sources": SOURCES_SQL, "source_runs": SOURCE_RUNS_SQL,
 }
 
 
@@ -248,7 +321,7 @@ def oracle(body: str) -> str:
     import re
 
     used = [v for v in _SQL if re.search(rf"\b{v}\b", body)]
-    if "posting_cache" in used and "postings" not in used:
+    if {"posting_cache", "located"} & {*used} and "postings" not in used:
         used.insert(0, "postings")
     ctes = [f"{v} AS ({_SQL[v].strip()})" for v in used]
     body = body.strip()
