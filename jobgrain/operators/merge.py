@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,41 +11,73 @@ from pyspark.sql import Window as W
 from jobgrain.functions.text import is_blank, trimmed
 
 DAY = 86_400
-#: New values that overwrite, and fields that a blank new value leaves alone.
-OVERWRITTEN, KEPT = ("company_name", "position_name", "confidence"), ("country", "department")
+#: Fields that a new value overwrites, and those that keep the old one under a blank new value. A field that a batch lacks stays as it is.
+OVERWRITTEN = ("company_name", "position_name", "apply_url", "confidence", "parser_version")
+KEPT = ("country", "region", "city", "industry", "department", "employment_type", "location_text", "posting_date", "posted_at_epoch", "source_job_id", "description_plain", "description_html", "ats_key")
 
 
 def fold_batch(batch: DataFrame) -> DataFrame:
-    """One row per URL, as if its rows had been applied one by one in the order of ``arrival``."""
-    at = lambda value, when=None: F.max_by(value, F.when(when, F.col("arrival")) if when is not None else F.col("arrival"))
-    last = [at(F.col(c)).alias(c) for c in OVERWRITTEN]
-    filled = [F.coalesce(at(F.col(c), ~is_blank(F.col(c))), F.lit("")).alias(c) for c in KEPT]
-    remote = F.coalesce(at(F.col("remote_type"), trimmed(F.col("remote_type")) != "unknown"), F.lit("unknown")).alias("remote_type")
-    return batch.groupBy("canonical_url").agg(*last, *filled, remote, F.min("seen_epoch").alias("first_seen_epoch"), F.max("seen_epoch").alias("last_seen_epoch"), F.count("*").alias("rows_in_batch"))
+    """One row per URL, as if its rows had been applied one by one in the order of ``arrival``.
+
+    ``accepted`` (all, if the batch has no such column) tells which rows passed the gate: only those give values, and the last row
+    decides whether the posting is shown.
+    """
+    rows = batch if "accepted" in batch.columns else batch.withColumn("accepted", F.lit(True))
+    ok = F.coalesce("accepted", F.lit(False))
+    at = lambda value, when: F.max_by(value, F.when(when, F.col("arrival")))
+    last = [at(F.col(c), ok).alias(c) for c in OVERWRITTEN if c in rows.columns]
+    kept = [c for c in KEPT if c in rows.columns]
+    filled = [at(F.col(c), ok & ~is_blank(F.col(c))).alias(c) for c in kept]
+    remote = F.coalesce(at(F.col("remote_type"), ok & (trimmed(F.col("remote_type")) != "unknown")), F.lit("unknown")).alias("remote_type")
+    seen = lambda f: f(F.when(ok, F.col("seen_epoch")))
+    return rows.groupBy("canonical_url").agg(
+        *last, *filled, remote, seen(F.min).alias("first_seen_epoch"), seen(F.max).alias("last_seen_epoch"), F.count("*").alias("rows_in_batch"), F.count_if(ok).alias("accepted_rows"), F.max_by(ok, "arrival").alias("shown")
+    )
 
 
 def upsert(current: DataFrame, batch: DataFrame) -> DataFrame:
-    """The next snapshot: (columns of the snapshot, change in new / updated / unhidden / same-as-before).
+    """The next snapshot: all columns of the snapshot, and change in new / updated / unhidden / hidden / untouched.
 
-    Title, company and confidence are overwritten; places and department keep the old value under a blank new one; the remote
-    type keeps it under unknown; the earliest first and the latest last sighting stay; a seen posting is shown again.
+    Title, company and confidence are overwritten; places, dates, texts and ids keep the old value under a blank new one; the remote
+    type keeps it under unknown; the earliest first and the latest last sighting stay; a seen posting is shown again. A posting whose last
+    row failed the gate is hidden, and one that never passed it does not enter. Columns that only the snapshot has stay as they are.
     """
-    n = fold_batch(batch).select("canonical_url", *[F.col(c).alias(f"n_{c}") for c in (*OVERWRITTEN, *KEPT, "remote_type", "first_seen_epoch", "last_seen_epoch")], F.lit(True).alias("seen"))
+    n = fold_batch(batch)
+    own = [c for c in (*OVERWRITTEN, *KEPT) if c in n.columns]
+    n = n.select("canonical_url", *[F.col(c).alias(f"n_{c}") for c in (*own, "remote_type", "first_seen_epoch", "last_seen_epoch")], (F.col("accepted_rows") > 0).alias("passed"), "shown", F.lit(True).alias("seen"))
     both = current.withColumn("known", F.lit(True)).join(n, "canonical_url", "full_outer")
-    seen, known = F.coalesce("seen", F.lit(False)), F.coalesce("known", F.lit(False))
-    keep = lambda c: F.when(seen & ~is_blank(F.col(f"n_{c}")), F.col(f"n_{c}")).otherwise(F.coalesce(c, F.lit("")))
-    change = F.when(seen & ~known, "new").when(seen & F.col("hidden"), "unhidden").when(seen, "updated").otherwise("untouched")
-    return both.select(
-        "canonical_url", *[F.when(seen, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in OVERWRITTEN], *[keep(c).alias(c) for c in KEPT],
-        F.when(seen & (F.col("n_remote_type") != "unknown"), F.col("n_remote_type")).otherwise(F.coalesce("remote_type", F.lit("unknown"))).alias("remote_type"),
-        F.least("first_seen_epoch", "n_first_seen_epoch").alias("first_seen_epoch"), F.greatest("last_seen_epoch", "n_last_seen_epoch").alias("last_seen_epoch"),
-        F.when(seen, F.lit(False)).otherwise(F.col("hidden")).alias("hidden"), change.alias("change"),
+    no = lambda c: F.coalesce(c, F.lit(False))
+    seen, known, passed, shown = no("seen"), no("known"), no("passed"), no("shown")
+    both = both.where(known | passed)
+
+    def value(c: str) -> Column:
+        if c == "canonical_url":
+            return F.col(c)
+        if c == "remote_type":
+            return F.when(passed & (F.col("n_remote_type") != "unknown"), F.col("n_remote_type")).otherwise(F.coalesce(c, F.lit("unknown"))).alias(c)
+        if c == "first_seen_epoch":
+            return F.least(c, f"n_{c}").alias(c)
+        if c == "last_seen_epoch":
+            return F.greatest(c, f"n_{c}").alias(c)
+        if c == "hidden":
+            return F.when(seen, ~shown).otherwise(F.col(c)).alias(c)
+        if c in own and c in OVERWRITTEN:
+            return F.when(passed, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
+        if c in own:
+            return F.when(passed & ~is_blank(F.col(f"n_{c}")), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
+        return F.col(c)
+
+    change = (
+        F.when(~seen, "untouched").when(~known, F.when(shown, "new").otherwise("new_hidden")).when(~shown, F.when(F.col("hidden"), "untouched").otherwise("hidden"))
+        .when(F.col("hidden"), "unhidden").otherwise("updated")
     )
+    return both.select(*[value(c) for c in current.columns], change.alias("change"))
 
 
 def outbox_of(merged: DataFrame) -> DataFrame:
-    """Index operations: only postings that became visible need one."""
-    return merged.where(F.col("change").isin("new", "unhidden")).select("canonical_url", F.lit("upsert").alias("operation"))
+    """Index operations: postings that became visible are written, those that were hidden are deleted."""
+    operation = F.when(F.col("change") == "hidden", "delete").otherwise("upsert")
+    return merged.where(F.col("change").isin("new", "unhidden", "hidden")).select("canonical_url", operation.alias("operation"))
 
 
 def compact_outbox(outbox: DataFrame) -> DataFrame:
@@ -58,10 +92,29 @@ def retention(postings: DataFrame, as_of: int, hot_days: int = 30, hidden_days:
     return postings.withColumn("action", action)
 
 
+#: Days that rows of a table are kept, by the time in a column.
+KEPT_DAYS = {"posting_cache": 365, "ingestion_run_errors": 90, "ingestion_runs": 365, "search_index_outbox": 7}
+
+
 def prune(rows: DataFrame, epoch: str, as_of: int, days: int) -> DataFrame:
+    """The rows whose time is no older than so many days; rows without a time go."""
     return rows.where(F.coalesce(epoch, F.lit(0)) >= as_of - days * DAY)
 
 
+def pruned_counts(tables: dict[str, tuple[DataFrame, str]], as_of: int) -> DataFrame:
+    """Rows that each table keeps and loses (tables: name -> rows, time column)."""
+    parts = []
+    for name, (rows, epoch) in tables.items():
+        old = F.coalesce(epoch, F.lit(0)) < as_of - KEPT_DAYS[name] * DAY
+        parts.append(rows.agg(F.lit(name).alias("name"), F.count_if(~old).alias("kept"), F.count_if(old).alias("deleted")))
+    return reduce(DataFrame.union, parts)
+
+
+def date_window(rows: DataFrame, epoch: str, start: int, end: int) -> DataFrame:
+    """The rows inside [start, end), for a snapshot of a date window."""
+    return rows.where((F.col(epoch) >= start) & (F.col(epoch) < end))
+
+
 def change_log(before: DataFrame, after: DataFrame, fields: list[str]) -> DataFrame:
     """Images of what changed: (canonical_url, change_type, before, after)."""
     image = lambda df, name: df.select("canonical_url", F.struct(*fields).alias(name))

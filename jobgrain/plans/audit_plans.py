@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from jobgrain.operators import audit as A
 from jobgrain.plans.registry import query
-from jobgrain.sources.views import AS_OF, EVENTS_AS_OF, errors, posting_cache, postings, runs, sync_state
+from jobgrain.sources.views import AS_OF, EARLIER, EVENTS_AS_OF, errors, posting_cache, postings, runs, sync_state
 
 _REASON = (
     "CASE WHEN http_status = 429 THEN 'rate_limited' WHEN http_status IN (401, 403) THEN 'blocked' WHEN http_status IN (404, 410) THEN 'not_found' WHEN http_status >= 500 THEN 'server_error' "
@@ -139,26 +139,26 @@ def j4_q8_dashboard(spark, sf_dir):
 
 @query("""
 WITH h AS (SELECT * FROM postings WHERE source_job_id <> '')
-SELECT a.canonical_url, arg_max(b.canonical_url, row(b.last_seen_epoch, -b.posting_no)) AS duplicate_of FROM h a JOIN h b ON a.ats_key = b.ats_key AND a.source_job_id = b.source_job_id
-AND a.canonical_url <> b.canonical_url GROUP BY 1 HAVING count(*) = 1
+SELECT a.canonical_url, b.canonical_url AS duplicate_of FROM h a JOIN h b ON a.ats_key = b.ats_key AND a.source_job_id = b.source_job_id AND a.canonical_url <> b.canonical_url
+QUALIFY row_number() OVER (PARTITION BY a.canonical_url ORDER BY b.last_seen_epoch DESC, b.canonical_url) = 1
 """)
 def j9_duplicate_of(spark, sf_dir):
-    """Groups of every size that share a source id. The SQL covers groups of two only."""
+    """Groups of every size that share a source id."""
     return A.duplicate_of(postings(spark, sf_dir))
 
 
 @query("""
-SELECT canonical_url FROM postings a WHERE posting_no % 3 = 0 AND EXISTS (SELECT 1 FROM postings v WHERE NOT v.hidden AND lower(v.company_name) = lower(a.company_name)
+SELECT canonical_url FROM postings a WHERE EXISTS (SELECT 1 FROM postings v WHERE NOT v.hidden AND lower(v.company_name) = lower(a.company_name)
   AND lower(v.position_name) = lower(a.position_name) AND v.canonical_url <> a.canonical_url AND v.last_seen_epoch BETWEEN a.last_seen_epoch - 60 * 86400 AND a.last_seen_epoch)
 """)
 def j8_title_duplicates(spark, sf_dir):
     """J8."""
     rows = postings(spark, sf_dir)
-    return A.recent_title_duplicates(rows.where("posting_no % 3 = 0"), rows.where("not hidden"), 60).select("canonical_url")
+    return A.recent_title_duplicates(rows, rows.where("not hidden"), 60).select("canonical_url")
 
 
-@query("""
-WITH k AS (SELECT * FROM postings WHERE posting_no % 2 = 0), c AS (SELECT posting_no AS candidate_id, ats_key, source_job_id, canonical_url, company_name, position_name FROM postings WHERE posting_no % 5 < 3),
+@query(f"""
+WITH k AS (SELECT * FROM postings WHERE first_seen_epoch < {EARLIER}), c AS (SELECT posting_no AS candidate_id, ats_key, source_job_id, canonical_url, company_name, position_name FROM postings),
 m AS (SELECT candidate_id, ats_key, CASE WHEN source_job_id <> '' AND EXISTS (SELECT 1 FROM k WHERE k.ats_key = c.ats_key AND k.source_job_id = c.source_job_id) THEN 'source_id'
   WHEN EXISTS (SELECT 1 FROM k WHERE k.canonical_url = c.canonical_url) THEN 'url'
   WHEN EXISTS (SELECT 1 FROM k WHERE lower(k.company_name) = lower(c.company_name) AND lower(k.position_name) = lower(c.position_name)) THEN 'title' ELSE 'net_new' END AS match FROM c)
@@ -167,18 +167,18 @@ SELECT ats_key, match, count(*) AS total FROM m GROUP BY 1, 2
 def j10_a29_net_new(spark, sf_dir):
     """J10, A29."""
     rows = postings(spark, sf_dir)
-    found = A.classify_candidates(rows.where("posting_no % 5 < 3").withColumnRenamed("posting_no", "candidate_id"), rows.where("posting_no % 2 = 0"))
+    found = A.classify_candidates(rows.withColumnRenamed("posting_no", "candidate_id"), rows.where(F.col("first_seen_epoch") < EARLIER))
     return found.groupBy("ats_key", "match").agg(F.count("*").alias("total"))
 
 
-@query("""
-SELECT canonical_url, 'missing' AS side FROM postings WHERE posting_no % 9 = 0 AND NOT hidden
-UNION ALL SELECT canonical_url, 'extra' FROM postings WHERE hidden AND posting_no % 9 <> 0
+@query(f"""
+SELECT canonical_url, 'missing' AS side FROM postings WHERE first_seen_epoch >= {EARLIER} AND NOT hidden
+UNION ALL SELECT canonical_url, 'extra' FROM postings WHERE hidden AND first_seen_epoch < {EARLIER}
 """)
 def j12_o3_store_diff(spark, sf_dir):
     """What an index lacks, and what it should not hold."""
     rows = postings(spark, sf_dir)
-    return A.diff_ids(rows.where("not hidden"), rows.where("posting_no % 9 <> 0"), "canonical_url")
+    return A.diff_ids(rows.where("not hidden"), rows.where(F.col("first_seen_epoch") < EARLIER), "canonical_url")
 
 
 @query("""

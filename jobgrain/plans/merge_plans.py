@@ -6,48 +6,57 @@ from pyspark.sql import functions as F
 
 from jobgrain.operators import merge as M
 from jobgrain.plans.registry import query
-from jobgrain.sources.views import AS_OF, incoming, posting_cache, postings
-
-_FOLD = """
-f AS (SELECT canonical_url, arg_max(company_name, arrival) AS company_name, arg_max(position_name, arrival) AS position_name, arg_max(confidence, arrival) AS confidence,
-  coalesce(arg_max(country, arrival) FILTER (trim(country) <> ''), '') AS country, coalesce(arg_max(department, arrival) FILTER (trim(department) <> ''), '') AS department,
-  coalesce(arg_max(remote_type, arrival) FILTER (remote_type <> 'unknown'), 'unknown') AS remote_type, min(seen_epoch) AS first_seen_epoch, max(seen_epoch) AS last_seen_epoch, count(*) AS rows_in_batch
-  FROM incoming GROUP BY 1)"""
-_SNAP = "p AS (SELECT canonical_url, company_name, position_name, confidence, country, '' AS department, remote_type, first_seen_epoch, last_seen_epoch, hidden FROM postings WHERE posting_no % 3 <> 0)"
+from jobgrain.sources.views import AS_OF, EARLIER, EVENTS_AS_OF, application_state, errors, incoming, posting_cache, postings, runs, sync_state
+
+_OK = "NOT (department = '' AND country = '')"
+_BATCH = f"b AS (SELECT *, {_OK} AS accepted FROM incoming)"
+_FOLD = f"""
+{_BATCH},
+f AS (SELECT canonical_url, arg_max(company_name, arrival) FILTER (accepted) AS company_name, arg_max(position_name, arrival) FILTER (accepted) AS position_name, arg_max(confidence, arrival) FILTER (accepted) AS confidence,
+  arg_max(country, arrival) FILTER (accepted AND trim(country) <> '') AS country, arg_max(department, arrival) FILTER (accepted AND trim(department) <> '') AS department,
+  coalesce(arg_max(remote_type, arrival) FILTER (accepted AND remote_type <> 'unknown'), 'unknown') AS remote_type, min(seen_epoch) FILTER (accepted) AS first_seen_epoch, max(seen_epoch) FILTER (accepted) AS last_seen_epoch, count(*) AS rows_in_batch,
+  count(*) FILTER (accepted) AS accepted_rows, arg_max(accepted, arrival) AS shown FROM b GROUP BY 1)"""
+_SNAP = f"p AS (SELECT canonical_url, company_name, position_name, confidence, country, region, city, location_text, '' AS department, remote_type, first_seen_epoch, last_seen_epoch, hidden, description_plain, posting_no FROM postings WHERE first_seen_epoch < {EARLIER})"
+_NEW = "f.accepted_rows > 0"
 _UPSERT = f"""
 WITH {_FOLD}, {_SNAP}
-SELECT coalesce(p.canonical_url, f.canonical_url) AS canonical_url, CASE WHEN f.canonical_url IS NOT NULL THEN f.company_name ELSE p.company_name END AS company_name,
-  CASE WHEN f.canonical_url IS NOT NULL THEN f.position_name ELSE p.position_name END AS position_name, CASE WHEN f.canonical_url IS NOT NULL THEN f.confidence ELSE p.confidence END AS confidence,
-  CASE WHEN trim(coalesce(f.country, '')) <> '' THEN f.country ELSE coalesce(p.country, '') END AS country, CASE WHEN trim(coalesce(f.department, '')) <> '' THEN f.department ELSE coalesce(p.department, '') END AS department,
-  CASE WHEN f.remote_type <> 'unknown' THEN f.remote_type ELSE coalesce(p.remote_type, 'unknown') END AS remote_type,
+SELECT coalesce(p.canonical_url, f.canonical_url) AS canonical_url, CASE WHEN {_NEW} THEN f.company_name ELSE p.company_name END AS company_name,
+  CASE WHEN {_NEW} THEN f.position_name ELSE p.position_name END AS position_name, CASE WHEN {_NEW} THEN f.confidence ELSE p.confidence END AS confidence,
+  CASE WHEN {_NEW} AND trim(coalesce(f.country, '')) <> '' THEN f.country ELSE p.country END AS country, p.region, p.city, p.location_text, CASE WHEN {_NEW} AND trim(coalesce(f.department, '')) <> '' THEN f.department ELSE p.department END AS department,
+  CASE WHEN {_NEW} AND f.remote_type <> 'unknown' THEN f.remote_type ELSE coalesce(p.remote_type, 'unknown') END AS remote_type,
   least(p.first_seen_epoch, f.first_seen_epoch) AS first_seen_epoch, greatest(p.last_seen_epoch, f.last_seen_epoch) AS last_seen_epoch,
-  CASE WHEN f.canonical_url IS NOT NULL THEN false ELSE p.hidden END AS hidden,
-  CASE WHEN p.canonical_url IS NULL THEN 'new' WHEN f.canonical_url IS NULL THEN 'untouched' WHEN p.hidden THEN 'unhidden' ELSE 'updated' END AS change
-FROM p FULL JOIN f ON p.canonical_url = f.canonical_url
+  CASE WHEN f.canonical_url IS NOT NULL THEN NOT shown ELSE p.hidden END AS hidden, p.description_plain, p.posting_no,
+  CASE WHEN f.canonical_url IS NULL THEN 'untouched' WHEN p.canonical_url IS NULL THEN CASE WHEN shown THEN 'new' ELSE 'new_hidden' END WHEN NOT shown THEN CASE WHEN p.hidden THEN 'untouched' ELSE 'hidden' END WHEN p.hidden THEN 'unhidden' ELSE 'updated' END AS change
+FROM p FULL JOIN f ON p.canonical_url = f.canonical_url WHERE p.canonical_url IS NOT NULL OR {_NEW}
 """
 
 
 def snapshot(spark, sf_dir):
-    rows = postings(spark, sf_dir).where("posting_no % 3 <> 0").withColumn("department", F.lit(""))
-    return rows.select("canonical_url", *M.OVERWRITTEN, *M.KEPT, "remote_type", "first_seen_epoch", "last_seen_epoch", "hidden")
+    rows = postings(spark, sf_dir).where(F.col("first_seen_epoch") < EARLIER).withColumn("department", F.lit(""))
+    return rows.select("canonical_url", "company_name", "position_name", "confidence", "country", "region", "city", "location_text", "department", "remote_type", "first_seen_epoch", "last_seen_epoch", "hidden", "description_plain", "posting_no")
+
+
+def gated(spark, sf_dir):
+    """The landed batch with the gate's decision on each row."""
+    return incoming(spark, sf_dir).withColumn("accepted", ~((F.col("department") == "") & (F.col("country") == "")))
 
 
 @query(f"WITH {_FOLD} SELECT * FROM f")
 def m1_fold_batch(spark, sf_dir):
     """M1's batch, folded in arrival order."""
-    return M.fold_batch(incoming(spark, sf_dir))
+    return M.fold_batch(gated(spark, sf_dir))
 
 
 @query(_UPSERT)
 def m1_upsert(spark, sf_dir):
-    """M1, M2, S6."""
-    return M.upsert(snapshot(spark, sf_dir), incoming(spark, sf_dir))
+    """Rows that fail the gate hide, the snapshot's other columns stay."""
+    return M.upsert(snapshot(spark, sf_dir), gated(spark, sf_dir))
 
 
-@query(_UPSERT.replace("SELECT coalesce(p.canonical_url, f.canonical_url) AS canonical_url, CASE", "SELECT canonical_url, 'upsert' AS operation FROM (SELECT coalesce(p.canonical_url, f.canonical_url) AS canonical_url, CASE", 1).rstrip() + ") u WHERE change IN ('new', 'unhidden')")
+@query(f"SELECT canonical_url, CASE change WHEN 'hidden' THEN 'delete' ELSE 'upsert' END AS operation FROM ({_UPSERT}) u WHERE change IN ('new', 'unhidden', 'hidden')")
 def m3_outbox(spark, sf_dir):
-    """M3."""
-    return M.outbox_of(M.upsert(snapshot(spark, sf_dir), incoming(spark, sf_dir)))
+    """M2, M3: writes for rows that became visible, deletes for rows that were hidden."""
+    return M.outbox_of(M.upsert(snapshot(spark, sf_dir), gated(spark, sf_dir)))
 
 
 @query("""
@@ -67,29 +76,30 @@ SELECT ats_key, CASE WHEN hidden AND last_seen_epoch < {AS_OF} - 180 * 86400 THE
 FROM postings GROUP BY 1, 2
 """)
 def m5_retention(spark, sf_dir):
-    """M5, M6."""
+    """M5: postings."""
     return M.retention(postings(spark, sf_dir), AS_OF).groupBy("ats_key", "action").agg(F.count("*").alias("total"))
 
 
 _NEXT = """
-b AS (SELECT canonical_url, country, CASE WHEN posting_no % 4 = 0 THEN '' ELSE region END AS region FROM postings WHERE posting_no % 10 <> 0
-  UNION ALL SELECT canonical_url || '/new', country, region FROM postings WHERE posting_no % 50 = 0), a AS (SELECT canonical_url, country, region FROM postings)"""
+b AS (SELECT canonical_url, ats_key, country, CASE WHEN confidence < 0.25 THEN '' ELSE region END AS region FROM postings WHERE NOT hidden
+  UNION ALL SELECT canonical_url || '/new', ats_key, country, region FROM postings WHERE confidence = 0.5), a AS (SELECT canonical_url, ats_key, country, region FROM postings)"""
 
 
 def _after(rows):
-    kept = rows.where("posting_no % 10 <> 0").select("canonical_url", "country", F.when(F.col("posting_no") % 4 == 0, "").otherwise(F.col("region")).alias("region"))
-    return kept.union(rows.where("posting_no % 50 = 0").select(F.concat("canonical_url", F.lit("/new")), "country", "region"))
+    kept = rows.where("not hidden").select("canonical_url", "ats_key", "country", F.when(F.col("confidence") < 0.25, "").otherwise(F.col("region")).alias("region"))
+    return kept.union(rows.where("confidence = 0.5").select(F.concat("canonical_url", F.lit("/new")), "ats_key", "country", "region"))
 
 
 @query(f"""
 WITH {_NEXT}
-SELECT CASE WHEN a.canonical_url IS NULL THEN 'created' WHEN b.canonical_url IS NULL THEN 'deleted' ELSE 'updated' END AS change_type, count(*) AS total
-FROM a FULL JOIN b ON a.canonical_url = b.canonical_url WHERE a.canonical_url IS NULL OR b.canonical_url IS NULL OR a.country IS DISTINCT FROM b.country OR a.region IS DISTINCT FROM b.region GROUP BY 1
+SELECT coalesce(a.canonical_url, b.canonical_url) AS canonical_url, CASE WHEN a.canonical_url IS NULL THEN 'created' WHEN b.canonical_url IS NULL THEN 'deleted' ELSE 'updated' END AS change_type, a.country || '/' || a.region AS before, b.country || '/' || b.region AS after
+FROM a FULL JOIN b ON a.canonical_url = b.canonical_url WHERE a.canonical_url IS NULL OR b.canonical_url IS NULL OR a.country IS DISTINCT FROM b.country OR a.region IS DISTINCT FROM b.region
 """)
 def q16_change_log(spark, sf_dir):
-    """The audit log of a run."""
+    """Q16: the audit log of a run, with the images."""
     rows = postings(spark, sf_dir)
-    return M.change_log(rows, _after(rows), ["country", "region"]).groupBy("change_type").agg(F.count("*").alias("total"))
+    image = lambda c: F.concat(F.col(f"{c}.country"), F.lit("/"), F.col(f"{c}.region")).alias(c)
+    return M.change_log(rows, _after(rows), ["country", "region"]).select("canonical_url", "change_type", image("before"), image("after"))
 
 
 @query("SELECT canonical_url, country, region FROM postings")
@@ -100,18 +110,58 @@ def q16_rollback(spark, sf_dir):
     return M.rollback(after, M.change_log(rows, after, ["country", "region"]), ["country", "region"])
 
 
-@query("""
-WITH n AS (SELECT canonical_url, validation_status, CASE WHEN posting_no % 7 = 0 THEN 'v9' ELSE parser_version END AS parser_version FROM posting_cache WHERE posting_no % 2 = 0),
-o AS (SELECT canonical_url, validation_status, parser_version FROM posting_cache WHERE posting_no % 5 <> 0)
-SELECT CASE WHEN o.canonical_url IS NULL THEN 'new' WHEN o.parser_version = n.parser_version AND o.validation_status = n.validation_status THEN 'same' ELSE 'changed' END AS change, count(*) AS total
-FROM n LEFT JOIN o USING (canonical_url) GROUP BY 1
+_CACHED = ("validation_status", "validation_error", "parser_version", "company_name", "position_name", "source_job_id", "confidence", "raw_payload_hash")
+_SAME = " AND ".join(f"o.{c} IS NOT DISTINCT FROM n.{c}" for c in _CACHED)
+
+
+@query(f"""
+WITH n AS (SELECT * REPLACE (CASE WHEN confidence < 0.1 THEN 'v9' ELSE parser_version END AS parser_version, CASE WHEN hidden THEN md5(raw_payload_hash) ELSE raw_payload_hash END AS raw_payload_hash) FROM posting_cache),
+o AS (SELECT * FROM posting_cache WHERE last_seen_epoch < {EARLIER})
+SELECT n.canonical_url, CASE WHEN o.canonical_url IS NULL THEN 'new' WHEN {_SAME} THEN 'same' ELSE 'changed' END AS change FROM n LEFT JOIN o ON n.canonical_url = o.canonical_url
 """)
 def m4_cache_changes(spark, sf_dir):
-    """M4."""
+    """M4: eight compared fields."""
     cache = posting_cache(spark, sf_dir)
-    batch = cache.where("posting_no % 2 = 0").withColumn("parser_version", F.when(F.col("posting_no") % 7 == 0, "v9").otherwise(F.col("parser_version")))
-    changes = M.cache_changes(cache.where("posting_no % 5 <> 0"), batch, "canonical_url", ["validation_status", "parser_version"])
-    return changes.groupBy("change").agg(F.count("*").alias("total"))
+    batch = cache.withColumns({"parser_version": F.when(F.col("confidence") < 0.1, "v9").otherwise(F.col("parser_version")), "raw_payload_hash": F.when(F.col("hidden"), F.md5("raw_payload_hash")).otherwise(F.col("raw_payload_hash"))})
+    return M.cache_changes(cache.where(F.col("last_seen_epoch") < EARLIER), batch, "canonical_url", list(_CACHED)).select("canonical_url", "change")
+
+
+@query(f"""
+SELECT 'posting_cache' AS name, count(*) FILTER (last_seen_epoch >= {AS_OF} - 365 * 86400) AS kept, count(*) FILTER (last_seen_epoch < {AS_OF} - 365 * 86400) AS deleted FROM posting_cache
+UNION ALL SELECT 'ingestion_run_errors', count(*) FILTER (created_epoch >= {EVENTS_AS_OF} + 80 * 86400 - 90 * 86400), count(*) FILTER (created_epoch < {EVENTS_AS_OF} + 80 * 86400 - 90 * 86400) FROM run_errors
+UNION ALL SELECT 'ingestion_runs', count(*) FILTER (started_epoch >= {EVENTS_AS_OF} + 80 * 86400 - 365 * 86400), count(*) FILTER (started_epoch < {EVENTS_AS_OF} + 80 * 86400 - 365 * 86400) FROM runs
+""")
+def m5_m6_pruned_tables(spark, sf_dir):
+    """M5, M6: cache, errors and runs by their own days."""
+    c = M.pruned_counts({"posting_cache": (posting_cache(spark, sf_dir), "last_seen_epoch")}, AS_OF)
+    return c.union(M.pruned_counts({"ingestion_run_errors": (errors(spark, sf_dir), "created_epoch"), "ingestion_runs": (runs(spark, sf_dir), "started_epoch")}, EVENTS_AS_OF + 80 * 86_400))
+
+
+@query(f"SELECT canonical_url FROM posting_cache WHERE last_seen_epoch >= {AS_OF} - 365 * 86400 AND last_seen_epoch >= {AS_OF} - 800 * 86400 AND last_seen_epoch < {AS_OF} - 100 * 86400")
+def m6_date_window(spark, sf_dir):
+    """M6: what a date window keeps of the pruned cache."""
+    return M.date_window(M.prune(posting_cache(spark, sf_dir), "last_seen_epoch", AS_OF, 365), "last_seen_epoch", AS_OF - 800 * 86_400, AS_OF - 100 * 86_400).select("canonical_url")
+
+
+@query("""
+WITH u AS (SELECT ats_key, company_url, max(created_epoch) AS last_failure_epoch, CAST(count(*) AS INTEGER) AS failures FROM run_errors GROUP BY 1, 2)
+SELECT company_url, CASE WHEN u.company_url IS NOT NULL THEN u.last_failure_epoch ELSE s.last_failure_epoch END AS last_failure_epoch, CASE WHEN u.company_url IS NOT NULL THEN u.failures ELSE s.consecutive_failures END AS consecutive_failures FROM sync_state s FULL JOIN u USING (company_url)
+""")
+def m8_sync_state(spark, sf_dir):
+    """M8: failures merged into the sync state."""
+    updates = errors(spark, sf_dir).groupBy("company_url").agg(F.max("created_epoch").alias("last_failure_epoch"), F.count("*").cast("int").alias("consecutive_failures"))
+    return M.merge_state(sync_state(spark, sf_dir), updates, "company_url", ["last_failure_epoch", "consecutive_failures"])
+
+
+@query("""
+WITH u AS (SELECT 'https://jobs.example/p/' || l_orderkey AS canonical_url, bool_or(l_returnflag = 'R') AS applied, bool_or(l_returnflag = 'A') AS ignored FROM lineitem GROUP BY 1)
+SELECT canonical_url, CASE WHEN u.canonical_url IS NOT NULL THEN u.applied ELSE s.applied END AS applied, CASE WHEN u.canonical_url IS NOT NULL THEN u.ignored ELSE s.ignored END AS ignored FROM application_state s FULL JOIN u USING (canonical_url)
+""")
+def m9_m10_application_state(spark, sf_dir):
+    """A user's marks merged into the overlay."""
+    marks = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.concat(F.lit("https://jobs.example/p/"), F.col("l_orderkey").cast("string")).alias("canonical_url"))
+    updates = marks.agg(F.bool_or(F.col("l_returnflag") == "R").alias("applied"), F.bool_or(F.col("l_returnflag") == "A").alias("ignored"))
+    return M.merge_state(application_state(spark, sf_dir), updates, "canonical_url", ["applied", "ignored"])
 
 
 @query("""

@@ -8,7 +8,7 @@ from jobgrain.functions.text import search_text
 from jobgrain.operators import extract as X
 from jobgrain.operators import planning as P
 from jobgrain.plans.registry import query
-from jobgrain.sources.views import EVENTS_AS_OF, errors, posting_cache, postings, search_events, sync_state, table
+from jobgrain.sources.views import EARLIER, EVENTS_AS_OF, errors, posting_cache, postings, search_events, sync_state, table
 
 _SCAN = """
 s AS (SELECT ats_key, parser_version, count(*) AS rows_parsed, count(*) FILTER (validation_status = 'valid') AS clean, count(*) FILTER (validation_status = 'quarantined') AS quarantined,
@@ -84,14 +84,14 @@ def a38_reason_groups(spark, sf_dir):
     return P.reason_groups(errors(spark, sf_dir))
 
 
-@query("""
-WITH a AS (SELECT country, count(*) AS expected FROM postings WHERE NOT hidden GROUP BY 1), b AS (SELECT country, count(*) AS actual FROM postings WHERE posting_no % 9 <> 0 GROUP BY 1)
+@query(f"""
+WITH a AS (SELECT country, count(*) AS expected FROM postings WHERE NOT hidden GROUP BY 1), b AS (SELECT country, count(*) AS actual FROM postings WHERE first_seen_epoch < {EARLIER} GROUP BY 1)
 SELECT country, coalesce(expected, 0) AS expected, coalesce(actual, 0) AS actual, coalesce(actual, 0) - coalesce(expected, 0) AS delta FROM a FULL JOIN b USING (country) WHERE coalesce(actual, 0) <> coalesce(expected, 0)
 """)
 def a28_facet_delta(spark, sf_dir):
     """A28."""
     rows = postings(spark, sf_dir)
-    return P.facet_delta(rows.where("not hidden"), rows.where("posting_no % 9 <> 0"), "country")
+    return P.facet_delta(rows.where("not hidden"), rows.where(F.col("first_seen_epoch") < EARLIER), "country")
 
 
 @query("""
@@ -149,17 +149,17 @@ def a41_place_options(spark, sf_dir):
 
 @query("""
 WITH a AS (SELECT CAST(row_number() OVER (ORDER BY last_seen_epoch DESC, canonical_url) AS INTEGER) AS position, canonical_url AS expected FROM postings WHERE NOT hidden QUALIFY position <= 50),
-b AS (SELECT CAST(row_number() OVER (ORDER BY last_seen_epoch DESC, canonical_url) AS INTEGER) AS position, canonical_url AS actual FROM postings WHERE NOT hidden AND posting_no % 10 <> 3 QUALIFY position <= 50)
+b AS (SELECT CAST(row_number() OVER (ORDER BY last_seen_epoch DESC, canonical_url) AS INTEGER) AS position, canonical_url AS actual FROM postings WHERE NOT hidden AND remote_type <> 'unknown' QUALIFY position <= 50)
 SELECT coalesce(a.position, b.position) AS position, expected, actual FROM a FULL JOIN b ON a.position = b.position WHERE expected IS DISTINCT FROM actual
 """)
 def o5_q21_top_lists(spark, sf_dir):
     """O5, Q21."""
     rows = postings(spark, sf_dir).where("not hidden")
-    return P.top_list_mismatches(rows, rows.where("posting_no % 10 <> 3"), [F.desc("last_seen_epoch"), F.asc("canonical_url")], 50)
+    return P.top_list_mismatches(rows, rows.where("remote_type <> 'unknown'"), [F.desc("last_seen_epoch"), F.asc("canonical_url")], 50)
 
 
-@query("""
-WITH i AS (SELECT canonical_url, CASE WHEN posting_no % 21 = 0 THEN 'old' ELSE company_name END AS indexed FROM postings WHERE posting_no % 10 <> 0 UNION ALL SELECT canonical_url || '/gone', 'x' FROM postings WHERE posting_no % 100 = 7),
+@query(f"""
+WITH i AS (SELECT canonical_url, CASE WHEN confidence >= 0.9 THEN 'old' ELSE company_name END AS indexed FROM postings WHERE first_seen_epoch < {EARLIER} UNION ALL SELECT canonical_url || '/gone', 'x' FROM postings WHERE city = ''),
 j AS (SELECT coalesce(p.canonical_url, i.canonical_url) AS canonical_url, p.canonical_url AS k, i.canonical_url AS t, hidden, company_name, indexed FROM postings p FULL JOIN i ON p.canonical_url = i.canonical_url)
 SELECT canonical_url, CASE WHEN k IS NULL OR (t IS NOT NULL AND hidden) THEN 'delete' ELSE 'upsert' END AS action, CASE WHEN k IS NULL THEN 'absent' WHEN t IS NOT NULL AND hidden THEN 'hidden' WHEN t IS NULL THEN 'missing' ELSE 'changed' END AS reason
 FROM j WHERE k IS NULL OR (t IS NOT NULL AND hidden) OR (t IS NULL AND NOT hidden) OR (t IS NOT NULL AND company_name <> indexed)
@@ -167,8 +167,8 @@ FROM j WHERE k IS NULL OR (t IS NOT NULL AND hidden) OR (t IS NULL AND NOT hidde
 def q22_index_repairs(spark, sf_dir):
     """Q22, J12."""
     rows = postings(spark, sf_dir)
-    index = rows.where("posting_no % 10 <> 0").select("canonical_url", F.when(F.col("posting_no") % 21 == 0, "old").otherwise(F.col("company_name")).alias("company_name"))
-    return P.index_repairs(rows, index.union(rows.where("posting_no % 100 = 7").select(F.concat("canonical_url", F.lit("/gone")), F.lit("x"))))
+    index = rows.where(F.col("first_seen_epoch") < EARLIER).select("canonical_url", F.when(F.col("confidence") >= 0.9, "old").otherwise(F.col("company_name")).alias("company_name"))
+    return P.index_repairs(rows, index.union(rows.where("city = ''").select(F.concat("canonical_url", F.lit("/gone")), F.lit("x"))))
 
 
 def _payloads(spark, sf_dir):
@@ -187,13 +187,24 @@ def q11_t23_drift(spark, sf_dir):
     return P.drift_events(seen).groupBy("ats_key", "parser_version").agg(F.count("*").alias("drifted"))
 
 
-@query("""
-WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z]+://[^/]*', '') AS path, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host FROM pages)
-SELECT page_id, host, CASE WHEN lower(regexp_extract(path, '([^/]+)/*$', 1)) IN ('jobs', 'careers', 'employment', 'job-opening.php') THEN '' ELSE regexp_extract(path, '([^/]+)/*$', 1) END AS source_id, '' AS system FROM p
+#: URLs as systems write them, with the system and the id that each tells.
+_POSTED = (
+    ("https://acme.wd5.myworkdayjobs.com/en/job/Bonn/Clerk_R12", "workday", "Clerk_R12"), ("https://jobs.ashbyhq.com/acme/7f-1", "ashby", "7f-1"), ("https://boards.greenhouse.io/acme/jobs/4455?gh_src=x", "greenhouse", "4455"),
+    ("https://jobs.lever.co/acme/ab12/", "lever", "ab12"), ("https://acme.recruitee.com/o/clerk", "recruitee", "clerk"), ("https://recruiting.ultipro.com/ACME/JobBoard/9/", "ultipro", "9"), ("https://acme.taleo.net/careersection/2/jobdetail.ftl", "taleo", "jobdetail.ftl"),
+    ("https://jobs.jobvite.com/acme/job/oX1", "jobvite", "oX1"), ("https://acme.icims.com/jobs/991/clerk/job", "icims", "991"), ("https://acme.breezy.hr/p/11-clerk", "breezy", "11-clerk"), ("https://acme.bamboohr.com/careers/31", "bamboohr", "31"),
+    ("https://www.governmentjobs.com/jobs/3312-0/clerk", "governmentjobs", "3312"), ("https://jobs.smartrecruiters.com/Acme/743-clerk#top", "smartrecruiters", "743-clerk"), ("https://www.usajobs.gov/job/80", "usajobs", "80"), ("https://acme.teamtailor.com/jobs/55-clerk", "teamtailor", "55"),
+    ("https://ats.rippling.com/acme/jobs/x-0a", "rippling", "x-0a"), ("https://acme.example/careers", "", ""), ("https://acme.example/jobs/", "", ""), ("", "", ""),
+)
+
+
+@query(f"""
+WITH u AS (SELECT page_id, [{', '.join(f"'{u}'" for u, _, _ in _POSTED)}][page_id % {len(_POSTED)} + 1] AS posted, [{', '.join(f"'{s}'" for _, s, _ in _POSTED)}][page_id % {len(_POSTED)} + 1] AS system, [{', '.join(f"'{i}'" for _, _, i in _POSTED)}][page_id % {len(_POSTED)} + 1] AS source_id, url FROM pages)
+SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host, system, source_id FROM u
 """)
 def t9_t10_url_facts(spark, sf_dir):
-    """T9, T10."""
-    return table(spark, sf_dir, "pages").select("page_id", X.host_of(F.col("url")).alias("host"), X.source_job_id(F.col("url")).alias("source_id"), X.source_of_url(F.col("url")).alias("system"))
+    """System and id of posting URLs, host of page URLs."""
+    posted = F.element_at(F.array(*[F.lit(u) for u, _, _ in _POSTED]), (F.col("page_id") % len(_POSTED) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", X.host_of(F.col("url")).alias("host"), X.source_of_url(posted).alias("system"), X.source_job_id(posted).alias("source_id"))
 
 
 _WORDS = "string_split(trim(regexp_replace(lower(position_name), '[^a-z0-9]+', ' ', 'g')), ' ')"
@@ -232,7 +243,15 @@ def t6_fuzzy_terms(spark, sf_dir):
     return X.fuzzy_terms(words, asked)
 
 
-@query("SELECT DISTINCT query_normalized AS value FROM search_events WHERE regexp_matches(query_normalized, '^q1')")
+_NAMES = "(SELECT DISTINCT trim(regexp_replace(lower(position_name), '[^a-z0-9]+', ' ', 'g')) AS value FROM postings WHERE position_name <> '')"
+
+
+@query(f"""
+SELECT value FROM {_NAMES} n WHERE value LIKE '%urg%' AND value LIKE '%mach%' AND list_position(string_split(value, ' '), list_filter(string_split(value, ' '), lambda w: w LIKE 'mach%' OR w LIKE '%mach%')[1]) < list_position(string_split(value, ' '), list_filter(string_split(value, ' '), lambda w: w LIKE 'urg%')[1])
+UNION ALL SELECT value || '#2' FROM {_NAMES} n WHERE value LIKE '%1 ur%'
+""")
 def k6_prefix_suggestions(spark, sf_dir):
-    """K6."""
-    return search_events(spark, sf_dir).select(F.col("query_normalized").alias("value")).distinct().where(P.prefix_match(F.col("value"), "q1"))
+    """K6: words in order, inside a word from four letters on; signs of a query are plain letters."""
+    names = postings(spark, sf_dir).where("position_name <> ''").select(search_text(F.col("position_name")).alias("value")).distinct()
+    first, second = names.where(P.prefix_match(F.col("value"), "mach urg")), names.where(P.prefix_match(F.col("value"), "1 ur"))
+    return first.union(second.select(F.concat("value", F.lit("#2")))).union(names.where(P.prefix_match(F.col("value"), "(mach")))

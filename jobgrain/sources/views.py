@@ -14,6 +14,8 @@ AS_OF = 999_302_400
 #: 2024-01-31, the day after the last event.
 EVENTS_AS_OF = 1_706_659_200
 DAY = 86_400
+#: Postings first seen before this time stand for an earlier state of a store.
+EARLIER = AS_OF - 1_500 * DAY
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

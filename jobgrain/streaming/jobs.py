@@ -46,7 +46,7 @@ def outbox_sink(apply: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
 def ingest_sink(root: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch: merge each batch into the newest snapshot under ``root`` as a new version.
 
-    A batch that is run again after a failure writes its own version again, from the same predecessor.
+    All columns of the snapshot stay. A batch that is run again after a failure writes its own version again, from the same predecessor.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
