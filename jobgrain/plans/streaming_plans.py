@@ -53,3 +53,40 @@ HAVING max(t) / 1000000.0 + 1800 <= (SELECT max(epoch(ts)) - 7200 FROM events WH
 def st7_sessions(spark, sf_dir):
     """ST7."""
     return jobs.run_to_table(jobs.sessions(event_stream(spark, sf_dir)), spark, "sessions")
+
+
+_ATTENTION = "e_type LIKE 'parser%'"
+
+
+@query(f"""
+WITH h AS (SELECT ats_key, created_epoch, error_type AS e_type, unnest(range(0, 24)) AS k, CAST(floor(created_epoch / 3600) * 3600 AS BIGINT) AS hour FROM run_errors)
+SELECT hour + (k + 1) * 3600 AS until_epoch, ats_key, count(*) AS failures, count(*) FILTER ({_ATTENTION}) AS attention, round(count(*) FILTER ({_ATTENTION}) * 100 / count(*), 2) AS attention_percent
+FROM h GROUP BY 1, 2 HAVING until_epoch <= (SELECT max(epoch(ts)) - 7200 FROM events WHERE event_type = 'error')
+""")
+def st4_rolling_rates(spark, sf_dir):
+    """ST4: failures and their share of parser attention over rolling days."""
+    kinds = ("network", "parser_empty", "http", "parser_schema", "timeout", "validation")
+    schema = table(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").where("event_type = 'error'")
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = e.select(
+        F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")).alias("created_at"), F.concat(F.lit("ats"), (F.col("user_id") % 12).cast("string")).alias("ats_key"),
+        F.element_at(F.array(*map(F.lit, kinds)), (k % 6 + 1).cast("int")).alias("error_type"), F.lit("failed").alias("error_message"),
+    )
+    return jobs.run_to_table(jobs.rolling_rates(rows), spark, "rates")
+
+
+@query("""
+WITH o AS (SELECT 'ats' || (user_id % 12) AS ats_key, 'v' || (event_id % 2) AS parser_version, event_id AS observed_epoch, CASE WHEN event_type = 'error' THEN 'other' WHEN event_type = 'signup' THEN 'empty' WHEN event_type = 'click' THEN 'near' ELSE 'base' END AS shape FROM events)
+SELECT ats_key, parser_version, count(*) > 0 AS drifted FROM o WHERE shape = 'other' GROUP BY 1, 2
+""")
+def st6_shape_drift(spark, sf_dir):
+    """ST6: baselines of payload shapes as state; which parsers saw a shape unlike their baseline."""
+    schema = table(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    base = ("jobs:array", "jobs[].id:number", "jobs[].title:string")
+    paths = lambda *p: F.array(*map(F.lit, p))
+    shape = F.when(F.col("event_type") == "error", paths("error:string")).when(F.col("event_type") == "signup", paths("jobs:array", "jobs[]:empty")).when(F.col("event_type") == "click", paths(*base, "total:number")).otherwise(paths(*base))
+    rows = e.select(F.concat(F.lit("ats"), (F.col("user_id") % 12).cast("string")).alias("ats_key"), F.concat(F.lit("v"), (F.col("event_id") % 2).cast("string")).alias("parser_version"), F.col("event_id").alias("observed_epoch"), shape.alias("shape_paths"))
+    seen = jobs.run_to_table(jobs.shape_drift(rows), spark, "shapes")
+    return seen.groupBy("ats_key", "parser_version").agg((F.count("*") > 0).alias("drifted"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from jobgrain.operators.audit import is_parser_attention
 from jobgrain.operators.merge import compact_outbox, upsert
 from jobgrain.sources.storage import new_path, write_snapshot
 
@@ -25,6 +28,48 @@ def rolling_failures(errors: DataFrame, late: str = "2 hours") -> DataFrame:
     return windows.agg(F.count("*").alias("failures")).select(F.unix_timestamp("window.end").alias("until_epoch"), "ats_key", "failures")
 
 
+def rolling_rates(errors: DataFrame, late: str = "2 hours") -> DataFrame:
+    """Errors (created_at, ats_key, error_type, error_message) of the last 24 hours at every hour, and the share that calls for parser attention."""
+    windows = errors.withWatermark("created_at", late).groupBy(F.window("created_at", "24 hours", "1 hour"), "ats_key")
+    out = windows.agg(F.count("*").alias("failures"), F.count_if(is_parser_attention()).alias("attention"))
+    return out.select(F.unix_timestamp("window.end").alias("until_epoch"), "ats_key", "failures", "attention", F.round(F.col("attention") * 100 / F.col("failures"), 2).alias("attention_percent"))
+
+
+def shape_drift(observed: DataFrame, threshold: float = 0.55) -> DataFrame:
+    """Drift events of a stream of payload shapes (ats_key, parser_version, observed_epoch, shape_paths).
+
+    The state of a parser is one baseline shape and how often it was seen: the first shape becomes the baseline, an empty baseline or
+    an empty job list is replaced by the next shape, a similar shape is counted, another one is an event and changes nothing.
+    """
+    schema = "ats_key string, parser_version string, observed_epoch long, similarity double"
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        base, seen = (list(state.get[0]), state.get[1]) if state.exists else (None, 0)
+        events = []
+        for frame in frames:
+            for epoch, paths in zip(frame["observed_epoch"], frame["shape_paths"], strict=True):
+                paths = sorted(set(paths))
+                empty = any(p.endswith("[]:empty") for p in paths)
+                if not base or (any(p.endswith("[]:empty") for p in base) and not empty):
+                    base, seen = paths, seen + 1
+                    continue
+                near = len({*base} & {*paths}) / max(1, len({*base} | {*paths}))
+                if near >= threshold or empty:
+                    seen += 1
+                else:
+                    events.append((*key, int(epoch), round(near, 4)))
+        state.update((base or [], seen))
+        if events:
+            yield pd.DataFrame(events, columns=["ats_key", "parser_version", "observed_epoch", "similarity"])
+
+    return observed.groupBy("ats_key", "parser_version").applyInPandasWithState(step, schema, "baseline array<string>, seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def retried(outbox: DataFrame, as_of: int) -> DataFrame:
+    """Failed outbox rows (attempts, failed_epoch) that are due again: one minute more after each attempt."""
+    return outbox.where(F.col("failed_epoch") + (F.col("attempts") + 1) * 60 <= as_of)
+
+
 def first_sightings(postings: DataFrame, horizon: str = "7 days") -> DataFrame:
     """The first row of each URL within the horizon; the state forgets URLs after it."""
     return postings.withWatermark("seen_at", horizon).dropDuplicatesWithinWatermark(["canonical_url"])

@@ -81,3 +81,42 @@ def test_gate_partitions_its_input(spark, small):
     counts = {r.gate_status: r.n for r in rows.groupBy("gate_status").agg(F.count("*").alias("n")).collect()}
     assert set(counts) <= {"accepted", "quarantined", "rejected"} and sum(counts.values()) == postings(spark, small).count()
     assert rows.where("(gate_status = 'accepted') <> (size(reason_codes) = 0)").count() == 0
+
+
+def test_fold_keeps_the_letters_of_accented_words(spark):
+    from jobgrain.functions.text import fold_text, search_text
+
+    texts = ["Škoda Plzeň", "Ő Ńova", "Zürich", "İstanbul ığdır", "Thành phố"]
+    row = spark.createDataFrame([(t,) for t in texts], "t string").select(search_text(F.col("t")).alias("s")).collect()
+    assert [r.s for r in row] == ["skoda plzen", "o nova", "zurich", "istanbul igdir", "thanh pho"]
+    assert [fold_text(t) for t in texts] == ["skoda plzen", "o nova", "zurich", "istanbul igdir", "thanh pho"]
+
+
+def test_dates_do_not_depend_on_the_session_zone(spark):
+    from jobgrain.functions.text import posted_epoch
+
+    texts = ["2024-01-05", "2024-01-05T10:00:00", "2024-01-05T10:00:00+02:00", "01/05/2024", "2024-01-05T10:00:00Z", "soon", "1704412800", "1704412800123"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(posted_epoch(F.col("t"), 0).alias("e"))
+    want = [1704412800, 1704448800, 1704441600, 1704412800, 1704448800, None, 1704412800, 1704412800]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r.e for r in rows.collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_countries_are_found_under_their_own_spelling(spark):
+    from jobgrain.operators.search import country_filter
+
+    rows = spark.createDataFrame([("Türkiye", ""), ("turkiye", ""), ("", "Izmir, TÜRKİYE"), ("France", "Paris")], "country string, location_text string")
+    assert rows.where(country_filter({"Türkiye": ()})).count() == 3
+
+
+def test_prefix_match_takes_any_sign(spark):
+    from jobgrain.operators.planning import prefix_match
+
+    rows = spark.createDataFrame([("senior engineer",), ("engineer senior",), ("resenior engineers",), ("sen eng",)], "v string")
+    hits = lambda q: {r.v for r in rows.where(prefix_match(F.col("v"), q)).collect()}
+    assert hits("senior eng") == {"senior engineer", "resenior engineers"} and hits("(senior") == set() and hits("se en") == {"senior engineer", "sen eng"}

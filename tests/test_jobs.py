@@ -74,3 +74,32 @@ def test_stream_keeps_first_sightings(spark):
     rows.coalesce(1).write.mode("overwrite").parquet(landed)
     stream = jobs.first_sightings(spark.readStream.schema(rows.schema).parquet(landed))
     assert jobs.run_to_table(stream, spark, "sightings").count() == 20
+
+
+def test_rows_that_fail_the_gate_hide_and_emit_deletes(spark):
+    now = spark.createDataFrame([("a", "A", False, 1, "city a"), ("b", "B", True, 1, "city b"), ("c", "C", False, 1, "city c")], "canonical_url string, company_name string, hidden boolean, last_seen_epoch long, city string")
+    now = now.withColumns({"remote_type": F.lit("unknown"), "first_seen_epoch": F.lit(1).cast("long")})
+    rows = [("a", "bad", 5, 1, False), ("b", "B2", 5, 1, True), ("d", "bad", 5, 1, False), ("e", "E", 5, 1, True), ("e", "bad", 6, 2, False)]
+    batch = spark.createDataFrame(rows, "canonical_url string, company_name string, seen_epoch long, arrival long, accepted boolean").withColumn("remote_type", F.lit("remote"))
+    merged = M.upsert(now, batch)
+    got = {r.canonical_url: (r.company_name, r.hidden, r.city, r.change) for r in merged.collect()}
+    assert got == {"a": ("A", True, "city a", "hidden"), "b": ("B2", False, "city b", "unhidden"), "c": ("C", False, "city c", "untouched"), "e": ("E", True, None, "new_hidden")}
+    assert {tuple(r) for r in M.outbox_of(merged).collect()} == {("a", "delete"), ("b", "upsert")}
+
+
+def test_shape_baselines_live_across_batches(spark):
+    landed = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    good, other, empty = ["jobs:array", "jobs[].id:number"], ["error:string"], ["jobs:array", "jobs[]:empty"]
+    schema = "ats_key string, parser_version string, observed_epoch long, shape_paths array<string>"
+    for batch in ([("a", "v", 1, empty)], [("a", "v", 2, good)], [("a", "v", 3, empty), ("a", "v", 4, other), ("b", "v", 4, other)], [("b", "v", 5, other), ("a", "v", 6, good)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    assert [tuple(r)[:3] for r in jobs.run_to_table(jobs.shape_drift(stream), spark, "drift").collect()] == [("a", "v", 4)]
+
+
+def test_intents_of_queries_without_names(spark):
+    from jobgrain.operators.intent import token_groups, understand
+
+    assert understand("").cleaned == "" and understand(None).groups == ()
+    assert understand("(senior [dev").cleaned == "(senior [dev"
+    assert token_groups("jobs") == (("jobs",),) and token_groups("software jobs") == (("software",),)
