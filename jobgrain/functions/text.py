@@ -147,12 +147,19 @@ def percent(part: Column, whole: Column, empty: float | None = 0.0) -> Column:
     return F.when(whole > 0, F.round(part * 100 / whole, 2)).otherwise(F.lit(empty).cast("double"))
 
 
+#: Fixed values, first match wins: families of user agents.
+AGENT_RULES = (
+    ("bot", "bot|crawler|spider|slurp|preview|prefetch"), ("cli", "curl|wget|httpie"), ("powershell", "powershell"), ("firefox", "firefox/?"), ("edge", "edge?/"), ("chrome", "chrome|chromium|crios"), ("safari", "safari"),
+    ("android", "android"), ("ios", "iphone|ipad|ios"),
+)
+
+
 def user_agent_family(c: Column) -> Column:
-    v = F.lower(F.coalesce(c, F.lit("")))
-    return (
-        F.when(v == "", "unknown").when(v.rlike("bot|crawler|spider|slurp"), "bot").when(v.rlike("edg/|edge/"), "edge").when(v.rlike("firefox/"), "firefox")
-        .when(v.rlike("chrome/|crios/"), "chrome").when(v.rlike("safari/"), "safari").otherwise("other")
-    )
+    v = lowered(c)
+    out = F.lit("other")
+    for family, pattern in reversed(AGENT_RULES):
+        out = F.when(v.rlike(pattern), family).otherwise(out)
+    return F.when(v == "", "unknown").otherwise(out)
 
 
 def is_personal(c: Column) -> Column:

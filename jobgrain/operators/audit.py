@@ -117,7 +117,7 @@ def health_window(runs: DataFrame, errors: DataFrame, as_of: int, hours: int = 2
     reason = failure_reason(F.col("error_type"), F.col("http_status"), F.col("error_message"))
     reasons = errors.where(F.col("created_epoch") >= since).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
     folded = reasons.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reason", "n"))), lambda x: F.concat(x["reason"], F.lit("="), x["n"].cast("string"))), ",").alias("reasons"))
-    return head.withColumn("success_percent", percent(F.col("success_count"), F.col("total_targets"), None)).join(folded)
+    return head.withColumn("success_percent", percent(F.col("success_count"), F.col("total_targets"), None)).withColumn("reasons", folded.scalar())
 
 
 def failure_reasons(errors: DataFrame) -> DataFrame:

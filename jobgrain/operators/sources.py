@@ -152,8 +152,8 @@ def throughput_gate(runs: DataFrame, attention: DataFrame, recheck: DataFrame, l
     newest = runs.orderBy(F.desc("started_epoch"), F.desc("run_id")).limit(last)
     latest = newest.agg(F.max_by(F.struct("total_targets", "success_count"), F.struct("started_epoch", "run_id")).alias("x"), F.sum("total_targets").alias("targets"), F.sum("success_count").alias("successes"))
     latest = latest.withColumns({"latest_percent": percent(F.col("x.success_count"), F.col("x.total_targets"), None), "trend_percent": percent(F.col("successes"), F.col("targets"), None)})
-    seen, settled = attention.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("attention")), recheck.agg(F.coalesce(F.sum("resolved"), F.lit(0)).alias("resolved"), F.coalesce(F.sum("still_drift"), F.lit(0)).alias("still_drift"))
-    one = latest.join(F.broadcast(seen)).join(F.broadcast(settled))  # one row each
+    total = lambda df, c: df.agg(F.coalesce(F.sum(c), F.lit(0)).alias(c)).scalar()
+    one = latest.withColumns({"attention": total(attention, "total"), "resolved": total(recheck, "resolved"), "still_drift": total(recheck, "still_drift")})
     open_ = F.greatest(F.lit(0), F.col("attention") - F.col("resolved"))
     blockers = F.array_compact(F.array(
         F.when(F.col("latest_percent").isNull(), "latest_run_missing"), F.when(F.col("latest_percent") < least_percent, "latest_run_success_rate_below_threshold"),
@@ -167,9 +167,10 @@ def project(baseline: DataFrame, tenants: DataFrame) -> DataFrame:
 
     baseline: ats_key, visible, missing, weak (one row per source); tenants: ats_key, tenant, gain, missing, weak, no_place.
     """
-    whole = baseline.agg(*[F.sum(c).alias(f"g_{c}") for c in ("visible", "missing", "weak")])
-    base = baseline.select("ats_key", *[F.col(c).alias(f"s_{c}") for c in ("visible", "missing", "weak")]).join(F.broadcast(whole))  # one row
-    rows = tenants.join(base, "ats_key", "left").fillna(0, ["s_visible", "s_missing", "s_weak"])
+    counted = ("visible", "missing", "weak")
+    whole = baseline.agg(F.struct(*[F.sum(c).alias(c) for c in counted]).alias("whole")).scalar()
+    rows = tenants.join(baseline.select("ats_key", *[F.col(c).alias(f"s_{c}") for c in counted]), "ats_key", "left").fillna(0, [f"s_{c}" for c in counted])
+    rows = rows.withColumn("whole", whole).withColumns({f"g_{c}": F.col(f"whole.{c}") for c in counted}).drop("whole")
     guards = [F.when(F.col("gain") <= 0, "no_gain"), F.when(F.col("no_place") > 0, "no_geo_no_remote")]
     for side in ("g", "s"):
         for gap in ("missing", "weak"):
@@ -229,13 +230,14 @@ def global_counts(targets: DataFrame, sources: DataFrame, postings: DataFrame, a
         F.count("*").alias("configured_sources"), F.count_if(on).alias("enabled_sources"), F.count_if(on & status.isin("normal", "public_enabled")).alias("full_sources"), F.count_if(on & (status == "canary_only")).alias("canary_sources"),
         F.count_if(on & (status == "quarantine_only")).alias("quarantine_sources"), F.count_if(~on | status.isin("disabled", "auto_disabled")).alias("disabled_sources"),
     )
-    t = targets.agg(F.count("*").alias("targets"), F.count_if(F.col("enabled") & F.col("status").isin(*CRAWLED)).alias("crawled_targets"))
+    t = (F.count("*").alias("targets"), F.count_if(F.col("enabled") & F.col("status").isin(*CRAWLED)).alias("crawled_targets"))
     name = F.col("company_name")
-    p = postings.where(~F.col("hidden")).agg(
+    p = (
         F.count("*").alias("postings"), F.countDistinct(F.when(name != "", name)).alias("visible_companies"), F.countDistinct(F.when(F.col("ats_key") != "", F.col("ats_key"))).alias("visible_sources"),
         F.count_if(F.col("last_seen_epoch") >= as_of - DAY).alias("seen_in_a_day"),
     )
-    return s.join(F.broadcast(t)).join(F.broadcast(p))  # one row each
+    one = lambda df, columns: df.agg(F.struct(*columns).alias("x")).scalar()
+    return s.withColumns({"t": one(targets, t), "p": one(postings.where(~F.col("hidden")), p)}).select(*s.columns, "t.*", "p.*")
 
 
 def source_admin(sources: DataFrame, targets: DataFrame, state: DataFrame) -> DataFrame:
@@ -262,4 +264,4 @@ def sync_card(runs: DataFrame, due: DataFrame, attention: DataFrame) -> DataFram
     """One row: the latest run, the latest with failures, due targets and parser events of a day."""
     order = F.struct("started_epoch", "run_id")
     r = runs.agg(F.max_by("run_id", order).alias("latest_run"), F.max_by("run_id", F.when(F.col("failure_count") > 0, order)).alias("latest_failed_run"))
-    return r.join(F.broadcast(due)).join(F.broadcast(attention.agg(F.count("*").alias("attention"))))  # one row each
+    return r.withColumns({"due": due.select("due").scalar(), "attention": attention.agg(F.count("*").alias("n")).scalar()})

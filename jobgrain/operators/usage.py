@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from jobgrain.functions.text import trimmed
+from jobgrain.functions.text import public_term, trimmed, user_agent_family
+from jobgrain.operators.extract import host_of
 
 #: What a remote filter can be.
 REMOTE_MODES = ("all", "remote", "hybrid", "onsite", "non_remote")
@@ -115,3 +116,23 @@ def hourly(events: DataFrame) -> DataFrame:
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def normalised_events(raw: DataFrame) -> DataFrame:
+    """Landed search events (event_id, type, query, result_count, countries, country, language, session, referrer, agent: strings) in their stored form."""
+    kind = F.trim(F.regexp_replace(F.lower(trimmed(F.col("type"))), "[^a-z0-9]+", "_"), F.lit("_"))
+    event_type = F.when(kind.isin("suggest", "search_suggest"), "suggest").when(kind.isin("filter_options", "postings_filter_options"), "filter_options").otherwise("postings")
+    count = F.floor(F.trim("result_count").try_cast("double"))
+    one = lambda x: F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, 80)
+    listed = F.slice(F.filter(F.transform(F.split(F.coalesce("countries", F.lit("")), ","), one), lambda x: x != ""), 1, 20)
+    country = F.upper(trimmed(F.col("country")))
+    language = F.filter(F.split(F.replace(trimmed(F.col("language")), F.lit("_"), F.lit("-")), "-"), lambda x: x != "")
+    primary, region = F.lower(F.try_element_at(language, F.lit(1))), F.upper(F.try_element_at(language, F.lit(2)))
+    code = F.when(~F.coalesce(primary.rlike("^[a-z]{2,3}$"), F.lit(False)), "").when(F.coalesce(region.rlike("^[A-Z]{2}$"), F.lit(False)), F.concat_ws("-", primary, region)).otherwise(primary)
+    session = F.lower(trimmed(F.col("session")))
+    return raw.select(
+        "event_id", event_type.alias("event_type"), F.substring(F.regexp_replace(trimmed(F.col("query")), r"\s+", " "), 1, 160).alias("query"),
+        F.when(count.isNotNull() & ~F.isnan(count), F.least(F.greatest(count, F.lit(0)), F.lit(2_000_000))).cast("long").alias("result_count"), F.array_join(listed, ",").alias("country_filters"),
+        F.when(country.rlike("^[A-Z]{2}$"), country).otherwise("").alias("country_scope"), code.alias("language_code"), F.when(session.rlike("^[a-f0-9]{64}$"), session).otherwise("").alias("anonymous_session_key"),
+        F.substring(host_of(F.col("referrer")), 1, 120).alias("referrer_host"), user_agent_family(F.col("agent")).alias("user_agent_family"), public_term(F.col("query")).alias("public_term"),
+    )
