@@ -8,7 +8,7 @@ from jobgrain.functions.text import search_text
 from jobgrain.operators import extract as X
 from jobgrain.operators import planning as P
 from jobgrain.plans.registry import query
-from jobgrain.sources.views import EARLIER, EVENTS_AS_OF, errors, posting_cache, postings, search_events, sync_state, table
+from jobgrain.sources.views import EARLIER, EVENTS_AS_OF, errors, posting_cache, postings, sync_state, table
 
 _SCAN = """
 s AS (SELECT ats_key, parser_version, count(*) AS rows_parsed, count(*) FILTER (validation_status = 'valid') AS clean, count(*) FILTER (validation_status = 'quarantined') AS quarantined,
