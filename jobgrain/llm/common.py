@@ -18,6 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Narrow rows of one file.
+FILE_ROWS = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a local one only where it is unset and Spark is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,9 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back."""
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back; narrow rows whose number is known go to few files."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, rows // FILE_ROWS))
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.table_path = path
@@ -95,8 +101,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Nodes without a link to another node do not appear. Each round is one large-star and one small-star step on edges
     (u, v), v < u. Only a node with a smaller neighbour moves its edges, so the root of a star, however large, is never
     grouped, and its edges stay as they are. Smallest neighbours are combined map-side and written before they are joined, so
-    that Spark sees two plain shuffles and can split a hot node's rows. The rounds end when no edge changes, after a
-    number of them that grows with the logarithm of the longest chain. Tables of a round are deleted with the next.
+    that Spark sees two plain shuffles and can split a hot node's rows. The rounds end when every node has one edge, to a node
+    that has none, after a number of them that grows with the logarithm of the longest chain. Tables of a round are deleted with the next.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
@@ -105,25 +111,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-
-    def smallest(df: DataFrame) -> DataFrame:
-        return materialize(df.groupBy("u").agg(F.min("v").alias("m")))
-
-    before = state(e)
     while True:
-        low = smallest(e)
+        n = e.count()
+        low = materialize(e.groupBy("u").agg(F.min("v").alias("m")), n)
         over = low.select(F.col("u").alias("v"), "m")
-        large = materialize(e.join(over, "v", "left").select("u", F.coalesce("m", "v").alias("v")))
-        least = smallest(large)
+        large = materialize(e.join(over, "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved")), n)
+        if low.count() == n and large.where("moved").isEmpty():
+            release(low, large)
+            break
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), n)
         hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        done = materialize(least.select("u", F.col("m").alias("v")).union(hung).distinct())
+        done = materialize(least.select("u", F.col("m").alias("v")).union(hung).distinct(), n)
         release(e, low, large, least)
-        e, after = done, state(done)
-        if after == before:
-            break
-        before = after
+        e = done
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.union(e.select(F.col("v"), F.col("v")).distinct())
 
@@ -150,6 +150,60 @@ def block_pairs(rows: DataFrame, key: list[str], ident: str, payload: list[str],
     )
 
 
+#: Entries that are packed into one destination, on average.
+ENTRIES = 1 << 20
+
+
+def destinations(entries: int) -> int:
+    return max(1, -(-entries // ENTRIES))
+
+
+def packed(values: np.ndarray, dest: np.ndarray) -> dict[int, bytes]:
+    """Rows of an array of 64-bit integers as bytes by destination."""
+    order = np.argsort(dest, kind="stable")
+    values, dest = values[order], dest[order]
+    cuts = np.flatnonzero(np.diff(dest)) + 1
+    return {int(d[0]): v.tobytes() for v, d in zip(np.split(values, cuts), np.split(dest, cuts), strict=True) if len(d)}
+
+
+def unpacked(table: pa.Table, name: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x), dtype=np.int64).reshape(-1, width)
+
+
+def cut(order_key: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array begin."""
+    return np.concatenate([[0], np.flatnonzero(order_key[1:] != order_key[:-1]) + 1]) if len(order_key) else np.zeros(0, dtype=np.int64)
+
+
+def shared_keys(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, member) rows of keys with several members, and the smallest member of each row's key."""
+    e = entries[np.lexsort((entries[:, 1], entries[:, 0]))]
+    keep = np.ones(len(e), dtype=bool)
+    keep[1:] = (e[1:] != e[:-1]).any(axis=1)
+    e = e[keep]
+    first = np.ones(len(e), dtype=bool)
+    first[1:] = e[1:, 0] != e[:-1, 0]
+    shared = ~first
+    shared[:-1] |= shared[1:]
+    low = e[first][np.cumsum(first) - 1, 1] if len(e) else e[:, 1]
+    return e[shared], low[shared]
+
+
+class Memo(dict):
+    """What was computed for the keys seen of late: at most ``most`` new ones, and those of the time before."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def keep(self, key, value):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Forest:
     """Union-find over the few items of one block pair."""
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobgrain.llm.common import MARKS, Forest, block_pairs, chunked, connected_components, materialize, require, rows_of, text_marks, without_rows
+from jobgrain.llm.common import MARKS, Forest, block_pairs, chunked, connected_components, destinations, materialize, mix64, packed, require, rows_of, shared_keys, text_marks, unpacked, without_rows
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
 GOLAY_GENERATOR = 0b101011100011
@@ -109,11 +109,27 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[keep], keys.ravel()[keep]
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fps = rows_of(b, "fp").to_numpy(zero_copy_only=False)
-        row, key = golay_keys(fps)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row])], ["key", "fp"])
+#: Keys of a fingerprint, about.
+KEYS = 64
+
+
+def _keys(dests: int):
+    """(key, fingerprint) entries, packed by destination."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunked(batches, 4096):
+            fps = rows_of(b, "fp").to_numpy(zero_copy_only=False)
+            row, key = golay_keys(fps)
+            out = packed(np.stack([key, fps[row]], axis=1), mix64(key.view(np.uint64)) % np.uint64(dests))
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["dest", "entries"])
+
+    return run
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """(key, fp) of the keys that several fingerprints of one destination have."""
+    rows, _ = shared_keys(unpacked(table, "entries", 2))
+    return pa.table({"key": rows[:, 0], "fp": rows[:, 1]})
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +159,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def simhash_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """Distinct ``fp`` (long) -> forest of links (a, b) between those at most 3 bits apart."""
-    keys = fps.mapInArrow(_keys, "key long, fp long")
+    n = fps.count()
+    spread = fps.repartition(max(1, -(-n // 16_384)), "fp")  # a row becomes some sixty entries
+    entries = spread.mapInArrow(_keys(destinations(n * KEYS)), "dest long, entries binary")
+    keys = materialize(entries.groupBy("dest").applyInArrow(_shared, "key long, fp long"))
     return block_pairs(keys, ["key"], "fp", [], block).select("bi", "bj", "items").mapInArrow(_verify, "a long, b long")
 
 
