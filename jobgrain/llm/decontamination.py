@@ -20,7 +20,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,26 +33,53 @@ LONGER, STEP = 1.5, 0.25
 #: Hash functions of a signature, and the chance of missing an item at the threshold that sets the rows of a band.
 MINIMA, MISS = 48, 1e-3
 #: Bits of the table of benchmark shingles: 16 for each shingle, within these powers of two (32 MB at most).
-LEAST_BITS, MOST_BITS = 20, 28
+LEAST_BITS, MOST_BITS = 22, 28
 SEEDS = mix64(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """One hash per lower-case word."""
-    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
-    return np.array(list(map(xxhash.xxh3_64_intdigest, words)), dtype=np.uint64)
+class Powers:
+    """Powers of an odd base and of its inverse modulo 2^64, as many as the longest text so far has bytes."""
 
+    BASE = 0x9E3779B97F4A7C15
+    LETTERS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the runs of ``width`` words, in the order of the text, repeats included; none for a shorter text."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        h = np.full(n, width, dtype=np.uint64)
-        for k in range(width):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n])
-    return h
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << max(16, n.bit_length())
+            each = np.array([[self.BASE], [pow(self.BASE, -1, 1 << 64)]], dtype=np.uint64).repeat(size, axis=1)
+            each[:, 0] = 1
+            self.up, self.down = each.cumprod(axis=1, dtype=np.uint64)
+        return self.up[:n], self.down[:n]
+
+
+POWERS = Powers()
+
+
+class Words:
+    """The lower-case words of a text, ready to be hashed in runs: every run's hash comes from two sums over the text's bytes."""
+
+    def __init__(self, text: str | None) -> None:
+        line = b" ".join((text or "").lower().encode("utf-8", "surrogatepass").split())
+        self.count = 0
+        if line:
+            flat = np.frombuffer(line, dtype=np.uint8)
+            up, self.down = POWERS.of(len(flat) + 1)
+            self.sums = np.zeros(len(flat) + 1, dtype=np.uint64)
+            np.cumsum(Powers.LETTERS[flat] * up[:-1], out=self.sums[1:])
+            spaces = np.flatnonzero(flat == 32)
+            self.starts, self.ends = np.concatenate([[0], spaces + 1]), np.concatenate([spaces, [len(flat)]])
+            self.count = len(self.starts)
+
+    def shingles(self, width: int) -> np.ndarray:
+        """Hashes of the runs of ``width`` words, in the order of the text, repeats included; none for a shorter text."""
+        n = self.count - width + 1
+        if n <= 0:
+            return np.zeros(0, dtype=np.uint64)
+        a, b = self.starts[:n], self.ends[width - 1 :]
+        return mix64((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
 
 
 def partition_of(shingles: int) -> int:
@@ -91,7 +117,7 @@ class Partition:
 
 def signature_keys(h: np.ndarray, rows: int) -> np.ndarray:
     """Band keys of a set of shingle hashes; the band's number is part of the key."""
-    minima = np.array([mix64(h ^ s).min() for s in SEEDS])[: MINIMA // rows * rows].reshape(-1, rows)
+    minima = mix64(h[None, :] ^ SEEDS[:, None]).min(axis=1)[: MINIMA // rows * rows].reshape(-1, rows)
     with np.errstate(over="ignore"):
         key = np.arange(1, len(minima) + 1, dtype=np.uint64)
         for r in range(rows):
@@ -103,9 +129,9 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunked(batches):
         width, number, shingles = [], [], []
         for text in rows_of(b, "text").to_pylist():
-            words = word_hashes(text)
-            w = min(SHINGLE, len(words))
-            h = shingle_hashes(words, w) if w else words
+            words = Words(text)
+            w = min(SHINGLE, words.count)
+            h = words.shingles(w) if w else np.zeros(0, dtype=np.uint64)
             width.append(w)
             number.append(partition_of(len(h)) if w else 0)
             shingles.append(np.unique(h).view(np.int64))
@@ -139,14 +165,16 @@ def _document_windows(table: bytes, bits: int, partitions: list[Partition], thre
         for b in chunked(batches):
             out = {k: [] for k in ("at", "hits", "width", "number", "keys")}
             for at, text in enumerate(rows_of(b, "text").to_pylist()):
-                words, hits, found = word_hashes(text), [], []
+                words, hits, found = Words(text), [], []
                 for w, plan in plans.items():
-                    h = shingle_hashes(words, w)
+                    h = words.shingles(w)
                     place = np.flatnonzero(known(h)) if len(h) else np.zeros(0, dtype=np.int64)
                     if not len(place):
                         continue
                     hits.append(h[place])
                     for number, window, step, rows, need in plan:
+                        if len(place) < need:
+                            continue
                         back = -(-window // step)
                         starts = np.unique(place // step - np.arange(back)[:, None])
                         starts = starts[starts >= 0] * step
