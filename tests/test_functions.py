@@ -55,7 +55,7 @@ def test_html_and_terms(spark):
 
 def test_user_agents(spark):
     agents = ["Mozilla Googlebot Chrome/1", "Chrome/99 Safari/1 Edg/99", "Chrome/99 Safari/5", "Version/15 Safari/6", "Firefox/1", "", "curl"]
-    assert evaluate(spark, T.user_agent_family, agents) == ["bot", "edge", "chrome", "safari", "firefox", "unknown", "other"]
+    assert evaluate(spark, T.user_agent_family, agents) == ["bot", "edge", "chrome", "safari", "firefox", "unknown", "cli"]
 
 
 @pytest.mark.parametrize(("stored", "want"), [(None, 65), (0.0, 65), (88.0, 88), (150.0, 100)])
