@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobgrain.llm.common import MARKS, Forest, block_pairs, chunked, connected_components, free_name, materialize, mix64, require, rows_of, text_marks
+from jobgrain.llm.common import MARKS, Forest, block_pairs, chunked, connected_components, cut, destinations, free_name, materialize, mix64, require, rows_of, text_marks
 
 SHINGLE, BANDS, ROWS = 7, 12, 4
 MINIMA = BANDS * ROWS
@@ -35,11 +35,9 @@ PLACES = 32
 #: Shingle counts: signatures by many hashes below the second, by one permutation from the first on, both within.
 LONG_FROM, SHORT_UNDER, SHORT_PARTNER = 89, 112, 140
 #: Lines of one block.
-BLOCK = 192
+BLOCK = 512
 #: Lines of one portion, within which repeats of a line are stored and banded once.
 PORTION = 1 << 15
-#: Bucket entries that are packed into one destination, on average.
-ENTRIES = 1 << 20
 
 
 def normal(line: str) -> str:
@@ -94,10 +92,13 @@ def _many_hashes(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1]])
     seeds = mix64(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
     out = np.empty((len(ends), MINIMA), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k, s in enumerate(seeds):
-            x = (h ^ s) * np.uint64(0x9FB21C651E98DF25)
-            out[:, k] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts)
+    h = (h >> np.uint64(HASH_BITS - 32)).astype(np.uint32)
+    for k, s in enumerate(seeds):
+        x = h ^ np.uint32(s >> np.uint64(32))
+        x *= np.uint32(0x9E3779B1)
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x85EBCA77)
+        out[:, k] = np.minimum.reduceat(x, starts)
     return out
 
 
@@ -149,8 +150,8 @@ def _lines(batch: pa.RecordBatch):
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per line; the text only at its first occurrence in a portion."""
     seen: set[tuple[int, int]] = set()
-    carried = ["doc_id", *MARKS]
     for b in chunked(batches):
+        carried = [c for c in b.schema.names if c != "text"]
         found = list(_lines(b))
         row, no, form = zip(*found, strict=True) if found else ((), (), ())
         key, take = line_keys(form), pa.array(row, pa.int64())
@@ -168,38 +169,45 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _packed(values: np.ndarray, dest: np.ndarray) -> dict[int, bytes]:
-    order = np.argsort(dest, kind="stable")
-    values, dest = values[order], dest[order]
-    cuts = np.flatnonzero(np.diff(dest)) + 1
-    return {int(d[0]): v.tobytes() for v, d in zip(np.split(values, cuts), np.split(dest, cuts), strict=True) if len(d)}
+#: A bucket's entry: the lower half of the band (the upper is the destination's), and the line's name.
+ENTRY = np.dtype([("band", "<u4"), ("key", "<i8")])
+MEMBER = np.dtype([("band", "<u4"), ("key", "<i8"), ("low", "<i8")])
+
 
+def _bucketed(band: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(band, smallest key) of each band, sorted, and (place in that list, key) of the lines of bands that have several."""
+    order = np.argsort(band)
+    band, key = band[order], key[order]
+    starts = cut(band)
+    low = np.minimum.reduceat(key, starts)
+    sizes = np.diff(starts, append=len(band))
+    shared = np.repeat(sizes > 1, sizes)
+    return band[starts], low, np.repeat(np.arange(len(starts)), sizes)[shared], key[shared]
 
-def _entries(dests: int):
-    """The bands of a portion's lines, packed by destination: (band, key) of the smallest line of each band, and (band, key,
-    smallest) of all lines of the bands that several of the portion's lines share."""
+
+def _entries(bits: int):
+    """The bands of a portion's lines, packed by destination (the band's upper bits): (band, smallest key), and (band, key, smallest)
+    of all lines of the bands that several of the portion's lines share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, forms, size, held = [], [], 0, []
+        keys, forms, size, held, held_keys = [], [], 0, [], []
 
-        def band() -> None:
-            row, key = band_keys(forms)
-            held.append(np.stack([key, np.array(keys, dtype=np.int64).view(np.uint64)[row]], axis=1))
+        def bands() -> None:
+            row, band = band_keys(forms)
+            held.append(band)
+            held_keys.append(np.array(keys, dtype=np.int64)[row])
 
         def out() -> pa.RecordBatch:
-            e = np.concatenate(held)
-            e = e[np.lexsort((e[:, 1].view(np.int64), e[:, 0]))]
-            e = e[np.concatenate([[True], (e[1:] != e[:-1]).any(axis=1)])]
-            first = np.concatenate([[True], e[1:, 0] != e[:-1, 0]])
-            least = e[first][np.cumsum(first) - 1, 1]
-            shared = ~first
-            shared[:-1] |= shared[1:]
-            alone = _packed(e[first], mix64(e[first, 0]) % np.uint64(dests))
-            members = np.concatenate([e[shared], least[shared, None]], axis=1)
-            more = _packed(members, mix64(members[:, 1]) % np.uint64(dests))
-            where = sorted({*alone, *more})
+            band, low, at, key = _bucketed(np.concatenate(held), np.concatenate(held_keys))
+            dest = (band >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)  # no bits: one destination
+            entries = np.empty(len(band), dtype=ENTRY)
+            entries["band"], entries["key"] = band & np.uint64(0xFFFFFFFF), low
+            members = np.empty(len(at), dtype=MEMBER)
+            members["band"], members["key"], members["low"] = entries["band"][at], key, low[at]
+            starts, ends = cut(dest), np.append(cut(dest)[1:], len(dest))
+            first, last = np.searchsorted(at, starts), np.searchsorted(at, ends)
             return pa.RecordBatch.from_arrays(
-                [pa.array(where, pa.int64()), pa.array([alone.get(d) for d in where], pa.binary()), pa.array([more.get(d) for d in where], pa.binary())],
+                [pa.array(dest[starts]), pa.array([entries[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()), pa.array([members[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary())],
                 ["dest", "entries", "members"],
             )
 
@@ -209,13 +217,14 @@ def _entries(dests: int):
                 forms.append(form)
                 size += len(form)
                 if size > 300_000:
-                    band()
+                    bands()
                     keys, forms, size = [], [], 0
                     if sum(map(len, held)) >= PORTION * BANDS:
                         yield out()
                         held.clear()
+                        held_keys.clear()
         if keys:
-            band()
+            bands()
         if held:
             yield out()
 
@@ -224,19 +233,12 @@ def _entries(dests: int):
 
 def _buckets(table: pa.Table) -> pa.Table:
     """Packed entries of one destination -> (band, key, low) of all lines that share a band with another one."""
-    join = lambda c, n: np.frombuffer(b"".join(x for x in table.column(c).to_pylist() if x), dtype=np.int64).reshape(-1, n)
-    e, members = join("entries", 2), join("members", 3)
-    e = e[np.lexsort((e[:, 1], e[:, 0]))]
-    keep = np.ones(len(e), dtype=bool)
-    keep[1:] = (e[1:] != e[:-1]).any(axis=1)
-    e = e[keep]
-    first = np.ones(len(e), dtype=bool)
-    first[1:] = e[1:, 0] != e[:-1, 0]
-    shared = ~first
-    shared[:-1] |= shared[1:]
-    low = e[first][np.cumsum(first) - 1, 1] if len(e) else e[:, 1]
-    rows = np.concatenate([np.concatenate([e[shared], low[shared, None]], axis=1), members])
-    return pa.table({c: rows[:, i] for i, c in enumerate(("band", "key", "low"))})
+    join = lambda c, kind: np.frombuffer(b"".join(x for x in table.column(c).to_pylist() if x), dtype=kind)
+    dest = np.int64(table.column("dest")[0].as_py() << 32)
+    entries, members = join("entries", ENTRY), join("members", MEMBER)
+    band, low, at, key = _bucketed(entries["band"], entries["key"])
+    columns = (np.concatenate([band[at], members["band"]]).astype(np.int64) | dest, np.concatenate([key, members["key"]]), np.concatenate([low[at], members["low"]]))
+    return pa.table(dict(zip(("band", "key", "low"), columns, strict=True)))
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -268,11 +270,18 @@ def _verify_pairs(threshold: float):
 
 
 def _shared(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of all sets with each other, as one matrix product."""
-    names, column = np.unique(h, return_inverse=True)
-    holds = np.zeros((len(ends), len(names)), dtype=np.float32)
-    holds[np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), column] = 1
-    return holds @ holds.T
+    """Sizes of the intersections of all sets with each other, as matrix products over the hashes that several sets hold."""
+    names, column, counts = np.unique(h, return_inverse=True, return_counts=True)
+    place = np.cumsum(counts > 1) - 1
+    common = counts[column] > 1
+    row, column = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[common], place[column[common]]
+    out = np.zeros((len(ends), len(ends)), dtype=np.float32)
+    for at in range(0, int(column.max(initial=-1)) + 1, 8192):
+        here = (column >= at) & (column < at + 8192)
+        holds = np.zeros((len(ends), 8192), dtype=np.float32)
+        holds[row[here], column[here] - at] = 1
+        out += holds @ holds.T
+    return out
 
 
 def _verify_blocks(threshold: float):
@@ -319,9 +328,9 @@ def line_roots(lines: DataFrame, threshold: float = 0.8, block: int = BLOCK) ->
     ``root`` is a number that the lines of one component share.
     """
     texts = lines.where("form is not null").select("key", "sum", "form")
-    dests = max(1, -(-texts.count() * BANDS // ENTRIES))
-    packed = texts.select("key", "form").mapInArrow(_entries(dests), "dest long, entries binary, members binary")
-    met = packed.groupBy("dest").applyInArrow(_buckets, "band long, key long, low long")
+    bits = (destinations(texts.count() * BANDS) - 1).bit_length()
+    entries = texts.select("key", "form").mapInArrow(_entries(bits), "dest long, entries binary, members binary")
+    met = entries.groupBy("dest").applyInArrow(_buckets, "band long, key long, low long")
     met = materialize(met.distinct())
     forms = texts.join(met.select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "sum"])
     forms = materialize(forms.withColumn("node", F.monotonically_increasing_id()))
@@ -342,11 +351,11 @@ def line_roots(lines: DataFrame, threshold: float = 0.8, block: int = BLOCK) ->
     return every.join(forms.select("key", "sum", "node"), "node").select("key", "sum", "root")
 
 
-def _classes(docs: DataFrame, threshold: float) -> DataFrame:
-    """One row per non-blank line: doc_id, the marks of its text, line_no, and its class."""
-    docs = text_marks(require(docs, "doc_id", "text"))
-    marks = ", ".join(f"{c} long" for c in MARKS)
-    seen = materialize(docs.mapInArrow(_occurrences, f"doc_id long, {marks}, line_no int, key long, sum long, form string"))
+def _classes(docs: DataFrame, threshold: float, marks: tuple[str, ...] = ()) -> DataFrame:
+    """One row per non-blank line: doc_id, the marks of its text (if asked for), line_no, and its class."""
+    docs = text_marks(require(docs, "doc_id", "text")).select("doc_id", *marks, "text")
+    schema = ", ".join(["doc_id long", *[f"{c} long" for c in marks], "line_no int, key long, sum long, form string"])
+    seen = materialize(docs.mapInArrow(_occurrences, schema))
     roots = line_roots(seen.select("key", "sum", "form"), threshold)
     seen = seen.drop("form")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
@@ -354,7 +363,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     linked = firsts.where("root is not null")
     least = linked.groupBy("root").agg(F.min("first").alias("p"))
     named = linked.join(least, "root").select("key", "sum", "p").union(firsts.where("root is null").select("key", "sum", "first"))
-    return seen.join(named, ["key", "sum"]).select("doc_id", *MARKS, "line_no", F.col("p.doc_id").alias("class_doc_id"), F.col("p.line_no").alias("class_line_no"))
+    return seen.join(named, ["key", "sum"]).select("doc_id", *marks, "line_no", F.col("p.doc_id").alias("class_doc_id"), F.col("p.line_no").alias("class_line_no"))
 
 
 def line_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -365,7 +374,7 @@ def line_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     row. Rows that repeat a doc_id are ties: each line keeps a row, and lines that tie for the first place are all kept.
     A null doc_id counts as larger than any other. An empty table gives an empty result; further columns are ignored.
     """
-    out = _classes(docs, threshold).drop(*MARKS)
+    out = _classes(docs, threshold)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no")))
 
 
@@ -377,7 +386,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     gone = free_name(docs, "lost_lines")
     kept = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no"))
-    lost = _classes(docs, threshold).where(~kept).groupBy("doc_id", *MARKS).agg(F.collect_set("line_no").alias(gone))
+    lost = _classes(docs, threshold, MARKS).where(~kept).groupBy("doc_id", *MARKS).agg(F.collect_set("line_no").alias(gone))
     names = {c: free_name(docs, c) for c in MARKS}
     text = F.col("text").cast("string")
     left = docs.withColumns({names[MARKS[0]]: F.xxhash64(text), names[MARKS[1]]: F.xxhash64(F.lit("mark"), text)})

@@ -360,6 +360,15 @@ def test_decontamination_odd_cases(spark, odd, empty):
     assert decontamination.decontaminate(odd, bench).where("doc_id is null").count() == 1  # the row that holds items goes, the empty one stays
 
 
+def test_hashes_of_word_runs_depend_on_the_run_alone():
+    a = decontamination.Words("the quick brown fox jumps over the quick brown fox").shingles(3)
+    b = decontamination.Words("  THE\tquick\nbrown fox").shingles(3)
+    assert a[0] == a[6] == b[0] and a[1] == a[7] == b[1] and len(set(a.tolist())) == 6 and len(a) == 8
+    rng = np.random.default_rng(1)
+    many = decontamination.Words(" ".join(f"{x}" for x in rng.permutation(100_000))).shingles(2)
+    assert len(set(many.tolist())) == len(many)
+
+
 def test_short_items_are_found_inside_long_documents(spark):
     rng = np.random.default_rng(4)
     filler = lambda n: " ".join(f"w{rng.integers(5000)}" for _ in range(n))
