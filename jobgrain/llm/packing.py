@@ -26,17 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from jobgrain.llm.common import chunked, materialize, require, rows_of
+from jobgrain.llm.common import Memo, chunked, materialize, require, rows_of
 
-#: Words, and pieces of words, that a Python worker remembers with their ids (about 15 MB each).
-CACHE_WORDS = 80_000
+#: Words, and pieces of words, that a Python worker remembers with their ids, twice over at most (some 150 MB together).
+CACHE_WORDS, CACHE_PIECES = 1 << 18, 1 << 17
 
 
 #: Fixed value: the tokenizer's own split pattern, on lower-cased printable ASCII.
 ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
-class WordIds(dict):
+class WordIds(Memo):
     """Word (bytes between ASCII white space) -> its token ids as little-endian uint32 bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in a row; and a
@@ -44,28 +44,30 @@ class WordIds(dict):
     """
 
     def __init__(self, tokenizer) -> None:
-        super().__init__()
-        self.tokenizer, self.model, self.pieces = tokenizer, tokenizer.model, {}
+        super().__init__(CACHE_WORDS)
+        self.tokenizer, self.pieces = tokenizer, Pieces(tokenizer.model)
         self.wide = tokenizer.get_vocab_size() > 1 << 16
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
+        known = self.old.get(word)
+        if known is not None:
+            return self.keep(word, known)
         text = word.decode("utf-8")
         if word.isascii() and text.isprintable():
             parts = ASCII_PIECES.findall(text.lower())
         else:
             parts = [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
-        self[word] = out = b"".join(map(self.piece, parts))
-        return out
+        return self.keep(word, b"".join(map(self.pieces.__getitem__, parts)))
 
-    def piece(self, part: str) -> bytes:
-        known = self.pieces.get(part)
-        if known is None:
-            if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            known = self.pieces[part] = np.array([t.id for t in self.model.tokenize(part)], dtype="<u4").tobytes()
-        return known
+
+class Pieces(Memo):
+    def __init__(self, model) -> None:
+        super().__init__(CACHE_PIECES)
+        self.model = model
+
+    def __missing__(self, part: str) -> bytes:
+        known = self.old.get(part)
+        return self.keep(part, np.array([t.id for t in self.model.tokenize(part)], dtype="<u4").tobytes() if known is None else known)
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -116,8 +118,6 @@ def _tokenise(path: str, end_id: int):
                 [rows_of(b, "doc_id"), rows_of(b, "source"), pa.array([task] * b.num_rows, pa.int32()), pa.array(start, pa.int64()), n, pa.array(ids, pa.binary())],
                 ["doc_id", "source", "task", "start_in_task", "doc_tokens", "ids"],
             )
-        words.clear()  # the worker lives on, and its next task may be another operator's
-        words.pieces.clear()
 
     return run
 
