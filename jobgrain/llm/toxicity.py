@@ -26,7 +26,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobgrain.llm.common import MARKS, chunked, materialize, require, rows_of, text_marks, without_rows
+from jobgrain.llm.common import MARKS, Memo, chunked, materialize, require, rows_of, text_marks, without_rows
 
 #: Labelled rows that are used to fit, at most.
 SAMPLE_ROWS = 40_000
@@ -35,8 +35,8 @@ FOLDS = 4
 #: An entry is learned if its log-likelihood ratio is at least this and so large a share of its texts is toxic.
 LEAST_G2, LEAST_SHARE = 18.0, 0.8
 PREFIXES = (4, 5, 6, 7)
-#: Words that a task remembers (about 10 MB).
-CACHE_WORDS = 60_000
+#: Words that a task remembers, twice over at most (some 50 MB).
+CACHE_WORDS = 200_000
 
 #: Common insults.
 INSULTS = frozenset(
@@ -51,6 +51,7 @@ SECOND_PERSON = frozenset(
 #: Signs that stand for letters.
 DISGUISE = str.maketrans("@4310$57!|", "aaeiosstil")
 EDGE = re.compile(r"^\W+|\W+$")
+LENGTHENED = re.compile(r"([^\W\d_])\1{2,}")
 INSULT, LEARNED, BEGINNING, SECOND, CAPITALS, DISGUISED, LOUD, LONG = (1 << i for i in range(8))
 FEATURES = (
     "log_words", "insults", "learned", "beginnings", "any_insult", "any_learned", "any_beginning", "hits", "log_hits", "second", "nearness",
@@ -69,25 +70,28 @@ def undisguised(word: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1", plain)
 
 
-class WordMarks(dict):
+class WordMarks(Memo):
     """Word as bytes -> its marks as bits."""
 
     def __init__(self, words: frozenset[str], beginnings: frozenset[str]) -> None:
-        super().__init__()
+        super().__init__(CACHE_WORDS)
         self.words, self.beginnings = words, beginnings
 
     def __missing__(self, raw: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
+        known = self.old.get(raw)
+        if known is not None:
+            return self.keep(raw, known)
         word = raw.decode("utf-8", "replace")
+        if raw.isalpha() and raw.islower() and not LENGTHENED.search(word):  # a plain ASCII word
+            marks = INSULT * (word in INSULTS) | LEARNED * (word in self.words) | BEGINNING * any(word[:k] in self.beginnings for k in PREFIXES if len(word) >= k) | SECOND * (word in SECOND_PERSON)
+            return self.keep(raw, marks)
         c, marks = core(word), 0
         d = c if c.isalpha() else undisguised(word)
         for x in {c, d}:
             marks |= INSULT * (x in INSULTS) | LEARNED * (x in self.words) | BEGINNING * any(x[:k] in self.beginnings for k in PREFIXES if len(x) >= k)
         marks |= SECOND * (c in SECOND_PERSON) | CAPITALS * (len(c) > 1 and word.isupper()) | LOUD * ("!!" in word or "?!" in word or "??" in word)
-        marks |= DISGUISED * (d != c and len(d) > 2 and any(not x.isalpha() and x != "'" and x != "-" for x in c)) | LONG * bool(re.search(r"([^\W\d_])\1{2,}", c))
-        self[raw] = marks
-        return marks
+        marks |= DISGUISED * (d != c and len(d) > 2 and any(not x.isalpha() and x != "'" and x != "-" for x in c)) | LONG * bool(LENGTHENED.search(c))
+        return self.keep(raw, marks)
 
 
 def features(text: str | None, marks: WordMarks) -> list[float]:
