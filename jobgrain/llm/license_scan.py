@@ -22,7 +22,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobgrain.llm.common import require
+from jobgrain.llm.common import materialize, require
 
 #: Short notices, usual file headers and license texts, as their publishers word them.
 TEMPLATES = {
@@ -208,9 +208,8 @@ def probe_words(templates: dict[str, str], threshold: float) -> list[str]:
     return chosen
 
 
-def _holds(word: str) -> Column:
-    """The text holds the word; a short one as a whole word, as it stands inside too many others."""
-    low = F.lower("text")
+def _holds(low: Column, word: str) -> Column:
+    """The lower-case text holds the word; a short one as a whole word, as it stands inside too many others."""
     return F.contains(low, F.lit(word)) if len(word) > 4 else F.rlike(low, F.lit(f"(?<![a-z0-9]){word}(?![a-z0-9])"))
 
 
@@ -265,8 +264,10 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
     spark, t, templates = docs.sparkSession, threshold, templates or TEMPLATES
     table = F.broadcast(template_table(spark, templates))
     sizes = [len(set(_python_bigrams(x))) for x in templates.values()]
-    maybe = reduce(or_, [_holds(w) for w in sorted(probe_words(templates, t), key=len, reverse=True)])
-    rows = require(docs, "doc_id", "text").where(maybe).withColumn("row", F.monotonically_increasing_id())
+    words = sorted(probe_words(templates, t), key=len, reverse=True)
+    maybe = F.exists(F.array(F.lower("text")), lambda low: reduce(or_, [_holds(low, w) for w in words]))
+    # texts are read and probed once; what is left is read by lines, spans and the spans' sizes
+    rows = materialize(require(docs, "doc_id", "text").where(maybe).withColumn("row", F.monotonically_increasing_id()))
     columns = ["doc_id", "row", "unit", "place", "license", "shared", "n", "m", "dice"]
     return _units(rows, table, sizes, t).select(columns).union(_spans(rows, table, t).select(columns))
 
