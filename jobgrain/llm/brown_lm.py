@@ -113,21 +113,47 @@ def _pairs(lexicon: list[bytes]):
     return run
 
 
+#: Neighbours that are packed into one row of the table of neighbours, about.
+PACKED = 500_000
+
+
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items and their neighbours as plain arrays of many items: each round reads them without unpacking rows."""
+    held: list[tuple] = []
+    names, kinds = ("item", "row", "other", "n"), ("<i4", "<i4", "<i4", "<i8")
+
+    def out() -> pa.RecordBatch:
+        shift = np.cumsum([0, *(len(h[0]) for h in held[:-1])])
+        columns = [np.concatenate([h[i] + (s if i == 1 else 0) for h, s in zip(held, shift, strict=True)]) for i in range(4)]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([c.astype(k).tobytes()], pa.binary()) for c, k in zip(columns, kinds, strict=True)], list(names))
+
+    for b in chunked(batches, 16):
+        others, counts = rows_of(b, "others"), rows_of(b, "counts")
+        row = np.repeat(np.arange(b.num_rows), np.diff(others.offsets.to_numpy()))
+        held.append((rows_of(b, "item").to_numpy(), row, others.flatten().to_numpy(), counts.flatten().to_numpy()))
+        if sum(len(h[1]) for h in held) > PACKED:
+            yield out()
+    if held:
+        yield out()
+
+
 def neighbours(pairs: DataFrame, items: int) -> DataFrame:
-    """One row per item: its left neighbours, its right ones (their numbers raised by ``items``), and the counts of both.
+    """Of each item its left neighbours, its right ones (their numbers raised by ``items``), and the counts of both, many items to a row.
 
     An item has at most 2 * items neighbours, so a row is bounded whatever the corpus; the rounds then need no shuffle.
     """
     left = pairs.select(F.col("right").alias("item"), F.col("left").alias("other"), "n")
     right = pairs.select(F.col("left").alias("item"), (F.col("right") + items).alias("other"), "n")
-    return materialize(left.union(right).groupBy("item").agg(F.collect_list("other").alias("others"), F.collect_list("n").alias("counts")))
+    each = left.union(right).groupBy("item").agg(F.collect_list("other").alias("others"), F.collect_list("n").alias("counts"))
+    return materialize(each.mapInArrow(_packed_rows, "item binary, row binary, other binary, n binary"))
 
 
-def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Items, and for each neighbour its row, number and count."""
-    others, counts = rows_of(b, "others"), rows_of(b, "counts")
-    ends = others.offsets.to_numpy()
-    return rows_of(b, "item").to_numpy(), np.repeat(np.arange(b.num_rows), np.diff(ends)), others.flatten().to_numpy(), counts.flatten().to_numpy()
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Items, and for each neighbour the place of its item, its number and count."""
+    for b in batches:
+        for item, row, other, n in zip(*(rows_of(b, c).to_pylist() for c in ("item", "row", "other", "n")), strict=True):
+            yield tuple(np.frombuffer(x, dtype=k).astype(np.int64) for x, k in ((item, "<i4"), (row, "<i4"), (other, "<i4"), (n, "<i8")))
 
 
 def _transitions(of: np.ndarray, c: int):
@@ -135,8 +161,7 @@ def _transitions(of: np.ndarray, c: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(c * c)
-        for b in chunked(batches, 2048):
-            item, row, other, n = _unpacked(b)
+        for item, row, other, n in _unpacked(batches):
             right = other >= len(of)
             total += np.bincount(of[item[row[right]]] * c + of[other[right] - len(of)], weights=n[right], minlength=c * c)
         at = np.flatnonzero(total)
@@ -158,13 +183,12 @@ def _best_classes(of: np.ndarray, matrix: np.ndarray, c: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_p = np.log((matrix + 0.1) / (matrix.sum(1, keepdims=True) + 0.1 * c))  # [previous, next]
         sizes = np.log(matrix.sum(0) + 1.0)
-        for b in chunked(batches, 2048):
-            item, row, other, n = _unpacked(b)
+        for item, row, other, n in _unpacked(batches):
             cell = row * 2 * c + np.where(other >= len(of), c, 0) + of[other % len(of)]
-            h = np.bincount(cell, weights=n, minlength=b.num_rows * 2 * c).reshape(-1, 2 * c)
+            h = np.bincount(cell, weights=n, minlength=len(item) * 2 * c).reshape(-1, 2 * c)
             # the emission favours small classes: the item's share of a class is its count over the class's tokens
             value = h[:, :c] @ log_p + h[:, c:] @ log_p.T - h[:, :c].sum(1, keepdims=True) * sizes
-            yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(value.argmax(1).astype(np.int32))], ["item", "best"])
+            yield pa.RecordBatch.from_arrays([pa.array(item.astype(np.int32)), pa.array(value.argmax(1).astype(np.int32))], ["item", "best"])
 
     return run
 
