@@ -15,8 +15,10 @@ from jobgrain.llm import (
     license_scan,
     line_dedup,
     packing,
+    periodic_runs,
     sharding,
     simhash_dedup,
+    spelling_variants,
     toxicity,
 )
 
@@ -71,6 +73,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.drop("ids")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True, full=False).drop("runs", "collapsed")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"), garble=spelling_variants.GARBLE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -83,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_chat_format": op9_chat_format,
         "op10_packing": op10_packing,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
