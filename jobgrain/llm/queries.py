@@ -16,6 +16,7 @@ from jobgrain.llm import (
     line_dedup,
     packing,
     periodic_runs,
+    pii,
     sharding,
     simhash_dedup,
     spelling_variants,
@@ -77,6 +78,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True, full=False).drop("runs", "collapsed")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"), garble=spelling_variants.GARBLE)
 
@@ -94,9 +99,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_format": op9_chat_format,
         "op10_packing": op10_packing,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_pii": op12_pii,
         "op13_spelling_variants": op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_scan": license_scan.oracle(), "op9_chat_format": chat_format.ORACLE}
+    return {"op8_license_scan": license_scan.oracle(), "op9_chat_format": chat_format.ORACLE, "op12_pii": pii.oracle()}
