@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -180,29 +183,68 @@ def project(baseline: DataFrame, tenants: DataFrame) -> DataFrame:
     return rows.withColumn("fails", F.array_compact(F.array(*guards)))
 
 
+def _hundredths(part: int, whole: int) -> int:
+    """A percentage in hundredths, halves up; 0 of nothing."""
+    return (20_000 * part + whole) // (2 * whole) if whole > 0 else 0
+
+
+#: What the fold of a source's tenants needs of each.
+FOLDED = ("ats_key", "gain", "missing", "weak", "g_visible", "g_missing", "g_weak", "s_visible", "s_missing", "s_weak")
+
+
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted tenants of whole sources -> those taken, with what the tenants before them gain. Only running sums are kept."""
+    source, gain, missing, weak = None, 0, 0, 0
+    for b in batches:
+        taken, before = [], []
+        for i, (key, *n) in enumerate(zip(*(b.column(c).to_pylist() for c in FOLDED), strict=True)):
+            if key != source:
+                source, gain, missing, weak = key, 0, 0, 0
+            g, m, w = gain + n[0], missing + n[1], weak + n[2]
+            safe = all(
+                _hundredths(had + more, all_ + g) <= _hundredths(had, all_) for all_, *gaps in (n[3:6], n[6:9]) for had, more in zip(gaps, (m, w), strict=True)
+            )
+            if safe:
+                taken.append(i)
+                before.append(gain)
+                gain, missing, weak = g, m, w
+        rows = b.take(pa.array(taken, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("ats_key", "tenant", "gain", "missing", "weak")), pa.array(before, pa.int64())], ["ats_key", "tenant", "gain", "missing", "weak", "before"])
+
+
+def safe_tenants(projected: DataFrame) -> DataFrame:
+    """The tenants that a source can take one after the other, largest gains first (ties by name): (ats_key, tenant, gain, missing, weak, before).
+
+    A tenant is taken if it passes alone and the gap percentages of all rows and of the source, with all tenants taken so far and this one, stay
+    at or below the baseline's; else it is skipped and the next one is tried. ``before`` is the gain of those taken before it. What is taken does
+    not depend on a target, so every stage's batch is a beginning of this list. The tenants of a source are read in sorted order by one task, which
+    keeps three sums.
+    """
+    good = projected.where(F.size("fails") == 0).select("tenant", *[F.col(c).cast("long" if c != "ats_key" else "string").alias(c) for c in FOLDED])
+    ordered = good.repartition("ats_key").sortWithinPartitions("ats_key", F.desc("gain"), "tenant")
+    return ordered.mapInArrow(_greedy, "ats_key string, tenant string, gain long, missing long, weak long, before long")
+
+
 def safe_batches(projected: DataFrame, stages: tuple[int, ...] = (250, 500, 1000, 2500, 5000, 10000)) -> DataFrame:
     """Per source and stage: the tenants that together gain the stage's rows without breaking a guard, largest gains first.
 
-    A tenant that passes alone keeps every percentage at or below the baseline's, and so does any sum of such tenants, so the greedy choice is
-    a running sum over a source's tenants: those before the stage's target is reached.
+    ``reached`` tells whether they gain as much as the stage asks for.
     """
-    good = projected.where(F.size("fails") == 0)
-    w = W.partitionBy("ats_key").orderBy(F.desc("gain"), "tenant").rowsBetween(W.unboundedPreceding, -1)
-    rows = good.withColumn("before", F.coalesce(F.sum("gain").over(w), F.lit(0))).withColumn("stage", F.explode(F.array(*map(F.lit, stages))))
+    rows = safe_tenants(projected).withColumn("stage", F.explode(F.array(*map(F.lit, stages))))
     out = rows.where(F.col("before") < F.col("stage")).groupBy("ats_key", "stage").agg(F.count("*").alias("tenants"), F.sum("gain").alias("gain"), F.sum("missing").alias("missing"), F.sum("weak").alias("weak"))
     return out.withColumn("reached", F.col("gain") >= F.col("stage"))
 
 
 def alias_conflicts(rows: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
     """Rows under an alias source whose keys the canonical source has too (aliases: ats_key, canonical)."""
-    old = rows.join(F.broadcast(aliases), "ats_key")
+    old = rows.join(aliases, "ats_key")
     there = rows.select(F.col("ats_key").alias("canonical"), *keys).distinct()
     return old.join(there, ["canonical", *keys], "left_semi").select("canonical", "ats_key", *keys)
 
 
 def alias_report(rows: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
     """Per alias: its rows, its conflicts, and whether it can be folded without a merge."""
-    n = rows.join(F.broadcast(aliases), "ats_key").groupBy("canonical", "ats_key").agg(F.count("*").alias("rows"))
+    n = rows.join(aliases, "ats_key").groupBy("canonical", "ats_key").agg(F.count("*").alias("rows"))
     c = alias_conflicts(rows, aliases, keys).groupBy("canonical", "ats_key").agg(F.count("*").alias("conflicts"))
     out = n.join(c, ["canonical", "ats_key"], "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))
     return out.withColumn("safe", F.col("conflicts") == 0)

@@ -327,6 +327,8 @@ def oracle(body: str) -> str:
         used.insert(0, "postings")
     ctes = [f"{v} AS ({_SQL[v].strip()})" for v in used]
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join([*ctes, body[15:]])}"
     if body.upper().startswith("WITH "):
         return f"WITH {', '.join([*ctes, body[5:]])}" if ctes else body
     return f"WITH {', '.join(ctes)} {body}" if ctes else body
