@@ -121,8 +121,8 @@ def plain_text(c: Column) -> Column:
     return F.trim(t)
 
 
-def posted_epoch(c: Column, as_of: int) -> Column:
-    """Epoch seconds of a posting date as boards write it, against a fixed ``as_of``."""
+def posted_epoch(c: Column, as_of: int | Column) -> Column:
+    """Epoch seconds of a posting date as boards write it, against ``as_of`` (a time, or each row's own)."""
     v = trimmed(c)
     low = F.regexp_replace(F.lower(v), r"^posted\s+", "")
     hours, days = (F.regexp_extract(low, rf"^(\d+)\s+{unit}s?\s+ago$", 1) for unit in ("hour", "day"))

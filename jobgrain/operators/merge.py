@@ -138,6 +138,21 @@ def cache_changes(current: DataFrame, batch: DataFrame, key: str, compared: list
     return rows.withColumn("change", F.when(F.col("_old").isNull(), "new").when(F.col("_old").eqNullSafe(F.col("_new")), "same").otherwise("changed")).drop("_old", "_new")
 
 
+def upsert_cache(current: DataFrame, batch: DataFrame, compared: list[str], key: str = "canonical_url") -> DataFrame:
+    """The next cache: the last row of each key wins (batch: the cache's columns and ``arrival``), all others stay.
+
+    Adds change: new, changed, same (by the compared fields, null-safe; the new row is taken all the same, as it was seen later), or untouched.
+    """
+    columns = current.columns
+    new = batch.groupBy(key).agg(F.max_by(F.struct(*columns), "arrival").alias("_new"))
+    both = current.select(F.col(key), F.struct(*columns).alias("_old")).join(new, key, "full_outer")
+    same = F.lit(True)
+    for c in compared:
+        same = same & F.col(f"_old.{c}").eqNullSafe(F.col(f"_new.{c}"))
+    change = F.when(F.col("_new").isNull(), "untouched").when(F.col("_old").isNull(), "new").when(same, "same").otherwise("changed")
+    return both.select(F.coalesce("_new", "_old").alias("_row"), change.alias("change")).select("_row.*", "change")
+
+
 def first_of_batch(batch: DataFrame, order: list[Column]) -> DataFrame:
     """The first row of each URL, with how many more there were."""
     w = W.partitionBy("canonical_url")

@@ -8,8 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobgrain.plans.merge_plans import snapshot
+from jobgrain.plans.quality_plans import _AMBIG, _B, _MODE, _PLACE_OK
 from jobgrain.plans.registry import query
-from jobgrain.sources.views import table
+from jobgrain.sources.storage import VersionedTables, new_path
+from jobgrain.sources.views import EARLIER, epoch, posting_cache, table
 from jobgrain.streaming import jobs
 
 
@@ -90,3 +93,70 @@ def st6_shape_drift(spark, sf_dir):
     rows = e.select(F.concat(F.lit("ats"), (F.col("user_id") % 12).cast("string")).alias("ats_key"), F.concat(F.lit("v"), (F.col("event_id") % 2).cast("string")).alias("parser_version"), F.col("event_id").alias("observed_epoch"), shape.alias("shape_paths"))
     seen = jobs.run_to_table(jobs.shape_drift(rows), spark, "shapes")
     return seen.groupBy("ats_key", "parser_version").agg((F.count("*") > 0).alias("drifted"))
+
+
+def landed(lines: DataFrame, spark, sf_dir) -> DataFrame:
+    """Rows as a crawler lands them: tracking parameters, blank titles and ids, doubtful places."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    n = F.col("l_linenumber")
+    place = F.when(n % 5 == 0, "Remote").when(n % 3 == 0, " Multiple locations ").otherwise(F.col("n_name"))
+    return lines.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        F.concat(F.lit("https://jobs.example/p/"), F.col("l_orderkey").cast("string"), F.when(n % 2 == 0, "?utm_source=feed").otherwise("#apply")).alias("canonical_url"),
+        F.concat(F.lit(" "), "s_name").alias("company_name"), F.when(F.col("l_partkey") % 50 == 0, "").otherwise(F.concat(F.lit("Line "), n.cast("string"))).alias("position_name"),
+        F.concat(F.lit("ats"), (F.col("l_suppkey") % 5).cast("string")).alias("ats_key"), F.when(F.col("l_suppkey") % 9 == 0, "").otherwise(F.col("l_partkey").cast("string")).alias("source_job_id"),
+        F.lit("v1").alias("parser_version"), F.when(n % 3 == 0, "").otherwise(F.col("n_name")).alias("country"), F.lit("").alias("region"), F.lit("").alias("city"), place.alias("location_text"),
+        F.when(n % 2 == 0, "unknown").otherwise("hybrid").alias("remote_type"), F.when(n % 4 == 0, "").otherwise("yesterday").alias("posting_date"), ((F.col("l_quantity") + 25) / 75).alias("confidence"),
+        F.when(F.col("l_returnflag") == "R", "").otherwise(F.concat(F.lit("dep "), F.col("l_returnflag"))).alias("department"), epoch("l_shipdate").alias("seen_epoch"),
+        F.struct(epoch("l_shipdate").alias("t"), n.alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_extendedprice").alias("e")).alias("arrival"),
+    )
+
+
+_URL = "'https://jobs.example/p/' || l_orderkey"
+_LANDED = f"""
+l AS (SELECT {_URL} AS canonical_url, s_name AS company_name, CASE WHEN l_partkey % 50 = 0 THEN '' ELSE 'Line ' || l_linenumber END AS position_name, 'ats' || (l_suppkey % 5) AS ats_key,
+  CASE WHEN l_suppkey % 9 = 0 THEN '' ELSE l_partkey::VARCHAR END AS source_job_id, 'v1' AS parser_version, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE n_name END AS country, '' AS region, '' AS city,
+  CASE WHEN l_linenumber % 5 = 0 THEN 'Remote' WHEN l_linenumber % 3 = 0 THEN 'Multiple locations' ELSE n_name END AS location_text,
+  CASE WHEN l_linenumber % 2 = 1 THEN 'hybrid' WHEN l_linenumber % 5 = 0 THEN 'remote' ELSE 'unknown' END AS remote_type, CASE WHEN l_linenumber % 4 <> 0 THEN CAST(epoch(l_shipdate) AS BIGINT) - 86400 END AS posted_at_epoch,
+  (l_quantity + 25) / 75 AS confidence, CASE WHEN l_returnflag = 'R' THEN '' ELSE 'dep ' || l_returnflag END AS department, CAST(epoch(l_shipdate) AS BIGINT) AS seen_epoch,
+  row(CAST(epoch(l_shipdate) AS BIGINT), l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS arrival FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+d AS (SELECT *, list_filter([CASE WHEN {_B.format('source_job_id')} THEN 'missing_source_job_id' END, CASE WHEN CAST(round(confidence * 100) AS INTEGER) < 35 THEN 'low_quality_score' END, CASE WHEN confidence < 0.35 THEN 'low_parser_confidence' END,
+  CASE WHEN {_AMBIG} AND NOT {_MODE} THEN 'ambiguous_location' END, CASE WHEN NOT {_PLACE_OK} AND NOT {_MODE} THEN 'no_geo_no_remote' END], lambda x: x IS NOT NULL) AS doubts FROM l),
+b AS (SELECT *, CASE WHEN position_name = '' THEN 'invalid' WHEN len(doubts) > 0 THEN 'quarantined' ELSE 'valid' END AS validation_status, CASE WHEN position_name = '' THEN 'missing position_name' ELSE array_to_string(doubts, ',') END AS validation_error,
+  position_name <> '' AND len(doubts) = 0 AS accepted FROM d),
+f AS (SELECT canonical_url, arg_max(company_name, arrival) FILTER (accepted) AS company_name, arg_max(position_name, arrival) FILTER (accepted) AS position_name, arg_max(country, arrival) FILTER (accepted AND country <> '') AS country,
+  arg_max(department, arrival) FILTER (accepted AND department <> '') AS department, coalesce(arg_max(remote_type, arrival) FILTER (accepted AND remote_type <> 'unknown'), 'unknown') AS remote_type, min(seen_epoch) FILTER (accepted) AS first_seen,
+  max(seen_epoch) FILTER (accepted) AS last_seen, count(*) FILTER (accepted) AS n, arg_max(accepted, arrival) AS shown FROM b GROUP BY 1),
+p AS (SELECT * FROM postings WHERE first_seen_epoch < {EARLIER}),
+m AS (SELECT coalesce(p.canonical_url, f.canonical_url) AS canonical_url, CASE WHEN n > 0 THEN f.company_name ELSE p.company_name END AS company_name, CASE WHEN n > 0 THEN f.position_name ELSE p.position_name END AS position_name,
+  CASE WHEN n > 0 AND f.country IS NOT NULL THEN f.country ELSE p.country END AS country, CASE WHEN n > 0 AND f.department IS NOT NULL THEN f.department WHEN p.canonical_url IS NULL THEN NULL ELSE '' END AS department,
+  CASE WHEN n > 0 AND f.remote_type <> 'unknown' THEN f.remote_type ELSE coalesce(p.remote_type, 'unknown') END AS remote_type, CASE WHEN f.canonical_url IS NOT NULL THEN NOT shown ELSE p.hidden END AS hidden, greatest(last_seen, last_seen_epoch) AS seen,
+  CASE WHEN f.canonical_url IS NULL THEN '' WHEN p.canonical_url IS NULL THEN CASE WHEN shown THEN 'upsert' ELSE '' END WHEN NOT shown THEN CASE WHEN p.hidden THEN '' ELSE 'delete' END WHEN p.hidden THEN 'upsert' ELSE '' END AS operation
+  FROM p FULL JOIN f ON p.canonical_url = f.canonical_url WHERE p.canonical_url IS NOT NULL OR n > 0),
+c AS (SELECT canonical_url, last_seen_epoch, validation_status, validation_error, company_name FROM posting_cache WHERE last_seen_epoch < {EARLIER}),
+k AS (SELECT canonical_url, arg_max(row(seen_epoch, validation_status, validation_error, company_name), arrival) AS x FROM b GROUP BY 1)"""
+
+
+@query(f"""
+WITH {_LANDED}
+SELECT 'posting' AS sink, canonical_url, concat_ws('|', company_name, position_name, country, coalesce(department, '-'), remote_type, hidden, seen) AS image, 1 AS n FROM m
+UNION ALL SELECT 'outbox', canonical_url, operation, 1 FROM m WHERE operation <> ''
+UNION ALL SELECT 'rejection', canonical_url, concat_ws('|', validation_status, validation_error, seen_epoch), count(*) FROM b WHERE NOT accepted GROUP BY 1, 2, 3
+UNION ALL SELECT 'cache', coalesce(c.canonical_url, k.canonical_url), CASE WHEN k.canonical_url IS NULL THEN concat_ws('|', c.last_seen_epoch, c.validation_status, c.validation_error, c.company_name) ELSE concat_ws('|', x[1], x[2], x[3], x[4]) END, 1
+  FROM c FULL JOIN k ON c.canonical_url = k.canonical_url
+""")
+def st1_ingest(spark, sf_dir):
+    """ST1, S6, M1-M4, Q4: landed rows through the gate into four tables that one commit makes visible."""
+    tables = VersionedTables(spark, new_path(spark, "ingest"), buckets=16)
+    cache = posting_cache(spark, sf_dir).where(F.col("last_seen_epoch") < EARLIER).withColumn("remote_type", F.lit(""))
+    jobs.start_tables(tables, snapshot(spark, sf_dir), cache)
+    lines = spark.readStream.schema(table(spark, sf_dir, "lineitem").schema).parquet(f"{sf_dir}/lineitem.parquet*")
+    jobs.run_batches(landed(lines, spark, sf_dir), jobs.ingest_sink(tables), new_path(spark, "ingest-state"))
+    image = lambda *c: F.concat_ws("|", *[F.col(x).cast("string") for x in c]).alias("image")
+    one = F.lit(1).cast("long").alias("n")
+    p = tables.read("postings").withColumn("department", F.coalesce("department", F.lit("-")))
+    return (
+        p.select(F.lit("posting").alias("sink"), "canonical_url", image("company_name", "position_name", "country", "department", "remote_type", "hidden", "last_seen_epoch"), one)
+        .union(tables.read("outbox").select(F.lit("outbox"), "canonical_url", "operation", one))
+        .union(tables.read("rejections").groupBy(F.lit("rejection"), "canonical_url", image("validation_status", "validation_error", "seen_epoch")).agg(F.count("*")))
+        .union(tables.read("posting_cache").select(F.lit("cache"), "canonical_url", image("last_seen_epoch", "validation_status", "validation_error", "company_name"), one))
+    )

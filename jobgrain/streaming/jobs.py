@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobgrain.operators.audit import is_parser_attention
-from jobgrain.operators.merge import compact_outbox, upsert
-from jobgrain.sources.storage import new_path, write_snapshot
+from jobgrain.functions.text import canonical_url, posted_epoch, stored_remote_type, trimmed, work_mode
+from jobgrain.operators.merge import compact_outbox, outbox_of, upsert, upsert_cache
+from jobgrain.operators.quality import public_gate, validation_error
+from jobgrain.sources.storage import Version, VersionedTables, new_path
 
 
 def hourly_counts(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -88,17 +90,74 @@ def outbox_sink(apply: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
     return lambda batch, epoch: apply(compact_outbox(batch), epoch)
 
 
-def ingest_sink(root: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: merge each batch into the newest snapshot under ``root`` as a new version.
+#: Fields of a cached row, those that make it changed, and what an index operation needs.
+CACHED = ("canonical_url", "ats_key", "parser_version", "company_name", "position_name", "source_job_id", "confidence", "remote_type", "last_seen_epoch", "validation_status", "validation_error")
+COMPARED = ("ats_key", "parser_version", "company_name", "position_name", "source_job_id", "confidence", "validation_status", "validation_error")
 
-    All columns of the snapshot stay. A batch that is run again after a failure writes its own version again, from the same predecessor.
-    """
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        current = batch.sparkSession.read.parquet(f"{root}/version={epoch:08d}")
-        write_snapshot(upsert(current, batch).drop("change"), root, epoch + 1)
+def normalised(landed: DataFrame) -> DataFrame:
+    """Landed rows with their standard URL, trimmed texts, work mode and posting time, and the gate's decision on each.
+
+    Needs canonical_url, company_name, position_name, ats_key, source_job_id, parser_version, country, region, city, location_text, remote_type,
+    posting_date, confidence, seen_epoch, arrival. Adds posted_at_epoch, validation_status (valid / invalid / rejected / quarantined),
+    validation_error and accepted.
+    """
+    texts = [c for c in ("company_name", "position_name", "source_job_id", "country", "region", "city", "location_text") if c in landed.columns]
+    rows = landed.withColumns({c: trimmed(F.col(c)) for c in texts}).withColumn("canonical_url", canonical_url(F.col("canonical_url")))
+    said, place = stored_remote_type(F.col("remote_type")), work_mode(F.col("location_text"))
+    rows = rows.withColumn("remote_type", F.when((said == "unknown") & place.isin("remote", "hybrid"), place).otherwise(said))
+    rows = rows.withColumn("posted_at_epoch", posted_epoch(F.col("posting_date"), F.col("seen_epoch")))
+    gated = public_gate(rows.withColumn("_fault", validation_error()))
+    status = F.when(F.col("_fault") != "", "invalid").when(F.col("gate_status") == "accepted", "valid").otherwise(F.col("gate_status"))
+    error = F.when(F.col("_fault") != "", F.col("_fault")).otherwise(F.array_join("reason_codes", ","))
+    out = gated.withColumns({"validation_status": status, "validation_error": error})
+    return out.withColumn("accepted", F.col("validation_status") == "valid").drop("_fault", "gate_status", "reason_codes", "gate_confidence")
+
+
+def ingest_sink(tables: VersionedTables) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: landed rows into the posting snapshot, the cache, the rejections and the index outbox, visible together.
+
+    The snapshot (``postings``) and the cache (``posting_cache``) are rewritten only in the buckets that the batch touches; the rows that
+    failed go to ``rejections``, index operations to ``outbox``. A batch that failed half way leaves nothing visible and can be run again; one that was
+    committed is passed over. ``start_tables`` makes the first version.
+    """
 
-    return merge
+    def land(batch: DataFrame, epoch: int) -> None:
+        if epoch in tables.batches():
+            return
+        rows = normalised(batch).persist()  # read by four tables
+        try:
+            version = tables.next(epoch)
+            touched = tables.touched(rows, "canonical_url")
+            merged = upsert(tables.read("postings", only=touched), rows).persist()
+            cache = rows.withColumn("last_seen_epoch", F.col("seen_epoch")).select(*CACHED, "arrival")
+            tables.write_buckets(merged.drop("change"), "postings", "canonical_url", version, touched)
+            tables.write_buckets(upsert_cache(tables.read("posting_cache", only=touched), cache, list(COMPARED)).drop("change"), "posting_cache", "canonical_url", version, touched)
+            tables.append(rejections_of(rows), "rejections", version)
+            tables.append(outbox_of(merged), "outbox", version)
+            tables.commit(version)
+            merged.unpersist()
+        finally:
+            rows.unpersist()
+
+    return land
+
+
+def rejections_of(rows: DataFrame) -> DataFrame:
+    return rows.where("not accepted").select("canonical_url", "ats_key", "validation_status", "validation_error", "seen_epoch")
+
+
+def start_tables(tables: VersionedTables, postings: DataFrame, cache: DataFrame) -> None:
+    """The first version: a snapshot and a cache."""
+    version, every = Version(-1), list(range(tables.buckets))
+    tables.write_buckets(postings, "postings", "canonical_url", version, every)
+    tables.write_buckets(cache.select(*CACHED), "posting_cache", "canonical_url", version, every)
+    tables.commit(version)
+
+
+def run_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Run a sink over all that is there now."""
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:

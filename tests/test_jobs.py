@@ -2,13 +2,17 @@
 
 import tempfile
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from jobgrain.operators import audit as A
 from jobgrain.operators import merge as M
 from jobgrain.operators import search as S
-from jobgrain.plans import merge_plans
-from jobgrain.sources.views import incoming
+from jobgrain.operators import sources as O
+from jobgrain.plans import merge_plans, streaming_plans
+from jobgrain.sources.storage import VersionedTables
+from jobgrain.sources.views import incoming, posting_cache
 from jobgrain.streaming import jobs
 
 
@@ -56,16 +60,85 @@ def test_pages_do_not_overlap(spark, small):
     assert all(len(p) == 20 for p in pages) and len(set.union(*pages)) == 60
 
 
+def folder():
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def landed_files(spark, small, files):
+    lines = spark.read.parquet(f"{small}/lineitem.parquet")
+    at = folder()
+    day = F.to_unix_timestamp(F.col("l_shipdate").cast("timestamp"))
+    part = F.ntile(files).over(Window.orderBy(day, "l_orderkey", "l_linenumber"))  # a small fixture
+    parts = lines.withColumn("part", part).persist()
+    for i in range(files):
+        parts.where(F.col("part") == i + 1).drop("part").coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    return streaming_plans.landed(stream, spark, small), streaming_plans.landed(lines, spark, small)
+
+
+def started(spark, small, buckets=8):
+    tables = VersionedTables(spark, folder(), buckets)
+    cache = posting_cache(spark, small).where("posting_no % 2 = 0").withColumn("remote_type", F.lit(""))
+    jobs.start_tables(tables, merge_plans.snapshot(spark, small), cache)
+    return tables
+
+
+def contents(tables):
+    return {t: as_set(tables.read(t)) for t in ("postings", "posting_cache", "rejections")}
+
+
 def test_streamed_merges_equal_one_batch(spark, small):
-    batch, root, landed = incoming(spark, small), tempfile.mkdtemp(prefix="spark-", dir="/tmp"), tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    start = merge_plans.snapshot(spark, small)
-    jobs.write_snapshot(start, root, 0)
-    batch.repartitionByRange(3, "seen_epoch").write.mode("overwrite").parquet(landed)
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    stream.writeStream.foreachBatch(jobs.ingest_sink(root)).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(f"{root}/version=00000003")
-    keys = ["canonical_url", "first_seen_epoch", "last_seen_epoch", "hidden"]
-    assert as_set(last.select(*keys)) == as_set(M.upsert(start, batch).select(*keys))
+    stream, all_ = landed_files(spark, small, 3)
+    tables, once = started(spark, small), started(spark, small)
+    start = tables.read("postings", -1)
+    jobs.run_batches(stream, jobs.ingest_sink(tables), folder())
+    jobs.ingest_sink(once)(all_, 0)
+    assert tables.batches() == [-1, 0, 1, 2]
+    assert contents(tables) == contents(once)
+    assert as_set(tables.read("postings")) == as_set(M.upsert(start, jobs.normalised(all_)).drop("change"))
+
+
+@pytest.mark.parametrize("broken", ["rejections", "commit"])
+def test_a_batch_that_failed_half_way_is_run_again(spark, small, monkeypatch, broken):
+    stream, all_ = landed_files(spark, small, 2)
+    tables, whole = started(spark, small), started(spark, small)
+    jobs.run_batches(stream, jobs.ingest_sink(whole), folder())
+    state, before, failed = folder(), contents_of_start(tables), []
+
+    def once(name, call):
+        def run(self, *args):
+            if not failed and broken in (name, *(x for x in args if isinstance(x, str))) and self is tables:
+                failed.append(1)
+                raise OSError("executor lost")
+            return call(self, *args)
+
+        monkeypatch.setattr(VersionedTables, name, run)
+
+    for name in ("write_buckets", "append", "commit"):
+        once(name, getattr(VersionedTables, name))
+    with pytest.raises(Exception, match="executor lost"):
+        jobs.run_batches(stream, jobs.ingest_sink(tables), state)
+    assert failed and tables.batches() == [-1] and contents_of_start(tables) == before
+    jobs.run_batches(stream, jobs.ingest_sink(tables), state)
+    assert contents(tables) == contents(whole)
+    jobs.ingest_sink(tables)(all_, 1)  # a batch that is there is not applied twice
+    assert contents(tables) == contents(whole)
+    assert tables.vacuum(keep=1) > 0 and contents(tables) == contents(whole)
+
+
+def contents_of_start(tables):
+    return {t: as_set(tables.read(t)) for t in ("postings", "posting_cache")}
+
+
+def test_only_touched_buckets_are_rewritten(spark, small):
+    tables = started(spark, small, buckets=32)
+    one = streaming_plans.landed(spark.read.parquet(f"{small}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber").limit(1), spark, small)
+    jobs.ingest_sink(tables)(one, 0)
+    old, new = tables.version(-1).buckets, tables.version(0).buckets
+    for t in ("postings", "posting_cache"):
+        assert sum(old[t].get(b) != p for b, p in new[t].items()) == 1
+        assert len(new[t]) >= len(old[t])
+    assert tables.read("postings", -1).count() <= tables.read("postings").count() <= tables.read("postings", -1).count() + 1
 
 
 def test_stream_keeps_first_sightings(spark):
@@ -103,3 +176,15 @@ def test_intents_of_queries_without_names(spark):
     assert understand("").cleaned == "" and understand(None).groups == ()
     assert understand("(senior [dev").cleaned == "(senior [dev"
     assert token_groups("jobs") == (("jobs",),) and token_groups("software jobs") == (("software",),)
+
+
+def test_tenants_are_skipped_where_the_sum_would_break_a_guard(spark):
+    """Each of 2 000 tenants passes alone, as percentages are rounded; together only six do."""
+    whole = spark.createDataFrame([("a", 1_000_000, 200_000, 0)], "ats_key string, visible long, missing long, weak long")
+    rows = [("a", f"t{i:04d}", 10, 10, 0, 0) for i in range(2000)] + [("a", "clean", 10, 0, 0, 0), ("a", "tiny", 9, 0, 0, 0)]
+    tenants = spark.createDataFrame(rows, "ats_key string, tenant string, gain long, missing long, weak long, no_place long")
+    projected = O.project(whole, tenants)
+    assert projected.where(F.size("fails") == 0).count() == 2002
+    got = [tuple(r) for r in O.safe_tenants(projected).orderBy("before").select("tenant", "before").collect()]
+    assert got == [("clean", 0), *((f"t{i:04d}", 10 + 10 * i) for i in range(6)), ("tiny", 70)]
+    assert [tuple(r) for r in O.safe_batches(projected, (20, 10000)).orderBy("stage").collect()] == [("a", 20, 2, 20, 10, 0, True), ("a", 10000, 8, 79, 60, 0, False)]
