@@ -85,6 +85,19 @@ def compact_outbox(outbox: DataFrame) -> DataFrame:
     return outbox.groupBy("canonical_url").agg(F.max_by("operation", "id").alias("operation"), F.max("id").alias("id"), F.count("*").alias("entries"))
 
 
+def apply_outbox(index: DataFrame, operations: DataFrame, postings: DataFrame) -> DataFrame:
+    """The index documents after the operations (canonical_url, operation: upsert or delete, one of each URL).
+
+    An upsert takes the document's columns from the posting as it is now; an upsert whose posting is gone changes nothing.
+    """
+    fields = index.columns
+    split = operations.where("operation in ('upsert', 'delete')").select("canonical_url", (F.col("operation") == "delete").alias("_delete"))
+    payload = postings.select(F.col("canonical_url"), F.struct(*fields).alias("_new"))
+    rows = split.join(payload, "canonical_url", "left").where("_delete or _new is not null")
+    both = index.select("canonical_url", F.struct(*fields).alias("_old")).join(rows, "canonical_url", "full_outer")
+    return both.where("not coalesce(_delete, false)").select(F.coalesce("_new", "_old").alias("_d")).select("_d.*")
+
+
 def retention(postings: DataFrame, as_of: int, hot_days: int = 30, hidden_days: int = 180) -> DataFrame:
     """What happens to each posting: hide when not seen for some days, delete when long hidden, else keep."""
     seen = F.coalesce("last_seen_epoch", F.lit(0))

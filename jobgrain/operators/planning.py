@@ -140,14 +140,6 @@ def shape_similarity(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.round(F.size(F.array_intersect(a, b)) / both, 4))
 
 
-def drift_events(observed: DataFrame, threshold: float = 0.55) -> DataFrame:
-    """Observations (ats_key, parser_version, observed_epoch, shape_paths) less similar than ``threshold`` to the first of their parser."""
-    key = ["ats_key", "parser_version"]
-    base = observed.groupBy(*key).agg(F.min_by("shape_paths", F.struct("observed_epoch", "shape_paths")).alias("baseline"))
-    out = observed.join(base, key).withColumn("similarity", shape_similarity(F.array_distinct("baseline"), F.array_distinct("shape_paths")))
-    return out.where(F.col("similarity") < threshold)
-
-
 def prefix_match(value: Column, query: str) -> Column:
     """The value holds the query, or the query's words hit the value's words in order: at a word's start, or inside it from four letters on."""
     tokens = query.split()

@@ -171,22 +171,6 @@ def q22_index_repairs(spark, sf_dir):
     return P.index_repairs(rows, index.union(rows.where("city = ''").select(F.concat("canonical_url", F.lit("/gone")), F.lit("x"))))
 
 
-def _payloads(spark, sf_dir):
-    k = F.col("posting_no")
-    body = F.when(k % 10 < 7, F.to_json(F.struct("company_name", "position_name", F.struct("country", "region").alias("place")))).otherwise(F.to_json(F.struct("company_name", "confidence", F.array("city").alias("cities"))))
-    return postings(spark, sf_dir).select("ats_key", "parser_version", F.col("posting_no").alias("observed_epoch"), body.alias("payload"))
-
-
-@query("""
-WITH k AS (SELECT ats_key, parser_version, posting_no, CASE WHEN posting_no % 10 < 7 THEN 'a' ELSE 'b' END AS s FROM postings), f AS (SELECT ats_key, parser_version, arg_min(s, posting_no) AS base FROM k GROUP BY 1, 2)
-SELECT ats_key, parser_version, count(*) AS drifted FROM k JOIN f USING (ats_key, parser_version) WHERE s <> base GROUP BY 1, 2
-""")
-def q11_t23_drift(spark, sf_dir):
-    """Payload shapes far from their parser's first one."""
-    seen = _payloads(spark, sf_dir).withColumn("shape_paths", X.shape_paths(F.col("payload")))
-    return P.drift_events(seen).groupBy("ats_key", "parser_version").agg(F.count("*").alias("drifted"))
-
-
 #: URLs as systems write them, with the system and the id that each tells.
 _POSTED = (
     ("https://acme.wd5.myworkdayjobs.com/en/job/Bonn/Clerk_R12", "workday", "Clerk_R12"), ("https://jobs.ashbyhq.com/acme/7f-1", "ashby", "7f-1"), ("https://boards.greenhouse.io/acme/jobs/4455?gh_src=x", "greenhouse", "4455"),

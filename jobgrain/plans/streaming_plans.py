@@ -79,20 +79,29 @@ def st4_rolling_rates(spark, sf_dir):
     return jobs.run_to_table(jobs.rolling_rates(rows), spark, "rates")
 
 
-@query("""
-WITH o AS (SELECT 'ats' || (user_id % 12) AS ats_key, 'v' || (event_id % 2) AS parser_version, event_id AS observed_epoch, CASE WHEN event_type = 'error' THEN 'other' WHEN event_type = 'signup' THEN 'empty' WHEN event_type = 'click' THEN 'near' ELSE 'base' END AS shape FROM events)
-SELECT ats_key, parser_version, count(*) > 0 AS drifted FROM o WHERE shape = 'other' GROUP BY 1, 2
-""")
-def st6_shape_drift(spark, sf_dir):
-    """ST6: baselines of payload shapes as state; which parsers saw a shape unlike their baseline."""
+_OUTBOX = """
+e AS (SELECT 'u' || user_id AS canonical_url, event_id AS id, epoch_us(ts) // 1000 AS t, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'delete' ELSE 'upsert' END AS what FROM events),
+k AS (SELECT *, last_value(CASE WHEN what <> 'failed' THEN id END IGNORE NULLS) OVER w AS entry, last_value(CASE WHEN what <> 'failed' THEN what END IGNORE NULLS) OVER w AS operation, lead(t) OVER (PARTITION BY canonical_url ORDER BY t, id) AS next_t FROM e
+  WINDOW w AS (PARTITION BY canonical_url ORDER BY t, id ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT *, count(*) FILTER (what = 'failed') OVER (PARTITION BY canonical_url, entry ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS failures FROM k WHERE entry IS NOT NULL),
+m AS (SELECT max(t) - 7200000 AS mark FROM e),
+d AS (SELECT canonical_url, entry AS id, operation, 1 AS attempt, t AS sent FROM n, m WHERE what <> 'failed' AND t <= mark
+  UNION ALL SELECT canonical_url, entry, operation, failures + 1, t + failures * 60000 FROM n, m WHERE what = 'failed' AND (next_t IS NULL OR next_t > t + failures * 60000) AND t + failures * 60000 <= mark)"""
+
+
+def outbox_stream(spark, sf_dir) -> DataFrame:
+    kind = F.when(F.col("raw_type") == "error", "failed").when(F.col("raw_type") == "signup", "delete").otherwise("upsert")
     schema = table(spark, sf_dir, "events").schema
-    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    base = ("jobs:array", "jobs[].id:number", "jobs[].title:string")
-    paths = lambda *p: F.array(*map(F.lit, p))
-    shape = F.when(F.col("event_type") == "error", paths("error:string")).when(F.col("event_type") == "signup", paths("jobs:array", "jobs[]:empty")).when(F.col("event_type") == "click", paths(*base, "total:number")).otherwise(paths(*base))
-    rows = e.select(F.concat(F.lit("ats"), (F.col("user_id") % 12).cast("string")).alias("ats_key"), F.concat(F.lit("v"), (F.col("event_id") % 2).cast("string")).alias("parser_version"), F.col("event_id").alias("observed_epoch"), shape.alias("shape_paths"))
-    seen = jobs.run_to_table(jobs.shape_drift(rows), spark, "shapes")
-    return seen.groupBy("ats_key", "parser_version").agg((F.count("*") > 0).alias("drifted"))
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("raw_type", F.col("event_type"))
+    return e.select(
+        F.timestamp_millis(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 1000")).alias("at"), F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("canonical_url"), kind.alias("operation"),
+    )
+
+
+@query(f"WITH {_OUTBOX} SELECT canonical_url, id, operation, CAST(attempt AS INTEGER) AS attempt, CAST(floor(sent / 1000) AS BIGINT) AS at_epoch FROM d")
+def st3_deliveries(spark, sf_dir):
+    """ST3: when operations are sent, with waits after failures, as far as the watermark has come."""
+    return jobs.run_to_table(jobs.deliveries(outbox_stream(spark, sf_dir)), spark, "deliveries")
 
 
 def landed(lines: DataFrame, spark, sf_dir) -> DataFrame:

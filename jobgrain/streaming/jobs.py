@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobgrain.operators.audit import is_parser_attention
 from jobgrain.functions.text import canonical_url, posted_epoch, stored_remote_type, trimmed, work_mode
-from jobgrain.operators.merge import compact_outbox, outbox_of, upsert, upsert_cache
+from jobgrain.operators.drift import FACTS, KEY, OUTCOME, Baseline, shape_facts
+from jobgrain.operators.merge import apply_outbox, compact_outbox, outbox_of, upsert, upsert_cache
 from jobgrain.operators.quality import public_gate, validation_error
 from jobgrain.sources.storage import Version, VersionedTables, new_path
 
@@ -37,39 +39,84 @@ def rolling_rates(errors: DataFrame, late: str = "2 hours") -> DataFrame:
     return out.select(F.unix_timestamp("window.end").alias("until_epoch"), "ats_key", "failures", "attention", F.round(F.col("attention") * 100 / F.col("failures"), 2).alias("attention_percent"))
 
 
-def shape_drift(observed: DataFrame, threshold: float = 0.55) -> DataFrame:
-    """Drift events of a stream of payload shapes (ats_key, parser_version, observed_epoch, shape_paths).
+def _due(state: GroupState, waiting: list[list]) -> tuple[list[list], list[list]]:
+    """Events up to the watermark in order, and those that still wait, for the earliest of which the timer is set."""
+    mark = state.getCurrentWatermarkMs()
+    waiting.sort(key=lambda e: e[:2])
+    cut = next((i for i, e in enumerate(waiting) if e[0] > mark), len(waiting))
+    return waiting[:cut], waiting[cut:]
 
-    The state of a parser is one baseline shape and how often it was seen: the first shape becomes the baseline, an empty baseline or
-    an empty job list is replaced by the next shape, a similar shape is counted, another one is an event and changes nothing.
+
+def _wake(state: GroupState, at_ms: int) -> None:
+    state.setTimeoutTimestamp(max(at_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def shape_drift(observed: DataFrame, late: str = "2 hours") -> DataFrame:
+    """``drift_outcomes`` of a stream of payload shapes (observed_at timestamp, ats_key, parser_version, ident, and the columns of ``shape_facts``).
+
+    The state of a parser is its baseline and the observations that the watermark has not passed, so rows that come in any order within ``late`` are
+    judged in the order of time and ident, as in batch.
     """
-    schema = "ats_key string, parser_version string, observed_epoch long, similarity double"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        base, seen = (list(state.get[0]), state.get[1]) if state.exists else (None, 0)
-        events = []
+        core, bare, waiting = state.get if state.exists else (None, "[]", "[]")
+        base, waiting = Baseline(None if core is None else json.loads(core), json.loads(bare)), json.loads(waiting)
         for frame in frames:
-            for epoch, paths in zip(frame["observed_epoch"], frame["shape_paths"], strict=True):
-                paths = sorted(set(paths))
-                empty = any(p.endswith("[]:empty") for p in paths)
-                if not base or (any(p.endswith("[]:empty") for p in base) and not empty):
-                    base, seen = paths, seen + 1
-                    continue
-                near = len({*base} & {*paths}) / max(1, len({*base} | {*paths}))
-                if near >= threshold or empty:
-                    seen += 1
-                else:
-                    events.append((*key, int(epoch), round(near, 4)))
-        state.update((base or [], seen))
-        if events:
-            yield pd.DataFrame(events, columns=["ats_key", "parser_version", "observed_epoch", "similarity"])
+            if not state.hasTimedOut:
+                times = frame["observed_at"].astype("datetime64[us]").astype("int64") // 1000
+                facts = [[list(x) if c in ("core", "bare", "filled") else bool(x) for x in frame[c]] for c in FACTS]
+                waiting += [[int(t), int(i), *f] for t, i, *f in zip(times, frame["ident"], *facts, strict=True)]
+        now, waiting = _due(state, waiting)
+        out = [(*key, t // 1000, i, *base.meet(*f)) for t, i, *f in now]
+        state.update((None if base.core is None else json.dumps(base.core), json.dumps(base.bare), json.dumps(waiting)))
+        if waiting:
+            _wake(state, waiting[0][0])
+        if out:
+            yield pd.DataFrame(out, columns=[*KEY, "observed_epoch", "ident", "outcome", "similarity"])
+
+    rows = shape_facts(observed).select("observed_at", *KEY, "ident", *FACTS).withWatermark("observed_at", late)
+    return rows.groupBy(*KEY).applyInPandasWithState(step, OUTCOME, "core string, bare string, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+DELIVERY = "canonical_url string, id long, operation string, attempt int, at_epoch long"
 
-    return observed.groupBy("ats_key", "parser_version").applyInPandasWithState(step, schema, "baseline array<string>, seen long", "append", GroupStateTimeout.NoTimeout)
 
+def deliveries(outbox: DataFrame, late: str = "2 hours") -> DataFrame:
+    """When each index operation is sent to the index: a stream of (at timestamp, id, canonical_url, operation), where the operation ``failed`` reports
+    that the last delivery of the URL failed.
 
-def retried(outbox: DataFrame, as_of: int) -> DataFrame:
-    """Failed outbox rows (attempts, failed_epoch) that are due again: one minute more after each attempt."""
-    return outbox.where(F.col("failed_epoch") + (F.col("attempts") + 1) * 60 <= as_of)
+    An operation is sent at its time; after its n-th failure it is sent again n minutes later, unless a newer operation of the URL or another failure
+    comes until then. The state of a URL is its last operation, its failures, the time that it is due again, and the rows that the watermark has
+    not passed; timers wake it.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ident, operation, failures, due, waiting = state.get if state.exists else (None, None, 0, None, "[]")
+        waiting, out = json.loads(waiting), []
+        for frame in frames:
+            if not state.hasTimedOut:
+                times = frame["at"].astype("datetime64[us]").astype("int64") // 1000
+                waiting += [[int(t), int(i), o] for t, i, o in zip(times, frame["id"], frame["operation"], strict=True)]
+        now, waiting = _due(state, waiting)
+        for t, i, what in [*now, (state.getCurrentWatermarkMs() + 1, 0, None)]:
+            if due is not None and due < t:
+                out.append((*key, ident, operation, failures + 1, due // 1000))
+                due = None
+            if what == "failed":
+                if ident is not None:
+                    failures += 1
+                    due = t + failures * 60_000
+            elif what is not None:
+                ident, operation, failures, due = i, what, 0, None
+                out.append((*key, ident, operation, 1, t // 1000))
+        state.update((ident, operation, failures, due, json.dumps(waiting)))
+        if waiting or due is not None:
+            _wake(state, min([due] * (due is not None) + [w[0] for w in waiting[:1]]))
+        if out:
+            yield pd.DataFrame(out, columns=["canonical_url", "id", "operation", "attempt", "at_epoch"])
+
+    rows = outbox.select("at", "id", "canonical_url", "operation").withWatermark("at", late)
+    return rows.groupBy("canonical_url").applyInPandasWithState(step, DELIVERY, "id long, operation string, failures int, due long, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_sightings(postings: DataFrame, horizon: str = "7 days") -> DataFrame:
@@ -85,9 +132,20 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     )
 
 
-def outbox_sink(apply: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: of each URL only its last operation of the batch."""
-    return lambda batch, epoch: apply(compact_outbox(batch), epoch)
+def index_sink(tables: VersionedTables) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: deliveries into the index documents (``documents``), with the postings of the same folder as payload."""
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        if epoch in tables.batches():
+            return
+        version = tables.next(epoch)
+        operations = compact_outbox(batch)
+        touched = tables.touched(operations, "canonical_url")
+        after = apply_outbox(tables.read("documents", only=touched), operations, tables.read("postings"))
+        tables.write_buckets(after, "documents", "canonical_url", version, touched)
+        tables.commit(version)
+
+    return apply
 
 
 #: Fields of a cached row, those that make it changed, and what an index operation needs.

@@ -33,12 +33,6 @@ def test_shapes_and_hashes(spark):
     assert same[0] == same[1] != same[2]
 
 
-def test_similarity_and_drift(spark):
-    rows = [("a", "1", 1, ["x", "y"]), ("a", "1", 2, ["x", "y", "z"]), ("a", "1", 3, ["q"]), ("b", "1", 1, [])]
-    got = P.drift_events(spark.createDataFrame(rows, "ats_key string, parser_version string, observed_epoch int, shape_paths array<string>")).collect()
-    assert [(r.ats_key, r.observed_epoch, r.similarity) for r in got] == [("a", 3, 0.0)]
-
-
 def test_fuzzy_terms_match_brute_force(spark):
     import random
 

@@ -7,11 +7,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from jobgrain.operators import audit as A
+from jobgrain.operators import drift as D
 from jobgrain.operators import merge as M
 from jobgrain.operators import search as S
 from jobgrain.operators import sources as O
 from jobgrain.plans import merge_plans, streaming_plans
-from jobgrain.sources.storage import VersionedTables
+from jobgrain.sources.storage import Version, VersionedTables
 from jobgrain.sources.views import incoming, posting_cache
 from jobgrain.streaming import jobs
 
@@ -160,14 +161,70 @@ def test_rows_that_fail_the_gate_hide_and_emit_deletes(spark):
     assert {tuple(r) for r in M.outbox_of(merged).collect()} == {("a", "delete"), ("b", "upsert")}
 
 
-def test_shape_baselines_live_across_batches(spark):
-    landed = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    good, other, empty = ["jobs:array", "jobs[].id:number"], ["error:string"], ["jobs:array", "jobs[]:empty"]
-    schema = "ats_key string, parser_version string, observed_epoch long, shape_paths array<string>"
-    for batch in ([("a", "v", 1, empty)], [("a", "v", 2, good)], [("a", "v", 3, empty), ("a", "v", 4, other), ("b", "v", 4, other)], [("b", "v", 5, other), ("a", "v", 6, good)]):
-        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(landed)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    assert [tuple(r)[:3] for r in jobs.run_to_table(jobs.shape_drift(stream), spark, "drift").collect()] == [("a", "v", 4)]
+SHAPES = "ats_key string, parser_version string, observed_epoch long, ident long, shape_paths array<string>, payload string"
+JOBS, MORE = ["jobs:array", "jobs[]:object", "jobs[].id:number", "jobs[].title:string"], ["jobs:array", "jobs[]:object", "jobs[].id:number", "jobs[].title:string", "page:number"]
+NONE, ERROR, BY_URL = ["jobs:array", "jobs[]:empty"], ["error:string"], ["__detailHtmlByUrl:object", "__detailHtmlByUrl.https://a.b/c:string"]
+
+
+def test_drift_machine(spark):
+    rows = [
+        ("a", NONE, "{}", "empty_no_jobs"), ("a", NONE, '{"total": 4}', "bootstrapped"), ("a", ERROR, "", "drift"), ("a", JOBS, "", "baseline_replaced"), ("a", MORE, "", "similar"), ("a", JOBS + BY_URL, "", "same_core"),
+        ("a", NONE, '{"jobCount": "0"}', "empty_no_jobs"), ("a", [], "", "skipped"), ("a", ERROR, "", "drift"), ("b", ERROR, "", "bootstrapped"), ("b", NONE, "", "empty_no_jobs"), ("b", JOBS, "", "drift"),
+    ]
+    frame = spark.createDataFrame([(k, "v", 10 + i // 2, i, paths, payload) for i, (k, paths, payload, _) in enumerate(rows)], SHAPES)
+    got = {r.ident: (r.outcome, r.similarity) for r in D.drift_outcomes(frame.repartition(5)).collect()}
+    assert [got[i][0] for i in range(len(rows))] == [x[3] for x in rows]
+    assert got[2] == ("drift", 0.0) and got[4] == ("similar", 0.8) and got[5][1] is None
+    settled = D.drift_outcomes(frame, ignored=("error",), job_lists=()).where("ats_key = 'b'").orderBy("ident").collect()
+    assert [r.outcome for r in settled] == ["bootstrapped", "empty_no_jobs", "drift"]
+    assert D.drift_outcomes(frame.where("false")).collect() == []
+
+
+def test_streamed_drift_equals_the_batch_whatever_the_order_of_arrival(spark):
+    import random
+
+    rng, landed = random.Random(3), folder()
+    rows = [(rng.choice("ab"), "v", 1_000 + 600 * i + rng.randrange(500), i, rng.choice([JOBS, MORE, NONE, ERROR, JOBS + BY_URL]), rng.choice(["", '{"total": 2}'])) for i in range(120)]
+    for k in range(4):
+        part = rows[30 * k : 30 * k + 30]
+        rng.shuffle(part)
+        if k:
+            part, late = part[3:], part[:3]
+        spark.createDataFrame(part, SHAPES).coalesce(1).write.mode("append").parquet(landed)
+        if k:  # rows that come a batch later, within the allowed time
+            spark.createDataFrame(late, SHAPES).coalesce(1).write.mode("append").parquet(landed)
+    spark.createDataFrame([("z", "v", 1_000_000, 999, JOBS, "")], SHAPES).coalesce(1).write.mode("append").parquet(landed)
+    all_ = spark.read.schema(SHAPES).parquet(landed)
+    stream = spark.readStream.schema(SHAPES).option("maxFilesPerTrigger", 1).parquet(landed).withColumn("observed_at", F.timestamp_seconds("observed_epoch"))
+    got = as_set(jobs.run_to_table(jobs.shape_drift(stream, late="8 hours"), spark, "drift"))
+    assert len(got) == 120 and got == as_set(D.drift_outcomes(all_).where("ats_key <> 'z'"))
+
+
+def test_failed_operations_come_back_until_a_newer_one_cancels_them(spark):
+    rows = [
+        (0, 1, "u", "upsert"), (10, 2, "u", "failed"), (100, 3, "u", "failed"), (400, 4, "u", "failed"), (430, 5, "u", "delete"), (440, 6, "u", "failed"),
+        (0, 7, "v", "failed"), (5, 8, "w", "upsert"), (6, 9, "w", "failed"), (66, 10, "w", "failed"), (100_000, 11, "z", "upsert"),
+    ]
+    landed = folder()
+    frame = spark.createDataFrame(rows, "s long, id long, canonical_url string, operation string").withColumn("at", F.timestamp_seconds(F.col("s") + 1000)).drop("s")
+    for part in (frame.where("id in (3, 1, 7, 9)"), frame.where("id in (2, 4, 5, 8)"), frame.where("id in (6, 10)"), frame.where("id = 11")):
+        part.coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    got = sorted((*r[:4], r[4] - 1000) for r in jobs.run_to_table(jobs.deliveries(stream), spark, "deliveries").collect())
+    assert got == [("u", 1, "upsert", 1, 0), ("u", 1, "upsert", 2, 70), ("u", 1, "upsert", 3, 220), ("u", 5, "delete", 1, 430), ("u", 5, "delete", 2, 500), ("w", 8, "upsert", 1, 5), ("w", 8, "upsert", 3, 186)]
+
+
+def test_deliveries_change_the_index(spark):
+    tables = VersionedTables(spark, folder(), 4)
+    posts = spark.createDataFrame([("a", "A2"), ("b", "B"), ("c", "C")], "canonical_url string, title string")
+    version = Version(-1)
+    tables.write_buckets(posts, "postings", "canonical_url", version, range(4))
+    tables.write_buckets(spark.createDataFrame([("a", "A"), ("b", "B"), ("x", "X")], posts.schema), "documents", "canonical_url", version, range(4))
+    tables.commit(version)
+    batch = spark.createDataFrame([("a", 1, "delete"), ("a", 2, "upsert"), ("b", 3, "delete"), ("c", 4, "upsert"), ("gone", 5, "upsert")], "canonical_url string, id long, operation string")
+    for _ in range(2):
+        jobs.index_sink(tables)(batch, 0)
+    assert as_set(tables.read("documents")) == {("a", "A2"), ("c", "C"), ("x", "X")}
 
 
 def test_intents_of_queries_without_names(spark):
