@@ -10,46 +10,77 @@ from jobgrain.operators import search as S
 from jobgrain.plans.registry import query
 from jobgrain.sources.views import AS_OF, application_state, located, table
 
-#: Search texts and what they mean: text, what is left, country, region, remote, standard form, role phrase, relaxed.
-SEARCHES = (
-    ("remote software engineer in Germany", "software engineer", "Germany", None, "remote", "software engineer", True, False),
-    ("jobs in Türkiye", "jobs", "Turkey", None, None, "jobs", False, False),
-    ("wfh data analyst", "data analyst", None, None, "remote", "data analyst", True, False),
-    ("uk nurse", "nurse", "United Kingdom", None, None, "nurse", False, False),
-    ("nurse us", "nurse", "United States", None, None, "nurse", False, False),
-    ("contact us today", "contact us today", None, None, None, "contact united states today", False, False),
-    ("hybrid sales manager EMEA", "sales manager", None, "EMEA", "hybrid", "sales manager", True, False),
-    ("ofertas empleo Madrid", "ofertas empleo madrid", None, None, None, "madrid", False, False),
-    ("senior staff platform reliability engineering lead", "senior staff platform reliability engineering lead", None, None, None, "senior staff platform reliability engineering lead", False, True),
-    ("on-site accountant, Poland", "accountant,", "Poland", None, "onsite", "accountant", False, False),
-    ("opening for role", "opening role", None, None, None, "opening role", False, False),
-    ("work from home", "", None, None, "remote", "", False, False),
-)
+#: What searches are put together from, by the type and the number of an event.
+_ROLES = {"view": "software engineer", "click": "contact us today", "error": "senior staff platform, reliability engineering lead", "purchase": "nurse jobs", "signup": "ofertas empleo madrid accountant"}
+_MODE_WORDS = ("", "remote", "wfh", "work from home", "hybrid remote", "on-site", "in office", "remotos", "uzaktan calisma")
+_LEADS, _ENDS = ("in", "", "from", "contact"), ("", "", "emea", "latin america", "today", "in na")
 
 
 def _texts(spark, sf_dir):
-    names = F.array(*[F.lit(s[0]) for s in SEARCHES])
-    return table(spark, sf_dir, "events").select("event_id", F.element_at(names, (F.col("event_id") % len(SEARCHES) + 1).cast("int")).alias("text"))
+    names = sorted(I.country_names())
+    k, e = F.get_json_object("props", "$.k").cast("int"), F.col("event_id")
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (n % len(xs) + 1).cast("int"))
+    role = F.element_at(F.create_map(*[F.lit(x) for kv in _ROLES.items() for x in kv]), F.col("event_type"))
+    text = F.concat_ws(" ", pick(_MODE_WORDS, k), role, pick(_LEADS, k), pick(names, k * 3 + e % 3), pick(_ENDS, k))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("text"))
 
 
 def _cell(x) -> str:
     return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'"
 
 
-_SEARCHES = ", ".join("(" + ", ".join(map(_cell, s)) + ")" for s in SEARCHES)
+def _list(xs) -> str:
+    return "[" + ", ".join(map(_cell, xs)) + "]"
+
+
+def _taken(step: str, source: str, names: str) -> str:
+    """SQL: the longest name in a text and the text without it, where it stands as the strongest of its ways says."""
+    led, last = f"'\\b({_LEAD})\\s+' || esc || '(\\W|$)'", "'\\b' || esc || '\\s*$'"
+    open_ = "CASE WHEN doubtful THEN '^\\s*' || esc || '(\\W|$)' ELSE '\\b' || esc || '(\\W|$)' END"
+    return f"""
+{step}n AS (SELECT text, rest, name, label, unnest([CASE WHEN regexp_matches(rest, {led}) THEN 0 END, CASE WHEN regexp_matches(rest, {last}) THEN 1 END, CASE WHEN regexp_matches(rest, {open_}) THEN 2 END]) AS way, esc, doubtful
+  FROM {source}, (SELECT *, regexp_escape(name) AS esc FROM {names}) WHERE contains(rest, name)),
+{step}b AS (SELECT text, arg_min(row(name, label, way, esc, doubtful), row(-length(name), name, way)) AS x FROM {step}n WHERE way IS NOT NULL GROUP BY 1),
+{step} AS (SELECT s.* EXCLUDE (rest), x[2] AS {step}_label, CASE WHEN x IS NULL THEN rest WHEN x[3] = 0 THEN regexp_replace(rest, '\\b({_LEAD})\\s+' || x[4] || '(\\W|$)', ' \\2', 'g') WHEN x[3] = 1 THEN regexp_replace(rest, '\\b' || x[4] || '\\s*$', ' ')
+  WHEN x[5] THEN regexp_replace(rest, '^\\s*' || x[4] || '(\\W|$)', ' \\1') ELSE regexp_replace(rest, '\\b' || x[4] || '(\\W|$)', ' \\1', 'g') END AS rest FROM {source} s LEFT JOIN {step}b USING (text))"""
+
+
+_LEAD = "|".join(sorted(I.PREPOSITIONS))
+_MODE_SQL = {m: "\\b(" + "|".join(sorted(w, key=lambda x: (-len(x), x))) + ")\\b" for m, w in I.MODES.items()}
+_WORD = "regexp_replace(w, '^[^\\w.]+|[^\\w.]+$', '', 'g')"
+_PLAIN = "trim(regexp_replace(w, '[^a-z0-9]+', ' ', 'g'))"
 _EVENTS = f"""
-v AS (SELECT * FROM (VALUES {_SEARCHES}) v(text, cleaned, country, region, remote, normalized, phrase, relaxed)),
-e AS (SELECT event_id, [{', '.join(_cell(s[0]) for s in SEARCHES)}][event_id % {len(SEARCHES)} + 1] AS text FROM events)"""
+e AS MATERIALIZED (SELECT event_id, concat_ws(' ', {_list(_MODE_WORDS)}[k % {len(_MODE_WORDS)} + 1], role, {_list(_LEADS)}[k % {len(_LEADS)} + 1], {_list(sorted(I.country_names()))}[(k * 3 + event_id % 3) % {len(I.country_names())} + 1], {_list(_ENDS)}[k % {len(_ENDS)} + 1]) AS text
+  FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, MAP {{{', '.join(f"{_cell(a)}: {_cell(b)}" for a, b in _ROLES.items())}}}[event_type] AS role FROM events)),
+countries(name, label, doubtful) AS (VALUES {', '.join(f"({_cell(n)}, {_cell(x)}, {_cell(n in I.AMBIGUOUS)})" for n, x in I.country_names().items())}),
+regions(name, label, doubtful) AS (VALUES {', '.join(f"({_cell(n)}, {_cell(x)}, {_cell(n in I.DOUBTFUL_REGIONS)})" for n, x in I.REGIONS.items())}),
+t AS (SELECT DISTINCT text, trim(text) AS rest FROM e),
+m AS (SELECT text, mode, CASE mode {' '.join(f"WHEN '{m}' THEN regexp_replace(rest, '{p}', ' ', 'g')" for m, p in _MODE_SQL.items())} ELSE rest END AS rest FROM (SELECT *, CASE {' '.join(f"WHEN regexp_matches(rest, '{p}') THEN '{m}'" for m, p in _MODE_SQL.items())} END AS mode FROM t)),
+{_taken("c", "m", "countries")},
+{_taken("r", "c", "regions")},
+z AS (SELECT text, mode, c_label, r_label, trim(regexp_replace(regexp_replace(rest, '\\b({_LEAD})\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM r),
+w AS (SELECT *, list_filter(list_transform(string_split(cleaned, ' '), lambda w: {_WORD}), lambda w: w <> '') AS every FROM z),
+v AS MATERIALIZED (SELECT *, CASE WHEN len(said) > 0 THEN said ELSE every END AS words FROM (SELECT *, list_filter(every, lambda w: {_PLAIN} NOT IN ({', '.join(map(_cell, sorted(I.STOP_WORDS)))})) AS said FROM w)),
+a AS MATERIALIZED (SELECT MAP {{{', '.join(f"{_cell(n)}: {_cell(g[0])}" for n, g in I.alias_table().items())}}} AS known),
+g AS (SELECT text, words, 1::BIGINT AS i, []::VARCHAR[] AS out FROM v
+  UNION ALL SELECT text, words, i + n, list_append(out, coalesce(known[array_to_string(words[i:i + n - 1], ' ')], words[i])) FROM (
+    SELECT g.*, known, CASE WHEN i + 3 <= len(words) AND known[array_to_string(words[i:i + 3], ' ')] IS NOT NULL THEN 4 WHEN i + 2 <= len(words) AND known[array_to_string(words[i:i + 2], ' ')] IS NOT NULL THEN 3
+      WHEN i + 1 <= len(words) AND known[array_to_string(words[i:i + 1], ' ')] IS NOT NULL THEN 2 ELSE 1 END AS n FROM g, a WHERE i <= len(words)) q),
+f AS (SELECT text, array_to_string(out, ' ') AS normalized FROM g WHERE i > len(words)),
+k AS MATERIALIZED (SELECT text, cleaned, c_label AS country, r_label AS region, mode AS remote, normalized, CASE WHEN normalized = '' THEN 0 ELSE len(string_split(normalized, ' ')) END AS n FROM v JOIN f USING (text))"""
 
 
-@query(f"WITH {_EVENTS} SELECT event_id, cleaned, country, region, remote, normalized, phrase, relaxed FROM e JOIN v USING (text)")
+@query(f"""
+WITH RECURSIVE {_EVENTS}
+SELECT event_id, cleaned, country, region, remote, normalized, n BETWEEN 2 AND 5 AND string_split(normalized, ' ')[-1] IN ({', '.join(map(_cell, sorted(I.ROLE_WORDS)))}) AND NOT regexp_matches(text, '[,/]') AS phrase, n >= 5 AS relaxed FROM e JOIN k USING (text)
+""")
 def t3_t4_t7_search_intents(spark, sf_dir):
     """Stop words and synonyms, filters inside a query, role phrases."""
     texts = _texts(spark, sf_dir)
     return texts.join(I.understand_all(texts, "text"), "text").drop("text")
 
 
-@query(f"WITH {_EVENTS} SELECT normalized, country, remote, count(*) AS searches FROM e JOIN v USING (text) GROUP BY 1, 2, 3")
+@query(f"WITH RECURSIVE {_EVENTS} SELECT normalized, country, remote, count(*) AS searches FROM e JOIN k USING (text) GROUP BY 1, 2, 3")
 def t4_intent_counts(spark, sf_dir):
     """Searches by what they mean."""
     texts = _texts(spark, sf_dir)
