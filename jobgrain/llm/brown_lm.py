@@ -1,13 +1,14 @@
 """Brown class n-grams: exchange clustering, class transitions and word emissions, smoothed document scores.
 
-Every training word belongs to one class, which the exchange algorithm gives it: a word moves to the class under which its
-neighbours and its own emission are likeliest, given the class transitions of the round before, as is usual when the algorithm
-is distributed. The frequent words (the ``KNOWN_WORDS`` most frequent, ties at the end left out) move in rounds, half of them
-by turns so that mutual neighbours do not swap forever; each round's likelihood of the class bigrams is measured, and the rounds
-end when it stalls. While they move, all rarer words stand in for each other by their endings. Then each
-rarer word moves by itself, from its own neighbour counts, which Spark gathers by word: no vocabulary, however large, reaches
-the driver or a broadcast; the table (word, count, class) of the rarer words is joined where it is needed. Transitions,
-class sizes and emissions are counted again from the final classes of all words.
+Every training word belongs to one class, which the exchange algorithm gives it: in rounds, a word moves to the class under which
+its neighbours and its own emission are likeliest, given class transitions measured before, as is usual when the algorithm is distributed. All
+words take part in every round, half of them by turns so that mutual neighbours do not swap forever. Each round measures the likelihood of the
+class bigrams; a round that loses is taken back, and the rounds end when they gain little.
+
+No vocabulary reaches the driver or a broadcast. Tasks cut the corpus into chunks of some million tokens, written once as numbers of the chunk's own
+words. Words are dealt into buckets by their hash and numbered there. In a round the buckets send each chunk the classes of its words; the chunk counts the
+classes to the left and right of each word and sends these counts, packed by bucket; a bucket adds them up as they come and moves its words. So rows that
+travel hold thousands of words, and a task holds one chunk or the counts of one bucket's words, however large the corpus is.
 
 log10 P(w | previous word) = log10 of  a * P(class(w) | class(previous)) * P(w | class(w)) + (1 - a) * P(w), where
 P(w | class) = (c(w) + 0.5) / (N_class + 0.5 * (V_class + 1)), the last term standing for unseen words, transitions are
@@ -19,50 +20,40 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobgrain.llm.common import chunked, materialize, mix64, require, rows_of
+from jobgrain.llm.common import chunked, materialize, mix64, release, require, rows_of
 
-#: Frequent words at most; tasks know their counts and classes.
-KNOWN_WORDS = 1 << 16
 ENDINGS, CLASSES = 1 << 11, 64
 #: Rounds at most, and the share of the likelihood that a round must gain for another one to follow.
-ROUNDS, STALL = 12, 1e-4
+ROUNDS, STALL = 6, 1e-3
 CLASS_SHARE, TRANSITION_PRIOR = 0.9, 8.0
 #: The end token cannot be a word, as words hold no white space.
 END = b" "
-#: Entries that a task counts before it sends them on.
-HELD = 150_000
+#: Tokens of a chunk, and pairs of a chunk and one of its words that a bucket holds, about.
+CHUNK, SPREAD = 1 << 21, 1 << 17
+#: The class of words that the training rows do not hold.
+UNSEEN = 255
 
 
-def tokens(text: str | None) -> list[bytes]:
+def tokens(text: bytes | str | None) -> list[bytes]:
     """ASCII-lower-cased words; the end token is implied."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").lower().split()
 
 
-def training(doc_id: Column) -> Column:
+def trains(doc_id: int | None) -> bool:
     """crc32 of the id as text, mod 5, is not 1 (a null id trains)."""
-    return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(5)) != 1, F.lit(True))
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count: Counter[bytes] = Counter()
-    out = lambda: pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "c"])
-    for b in chunked(batches):
-        for text in rows_of(b, "text").to_pylist():
-            count.update(tokens(text))
-            count[END] += 1
-        if len(count) > HELD:
-            yield out()
-            count.clear()
-    yield out()
+    return doc_id is None or zlib.crc32(str(doc_id).encode()) % 5 != 1
 
 
 def ending(word: bytes) -> int:
@@ -70,125 +61,235 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word.rstrip(b".,;:!?|\"')(")[-3:]) % ENDINGS
 
 
-class Items:
-    """Word -> item: its place in the lexicon, or that of its ending's first class behind them; the last item is the end token."""
-
-    def __init__(self, lexicon: list[bytes]) -> None:
-        self.place = {w: i for i, w in enumerate(lexicon)}
-        self.words, self.size = len(lexicon), len(lexicon) + CLASSES
-        self.place[END] = self.size - 1
+TABLE = "chunk long, tokens binary, words binary, counts binary, n_words long, doc_ids array<long>, sizes binary, train binary"
 
-    def __getitem__(self, word: bytes) -> int:
-        at = self.place.get(word)
-        return at if at is not None else self.words + ending(word) % (CLASSES - 1)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """The items of a document, between two end tokens."""
-        out = np.empty(len(words) + 2, dtype=np.int64)
-        out[0] = out[-1] = self.size - 1
-        out[1:-1] = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        return out
-
-
-def _pairs(lexicon: list[bytes]):
-    """Counts of neighbouring items."""
+def _encode(chunk: int):
+    """Chunks of documents: an end token, then each document's words and an end token, as numbers of the chunk's words (0: the end token)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, held, size = Items(lexicon), [], 0
+        task, made = TaskContext.get().partitionId(), count()
 
-        def out() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(held) if held else np.zeros(0, dtype=np.int64), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array((code >> 20).astype(np.int32)), pa.array((code & 0xFFFFF).astype(np.int32)), pa.array(n)], ["left", "right", "n"])
+        def empty():
+            number = defaultdict(count().__next__)
+            number[END]
+            return number, [np.zeros(1, dtype=np.int32)], [], [], []
 
+        def out() -> pa.RecordBatch:
+            flat = np.concatenate(parts)
+            mask = np.repeat(np.array(train, dtype=bool), np.array(sizes, dtype=np.int64) + 1)
+            counts = np.bincount(flat[1:][mask], minlength=len(number)).astype(np.int64)
+            row = [[task << 32 | next(made)], [flat.tobytes()], [b"\n".join(list(number)[1:])], [counts.tobytes()], [len(number)], [ids], [np.array(sizes, dtype=np.int32).tobytes()], [np.array(train, dtype=bool).tobytes()]]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], [f.split()[0] for f in TABLE.split(", ")])
+
+        number, parts, ids, sizes, train = empty()
+        held = 0
         for b in chunked(batches):
-            for text in rows_of(b, "text").to_pylist():
-                x = items.of(tokens(text))
-                held.append(x[:-1] << 20 | x[1:])
-                size += len(x)
-            if size > 2_000_000:
-                yield out()
-                held, size = [], 0
-        yield out()
+            for d, text in zip(rows_of(b, "doc_id").to_pylist(), rows_of(b, "text").cast(pa.binary()), strict=True):
+                w = tokens(text.as_py())
+                if ids and held + len(w) > chunk:
+                    yield out()
+                    number, parts, ids, sizes, train = empty()
+                    held = 0
+                parts += [np.fromiter(map(number.__getitem__, w), np.int32, len(w)), np.zeros(1, dtype=np.int32)]
+                ids.append(d)
+                sizes.append(len(w))
+                train.append(trains(d))
+                held += len(w) + 1
+        if ids:
+            yield out()
 
     return run
 
 
-#: Neighbours that are packed into one row of the table of neighbours, about.
-PACKED = 500_000
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, chunk, place, c) of the words of each chunk."""
+    for b in batches:
+        for chunk, words, counts in zip(*(rows_of(b, c).to_pylist() for c in ("chunk", "words", "counts")), strict=True):
+            words, c = words.split(b"\n") if words else [], np.frombuffer(counts, dtype=np.int64)
+            for lo in range(0, len(words), 1 << 16):
+                part = words[lo : lo + (1 << 16)]
+                place = np.arange(lo + 1, lo + 1 + len(part), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(np.full(len(part), chunk)), pa.array(place), pa.array(c[place])], ["word", "chunk", "place", "c"])
+
+
+NUMBERED = "bucket int, chunk long, a binary, b binary, c binary"
 
 
-def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Items and their neighbours as plain arrays of many items: each round reads them without unpacking rows."""
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and word -> a bucket's words (chunk null: words, first classes, counts), and for each chunk which of them it has (places there, numbers here)."""
     held: list[tuple] = []
-    names, kinds = ("item", "row", "other", "n"), ("<i4", "<i4", "<i4", "<i8")
+    now = None
 
     def out() -> pa.RecordBatch:
-        shift = np.cumsum([0, *(len(h[0]) for h in held[:-1])])
-        columns = [np.concatenate([h[i] + (s if i == 1 else 0) for h, s in zip(held, shift, strict=True)]) for i in range(4)]
+        words = pa.concat_arrays([h[0] for h in held])
+        chunk, place, c = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+        fresh = np.ones(len(words), dtype=bool)
+        fresh[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+        number = np.cumsum(fresh) - 1
+        total = np.bincount(number, weights=c).astype(np.int64)
+        names = words.filter(pa.array(fresh)).to_pylist()
+        ends = np.array([ending(w) for w in names], dtype=np.int16)
+        order = np.argsort(chunk, kind="stable")
+        cuts = np.flatnonzero(np.diff(chunk[order], prepend=chunk[order][0] - 1))
+        places, numbers = np.split(place[order], cuts[1:]), np.split(number[order].astype(np.int32), cuts[1:])
+        chunks = [None, *chunk[order][cuts].tolist()]
+        first = np.where(total > 0, ends % (CLASSES - 1), UNSEEN).astype(np.uint8)
+        a = [ends.tobytes(), *(x.tobytes() for x in places)]
+        b = [first.tobytes(), *(x.tobytes() for x in numbers)]
+        c_ = [total.tobytes()] + [None] * len(places)
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([c.astype(k).tobytes()], pa.binary()) for c, k in zip(columns, kinds, strict=True)], list(names))
+        return pa.RecordBatch.from_arrays([pa.array([now] * len(chunks), pa.int32()), pa.array(chunks, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c_, pa.binary())], ["bucket", "chunk", "a", "b", "c"])
 
-    for b in chunked(batches, 16):
-        others, counts = rows_of(b, "others"), rows_of(b, "counts")
-        row = np.repeat(np.arange(b.num_rows), np.diff(others.offsets.to_numpy()))
-        held.append((rows_of(b, "item").to_numpy(), row, others.flatten().to_numpy(), counts.flatten().to_numpy()))
-        if sum(len(h[1]) for h in held) > PACKED:
-            yield out()
+    for b in batches:
+        bucket = rows_of(b, "bucket").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if lo == hi:
+                continue
+            if now is not None and bucket[lo] != now and held:
+                yield out()
+            now = int(bucket[lo])
+            part = b.slice(lo, hi - lo)
+            held.append((rows_of(part, "word"), *(rows_of(part, c).to_numpy() for c in ("chunk", "place", "c"))))
     if held:
         yield out()
 
 
-def neighbours(pairs: DataFrame, items: int) -> DataFrame:
-    """Of each item its left neighbours, its right ones (their numbers raised by ``items``), and the counts of both, many items to a row.
+STATE = "bucket int, classes binary, counts binary, endings binary"
+ANSWER = "chunk long, bucket int, place binary, number binary, class binary, count binary"
+MESSAGE = "bucket int, number binary, cells binary, cell binary, n binary, big binary"
 
-    An item has at most 2 * items neighbours, so a row is bounded whatever the corpus; the rounds then need no shuffle.
-    """
-    left = pairs.select(F.col("right").alias("item"), F.col("left").alias("other"), "n")
-    right = pairs.select(F.col("left").alias("item"), (F.col("right") + items).alias("other"), "n")
-    each = left.union(right).groupBy("item").agg(F.collect_list("other").alias("others"), F.collect_list("n").alias("counts"))
-    return materialize(each.mapInArrow(_packed_rows, "item binary, row binary, other binary, n binary"))
 
+def _answers(counts: bool):
+    """To each chunk the classes (and counts) of its words in a bucket."""
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Items, and for each neighbour the place of its item, its number and count."""
-    for b in batches:
-        for item, row, other, n in zip(*(rows_of(b, c).to_pylist() for c in ("item", "row", "other", "n")), strict=True):
-            yield tuple(np.frombuffer(x, dtype=k).astype(np.int64) for x, k in ((item, "<i4"), (row, "<i4"), (other, "<i4"), (n, "<i8")))
+    def run(asked: pa.Table, state: pa.Table) -> pa.Table:
+        classes = np.frombuffer(state.column("classes")[0].as_py(), dtype=np.uint8)
+        total = np.frombuffer(state.column("counts")[0].as_py(), dtype=np.int64)
+        numbers = [np.frombuffer(x, dtype=np.int32) for x in asked.column("b").to_pylist()]
+        return pa.table({
+            "chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "place": asked.column("a"), "number": asked.column("b"),
+            "class": pa.array([classes[x].tobytes() for x in numbers], pa.binary()), "count": pa.array([total[x].tobytes() if counts else None for x in numbers], pa.binary()),
+        })
 
+    return run
 
-def _transitions(of: np.ndarray, c: int):
-    """Class x class counts of a share of the items and what stands to their right."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(c * c)
-        for item, row, other, n in _unpacked(batches):
-            right = other >= len(of)
-            total += np.bincount(of[item[row[right]]] * c + of[other[right] - len(of)], weights=n[right], minlength=c * c)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array((at // c).astype(np.int32)), pa.array((at % c).astype(np.int32)), pa.array(total[at].astype(np.int64))], ["a", "b", "n"])
+class Chunk:
+    """The tokens of a chunk, and what the buckets say of its words."""
+
+    def __init__(self, row: pa.Table, answers: pa.Table) -> None:
+        first = lambda c, kind: np.frombuffer(row.column(c)[0].as_py(), dtype=kind)
+        self.flat, self.sizes, self.train = first("tokens", np.int32), first("sizes", np.int32).astype(np.int64), first("train", bool)
+        self.n_words = row.column("n_words")[0].as_py()
+        self.classes, self.counts = np.full(self.n_words, UNSEEN, dtype=np.uint8), np.zeros(self.n_words, dtype=np.int64)
+        self.bucket, self.number = np.full(self.n_words, -1, dtype=np.int64), np.zeros(self.n_words, dtype=np.int64)
+        self.classes[0] = CLASSES - 1
+        for bucket, *parts in zip(*(answers.column(c).to_pylist() for c in ("bucket", "place", "number", "class", "count")), strict=True):
+            place = np.frombuffer(parts[0], dtype=np.int32)
+            self.bucket[place], self.number[place] = bucket, np.frombuffer(parts[1], dtype=np.int32)
+            self.classes[place] = np.frombuffer(parts[2], dtype=np.uint8)
+            if parts[3] is not None:
+                self.counts[place] = np.frombuffer(parts[3], dtype=np.int64)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbours in training documents: (word, word before it)."""
+        at = np.flatnonzero(np.repeat(self.train, self.sizes + 1)) + 1
+        return self.flat[at], self.flat[at - 1]
+
+
+def _meet(neighbours: bool):
+    """A chunk's class bigrams (bucket -1), and for each bucket the classes beside its words: how many words, cells of each, cells, and counts (large ones apart)."""
+
+    def run(row: pa.Table, answers: pa.Table) -> pa.Table:
+        x = Chunk(row, answers)
+        word, before = x.pairs()
+        of = x.classes.astype(np.int64)
+        out = {c: [] for c in ("bucket", "number", "cells", "cell", "n", "big")}
+        matrix = np.bincount(of[before] * CLASSES + of[word], minlength=CLASSES * CLASSES)
+        for c, v in zip(out, (-1, b"", b"", matrix.astype(np.int64).tobytes(), b"", b""), strict=True):
+            out[c].append(v)
+        if neighbours:
+            order = np.lexsort((x.number, x.bucket))
+            rank = np.empty(x.n_words, dtype=np.int64)
+            rank[order] = np.arange(x.n_words)  # the end token, in no bucket, is the first
+            cells = np.bincount(rank[word] * 2 * CLASSES + of[before], minlength=x.n_words * 2 * CLASSES)
+            cells += np.bincount(rank[before] * 2 * CLASSES + CLASSES + of[word], minlength=x.n_words * 2 * CLASSES)
+            cells[: 2 * CLASSES] = 0
+            at = np.flatnonzero(cells)
+            n, place = cells[at], at // (2 * CLASSES)
+            per_word = np.bincount(place, minlength=x.n_words)
+            ends = np.concatenate([[0], np.cumsum(per_word)])
+            buckets = x.bucket[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(buckets)) + 1, [len(buckets)]])
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if buckets[lo] < 0:
+                    continue
+                words = lo + np.flatnonzero(per_word[lo:hi])
+                a, b = ends[lo], ends[hi]
+                for c, v in zip(out, (
+                    int(buckets[lo]), x.number[order[words]].astype(np.int32).tobytes(), per_word[words].astype(np.uint8).tobytes(), (at[a:b] % (2 * CLASSES)).astype(np.uint8).tobytes(),
+                    np.minimum(n[a:b], 255).astype(np.uint8).tobytes(), n[a:b][n[a:b] >= 255].astype(np.int64).tobytes(),
+                ), strict=True):
+                    out[c].append(v)
+        return pa.table([pa.array(out[c], pa.int32() if c == "bucket" else pa.binary()) for c in out], names=list(out))
 
     return run
 
 
-def transitions(table: DataFrame, of: np.ndarray, c: int) -> np.ndarray:
-    out = np.zeros((c, c))
-    for r in table.mapInArrow(_transitions(of, c), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # classes x classes rows at most
-        out[r["a"], r["b"]] = r["n"]
-    return out
+def _log_p(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log transitions [previous, next] and log sizes of the classes."""
+    return np.log((matrix + 0.1) / (matrix.sum(1, keepdims=True) + 0.1 * CLASSES)), np.log(matrix.sum(0) + 1.0)
+
 
+def best_classes(cells: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The class under which a word's neighbours (classes before it, classes after it) and its own emission are likeliest."""
+    log_p, sizes = _log_p(matrix)
+    # the emission favours small classes: the word's share of a class is its count over the class's tokens
+    value = cells[:, :CLASSES] @ log_p + cells[:, CLASSES:] @ log_p.T - cells[:, :CLASSES].sum(1, keepdims=True) * sizes
+    value[:, CLASSES - 1] = -np.inf  # the end token's own class
+    return value.argmax(1)
 
-def _best_classes(of: np.ndarray, matrix: np.ndarray, c: int):
-    """The class under which an item's neighbours and its own emission are likeliest."""
+
+def _move(matrix: np.ndarray, turn: int):
+    """Rows sorted by bucket, its state first -> its next state; counts are added up as they come. Bucket -1 gives the sum of class bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p = np.log((matrix + 0.1) / (matrix.sum(1, keepdims=True) + 0.1 * c))  # [previous, next]
-        sizes = np.log(matrix.sum(0) + 1.0)
-        for item, row, other, n in _unpacked(batches):
-            cell = row * 2 * c + np.where(other >= len(of), c, 0) + of[other % len(of)]
-            h = np.bincount(cell, weights=n, minlength=len(item) * 2 * c).reshape(-1, 2 * c)
-            # the emission favours small classes: the item's share of a class is its count over the class's tokens
-            value = h[:, :c] @ log_p + h[:, c:] @ log_p.T - h[:, :c].sum(1, keepdims=True) * sizes
-            yield pa.RecordBatch.from_arrays([pa.array(item.astype(np.int32)), pa.array(value.argmax(1).astype(np.int32))], ["item", "best"])
+        now, state, cells = None, None, None
+
+        def out() -> pa.RecordBatch:
+            if now < 0:
+                row = [now, cells.astype(np.int64).tobytes(), b"", b""]
+            else:
+                classes, counts = np.frombuffer(state[0], dtype=np.uint8).copy(), np.frombuffer(state[1], dtype=np.int64)
+                moves = counts > 0
+                if turn:
+                    moves &= (mix64(np.arange(len(classes), dtype=np.uint64) ^ np.uint64(now) << np.uint64(32)) & np.uint64(1)) == turn % 2
+                for at in np.array_split(np.flatnonzero(moves), max(1, int(moves.sum()) >> 13)):
+                    classes[at] = best_classes(cells[at].astype(np.float64), matrix)
+                row = [now, classes.tobytes(), *state[1:]]
+            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], ["bucket", "classes", "counts", "endings"])
+
+        for b in batches:
+            for bucket, is_state, classes, counts, endings, number, per_word, cell, n, big in zip(*(rows_of(b, c).to_pylist() for c in ("bucket", "is_state", "classes", "counts", "endings", "number", "cells", "cell", "n", "big")), strict=True):
+                if bucket != now:
+                    if now is not None:
+                        yield out()
+                    now, state = bucket, (classes, counts, endings)
+                    cells = np.zeros(CLASSES * CLASSES, dtype=np.int64) if bucket < 0 else np.zeros((len(classes), 2 * CLASSES), dtype=np.int64)
+                if is_state:
+                    continue
+                if bucket < 0:
+                    cells += np.frombuffer(cell, dtype=np.int64)
+                    continue
+                n = np.frombuffer(n, dtype=np.uint8).astype(np.int64)
+                n[n == 255] = np.frombuffer(big, dtype=np.int64)
+                word = np.repeat(np.frombuffer(number, dtype=np.int32).astype(np.int64), np.frombuffer(per_word, dtype=np.uint8))
+                cells.reshape(-1)[word * 2 * CLASSES + np.frombuffer(cell, dtype=np.uint8)] += n  # a message names a cell once
+        if now is not None:
+            yield out()
 
     return run
 
@@ -199,297 +300,161 @@ def likelihood(matrix: np.ndarray) -> float:
     return part(matrix) - part(matrix.sum(1)) - part(matrix.sum(0))
 
 
-def exchange(table: DataFrame, lexicon: list[bytes], classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, list[float]]:
-    """The class of each item, and the likelihood before the first round and after each; the end token keeps the last class to itself.
+@dataclass
+class Corpus:
+    """The written chunks, dealt by chunk, and which chunk has which words of which bucket."""
+
+    chunks: DataFrame
+    asked: DataFrame
+
+    def answered(self, state: DataFrame, counts: bool = False) -> DataFrame:
+        return self.asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(_answers(counts), ANSWER)
+
+    def pass_over(self, state: DataFrame, matrix: np.ndarray | None, turn: int = 0) -> tuple[DataFrame, np.ndarray]:
+        """The next state if there are transitions to move by (else the same), and the class bigrams of this one."""
+        met = self.chunks.groupBy("chunk").cogroup(self.answered(state).groupBy("chunk")).applyInArrow(_meet(matrix is not None), MESSAGE)
+        message, own = [f.split()[0] for f in MESSAGE.split(", ")], [f.split()[0] for f in STATE.split(", ")]
+        none = lambda names: [F.lit(None).cast("binary").alias(c) for c in names]
+        rows = met.select("bucket", F.lit(False).alias("is_state"), *none(own[1:]), *message[1:])
+        if matrix is not None:
+            rows = rows.union(state.select("bucket", F.lit(True), *own[1:], *none(message[1:])))
+        ordered = rows.repartition("bucket").sortWithinPartitions("bucket", F.desc("is_state"))
+        moved = materialize(ordered.mapInArrow(_move(matrix, turn), STATE))
+        sums = [np.frombuffer(r["classes"], dtype=np.int64) for r in moved.where("bucket < 0").collect()]  # one row
+        total = sum(sums, np.zeros(CLASSES * CLASSES, dtype=np.int64)).reshape(CLASSES, CLASSES).astype(np.float64)
+        if matrix is None:
+            release(moved)
+            return state, total
+        next_ = moved.where("bucket >= 0")
+        next_.table_path = moved.table_path
+        return next_, total
+
+
+def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([rows_of(b, c) for c in ("bucket", "b", "c", "a")], ["bucket", "classes", "counts", "endings"])
+
+
+def read_corpus(docs: DataFrame, chunk: int = CHUNK, spread: int = SPREAD) -> tuple[Corpus, DataFrame, DataFrame]:
+    """The chunks of (doc_id, text), the first state of the buckets (words by their endings), and the table of chunks."""
+    table = materialize(docs.mapInArrow(_encode(chunk), TABLE))
+    pairs = table.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    buckets = max(1, -(-pairs // spread))
+    each = table.select("chunk", "words", "counts").mapInArrow(_spread, "word binary, chunk long, place int, c long")
+    each = each.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
+    numbered = materialize(each.repartition("bucket").sortWithinPartitions("bucket", "word", "chunk").mapInArrow(_number, NUMBERED))
+    state = materialize(numbered.where("chunk is null").mapInArrow(_first, STATE))
+    chunks = table.drop("words", "counts").repartition("chunk").persist(StorageLevel.DISK_ONLY)  # each round meets them where they lie
+    return Corpus(chunks, numbered.where("chunk is not null").drop("c")), state, table
+
 
-    A round that loses likelihood is taken back, and the rounds end there or where they gain less than ``STALL``.
+def exchange(corpus: Corpus, state: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray, list[float]]:
+    """The state after the rounds, its class bigrams, and the likelihood before the first round and after each that stays.
+
+    A round moves words by the class bigrams of the state before, which the pass over the corpus measures on the way.
     """
-    of = np.array([ending(w) % (classes - 1) for w in lexicon] + list(range(classes)), dtype=np.int64)
-    turn = mix64(np.arange(len(of), dtype=np.uint64)) & np.uint64(1)
-    matrix = transitions(table, of, classes)
-    reached = [likelihood(matrix)]
+    _, matrix = corpus.pass_over(state, None)
+    kept, reached, by = (state, matrix), [likelihood(matrix)], matrix
     for r in range(rounds):
-        moved = table.mapInArrow(_best_classes(of, matrix, classes), "item int, best int").toArrow()  # one row per item
-        item, to = moved.column("item").to_numpy(), moved.column("best").to_numpy()
-        free = (item < len(lexicon)) & (to != classes - 1) & ((turn[item] == r % 2) | (r == 0))
-        new = of.copy()
-        new[item[free]] = to[free]
-        matrix = transitions(table, new, classes)
-        value = likelihood(matrix)
-        if value < reached[-1]:
-            break
-        of = new
-        reached.append(value)
-        if r and value - reached[-3] < STALL * abs(value):  # both halves have had their turn
-            break
-    return of, reached
+        moved, matrix = corpus.pass_over(state, by, r)  # the class bigrams are those of the state that the words move from
+        if r:
+            value = likelihood(matrix)
+            if value < reached[-1]:
+                return (*kept, reached)
+            kept, by = (state, matrix), matrix
+            reached.append(value)
+            if r > 1 and value - reached[-3] < STALL * abs(value):  # both halves have had their turn
+                return (*kept, reached)
+        state = moved
+    _, matrix = corpus.pass_over(state, None)
+    if likelihood(matrix) >= reached[-1]:
+        kept = (state, matrix)
+        reached.append(likelihood(matrix))
+    return (*kept, reached)
 
 
 @dataclass(frozen=True)
 class ClassModel:
-    """What every task knows: counts and classes of the frequent words, classes of endings, log10 weight of each class pair."""
+    """What every task knows: classes of endings, log10 weight of each class pair, and the counts behind them."""
 
-    counts: dict[bytes, int]
-    classes: dict[bytes, int]
     endings: np.ndarray
     weight: np.ndarray
     n: int
     v: int
     end_count: int
+    matrix: np.ndarray
     likelihoods: list[float] = field(default_factory=list)
 
 
-def _runs(of: dict[bytes, int]):
-    """What touches rarer words: (word, neighbour's class, side) counts, and (left word, right word) counts of two in a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides: Counter[tuple[bytes, int]] = Counter()
-        twos: Counter[tuple[bytes, bytes]] = Counter()
-
-        def out() -> pa.RecordBatch:
-            words = [w for w, _ in sides] + [w for w, _ in twos]
-            place = [p for _, p in sides] + [None] * len(twos)
-            other = [None] * len(sides) + [o for _, o in twos]
-            n = [*sides.values(), *twos.values()]
-            sides.clear()
-            twos.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(place, pa.int32()), pa.array(other, pa.binary()), pa.array(n, pa.int64())], ["word", "place", "other", "n"])
-
-        get = of.get
-        for b in chunked(batches):
-            for text in rows_of(b, "text").to_pylist():
-                w = [END, *tokens(text), END]
-                k = list(map(get, w))
-                for i, c in enumerate(k):
-                    if c is None:
-                        left, right = k[i - 1], k[i + 1]
-                        sides[w[i], left if left is not None else ending(w[i - 1]) % (CLASSES - 1)] += 1
-                        if right is not None:
-                            sides[w[i], CLASSES + right] += 1
-                        else:
-                            sides[w[i], CLASSES + ending(w[i + 1]) % (CLASSES - 1)] += 1
-                            twos[w[i], w[i + 1]] += 1
-            if len(sides) + len(twos) > HELD:
-                yield out()
-        yield out()
-
-    return run
-
-
-def _assign(matrix: np.ndarray):
-    """The class of each rarer word: rows arrive sorted by word, and a word may go on in the next batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p = np.log((matrix + 0.1) / (matrix.sum(1, keepdims=True) + 0.1 * CLASSES))
-        per_place = np.concatenate([log_p, log_p.T]) - np.concatenate([np.repeat(np.log(matrix.sum(0) + 1.0)[None], CLASSES, axis=0), np.zeros((CLASSES, CLASSES))])
-        per_place[:, CLASSES - 1] = -np.inf  # the end token's own class
-        held: tuple | None = None
-
-        def out(words: list, value: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(value.argmax(1).astype(np.int32))], ["word", "class"])
-
-        for b in batches:
-            word = rows_of(b, "word").to_pylist()
-            starts = [i for i in range(len(word)) if i == 0 or word[i] != word[i - 1]]
-            value = np.add.reduceat(per_place[rows_of(b, "place").to_numpy()] * rows_of(b, "n").to_numpy()[:, None], starts, axis=0)
-            names = [word[i] for i in starts]
-            if held is not None:
-                if held[0] == names[0]:
-                    value[0] += held[1]
-                else:
-                    yield out([held[0]], held[1][None])
-            if len(names) > 1:
-                yield out(names[:-1], value[:-1])
-            held = (names[-1], value[-1])
-        if held is not None:
-            yield out([held[0]], held[1][None])
-
-    return run
-
-
-def _matrix(rows: DataFrame) -> np.ndarray:
-    """(a, b, n) -> a class x class array."""
-    out = np.zeros((CLASSES, CLASSES))
-    for r in rows.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # classes x classes rows at most
-        out[r["a"], r["b"]] += r["n"]
-    return out
-
-
-def _known_pairs(of: np.ndarray, words: int):
-    """Class pairs of neighbouring items that are both frequent words or the end token."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES * CLASSES)
-        for b in batches:
-            left, right = (rows_of(b, c).to_numpy() for c in ("left", "right"))
-            own = ((left < words) | (left == len(of) - 1)) & ((right < words) | (right == len(of) - 1))
-            total += np.bincount(of[left[own]] * CLASSES + of[right[own]], weights=rows_of(b, "n").to_numpy()[own], minlength=CLASSES * CLASSES)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array((at // CLASSES).astype(np.int32)), pa.array((at % CLASSES).astype(np.int32)), pa.array(total[at].astype(np.int64))], ["a", "b", "n"])
-
-    return run
-
-
-def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(ENDINGS * CLASSES, dtype=np.int64)
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens and words of each class, and words of each ending by class, of some buckets."""
+    size, by_ending = np.zeros((2, CLASSES), dtype=np.int64), np.zeros(ENDINGS * CLASSES, dtype=np.int64)
     for b in batches:
-        e = np.array([ending(w) for w in rows_of(b, "word").to_pylist()], dtype=np.int64)
-        total += np.bincount(e * CLASSES + rows_of(b, "class").to_numpy(), minlength=len(total))
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array((at // CLASSES).astype(np.int32)), pa.array((at % CLASSES).astype(np.int32)), pa.array(total[at])], ["a", "b", "n"])
-
-
-def lexicon_of(counts: DataFrame) -> tuple[list[tuple[bytes, int]], int]:
-    """The frequent words with their counts, and the least count among them: all words with at least so many, ``KNOWN_WORDS`` at most."""
-    words, total = counts.where(F.col("word") != F.lit(END)), 0
-    least = None
-    for r in words.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(KNOWN_WORDS).toLocalIterator():
-        total += r["n"]
-        if total > KNOWN_WORDS:
-            break
-        least = r["c"]
-    if least is None:
-        return [], 1 << 62
-    rows = [(bytes(r["word"]), r["c"]) for r in words.where(F.col("c") >= least).collect()]
-    return sorted(rows, key=lambda x: (-x[1], x[0])), least
-
-
-def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
-    """The model, and the table (word, c, class) of all training words that it does not hold."""
-    train = docs.where(training(F.col("doc_id"))).select("text")
-    counts = materialize(train.mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
-    n, v, end = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))).first()
-    known, least = lexicon_of(counts)
-    lexicon = [w for w, _ in known]
-    pairs = materialize(train.mapInArrow(_pairs(lexicon), "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n")))
-    table = neighbours(pairs, Items(lexicon).size)
-    of, reached = exchange(table, lexicon)
-    classes = dict(zip(lexicon, of[: len(lexicon)].tolist(), strict=True)) | {END: CLASSES - 1}
-    runs = materialize(train.mapInArrow(_runs(classes), "word binary, place int, other binary, n long"))
-    by_word = runs.where("place is not null").select("word", "place", "n").groupBy("word", "place").agg(F.sum("n").alias("n"))
-    by_word = materialize(by_word)
-    sorted_ = by_word.repartition("word").sortWithinPartitions("word")
-    assigned = sorted_.mapInArrow(_assign(transitions(table, of, CLASSES)), "word binary, class int")
-    rest = counts.where((F.col("word") != F.lit(END)) & (F.col("c") < least))
-    rest = materialize(rest.join(assigned, "word").select("word", "c", "class"))
-    # transitions of the final classes: both frequent, one of them, none; neighbours of rarer words in a row are counted as such
-    twos = runs.where("other is not null").groupBy("word", "other").agg(F.sum("n").alias("n"))
-    named = rest.select("word", "class")
-    both = twos.join(named, "word").withColumnRenamed("class", "a").join(named.select(F.col("word").alias("other"), F.col("class").alias("b")), "other").select("a", "b", "n")
-    single = by_word.join(named, "word")
-    left = single.where(F.col("place") < CLASSES).select(F.col("place").alias("a"), F.col("class").alias("b"), "n")
-    right = single.where(F.col("place") >= CLASSES).select(F.col("class").alias("a"), (F.col("place") - CLASSES).alias("b"), "n")
-    doubled = twos.select(F.col("word"), F.col("other"), "n").mapInArrow(_doubled, "word binary, other binary, a int, b int, n long")
-    # a rarer word's rarer neighbour stood in by its ending's first class above; that share is taken out again
-    out_left = doubled.join(named.withColumnRenamed("word", "other"), "other").select("a", F.col("class").alias("b"), (-F.col("n")).alias("n"))
-    out_right = doubled.join(named, "word").select(F.col("class").alias("a"), "b", (-F.col("n")).alias("n"))
-    known_pairs = pairs.mapInArrow(_known_pairs(of, len(lexicon)), "a int, b int, n long")
-    matrix = _matrix(known_pairs.union(left).union(right).union(both).union(out_left).union(out_right))
-    size = np.zeros((2, CLASSES))
-    for w, c in known:
-        size[:, classes[w]] += c, 1
+        for classes, counts, ends in zip(*(rows_of(b, c).to_pylist() for c in ("classes", "counts", "endings")), strict=True):
+            k, c, e = np.frombuffer(classes, dtype=np.uint8).astype(np.int64), np.frombuffer(counts, dtype=np.int64), np.frombuffer(ends, dtype=np.int16).astype(np.int64)
+            seen = c > 0
+            size[0] += np.bincount(k[seen], weights=c[seen], minlength=CLASSES).astype(np.int64)
+            size[1] += np.bincount(k[seen], minlength=CLASSES)
+            by_ending += np.bincount(e[seen] * CLASSES + k[seen], minlength=len(by_ending))
+    yield pa.RecordBatch.from_arrays([pa.array([size.tobytes()], pa.binary()), pa.array([by_ending.tobytes()], pa.binary())], ["size", "by_ending"])
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS, chunk: int = CHUNK, spread: int = SPREAD) -> tuple[ClassModel, Corpus, DataFrame, DataFrame]:
+    """The model, the corpus, the final state of the buckets, and the table of chunks."""
+    corpus, first, table = read_corpus(docs, chunk, spread)
+    state, matrix, reached = exchange(corpus, first, rounds)
+    size, by_ending = np.zeros((2, CLASSES), dtype=np.int64), np.zeros((ENDINGS, CLASSES), dtype=np.int64)
+    for r in state.coalesce(8).mapInArrow(_totals, "size binary, by_ending binary").collect():  # eight rows of a megabyte at most
+        size += np.frombuffer(r["size"], dtype=np.int64).reshape(2, CLASSES)
+        by_ending += np.frombuffer(r["by_ending"], dtype=np.int64).reshape(ENDINGS, CLASSES)
+    end = int(matrix[:, CLASSES - 1].sum())  # only the end token has the last class
     size[:, CLASSES - 1] += end, int(end > 0)
-    for r in rest.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
-        size[:, r["class"]] += r["c"], r["v"]
-    by_ending = np.zeros((ENDINGS, CLASSES))
-    for r in rest.mapInArrow(_endings, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # endings x classes rows at most
-        by_ending[r["a"], r["b"]] = r["n"]
-    for w in lexicon:
-        by_ending[ending(w), classes[w]] += 1
+    n, v = int(size[0].sum()), int(size[1].sum())
     unigram = (matrix.sum(0) + 1) / (matrix.sum() + CLASSES)
     transition = (matrix + TRANSITION_PRIOR * unigram) / (matrix.sum(1, keepdims=True) + TRANSITION_PRIOR)
     emission = 1 / (size[0] + 0.5 * (size[1] + 1))
     weight = np.log10(CLASS_SHARE * transition * emission + (1 - CLASS_SHARE) / (n + 0.5 * (v + 1)))
-    return ClassModel(dict(known), classes, by_ending.argmax(1), weight, n, v, end, reached), rest
+    return ClassModel(by_ending.argmax(1), weight, n, v, end, matrix, reached), corpus, state, table
 
 
-def _doubled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two rarer words in a row, with the classes that stood in for them."""
-    first = lambda words: pa.array([ending(w) % (CLASSES - 1) for w in words], pa.int32())
-    for b in batches:
-        word, other = rows_of(b, "word"), rows_of(b, "other")
-        yield pa.RecordBatch.from_arrays([word, other, first(word.to_pylist()), first(other.to_pylist()), rows_of(b, "n")], ["word", "other", "a", "b", "n"])
+SCORED = "doc_id long, held_out boolean, n long, known long, logs double, link double"
 
 
 def _score(model: ClassModel):
-    """Per row: what the frequent words tell, and the other words with their places and the classes of their neighbours.
-
-    A neighbour that is itself such a word has class -1; the pair of the two belongs to the second.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = {w: math.log10(c + 0.5) for w, c in model.counts.items()}
-        end_log, end_known = math.log10(model.end_count + 0.5), int(model.end_count > 0)
-        for b in chunked(batches, 256):
-            out = {c: [] for c in ("n", "seen", "base", "link", "words", "places")}
-            for text in rows_of(b, "text").to_pylist():
-                w = tokens(text)
-                k = np.fromiter((model.classes.get(x, -1) for x in w), dtype=np.int64, count=len(w))
-                k = np.concatenate([[CLASSES - 1], k, [CLASSES - 1]])
-                frequent = (k[:-1] >= 0) & (k[1:] >= 0)
-                rare = np.flatnonzero(k < 0)
-                out["n"].append(len(w) + 1)
-                out["seen"].append(len(w) - len(rare) + end_known)
-                out["base"].append(math.fsum(logs[x] for x in w if x in logs) + end_log)
-                out["link"].append(float(model.weight[k[:-1][frequent], k[1:][frequent]].sum()))
-                out["words"].append([w[i - 1] for i in rare])
-                out["places"].append(rare << 14 | (k[rare - 1] + 1) << 7 | (k[rare + 1] + 1))
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows_of(b, "row"), rows_of(b, "doc_id"), *(pa.array(x, t) for x, t in zip(out.values(), types, strict=True))], ["row", "doc_id", *out])
-
-    return run
-
-
-def _unseen_classes(model: ClassModel):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c, k = rows_of(b, "c"), rows_of(b, "class").to_pylist()
-            own = [int(model.endings[ending(w)]) if x is None else x for w, x in zip(rows_of(b, "word").to_pylist(), k, strict=True)]
-            yield pa.RecordBatch.from_arrays([rows_of(b, "row"), rows_of(b, "place"), c, pa.array(own, pa.int32())], ["row", "place", "c", "class"])
-
-    return run
-
-
-def _rare_sums(model: ClassModel):
-    """Rows of one document: its rarer words' classes, counts and places -> their part of the sums."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunked(batches, 512):
-            seen, base, link = [], [], []
-            for items in rows_of(b, "items"):
-                place, c, k = (items.values.field(f).to_numpy(zero_copy_only=False) for f in ("place", "c", "class"))
-                order = np.argsort(place)
-                place, c, k = place[order], c[order], k[order].astype(np.int64)
-                left, right = (place >> 7 & 127) - 1, (place & 127) - 1
-                left = np.where(left < 0, np.concatenate([[0], k[:-1]]), left)
-                total = model.weight[left, k].sum() + model.weight[k[right >= 0], right[right >= 0]].sum()
-                seen.append(int(np.count_nonzero(c)))
-                base.append(float(np.log10(c + 0.5).sum()))
-                link.append(float(total))
-            yield pa.RecordBatch.from_arrays([rows_of(b, "row"), pa.array(seen, pa.int64()), pa.array(base), pa.array(link)], ["row", "more_seen", "more_base", "more_link"])
+    """Per document of a chunk: its tokens, those known, and the two parts of the score."""
+
+    def run(row: pa.Table, answers: pa.Table) -> pa.Table:
+        x = Chunk(row, answers)
+        x.counts[0] = model.end_count
+        unseen = np.flatnonzero(x.classes == UNSEEN)
+        if len(unseen):
+            words = row.column("words")[0].as_py().split(b"\n")
+            x.classes[unseen] = [model.endings[ending(words[i - 1])] for i in unseen]
+        word, before = x.flat[1:], x.flat[:-1]
+        starts = np.cumsum(x.sizes + 1) - x.sizes - 1
+        sums = lambda v: np.add.reduceat(v, starts)
+        of = x.classes.astype(np.int64)
+        return pa.table({
+            "doc_id": row.column("doc_ids").combine_chunks().flatten(), "held_out": pa.array(~x.train), "n": pa.array(x.sizes + 1), "known": pa.array(sums((x.counts > 0).astype(np.int64)[word])),
+            "logs": pa.array(sums(np.log10(x.counts + 0.5)[word])), "link": pa.array(sums(model.weight[of[before], of[word]])),
+        })
 
     return run
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    """documents -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
+    """documents -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row.
 
     Null texts count as empty: the end token alone. Rows with a null id train and are scored; repeated rows count and are
     scored each; without training rows every token is unseen; an empty table gives an empty result; further columns
-    are ignored.
+    are ignored. A task holds a chunk of two million tokens, or one longer text at some 60 bytes a token.
     """
-    docs = require(docs, "doc_id", "text")
-    model, rest = fit(docs)
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    rows = materialize(numbered.mapInArrow(_score(model), "row long, doc_id long, n long, seen long, base double, link double, words array<binary>, places array<long>"))
-    rare = rows.select("row", F.explode(F.arrays_zip("words", "places")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.places").alias("place"))
-    rare = rare.join(rest, "word", "left").select("row", "word", "place", F.coalesce("c", F.lit(0)).cast("long").alias("c"), "class")
-    rare = rare.mapInArrow(_unseen_classes(model), "row long, place long, c long, class int")
-    sums = rare.groupBy("row").agg(F.collect_list(F.struct("place", "c", "class")).alias("items"))  # the words of one document
-    sums = sums.mapInArrow(_rare_sums(model), "row long, more_seen long, more_base double, more_link double")
-    all_ = rows.drop("words", "places").join(sums, "row", "left").fillna(0, ["more_seen", "more_base", "more_link"])
-    logs, link = F.col("base") + F.col("more_base"), F.col("link") + F.col("more_link")
-    return all_.select(
-        "doc_id", (~training(F.col("doc_id"))).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("seen") + F.col("more_seen")).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"), (logs - F.col("n") * F.lit(math.log10(model.n + 0.5 * (model.v + 1)))).alias("base_score"),
-        (logs + link).alias("score"), F.pow(F.lit(10.0), -(logs + link) / F.col("n")).alias("perplexity"),
+    model, corpus, state, table = fit(require(docs, "doc_id", "text"))
+    chunks = table.select("chunk", "tokens", "words", "n_words", "doc_ids", "sizes", "train")
+    rows = materialize(chunks.groupBy("chunk").cogroup(corpus.answered(state, counts=True).groupBy("chunk")).applyInArrow(_score(model), SCORED))
+    corpus.chunks.unpersist()
+    logs, link = F.col("logs"), F.col("link")
+    return rows.select(
+        "doc_id", "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
+        (logs - F.col("n") * F.lit(math.log10(model.n + 0.5 * (model.v + 1)))).alias("base_score"), (logs + link).alias("score"), F.pow(F.lit(10.0), -(logs + link) / F.col("n")).alias("perplexity"),
     )

@@ -417,33 +417,66 @@ def test_brown_odd_cases(odd, empty):
     assert brown_lm.score_documents(empty).count() == 0
 
 
-def whole_model(docs):
-    """The fitted model with the classes and counts of all words in one place."""
-    model, rest = brown_lm.fit(docs)
-    rows = rest.collect()
-    return model, model.counts | {bytes(r["word"]): r["c"] for r in rows}, model.classes | {bytes(r["word"]): r["class"] for r in rows}
+def whole_model(docs, **sizes):
+    """The fitted model with the classes and counts of all training words in one place."""
+    model, corpus, state, table = brown_lm.fit(docs.select("doc_id", "text"), **sizes)
+    words = {r.chunk: r.words.split(b"\n") for r in table.select("chunk", "words").collect()}
+    counts, classes = {brown_lm.END: model.end_count}, {brown_lm.END: brown_lm.CLASSES - 1}
+    for r in corpus.answered(state, counts=True).collect():
+        for i, k, c in zip(np.frombuffer(r["place"], np.int32), np.frombuffer(r["class"], np.uint8), np.frombuffer(r["count"], np.int64), strict=True):
+            if c:
+                counts[words[r["chunk"]][i - 1]], classes[words[r["chunk"]][i - 1]] = int(c), int(k)
+    corpus.chunks.unpersist()
+    return model, counts, classes
+
+
+def training_texts(docs):
+    return [t for i, t in docs.select("doc_id", "text").collect() if brown_lm.trains(i)]
+
+
+def class_bigrams(texts, classes):
+    matrix = np.zeros((64, 64))
+    for t in texts:
+        k = [classes[w] for w in [brown_lm.END, *brown_lm.tokens(t), brown_lm.END]]
+        np.add.at(matrix, (k[:-1], k[1:]), 1)
+    return matrix
 
 
-def test_brown_scores_match_their_formula(docs, local, monkeypatch):
-    monkeypatch.setattr(brown_lm, "KNOWN_WORDS", 200)  # most words are rarer ones, many of them in a row
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 700, "spread": 900}])
+def test_brown_words_move_to_their_best_class(docs, sizes):
+    """One round, recomputed: every training word, whatever its count, goes where its neighbours and its emission are likeliest."""
+    few = docs.limit(60)
+    model, counts, classes = whole_model(few, rounds=1, **sizes)
+    texts = training_texts(few)
+    first = {w: brown_lm.ending(w) % 63 for w in counts} | {brown_lm.END: 63}
+    matrix = class_bigrams(texts, first)
+    cells = {w: np.zeros(128) for w in counts}
+    for t in texts:
+        w = [brown_lm.END, *brown_lm.tokens(t), brown_lm.END]
+        for a, b in zip(w[:-1], w[1:], strict=True):
+            cells[b][first[a]] += 1
+            cells[a][64 + first[b]] += 1
+    log_p = np.log((matrix + 0.1) / (matrix.sum(1, keepdims=True) + 6.4))
+    for w in counts.keys() - {brown_lm.END}:
+        value = [cells[w][:64] @ log_p[:, k] + cells[w][64:] @ log_p[k] - cells[w][:64].sum() * np.log(matrix[:, k].sum() + 1) for k in range(63)]
+        assert value[classes[w]] == pytest.approx(max(value))
+    assert (model.matrix == class_bigrams(texts, classes)).all()
+    assert sum(counts.values()) == model.n and len(counts) == model.v
+
+
+def test_brown_scores_match_their_formula(docs):
     few = docs.limit(60)
     model, counts, classes = whole_model(few)
-    counts[brown_lm.END] = model.end_count
     got = {r.doc_id: r for r in brown_lm.score_documents(few).collect()}
-    train = [t for i, t in local.itertuples(index=False) if i in got and zlib.crc32(str(i).encode()) % 5 != 1]
-    matrix, size, kinds, place = np.zeros((64, 64)), np.zeros(64), np.zeros(64), dict(classes)
+    size, kinds = np.zeros(64), np.zeros(64)
     for w, c in counts.items():
         size[classes[w]] += c
         kinds[classes[w]] += 1
-    for t in train:
-        k = [place[w] for w in [brown_lm.END, *brown_lm.tokens(t), brown_lm.END]]
-        np.add.at(matrix, (k[:-1], k[1:]), 1)
+    matrix = class_bigrams(training_texts(few), classes)
     unigram = (matrix.sum(0) + 1) / (matrix.sum() + 64)
     transition = (matrix + brown_lm.TRANSITION_PRIOR * unigram) / (matrix.sum(1, keepdims=True) + brown_lm.TRANSITION_PRIOR)
     base = lambda w: (counts.get(w, 0) + 0.5) / (model.n + 0.5 * (model.v + 1))
-    for i, t in local.itertuples(index=False):
-        if i not in got:
-            continue
+    for i, t in few.select("doc_id", "text").collect():
         w = [brown_lm.END, *brown_lm.tokens(t), brown_lm.END]
         k = [classes.get(x, int(model.endings[brown_lm.ending(x)])) for x in w]
         want = sum(
@@ -452,16 +485,17 @@ def test_brown_scores_match_their_formula(docs, local, monkeypatch):
         assert got[i].score == pytest.approx(want) and got[i].n_known == sum(x in counts for x in w[1:])
 
 
-def test_brown_words_all_have_their_best_class_and_likelihood_rises(docs):
-    model, counts, classes = whole_model(docs.limit(120))
-    assert counts.keys() | {brown_lm.END} == classes.keys()
-    assert model.likelihoods == sorted(model.likelihoods) and len(model.likelihoods) > 2 and model.likelihoods[-1] > model.likelihoods[0]
+def test_brown_likelihood_rises_and_parts_agree(docs):
+    few = docs.limit(120)
+    model, counts, classes = whole_model(few)
+    assert model.likelihoods == sorted(model.likelihoods) and len(model.likelihoods) > 2
     assert len(set(classes.values())) > 20
+    other, their_counts, _ = whole_model(few, chunk=5000, spread=2000)
+    assert their_counts == counts and other.likelihoods[:2] == pytest.approx(model.likelihoods[:2])
 
 
 def test_brown_distribution_sums_to_one(docs):
     model, count, classes = whole_model(docs.limit(60))
-    count[brown_lm.END] = model.end_count
     words = list(count)
     k, c = np.array([classes[w] for w in words]), np.array([count[w] for w in words])
     for previous in (0, 5, 63):
