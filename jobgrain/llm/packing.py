@@ -28,46 +28,56 @@ from pyspark.sql import Window as W
 
 from jobgrain.llm.common import Memo, chunked, materialize, require, rows_of
 
-#: Words, and pieces of words, that a Python worker remembers with their ids, twice over at most (some 150 MB together).
-CACHE_WORDS, CACHE_PIECES = 1 << 18, 1 << 17
+#: Words and pieces of words that a Python worker remembers with their ids, twice over at most (some 150 MB together).
+CACHE_WORDS = 3 << 17
 
 
-#: Fixed value: the tokenizer's own split pattern, on lower-cased printable ASCII.
-ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Fixed value: the tokenizer's own split pattern, on lower-cased ASCII and the accented letters of Latin-1.
+LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Words that this pattern splits as the tokenizer does, without its normaliser (their letters are composed already).
+LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes beyond ASCII in the tokenizer's vocabulary, by the rule of byte-level BPE: printable ones for themselves, the others
+    numbered from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 class WordIds(Memo):
     """Word (bytes between ASCII white space) -> its token ids as little-endian uint32 bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in a row; and a
-    word's ids are those of its pieces (runs of letters, digits, runs of other signs), which are remembered as well.
+    word's ids are those of its pieces (runs of letters, digits, runs of other signs), which are remembered as words of their own.
     """
 
     def __init__(self, tokenizer) -> None:
         super().__init__(CACHE_WORDS)
-        self.tokenizer, self.pieces = tokenizer, Pieces(tokenizer.model)
+        self.tokenizer, self.model = tokenizer, tokenizer.model
         self.wide = tokenizer.get_vocab_size() > 1 << 16
+        self.letters = byte_letters()
+        self.written = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
     def __missing__(self, word: bytes) -> bytes:
         known = self.old.get(word)
-        if known is not None:
-            return self.keep(word, known)
-        text = word.decode("utf-8")
-        if word.isascii() and text.isprintable():
-            parts = ASCII_PIECES.findall(text.lower())
-        else:
-            parts = [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
-        return self.keep(word, b"".join(map(self.pieces.__getitem__, parts)))
+        return self.keep(word, self.ids(word) if known is None else known)
 
-
-class Pieces(Memo):
-    def __init__(self, model) -> None:
-        super().__init__(CACHE_PIECES)
-        self.model = model
-
-    def __missing__(self, part: str) -> bytes:
-        known = self.old.get(part)
-        return self.keep(part, np.array([t.id for t in self.model.tokenize(part)], dtype="<u4").tobytes() if known is None else known)
+    def ids(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters: one piece
+            low = word.lower()
+            return self.piece(low.decode()) if low == word else self[low]
+        text = word.decode("utf-8")
+        if not LATIN.fullmatch(text):
+            normal = self.tokenizer.normalizer.normalize_str(text)
+            return b"".join([self.piece(x) for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)])
+        parts = LATIN_PIECES.findall(text.lower())
+        if len(parts) > 1:  # a piece by itself is split no further
+            return b"".join([self[x.encode()] for x in parts])
+        return self.piece(parts[0] if word.isascii() else parts[0].encode().decode("latin-1").translate(self.letters))
+
+    def piece(self, part: str) -> bytes:
+        return b"".join([self.written[t.id] for t in self.model.tokenize(part)])
 
 
 _WORDS: dict[str, WordIds] = {}
