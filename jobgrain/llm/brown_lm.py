@@ -5,10 +5,10 @@ its neighbours and its own emission are likeliest, given class transitions measu
 words take part in every round, half of them by turns so that mutual neighbours do not swap forever. Each round measures the likelihood of the
 class bigrams; a round that loses is taken back, and the rounds end when they gain little.
 
-No vocabulary reaches the driver or a broadcast. Tasks cut the corpus into chunks of some million tokens, written once as numbers of the chunk's own
-words. Words are dealt into buckets by their hash and numbered there. In a round the buckets send each chunk the classes of its words; the chunk counts the
-classes to the left and right of each word and sends these counts, packed by bucket; a bucket adds them up as they come and moves its words. So rows that
-travel hold thousands of words, and a task holds one chunk or the counts of one bucket's words, however large the corpus is.
+No vocabulary reaches the driver or a broadcast. Tasks cut the corpus into chunks of half a million tokens, written once as numbers of the chunk's own
+words in the order of their hashes. Buckets are ranges of hashes, so a chunk's words of a bucket stand in a row. In a round the buckets send each chunk the
+classes of its words; the chunk counts the classes to the left and right of each word and sends these counts, packed by bucket; a bucket adds them up as they
+come and moves its words. So rows that travel hold many words, and a task holds one chunk or the counts of one bucket's words, however large the corpus is.
 
 log10 P(w | previous word) = log10 of  a * P(class(w) | class(previous)) * P(w | class(w)) + (1 - a) * P(w), where
 P(w | class) = (c(w) + 0.5) / (N_class + 0.5 * (V_class + 1)), the last term standing for unseen words, transitions are
@@ -23,11 +23,11 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import count
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +36,12 @@ from jobgrain.llm.common import chunked, materialize, mix64, release, require, r
 
 ENDINGS, CLASSES = 1 << 11, 64
 #: Rounds at most, and the share of the likelihood that a round must gain for another one to follow.
-ROUNDS, STALL = 6, 1e-3
+ROUNDS, STALL = 5, 1e-3
 CLASS_SHARE, TRANSITION_PRIOR = 0.9, 8.0
 #: The end token cannot be a word, as words hold no white space.
 END = b" "
 #: Tokens of a chunk, and pairs of a chunk and one of its words that a bucket holds, about.
-CHUNK, SPREAD = 1 << 21, 1 << 17
+CHUNK, SPREAD = 1 << 19, 1 << 17
 #: The class of words that the training rows do not hold.
 UNSEEN = 255
 
@@ -61,11 +61,30 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word.rstrip(b".,;:!?|\"')(")[-3:]) % ENDINGS
 
 
+def pack(x: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else x.tobytes())
+
+
+def unpack(x: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=kind)
+
+
 TABLE = "chunk long, tokens binary, words binary, counts binary, n_words long, doc_ids array<long>, sizes binary, train binary"
 
 
+def by_hash(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the words by (hash, word), and their hashes in it."""
+    h = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+    order = np.argsort(h, kind="stable")
+    same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    if len(same):  # a few words share a hash
+        tied = np.unique(np.concatenate([same, same + 1]))
+        order[tied] = sorted(order[tied].tolist(), key=lambda i: (h[i], words[i]))
+    return order, h[order]
+
+
 def _encode(chunk: int):
-    """Chunks of documents: an end token, then each document's words and an end token, as numbers of the chunk's words (0: the end token)."""
+    """Chunks of documents: an end token, then each document's words and an end token, as numbers of the chunk's words (0: the end token; others by hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), count()
@@ -76,12 +95,16 @@ def _encode(chunk: int):
             return number, [np.zeros(1, dtype=np.int32)], [], [], []
 
         def out() -> pa.RecordBatch:
-            flat = np.concatenate(parts)
+            words = list(number)[1:]
+            order, _ = by_hash(words)
+            place = np.zeros(len(number), dtype=np.int32)
+            place[order + 1] = np.arange(1, len(number))
+            flat = place[np.concatenate(parts)]
             mask = np.repeat(np.array(train, dtype=bool), np.array(sizes, dtype=np.int64) + 1)
-            counts = np.bincount(flat[1:][mask], minlength=len(number)).astype(np.int64)
-            row = [[task << 32 | next(made)], [flat.tobytes()], [b"\n".join(list(number)[1:])], [counts.tobytes()], [len(number)], [ids], [np.array(sizes, dtype=np.int32).tobytes()], [np.array(train, dtype=bool).tobytes()]]
+            counts = np.bincount(flat[1:][mask], minlength=len(number)).astype(np.int32)
+            row = [task << 32 | next(made), pack(flat), pack(b"\n".join([words[i] for i in order])), pack(counts), len(number), ids, pack(np.array(sizes, dtype=np.int32)), pack(np.array(train, dtype=bool))]
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], [f.split()[0] for f in TABLE.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [f.split()[0] for f in TABLE.split(", ")])
 
         number, parts, ids, sizes, train = empty()
         held = 0
@@ -103,62 +126,61 @@ def _encode(chunk: int):
     return run
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, chunk, place, c) of the words of each chunk."""
-    for b in batches:
-        for chunk, words, counts in zip(*(rows_of(b, c).to_pylist() for c in ("chunk", "words", "counts")), strict=True):
-            words, c = words.split(b"\n") if words else [], np.frombuffer(counts, dtype=np.int64)
-            for lo in range(0, len(words), 1 << 16):
-                part = words[lo : lo + (1 << 16)]
-                place = np.arange(lo + 1, lo + 1 + len(part), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(np.full(len(part), chunk)), pa.array(place), pa.array(c[place])], ["word", "chunk", "place", "c"])
+def words_of(packed: bytes) -> list[bytes]:
+    text = zstandard.ZstdDecompressor().decompress(packed)
+    return text.split(b"\n") if text else []
 
 
-NUMBERED = "bucket int, chunk long, a binary, b binary, c binary"
+def _spread(buckets: int):
+    """(bucket, chunk, words, counts): each chunk's words by buckets, which are ranges of hashes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, packed, counts in zip(*(rows_of(b, c).to_pylist() for c in ("chunk", "words", "counts")), strict=True):
+                words, c = words_of(packed), unpack(counts, "<i4")[1:]
+                if not words:
+                    continue
+                bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) * buckets >> 32
+                cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(words)]
+                spans = list(pairwise(cuts))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array([chunk] * len(spans), pa.int64()), pa.array([pack(b"\n".join(words[x:y])) for x, y in spans], pa.binary()), pa.array([pack(c[x:y]) for x, y in spans], pa.binary()),
+                ], ["bucket", "chunk", "words", "counts"])
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket and word -> a bucket's words (chunk null: words, first classes, counts), and for each chunk which of them it has (places there, numbers here)."""
-    held: list[tuple] = []
-    now = None
-
-    def out() -> pa.RecordBatch:
-        words = pa.concat_arrays([h[0] for h in held])
-        chunk, place, c = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
-        fresh = np.ones(len(words), dtype=bool)
-        fresh[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
-        number = np.cumsum(fresh) - 1
-        total = np.bincount(number, weights=c).astype(np.int64)
-        names = words.filter(pa.array(fresh)).to_pylist()
-        ends = np.array([ending(w) for w in names], dtype=np.int16)
-        order = np.argsort(chunk, kind="stable")
-        cuts = np.flatnonzero(np.diff(chunk[order], prepend=chunk[order][0] - 1))
-        places, numbers = np.split(place[order], cuts[1:]), np.split(number[order].astype(np.int32), cuts[1:])
-        chunks = [None, *chunk[order][cuts].tolist()]
-        first = np.where(total > 0, ends % (CLASSES - 1), UNSEEN).astype(np.uint8)
-        a = [ends.tobytes(), *(x.tobytes() for x in places)]
-        b = [first.tobytes(), *(x.tobytes() for x in numbers)]
-        c_ = [total.tobytes()] + [None] * len(places)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([now] * len(chunks), pa.int32()), pa.array(chunks, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c_, pa.binary())], ["bucket", "chunk", "a", "b", "c"])
+    return run
+
+
+NUMBERED = "bucket int, chunk long, a binary, b binary, c binary"
 
-    for b in batches:
-        bucket = rows_of(b, "bucket").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if lo == hi:
-                continue
-            if now is not None and bucket[lo] != now and held:
-                yield out()
-            now = int(bucket[lo])
-            part = b.slice(lo, hi - lo)
-            held.append((rows_of(part, "word"), *(rows_of(part, c).to_numpy() for c in ("chunk", "place", "c"))))
-    if held:
-        yield out()
+
+def _number(rows: pa.Table) -> pa.Table:
+    """The words of a bucket (chunk null: endings, first classes, counts), and for each chunk the numbers here of the words that it has, in its order."""
+    bucket, chunks = rows.column("bucket")[0].as_py(), rows.column("chunk").to_pylist()
+    lists = [words_of(x) for x in rows.column("words").to_pylist()]
+    seen: dict[bytes, int] = {}
+    for words in lists:
+        for w in words:
+            seen.setdefault(w, len(seen))
+    names = list(seen)
+    order, _ = by_hash(names)
+    number = np.empty(len(names), dtype=np.int32)
+    number[order] = np.arange(len(names), dtype=np.int32)
+    total, mine = np.zeros(len(names), dtype=np.int64), []
+    for words, counts in zip(lists, rows.column("counts").to_pylist(), strict=True):
+        at = number[np.fromiter(map(seen.__getitem__, words), np.int64, len(words))]
+        total[at] += unpack(counts, "<i4")
+        mine.append(pack(np.diff(at, prepend=np.int32(0))))
+    ends = np.array([ending(names[i]) for i in order], dtype=np.int16)
+    first = np.where(total > 0, ends % (CLASSES - 1), UNSEEN).astype(np.uint8)
+    n = len(chunks)
+    return pa.table({
+        "bucket": pa.array([bucket] * (n + 1), pa.int32()), "chunk": pa.array([None, *chunks], pa.int64()), "a": pa.array([ends.tobytes(), *mine], pa.binary()), "b": pa.array([first.tobytes()] + [None] * n, pa.binary()),
+        "c": pa.array([total.tobytes()] + [None] * n, pa.binary()),
+    })
 
 
 STATE = "bucket int, classes binary, counts binary, endings binary"
-ANSWER = "chunk long, bucket int, place binary, number binary, class binary, count binary"
+ANSWER = "chunk long, bucket int, number binary, class binary, count binary"
 MESSAGE = "bucket int, number binary, cells binary, cell binary, n binary, big binary"
 
 
@@ -168,31 +190,29 @@ def _answers(counts: bool):
     def run(asked: pa.Table, state: pa.Table) -> pa.Table:
         classes = np.frombuffer(state.column("classes")[0].as_py(), dtype=np.uint8)
         total = np.frombuffer(state.column("counts")[0].as_py(), dtype=np.int64)
-        numbers = [np.frombuffer(x, dtype=np.int32) for x in asked.column("b").to_pylist()]
+        numbers = [np.cumsum(unpack(x, "<i4")) for x in asked.column("a").to_pylist()]
         return pa.table({
-            "chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "place": asked.column("a"), "number": asked.column("b"),
-            "class": pa.array([classes[x].tobytes() for x in numbers], pa.binary()), "count": pa.array([total[x].tobytes() if counts else None for x in numbers], pa.binary()),
+            "chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "number": asked.column("a"),
+            "class": pa.array([pack(classes[x]) for x in numbers], pa.binary()), "count": pa.array([pack(total[x]) if counts else None for x in numbers], pa.binary()),
         })
 
     return run
 
 
 class Chunk:
-    """The tokens of a chunk, and what the buckets say of its words."""
+    """The tokens of a chunk, and what the buckets say of its words: bucket by bucket they are all of them in order."""
 
     def __init__(self, row: pa.Table, answers: pa.Table) -> None:
-        first = lambda c, kind: np.frombuffer(row.column(c)[0].as_py(), dtype=kind)
-        self.flat, self.sizes, self.train = first("tokens", np.int32), first("sizes", np.int32).astype(np.int64), first("train", bool)
-        self.n_words = row.column("n_words")[0].as_py()
-        self.classes, self.counts = np.full(self.n_words, UNSEEN, dtype=np.uint8), np.zeros(self.n_words, dtype=np.int64)
-        self.bucket, self.number = np.full(self.n_words, -1, dtype=np.int64), np.zeros(self.n_words, dtype=np.int64)
-        self.classes[0] = CLASSES - 1
-        for bucket, *parts in zip(*(answers.column(c).to_pylist() for c in ("bucket", "place", "number", "class", "count")), strict=True):
-            place = np.frombuffer(parts[0], dtype=np.int32)
-            self.bucket[place], self.number[place] = bucket, np.frombuffer(parts[1], dtype=np.int32)
-            self.classes[place] = np.frombuffer(parts[2], dtype=np.uint8)
-            if parts[3] is not None:
-                self.counts[place] = np.frombuffer(parts[3], dtype=np.int64)
+        first = lambda c, kind: unpack(row.column(c)[0].as_py(), kind)
+        self.flat, self.sizes, self.train = first("tokens", "<i4"), first("sizes", "<i4").astype(np.int64), first("train", bool)
+        order = np.argsort(answers.column("bucket").to_numpy(), kind="stable") if answers.num_rows else np.zeros(0, dtype=np.int64)
+        answers = answers.take(pa.array(order, pa.int64()))
+        self.buckets, self.numbers = answers.column("bucket").to_pylist(), answers.column("number").to_pylist()
+        classes = [unpack(x, np.uint8) for x in answers.column("class").to_pylist()]
+        self.starts = np.cumsum([1, *map(len, classes)])
+        self.classes = np.concatenate([np.array([CLASSES - 1], dtype=np.uint8), *classes])
+        counts = [x for x in answers.column("count").to_pylist() if x is not None]
+        self.counts = np.concatenate([np.zeros(1, dtype=np.int64), *(unpack(x, "<i8") for x in counts)])
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Neighbours in training documents: (word, word before it)."""
@@ -201,74 +221,109 @@ class Chunk:
 
 
 def _meet(neighbours: bool):
-    """A chunk's class bigrams (bucket -1), and for each bucket the classes beside its words: how many words, cells of each, cells, and counts (large ones apart)."""
+    """A chunk's class bigrams (bucket -1), and for each bucket the classes beside its words: how many cells each word has, the cells, and their counts (large ones apart)."""
 
     def run(row: pa.Table, answers: pa.Table) -> pa.Table:
         x = Chunk(row, answers)
         word, before = x.pairs()
-        of = x.classes.astype(np.int64)
-        out = {c: [] for c in ("bucket", "number", "cells", "cell", "n", "big")}
-        matrix = np.bincount(of[before] * CLASSES + of[word], minlength=CLASSES * CLASSES)
-        for c, v in zip(out, (-1, b"", b"", matrix.astype(np.int64).tobytes(), b"", b""), strict=True):
-            out[c].append(v)
+        of = x.classes.astype(np.int32 if len(x.classes) < 1 << 24 else np.int64)
+        matrix = np.bincount(of[before] * CLASSES + of[word], minlength=CLASSES * CLASSES).astype(np.int64)
+        rows = [(-1, b"", b"", matrix.tobytes(), b"", b"")]
         if neighbours:
-            order = np.lexsort((x.number, x.bucket))
-            rank = np.empty(x.n_words, dtype=np.int64)
-            rank[order] = np.arange(x.n_words)  # the end token, in no bucket, is the first
-            cells = np.bincount(rank[word] * 2 * CLASSES + of[before], minlength=x.n_words * 2 * CLASSES)
-            cells += np.bincount(rank[before] * 2 * CLASSES + CLASSES + of[word], minlength=x.n_words * 2 * CLASSES)
-            cells[: 2 * CLASSES] = 0
-            at = np.flatnonzero(cells)
-            n, place = cells[at], at // (2 * CLASSES)
-            per_word = np.bincount(place, minlength=x.n_words)
-            ends = np.concatenate([[0], np.cumsum(per_word)])
-            buckets = x.bucket[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(buckets)) + 1, [len(buckets)]])
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if buckets[lo] < 0:
-                    continue
-                words = lo + np.flatnonzero(per_word[lo:hi])
-                a, b = ends[lo], ends[hi]
-                for c, v in zip(out, (
-                    int(buckets[lo]), x.number[order[words]].astype(np.int32).tobytes(), per_word[words].astype(np.uint8).tobytes(), (at[a:b] % (2 * CLASSES)).astype(np.uint8).tobytes(),
-                    np.minimum(n[a:b], 255).astype(np.uint8).tobytes(), n[a:b][n[a:b] >= 255].astype(np.int64).tobytes(),
-                ), strict=True):
-                    out[c].append(v)
-        return pa.table([pa.array(out[c], pa.int32() if c == "bucket" else pa.binary()) for c in out], names=list(out))
+            keys = np.concatenate([(word * (2 * CLASSES) + of[before])[word > 0], (before * (2 * CLASSES) + CLASSES + of[word])[before > 0]])
+            keys.sort()
+            at = np.flatnonzero(np.diff(keys, prepend=-1))
+            n = np.diff(at, append=len(keys))
+            keys = keys[at]
+            per_word = np.bincount(keys // (2 * CLASSES), minlength=len(of)).astype(np.uint8)
+            ends = np.searchsorted(keys, x.starts * (2 * CLASSES))
+            cell, low = (keys % (2 * CLASSES)).astype(np.uint8), np.minimum(n, 255).astype(np.uint8)
+            for k, bucket in enumerate(x.buckets):
+                a, b = ends[k], ends[k + 1]
+                rows.append((bucket, x.numbers[k], pack(per_word[x.starts[k] : x.starts[k + 1]]), pack(cell[a:b]), pack(low[a:b]), n[a:b][low[a:b] == 255].astype(np.int64).tobytes()))
+        names = [f.split()[0] for f in MESSAGE.split(", ")]
+        return pa.table([pa.array(v, pa.int32() if c == "bucket" else pa.binary()) for c, v in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
     return run
 
 
-def _log_p(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log transitions [previous, next] and log sizes of the classes."""
-    return np.log((matrix + 0.1) / (matrix.sum(1, keepdims=True) + 0.1 * CLASSES)), np.log(matrix.sum(0) + 1.0)
+def worth(matrix: np.ndarray) -> np.ndarray:
+    """What a neighbour of a class (before the word: the first rows, after it: the others) adds to each class that the word may take.
 
+    Log transitions, and the emission, which favours small classes: the word's share of a class is its count over the class's tokens.
+    """
+    log_p = np.log((matrix + 0.1) / (matrix.sum(1, keepdims=True) + 0.1 * CLASSES))
+    out = np.concatenate([log_p - np.log(matrix.sum(0) + 1.0), log_p.T])
+    out[:, CLASSES - 1] = -np.inf  # the end token's own class
+    return out
 
-def best_classes(cells: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """The class under which a word's neighbours (classes before it, classes after it) and its own emission are likeliest."""
-    log_p, sizes = _log_p(matrix)
-    # the emission favours small classes: the word's share of a class is its count over the class's tokens
-    value = cells[:, :CLASSES] @ log_p + cells[:, CLASSES:] @ log_p.T - cells[:, :CLASSES].sum(1, keepdims=True) * sizes
-    value[:, CLASSES - 1] = -np.inf  # the end token's own class
-    return value.argmax(1)
 
+def best_classes(word: np.ndarray, cell: np.ndarray, n: np.ndarray, per_cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of (word, cell, count) entries, sorted by word, and the class under which each one's neighbours and its emission are likeliest.
 
-def _move(matrix: np.ndarray, turn: int):
-    """Rows sorted by bucket, its state first -> its next state; counts are added up as they come. Bucket -1 gives the sum of class bigrams."""
+    Words with many entries come first, so the k-th entries of those that have as many are added in one step.
+    """
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    entries = np.diff(starts, append=len(word))
+    order = np.argsort(-entries, kind="stable")
+    best, per_cell = np.empty(len(starts), dtype=np.uint8), per_cell.astype(np.float32)
+    for lo in range(0, len(starts), TOGETHER):
+        some = order[lo : lo + TOGETHER]
+        first, many = starts[some], entries[some]
+        value = np.zeros((len(some), CLASSES), dtype=np.float32)
+        for k in range(many[0]):
+            have = int(np.searchsorted(-many, -k, side="left"))  # entries above k
+            at = first[:have] + k
+            value[:have] += per_cell[cell[at]] * n[at, None].astype(np.float32)
+        best[some] = value.argmax(1)
+    return word[starts], best
+
+
+#: Words that are weighed together, and entries that a bucket holds before equal ones are added up.
+TOGETHER, HELD = 1 << 13, 1 << 22
+
+
+class Cells:
+    """Counts of a bucket's (word, neighbour's class) cells, added up as they come: as many entries as there are cells at most, and some that wait."""
+
+    def __init__(self) -> None:
+        self.keys, self.n, self.size = [], [], 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.n.append(n)
+        self.size += len(keys)
+        if self.size > HELD:
+            keys, n = self.summed()
+            self.keys, self.n, self.size = [keys], [n], min(len(keys), HELD // 2)
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.keys:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        keys, n = np.concatenate(self.keys), np.concatenate(self.n)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        at = np.flatnonzero(np.diff(keys, prepend=-1))
+        return keys[at], np.add.reduceat(n[order], at) if len(at) else n
+
+
+def _move(matrix: np.ndarray | None, turn: int):
+    """Rows sorted by bucket, its state first -> its next state. Bucket -1 gives the sum of class bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, cells = None, None, None
+        now, state, cells, bigrams = None, None, Cells(), np.zeros(CLASSES * CLASSES, dtype=np.int64)
+        per_cell = None if matrix is None else worth(matrix)
 
         def out() -> pa.RecordBatch:
             if now < 0:
-                row = [now, cells.astype(np.int64).tobytes(), b"", b""]
+                row = [now, bigrams.tobytes(), b"", b""]
             else:
-                classes, counts = np.frombuffer(state[0], dtype=np.uint8).copy(), np.frombuffer(state[1], dtype=np.int64)
-                moves = counts > 0
+                classes, (keys, n) = np.frombuffer(state[0], dtype=np.uint8).copy(), cells.summed()
+                word, best = best_classes(keys // (2 * CLASSES), keys % (2 * CLASSES), n, per_cell)
                 if turn:
-                    moves &= (mix64(np.arange(len(classes), dtype=np.uint64) ^ np.uint64(now) << np.uint64(32)) & np.uint64(1)) == turn % 2
-                for at in np.array_split(np.flatnonzero(moves), max(1, int(moves.sum()) >> 13)):
-                    classes[at] = best_classes(cells[at].astype(np.float64), matrix)
+                    mine = (mix64(word.astype(np.uint64) ^ np.uint64(now) << np.uint64(32)) & np.uint64(1)) == turn % 2
+                    word, best = word[mine], best[mine]
+                classes[word] = best
                 row = [now, classes.tobytes(), *state[1:]]
             return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], ["bucket", "classes", "counts", "endings"])
 
@@ -277,17 +332,16 @@ def _move(matrix: np.ndarray, turn: int):
                 if bucket != now:
                     if now is not None:
                         yield out()
-                    now, state = bucket, (classes, counts, endings)
-                    cells = np.zeros(CLASSES * CLASSES, dtype=np.int64) if bucket < 0 else np.zeros((len(classes), 2 * CLASSES), dtype=np.int64)
+                    now, state, cells = bucket, (classes, counts, endings), Cells()
                 if is_state:
                     continue
                 if bucket < 0:
-                    cells += np.frombuffer(cell, dtype=np.int64)
+                    bigrams += np.frombuffer(cell, dtype=np.int64)
                     continue
-                n = np.frombuffer(n, dtype=np.uint8).astype(np.int64)
+                n = unpack(n, np.uint8).astype(np.int64)
                 n[n == 255] = np.frombuffer(big, dtype=np.int64)
-                word = np.repeat(np.frombuffer(number, dtype=np.int32).astype(np.int64), np.frombuffer(per_word, dtype=np.uint8))
-                cells.reshape(-1)[word * 2 * CLASSES + np.frombuffer(cell, dtype=np.uint8)] += n  # a message names a cell once
+                word = np.repeat(np.cumsum(unpack(number, "<i4"), dtype=np.int64), unpack(per_word, np.uint8))
+                cells.add(word * (2 * CLASSES) + unpack(cell, np.uint8), n)
         if now is not None:
             yield out()
 
@@ -340,12 +394,13 @@ def read_corpus(docs: DataFrame, chunk: int = CHUNK, spread: int = SPREAD) -> tu
     table = materialize(docs.mapInArrow(_encode(chunk), TABLE))
     pairs = table.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     buckets = max(1, -(-pairs // spread))
-    each = table.select("chunk", "words", "counts").mapInArrow(_spread, "word binary, chunk long, place int, c long")
-    each = each.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
-    numbered = materialize(each.repartition("bucket").sortWithinPartitions("bucket", "word", "chunk").mapInArrow(_number, NUMBERED))
+    each = table.select("chunk", "words", "counts").mapInArrow(_spread(buckets), "bucket int, chunk long, words binary, counts binary")
+    numbered = materialize(each.groupBy("bucket").applyInArrow(_number, NUMBERED))
     state = materialize(numbered.where("chunk is null").mapInArrow(_first, STATE))
-    chunks = table.drop("words", "counts").repartition("chunk").persist(StorageLevel.DISK_ONLY)  # each round meets them where they lie
-    return Corpus(chunks, numbered.where("chunk is not null").drop("c")), state, table
+    # each round meets the chunks where they lie: dealt into as many partitions as the answers are
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = table.select("chunk", "tokens", "sizes", "train").repartition(n, "chunk").persist(StorageLevel.DISK_ONLY)
+    return Corpus(chunks, numbered.where("chunk is not null").select("bucket", "chunk", "a")), state, table
 
 
 def exchange(corpus: Corpus, state: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray, list[float]]:
@@ -428,7 +483,7 @@ def _score(model: ClassModel):
         x.counts[0] = model.end_count
         unseen = np.flatnonzero(x.classes == UNSEEN)
         if len(unseen):
-            words = row.column("words")[0].as_py().split(b"\n")
+            words = words_of(row.column("words")[0].as_py())
             x.classes[unseen] = [model.endings[ending(words[i - 1])] for i in unseen]
         word, before = x.flat[1:], x.flat[:-1]
         starts = np.cumsum(x.sizes + 1) - x.sizes - 1
@@ -447,10 +502,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty: the end token alone. Rows with a null id train and are scored; repeated rows count and are
     scored each; without training rows every token is unseen; an empty table gives an empty result; further columns
-    are ignored. A task holds a chunk of two million tokens, or one longer text at some 60 bytes a token.
+    are ignored. A task holds a chunk of half a million tokens, or one longer text at some 60 bytes a token.
     """
     model, corpus, state, table = fit(require(docs, "doc_id", "text"))
-    chunks = table.select("chunk", "tokens", "words", "n_words", "doc_ids", "sizes", "train")
+    chunks = table.select("chunk", "tokens", "words", "doc_ids", "sizes", "train")
     rows = materialize(chunks.groupBy("chunk").cogroup(corpus.answered(state, counts=True).groupBy("chunk")).applyInArrow(_score(model), SCORED))
     corpus.chunks.unpersist()
     logs, link = F.col("logs"), F.col("link")

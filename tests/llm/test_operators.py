@@ -420,12 +420,14 @@ def test_brown_odd_cases(odd, empty):
 def whole_model(docs, **sizes):
     """The fitted model with the classes and counts of all training words in one place."""
     model, corpus, state, table = brown_lm.fit(docs.select("doc_id", "text"), **sizes)
-    words = {r.chunk: r.words.split(b"\n") for r in table.select("chunk", "words").collect()}
-    counts, classes = {brown_lm.END: model.end_count}, {brown_lm.END: brown_lm.CLASSES - 1}
-    for r in corpus.answered(state, counts=True).collect():
-        for i, k, c in zip(np.frombuffer(r["place"], np.int32), np.frombuffer(r["class"], np.uint8), np.frombuffer(r["count"], np.int64), strict=True):
+    words = {r.chunk: brown_lm.words_of(r.words) for r in table.select("chunk", "words").collect()}
+    counts, classes, answers = {brown_lm.END: model.end_count}, {brown_lm.END: brown_lm.CLASSES - 1}, {}
+    for r in corpus.answered(state, counts=True).orderBy("bucket").collect():
+        answers.setdefault(r["chunk"], []).append((brown_lm.unpack(r["class"], np.uint8), brown_lm.unpack(r["count"], np.int64)))
+    for chunk, parts in answers.items():
+        for w, k, c in zip(words[chunk], *map(np.concatenate, zip(*parts, strict=True)), strict=True):
             if c:
-                counts[words[r["chunk"]][i - 1]], classes[words[r["chunk"]][i - 1]] = int(c), int(k)
+                counts[w], classes[w] = int(c), int(k)
     corpus.chunks.unpersist()
     return model, counts, classes
 
