@@ -172,25 +172,6 @@ def recent_title_duplicates(batch: DataFrame, visible: DataFrame, days: int = 7)
     return left.join(right, (left["_c"] == right["_c"]) & (left["_t"] == right["_t"]) & (F.col("canonical_url") != F.col("v_url")) & near, "left_semi").drop("_c", "_t")
 
 
-def classify_candidates(candidates: DataFrame, existing: DataFrame) -> DataFrame:
-    """Each candidate's strongest match with known postings: source_id, url, title, else net_new.
-
-    Both sides spread into (kind, key) rows, so all kinds are one equi-join.
-    """
-    def keys(df: DataFrame, ident: str) -> DataFrame:
-        ks = F.array(
-            F.struct(F.lit(1).alias("rank"), F.when(~is_blank(F.col("source_job_id")), F.concat_ws("|", "ats_key", "source_job_id")).alias("key")),
-            F.struct(F.lit(2).alias("rank"), F.col("canonical_url").alias("key")),
-            F.struct(F.lit(3).alias("rank"), F.concat_ws("|", search_text(F.col("company_name")), search_text(F.col("position_name"))).alias("key")),
-        )
-        return df.select(F.col(ident), F.explode(ks).alias("k")).select(ident, "k.rank", "k.key").where("key is not null")
-
-    known = keys(existing, "canonical_url").select("rank", "key").distinct()
-    best = keys(candidates, "candidate_id").join(known, ["rank", "key"], "left_semi").groupBy("candidate_id").agg(F.min("rank").alias("rank"))
-    name = F.when(F.col("rank") == 1, "source_id").when(F.col("rank") == 2, "url").when(F.col("rank") == 3, "title").otherwise("net_new")
-    return candidates.select("candidate_id", "ats_key").join(best, "candidate_id", "left").select("candidate_id", "ats_key", name.alias("match"))
-
-
 def growth_by_source(postings: DataFrame, since: int, until: int) -> DataFrame:
     """New postings of a window with the indexable and clean ones, by source and in total."""
     rows = postings.where((F.col("first_seen_epoch") >= since) & (F.col("first_seen_epoch") < until))

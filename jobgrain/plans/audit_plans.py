@@ -157,20 +157,6 @@ def j8_title_duplicates(spark, sf_dir):
     return A.recent_title_duplicates(rows, rows.where("not hidden"), 60).select("canonical_url")
 
 
-@query(f"""
-WITH k AS (SELECT * FROM postings WHERE first_seen_epoch < {EARLIER}), c AS (SELECT posting_no AS candidate_id, ats_key, source_job_id, canonical_url, company_name, position_name FROM postings),
-m AS (SELECT candidate_id, ats_key, CASE WHEN source_job_id <> '' AND EXISTS (SELECT 1 FROM k WHERE k.ats_key = c.ats_key AND k.source_job_id = c.source_job_id) THEN 'source_id'
-  WHEN EXISTS (SELECT 1 FROM k WHERE k.canonical_url = c.canonical_url) THEN 'url'
-  WHEN EXISTS (SELECT 1 FROM k WHERE lower(k.company_name) = lower(c.company_name) AND lower(k.position_name) = lower(c.position_name)) THEN 'title' ELSE 'net_new' END AS match FROM c)
-SELECT ats_key, match, count(*) AS total FROM m GROUP BY 1, 2
-""")
-def j10_a29_net_new(spark, sf_dir):
-    """J10, A29."""
-    rows = postings(spark, sf_dir)
-    found = A.classify_candidates(rows.withColumnRenamed("posting_no", "candidate_id"), rows.where(F.col("first_seen_epoch") < EARLIER))
-    return found.groupBy("ats_key", "match").agg(F.count("*").alias("total"))
-
-
 @query(f"""
 SELECT canonical_url, 'missing' AS side FROM postings WHERE first_seen_epoch >= {EARLIER} AND NOT hidden
 UNION ALL SELECT canonical_url, 'extra' FROM postings WHERE hidden AND first_seen_epoch < {EARLIER}
