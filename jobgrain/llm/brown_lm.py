@@ -36,7 +36,7 @@ from jobgrain.llm.common import chunked, materialize, mix64, release, require, r
 
 ENDINGS, CLASSES = 1 << 11, 64
 #: Rounds at most, and the share of the likelihood that a round must gain for another one to follow.
-ROUNDS, STALL = 5, 1e-3
+ROUNDS, STALL = 6, 1e-3
 CLASS_SHARE, TRANSITION_PRIOR = 0.9, 8.0
 #: The end token cannot be a word, as words hold no white space.
 END = b" "
@@ -366,6 +366,7 @@ class Corpus:
 
     def pass_over(self, state: DataFrame, matrix: np.ndarray | None, turn: int = 0) -> tuple[DataFrame, np.ndarray]:
         """The next state if there are transitions to move by (else the same), and the class bigrams of this one."""
+        state.sparkSession.sparkContext._jvm.System.gc()  # else the shuffle files of past rounds stay until the driver happens to collect its garbage
         met = self.chunks.groupBy("chunk").cogroup(self.answered(state).groupBy("chunk")).applyInArrow(_meet(matrix is not None), MESSAGE)
         message, own = [f.split()[0] for f in MESSAGE.split(", ")], [f.split()[0] for f in STATE.split(", ")]
         none = lambda names: [F.lit(None).cast("binary").alias(c) for c in names]
