@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from jobgrain.plans import audit_plans, backfill_plans, drift_plans, function_plans, geo_plans, intent_plans, merge_plans, netnew_plans, planning_plans, quality_plans, search_plans, source_plans, streaming_plans, text_plans, usage_plans  # noqa: F401
+    from jobgrain.plans import audit_plans, backfill_plans, drift_plans, function_plans, geo_plans, intent_plans, merge_plans, netnew_plans, planning_plans, quality_plans, search_plans, source_plans, streaming_plans, term_plans, text_plans, usage_plans  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -65,3 +65,44 @@ def test_evidence_spans(spark):
     rows = spark.createDataFrame([(1, "Salary: 50k per year. Remote work is possible."), (2, None)], "id int, t string")
     got = {(r.id, r.kind, r.match.lower()) for r in X.evidence_spans(rows, "t", {"salary": r"salary", "remote": r"remote"}).collect()}
     assert got == {(1, "salary", "salary"), (1, "remote", "remote")}
+
+
+def test_misspelt_queries_find_what_a_scan_finds(spark):
+    import random
+
+    from jobgrain.operators import term_index
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(9)
+    words = ["engineer", "engineers", "nurse", "nurses", "data", "date", "senior", "junior", "berlin", "remote", "role"]
+    pick = lambda n: " ".join(rng.choices(words, k=n))
+    posts = [(f"u{i}", pick(2), pick(1), pick(1), rng.choice(["lever", "taleo"]), rng.random() < 0.1) for i in range(200)]
+    asked = [(0, "enginer berlin"), (1, "Nurse, dates"), (2, "levr data"), (3, "lever data"), (4, "role"), (5, "senor nurse role"), (6, "")]
+    frame = spark.createDataFrame(posts, "canonical_url string, position_name string, company_name string, city string, ats_key string, hidden boolean")
+    got = sorted(tuple(r) for r in term_index.typo_search(spark.createDataFrame(asked, "query_id int, text string"), term_index.build_index(frame), 15).collect())
+    want = []
+    for q, text in asked:
+        every = dict.fromkeys(w for w in text.lower().replace(",", " ").split())
+        said = [w for w in every if w not in term_index.STOP_WORDS] or list(every)
+        found = []
+        for url, title, company, city, source, hidden in posts:
+            fields = [*((w, 40) for w in title.split()), (company, 30), (city, 20)]
+            total = [0, 0]
+            for w in said:
+                most = 0 if w in term_index.STOP_WORDS else 2 if len(w) >= 8 else 1 if len(w) >= 4 else 0
+                best = min([(e, -n) for x, n in fields if (e := edits(w, x)) <= most] + [(0, -10)] * (w == source), default=None)
+                if best is None:
+                    break
+                total = [total[0] + best[0], total[1] + best[1]]
+            else:
+                if said and not hidden:
+                    found.append((*total, url))
+        want += [(q, k + 1, url, typos, -less) for k, (typos, less, url) in enumerate(sorted(found)[:15])]
+    assert got == sorted(want) and {r[0] for r in got} == {0, 1, 3, 4, 5}
