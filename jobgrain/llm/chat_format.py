@@ -66,20 +66,19 @@ def pair_neighbours(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def last_reply_pairs(conversations: DataFrame, reply: str = "assistant") -> tuple[DataFrame, DataFrame]:
-    """Pairs from plain conversations: chosen is conversation 2k; rejected is the same up to its last reply, with the last reply
-    of conversation 2k + 1 in that one's place.
+    """A pair for each conversation, named by its conv_id: chosen is the conversation; rejected is the same up to its last reply, with the last reply of
+    its neighbour (2k + 1 for 2k, 2k for 2k + 1) in that one's place, or with none there if the neighbour has no reply.
 
-    Conversations without a reply or a neighbour with one make no pair; rows with a null conv_id or turn are left out.
+    Conversations without a reply make no pair, nor do those that consist of one reply alone and have no neighbour with one; rows with a null
+    conv_id or turn are left out.
     """
-    rows = require(conversations, "conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null")
-    rows = rows.withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("long")).withColumn("first", F.pmod("conv_id", F.lit(2)) == 0)
-    ends = rows.groupBy("pair_id").agg(F.max(F.when(F.col("first") & (F.col("role") == reply), F.col("turn"))).alias("fork"), F.max(F.when(~F.col("first") & (F.col("role") == reply), F.col("turn"))).alias("other"))
-    rows = rows.join(ends.where("fork is not null and other is not null"), "pair_id")
+    rows = require(conversations, "conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null").withColumn("conv_id", F.col("conv_id").cast("long"))
+    ends = rows.where(F.col("role") == reply).groupBy(F.col("conv_id").alias("pair_id")).agg(F.max("turn").alias("fork"))
     columns = ["pair_id", "turn", "role", "text"]
-    chosen = rows.where("first")
-    kept = chosen.where("turn < fork").select(columns)
-    swapped = rows.where("not first and turn = other").where(F.col("role") == reply).select("pair_id", F.col("fork").alias("turn"), "role", "text")
-    return chosen.select(columns), kept.union(swapped)
+    chosen = rows.withColumnRenamed("conv_id", "pair_id").join(ends, "pair_id")
+    last = chosen.where((F.col("turn") == F.col("fork")) & (F.col("role") == reply)).select(F.col("pair_id").bitwiseXOR(F.lit(1).cast("long")).alias("pair_id"), "role", "text")
+    swapped = last.join(ends, "pair_id").select("pair_id", F.col("fork").alias("turn"), "role", "text")
+    return chosen.select(columns), chosen.where("turn < fork").select(columns).union(swapped)
 
 
 def assemble(messages: DataFrame) -> DataFrame:
@@ -112,12 +111,12 @@ def written_spans(spans: Column) -> Column:
 
 
 ORACLE = f"""
-WITH c AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-e AS (SELECT pair_id, max(turn) FILTER (side = 0 AND role = 'assistant') AS fork, max(turn) FILTER (side = 1 AND role = 'assistant') AS other FROM c GROUP BY 1),
-p AS (SELECT * FROM c JOIN e USING (pair_id) WHERE fork IS NOT NULL AND other IS NOT NULL),
-m0 AS (SELECT pair_id, 'c' AS side, turn, role, text FROM p WHERE side = 0
-       UNION ALL SELECT pair_id, 'r', turn, role, text FROM p WHERE side = 0 AND turn < fork
-       UNION ALL SELECT pair_id, 'r', fork, role, text FROM p WHERE side = 1 AND turn = other AND role = 'assistant'),
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+e AS (SELECT conv_id, max(turn) AS fork FROM c WHERE role = 'assistant' GROUP BY 1),
+p AS (SELECT * FROM c JOIN e USING (conv_id)),
+m1 AS (SELECT conv_id AS pair_id, 'c' AS side, turn, role, text FROM p UNION ALL SELECT conv_id, 'r', turn, role, text FROM p WHERE turn < fork
+       UNION ALL SELECT e.conv_id, 'r', e.fork, role, text FROM p JOIN e ON e.conv_id = xor(p.conv_id, 1) WHERE turn = p.fork AND role = 'assistant'),
+m0 AS (SELECT * FROM m1 WHERE pair_id IN (SELECT pair_id FROM m1 WHERE side = 'r')),
 m AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side, turn ORDER BY role, text) AS seq FROM m0),
 f AS (SELECT pair_id, min(turn) AS fork FROM (
         SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn FROM (SELECT * FROM m WHERE side = 'c') c FULL JOIN (SELECT * FROM m WHERE side = 'r') r

@@ -392,5 +392,5 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     left = docs.withColumns({names[MARKS[0]]: F.xxhash64(text), names[MARKS[1]]: F.xxhash64(F.lit("mark"), text)})
     same = left["doc_id"].cast("long").eqNullSafe(lost["doc_id"]) & (left[names[MARKS[0]]] == lost[MARKS[0]]) & (left[names[MARKS[1]]] == lost[MARKS[1]])
     lines = F.filter(F.split(left["text"], "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i))
-    out = left.join(lost, same, "left").withColumn("_text", F.when(F.col(gone).isNull(), left["text"]).otherwise(F.array_join(lines, "\n")))
-    return out.select(*[F.col("_text").alias(c) if c == "text" else left[c] for c in docs.columns])
+    short = F.when(F.col(gone).isNull(), left["text"]).otherwise(F.array_join(lines, "\n"))
+    return left.join(lost, same, "left").select(*[short.alias(c) if c == "text" else left[c] for c in docs.columns])
