@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobgrain.llm import decontamination, line_dedup, packing, simhash_dedup, toxicity
-from jobgrain.llm.common import materialize
+from jobgrain.llm.common import free_name, materialize
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -23,9 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of similar lines one stays; n_chars follows the text where lines go. No document goes."""
-    lines = line_dedup.dedup_lines(docs.withColumn("_before", F.length("text")))
-    changed = F.col("_before") != F.length("text")
-    return lines.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_before")
+    before = free_name(docs, "letters_before")
+    lines = line_dedup.dedup_lines(docs.withColumn(before, F.length("text")))
+    changed = F.col(before) != F.length("text")
+    return lines.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(before)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
