@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobgrain.functions.text import search_text
+from jobgrain.functions.text import canonical_url, plain_text, search_text, trimmed
 
 #: Fixed values, first match wins: parts that a lower-case posting URL must all hold, and the system it belongs to.
 URL_RULES = (
@@ -66,6 +66,35 @@ def json_ld_postings(pages: DataFrame) -> DataFrame:
     )
 
 
+RSS = "channel struct<title: string, item: array<struct<title: string, link: string, description: string, pubDate: string, guid: string, category: string>>>, _corrupt string"
+#: Zones that feeds write by name.
+ZONES = {"GMT": "+0000", "UTC": "+0000", "UT": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+
+
+def feed_time(c: Column) -> Column:
+    """Epoch seconds of a feed's date (day month year time zone, perhaps with a weekday); null for anything else."""
+    v = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", "")
+    for name, offset in ZONES.items():
+        v = F.regexp_replace(v, rf"\s{name}$", f" {offset}")
+    return F.unix_timestamp(F.try_to_timestamp(v, F.lit("d MMM yyyy HH:mm:ss xx")))
+
+
+def rss_postings(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """Postings of RSS payloads in the fields of JSON ones: the payload's other columns, feed_ok, and one row per item; a malformed feed keeps one row without fields.
+
+    company_name is the channel's title; canonical_url has no tracking parameters; description_plain is text; posted_at_epoch is null where the date cannot be read.
+    """
+    others = [c for c in payloads.columns if c != column]
+    feed = payloads.select(*others, F.from_xml(F.col(column), RSS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("_f"))
+    ok = F.col("_f.channel").isNotNull() & F.col("_f._corrupt").isNull()
+    items = feed.select(*others, F.coalesce(ok, F.lit(False)).alias("feed_ok"), F.col("_f.channel.title").alias("company_name"), F.explode_outer(F.when(ok, F.col("_f.channel.item"))).alias("_i"))
+    text = lambda name: trimmed(F.col(f"_i.{name}"))
+    return items.select(
+        *others, "feed_ok", F.when(F.col("feed_ok"), trimmed(F.col("company_name"))).otherwise("").alias("company_name"), text("title").alias("position_name"), canonical_url(text("link")).alias("canonical_url"),
+        plain_text(text("description")).alias("description_plain"), text("guid").alias("source_job_id"), text("category").alias("department"), feed_time(F.col("_i.pubDate")).alias("posted_at_epoch"),
+    )
+
+
 def shape_of(value, prefix: str = "", depth: int = 0) -> set[str]:
     """Typed paths of a JSON value: five levels, the first item of an array, a hundred keys of an object."""
     if depth > 5:

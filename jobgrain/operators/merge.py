@@ -183,5 +183,20 @@ def merge_state(current: DataFrame, updates: DataFrame, key: str, fields: list[s
 def next_sync_epoch(last: Column, failures: Column, ttl: int, key: Column, base: int = 900, most: int = 7 * DAY) -> Column:
     """After success the source's interval, after n failures an exponential wait; up to a tenth more by a hash of the target."""
     wait = F.when(failures > 0, F.least(F.lit(float(most)), base * F.pow(F.lit(2.0), F.least(failures, F.lit(16)) - 1))).otherwise(F.lit(float(ttl)))
-    share = F.pmod(F.crc32(F.encode(key, "UTF-8")), F.lit(1000)) / 10_000
+    share = F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(1000)) / 10_000
     return (last + F.floor(wait * (1 + share))).cast("long")
+
+
+def sync_after(state: DataFrame, outcomes: DataFrame, ttl: int = DAY // 4) -> DataFrame:
+    """The sync state (company_url, last_success_epoch, last_failure_epoch, consecutive_failures) after the outcomes (company_url, at_epoch, ok) of some runs, with the time of the next one.
+
+    A success ends a row of failures; failures after it, or further ones without it, count up. A target that was not tried keeps its figures; new targets enter.
+    """
+    o = outcomes.groupBy("company_url").agg(F.max(F.when(F.col("ok"), F.col("at_epoch"))).alias("success"), F.max(F.when(~F.col("ok"), F.col("at_epoch"))).alias("failure"))
+    after = outcomes.join(o.select("company_url", "success"), "company_url").where(~F.col("ok") & (F.col("success").isNull() | (F.col("at_epoch") > F.col("success"))))
+    o = o.join(after.groupBy("company_url").agg(F.count("*").alias("failed")), "company_url", "left").withColumn("failed", F.coalesce("failed", F.lit(0)))
+    both = state.select("company_url", "last_success_epoch", "last_failure_epoch", "consecutive_failures").join(o, "company_url", "full_outer")
+    failures = F.when(F.col("failed").isNull(), F.col("consecutive_failures")).when(F.col("success").isNotNull(), F.col("failed")).otherwise(F.coalesce("consecutive_failures", F.lit(0)) + F.col("failed")).cast("int")
+    out = both.select("company_url", F.greatest("last_success_epoch", "success").alias("last_success_epoch"), F.greatest("last_failure_epoch", "failure").alias("last_failure_epoch"), failures.alias("consecutive_failures"))
+    last = F.greatest(F.col("last_success_epoch"), F.col("last_failure_epoch"))
+    return out.withColumn("next_sync_epoch", next_sync_epoch(F.coalesce(last, F.lit(0)), F.col("consecutive_failures"), ttl, F.col("company_url")))

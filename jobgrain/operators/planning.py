@@ -125,6 +125,36 @@ def top_list_mismatches(left: DataFrame, right: DataFrame, order: list[Column],
     return top(left, "expected").join(top(right, "actual"), "position", "full_outer").where(~F.col("expected").eqNullSafe(F.col("actual")))
 
 
+#: Sort modes whose results stand by their last sighting.
+BY_SIGHTING = ("last_seen", "recent", "fresh_source")
+
+
+def parity_audit(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """What is wrong with the answers of several stores to many searches: (case_id, store, kind, canonical_url, position).
+
+    cases: case_id, country, remote, sort_by (blank: not asked for). results: case_id, store, position (from 1), canonical_url, position_name, company_name, country, location_text, remote_type, last_seen_epoch.
+    Kinds: no_url, no_title, no_company; wrong_country (another country, or none and the place does not name it), wrong_mode (remote and hybrid cases); out_of_order (seen later than the row before it, where the
+    order is by sighting); differs (another posting than the first store in the order of names has at that position, or none). All cases are judged together: their filters are columns.
+    """
+    rows = results.join(cases, "case_id")
+    asked = lambda c: ~is_blank(F.col(c))
+    wanted, named = F.lower(F.col("wanted_country")), F.lower(F.coalesce("location_text", F.lit("")))
+    rows = rows.withColumn("earlier", F.lag("last_seen_epoch").over(W.partitionBy("case_id", "store").orderBy("position")))
+    found = F.array_compact(F.array(
+        F.when(~F.coalesce(F.col("canonical_url"), F.lit("")).rlike("(?i)^https?://"), "no_url"), F.when(is_blank(F.col("position_name")), "no_title"), F.when(is_blank(F.col("company_name")), "no_company"),
+        F.when(asked("wanted_country") & (F.lower(F.coalesce("country", F.lit(""))) != wanted) & ~(is_blank(F.col("country")) & F.contains(named, wanted)), "wrong_country"),
+        F.when(F.col("wanted_remote").isin("remote", "hybrid") & ~F.col("remote_type").eqNullSafe(F.col("wanted_remote")), "wrong_mode"),
+        F.when(F.col("sort_by").isin(*BY_SIGHTING) & (F.coalesce("last_seen_epoch", F.lit(0)) > F.coalesce("earlier", F.col("last_seen_epoch"), F.lit(0))), "out_of_order"),
+    ))
+    faults = rows.select("case_id", "store", F.explode(found).alias("kind"), "canonical_url", "position")
+    at = results.select("case_id", "store", "position", "canonical_url")
+    named_first = at.withColumn("first", F.col("store") == at.agg(F.min("store")).scalar())
+    names = at.agg(F.array_sort(F.collect_set("store"))).scalar()  # of a few stores
+    left = named_first.where("first").select("case_id", "position", F.col("canonical_url").alias("expected"), F.explode(F.slice(names, 2, 100)).alias("store"))
+    both = left.join(named_first.where("not first"), ["case_id", "store", "position"], "full_outer").where(~F.col("expected").eqNullSafe(F.col("canonical_url")))
+    return faults.union(both.select("case_id", "store", F.lit("differs"), "canonical_url", "position"))
+
+
 def index_repairs(postings: DataFrame, index: DataFrame) -> DataFrame:
     """What to delete from and write to an index (index: canonical_url, company_name), with the reason."""
     both = postings.select("canonical_url", "hidden", "company_name").join(index.select("canonical_url", F.col("company_name").alias("indexed"), F.lit(True).alias("there")), "canonical_url", "full_outer")

@@ -150,11 +150,12 @@ def result_summary(found: DataFrame) -> DataFrame:
 
 
 def source_facets(found: DataFrame, as_of: int, limit: int = 100) -> DataFrame:
-    """Per source: rows, mean confidence, newest sighting, share seen in the last three days."""
+    """Per source: rows, mean confidence and quality score (of rows that have one), newest sighting, share seen in the last three days."""
     fresh = F.count_if(F.coalesce("last_seen_epoch", F.lit(0)) >= as_of - 3 * DAY)
     return (
         found.groupBy("ats_key").agg(
-            F.count("*").alias("total"), F.round(F.avg(F.col("confidence").cast("double")), 4).alias("avg_confidence"), F.max("last_seen_epoch").alias("newest_seen"), fresh.alias("fresh"),
+            F.count("*").alias("total"), F.round(F.avg(F.col("confidence").cast("double")), 4).alias("avg_confidence"),
+            F.round(F.avg(F.col("quality_score").cast("double")), 2).alias("avg_quality"), F.max("last_seen_epoch").alias("newest_seen"), fresh.alias("fresh"),
         )
         .withColumn("fresh_percent", percent(F.col("fresh"), F.col("total"), None)).orderBy(F.desc("total"), "ats_key").limit(limit)
     )

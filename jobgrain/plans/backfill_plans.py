@@ -220,7 +220,7 @@ def j15_applications(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT ats_key, parser_version, count(*) FILTER (country = '') AS gaps FROM postings WHERE NOT hidden GROUP BY 1, 2), v AS (SELECT ats_key, parser_version, count(*) AS cached, count(*) FILTER (validation_status = 'valid') AS valid FROM posting_cache WHERE posting_no % 2 = 0 OR parser_version <> 'v2' GROUP BY 1, 2),
+WITH a AS (SELECT ats_key, parser_version, count(*) FILTER (country = '') AS gaps FROM postings WHERE NOT hidden GROUP BY 1, 2), v AS (SELECT ats_key, parser_version, count(*) AS cached, count(*) FILTER (validation_status = 'valid') AS valid FROM posting_cache GROUP BY 1, 2),
 t AS (SELECT ats_key, 'v1' AS parser_version, count(*) AS attention FROM run_errors WHERE error_type LIKE 'parser%' GROUP BY 1)
 SELECT ats_key, parser_version, gaps, cached, valid, attention FROM a FULL JOIN v USING (ats_key, parser_version) FULL JOIN t USING (ats_key, parser_version)
 """)
@@ -228,7 +228,7 @@ def a11_parser_stats(spark, sf_dir):
     """Audit, visibility and attention by source and parser."""
     key = ["ats_key", "parser_version"]
     a = postings(spark, sf_dir).where("not hidden").groupBy(*key).agg(F.count_if(F.col("country") == "").alias("gaps"))
-    v = posting_cache(spark, sf_dir).where("posting_no % 2 = 0 or parser_version <> 'v2'").groupBy(*key).agg(F.count("*").alias("cached"), F.count_if(F.col("validation_status") == "valid").alias("valid"))
+    v = posting_cache(spark, sf_dir).groupBy(*key).agg(F.count("*").alias("cached"), F.count_if(F.col("validation_status") == "valid").alias("valid"))
     t = errors(spark, sf_dir).where(F.col("error_type").startswith("parser")).groupBy("ats_key").agg(F.count("*").alias("attention")).select("ats_key", F.lit("v1").alias("parser_version"), "attention")
     return B.parser_stats(a, v, t)
 

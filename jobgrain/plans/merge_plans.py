@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from jobgrain.operators import merge as M
 from jobgrain.plans.registry import query
-from jobgrain.sources.views import AS_OF, EARLIER, EVENTS_AS_OF, application_state, errors, incoming, posting_cache, postings, runs, sync_state
+from jobgrain.sources.views import AS_OF, EARLIER, EVENTS_AS_OF, application_state, epoch, errors, incoming, posting_cache, postings, runs, sync_state
 
 _OK = "NOT (department = '' AND country = '')"
 _BATCH = f"b AS (SELECT *, {_OK} AS accepted FROM incoming)"
@@ -153,6 +153,27 @@ def m8_sync_state(spark, sf_dir):
     return M.merge_state(sync_state(spark, sf_dir), updates, "company_url", ["last_failure_epoch", "consecutive_failures"])
 
 
+_CUT = EVENTS_AS_OF - 10 * 86_400
+
+
+@query(f"""
+WITH o AS (SELECT 'https://c' || user_id || '.example' AS company_url, CAST(floor(epoch(ts)) AS BIGINT) AS at_epoch, event_type <> 'error' AS ok FROM events WHERE event_type IN ('purchase', 'signup', 'error') AND floor(epoch(ts)) >= {_CUT}),
+b AS (SELECT 'https://c' || user_id || '.example' AS company_url, max(floor(epoch(ts))) FILTER (event_type <> 'error') AS s, max(floor(epoch(ts))) FILTER (event_type = 'error') AS f, count(*) FILTER (event_type = 'error') AS k FROM events WHERE event_type IN ('purchase', 'signup', 'error') AND floor(epoch(ts)) < {_CUT} GROUP BY 1),
+u AS (SELECT company_url, max(at_epoch) FILTER (ok) AS success, max(at_epoch) FILTER (NOT ok) AS failure FROM o GROUP BY 1),
+n AS (SELECT company_url, count(*) FILTER (NOT ok AND (success IS NULL OR at_epoch > success)) AS failed FROM o JOIN u USING (company_url) GROUP BY 1),
+x AS (SELECT company_url, greatest(s, success) AS ls, greatest(f, failure) AS lf, CASE WHEN failed IS NULL THEN k WHEN success IS NOT NULL THEN failed ELSE coalesce(k, 0) + failed END AS c FROM b FULL JOIN u USING (company_url) LEFT JOIN n USING (company_url))
+SELECT company_url, CAST(ls AS BIGINT) AS last_success_epoch, CAST(lf AS BIGINT) AS last_failure_epoch, CAST(c AS INTEGER) AS consecutive_failures,
+  CAST(greatest(ls, lf) + floor(CASE WHEN c > 0 THEN least(604800.0, 900 * pow(2, least(c, 16) - 1)) ELSE 21600.0 END * (1 + (('0x' || left(md5(company_url), 8))::BIGINT % 1000) / 10000)) AS BIGINT) AS next_sync_epoch FROM x
+""")
+def m8_t29_sync_after_runs(spark, sf_dir):
+    """Successes and failures of the last days merged into the state before, and when each target is due again."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type in ('purchase', 'signup', 'error')")
+    rows = e.select(F.concat(F.lit("https://c"), F.col("user_id").cast("string"), F.lit(".example")).alias("company_url"), epoch("ts").alias("at_epoch"), (F.col("event_type") != "error").alias("ok"))
+    old, new = rows.where(F.col("at_epoch") < _CUT), rows.where(F.col("at_epoch") >= _CUT)
+    state = old.groupBy("company_url").agg(F.max(F.when(F.col("ok"), F.col("at_epoch"))).alias("last_success_epoch"), F.max(F.when(~F.col("ok"), F.col("at_epoch"))).alias("last_failure_epoch"), F.count_if(~F.col("ok")).cast("int").alias("consecutive_failures"))
+    return M.sync_after(state, new)
+
+
 @query("""
 WITH u AS (SELECT 'https://jobs.example/p/' || l_orderkey AS canonical_url, bool_or(l_returnflag = 'R') AS applied, bool_or(l_returnflag = 'A') AS ignored FROM lineitem GROUP BY 1)
 SELECT canonical_url, CASE WHEN u.canonical_url IS NOT NULL THEN u.applied ELSE s.applied END AS applied, CASE WHEN u.canonical_url IS NOT NULL THEN u.ignored ELSE s.ignored END AS ignored FROM application_state s FULL JOIN u USING (canonical_url)

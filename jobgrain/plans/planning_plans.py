@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobgrain.functions.text import search_text
@@ -147,6 +148,50 @@ def a41_place_options(spark, sf_dir):
     return P.place_options(postings(spark, sf_dir).where("not hidden"), ["NATION_1", "NATION_2"])
 
 
+def _answers(spark, sf_dir):
+    """Cases (a source and a country, some with a work mode) and the first ten answers of two stores; the second knows an older state and orders by first sighting in some cases."""
+    rows = postings(spark, sf_dir).where("not hidden")
+    cases = rows.where("country <> ''").select("ats_key", F.col("country").alias("wanted_country")).distinct()
+    nation = F.regexp_extract("wanted_country", r"(\d+)$", 1).cast("int")
+    cases = cases.select(
+        F.concat_ws(":", "ats_key", "wanted_country").alias("case_id"), "ats_key", "wanted_country", F.when(nation % 3 == 0, "remote").otherwise("").alias("wanted_remote"), F.when(nation % 4 == 3, "relevance").otherwise("last_seen").alias("sort_by"),
+    )
+    old = F.col("first_seen_epoch") < EARLIER
+    stores = {"database": (rows, F.col("country"), F.col("remote_type"), F.col("last_seen_epoch")), "index": (rows, F.when(old & (F.col("confidence") > 0.7), "").otherwise(F.col("country")), F.when(old, "remote").otherwise(F.col("remote_type")), F.col("first_seen_epoch"))}
+    out = []
+    for name, (df, country, mode, order) in stores.items():
+        held = df.select("ats_key", "canonical_url", "position_name", "company_name", "country", "location_text", "remote_type", "last_seen_epoch", country.alias("k"), mode.alias("m"), order.alias("o"))
+        named = held.withColumn("k", F.when(F.col("k") != "", F.col("k")).otherwise(F.regexp_extract("location_text", r"(NATION_\d+)$", 1)))
+        met = named.join(cases, (named["k"] == cases["wanted_country"]) & (named["ats_key"] == cases["ats_key"])).where("wanted_remote = '' or m = wanted_remote")
+        w = W.partitionBy("case_id").orderBy(F.desc("o"), "canonical_url")
+        top = met.withColumn("position", F.row_number().over(w)).where("position <= 10").withColumn("store", F.lit(name))
+        out.append(top.select("case_id", "store", "position", "canonical_url", "position_name", "company_name", "country", "location_text", "remote_type", "last_seen_epoch"))
+    return cases, out[0].union(out[1])
+
+
+_NAMED = "CASE WHEN {0} <> '' THEN {0} ELSE regexp_extract(location_text, '(NATION_\\d+)$', 1) END"
+
+
+@query(f"""
+WITH c AS (SELECT DISTINCT ats_key || ':' || country AS case_id, ats_key, country AS wanted_country, CASE WHEN regexp_extract(country, '(\\d+)$', 1)::INTEGER % 3 = 0 THEN 'remote' ELSE '' END AS wanted_remote,
+  CASE WHEN regexp_extract(country, '(\\d+)$', 1)::INTEGER % 4 = 3 THEN 'relevance' ELSE 'last_seen' END AS sort_by FROM postings WHERE NOT hidden AND country <> ''),
+h AS (SELECT 'database' AS store, *, {_NAMED.format('country')} AS k, remote_type AS m, last_seen_epoch AS o FROM postings WHERE NOT hidden
+  UNION ALL SELECT 'index', *, {_NAMED.format(f"(CASE WHEN first_seen_epoch < {EARLIER} AND confidence > 0.7 THEN '' ELSE country END)")}, CASE WHEN first_seen_epoch < {EARLIER} THEN 'remote' ELSE remote_type END, first_seen_epoch FROM postings WHERE NOT hidden),
+r AS MATERIALIZED (SELECT case_id, store, wanted_country, wanted_remote, sort_by, h.* EXCLUDE (store), CAST(row_number() OVER (PARTITION BY case_id, store ORDER BY o DESC, canonical_url) AS INTEGER) AS position FROM h JOIN c ON h.k = c.wanted_country AND h.ats_key = c.ats_key
+  WHERE wanted_remote = '' OR m = wanted_remote QUALIFY position <= 10),
+l AS (SELECT *, lag(last_seen_epoch) OVER (PARTITION BY case_id, store ORDER BY position) AS earlier FROM r),
+f AS (SELECT case_id, store, unnest(list_filter([CASE WHEN trim(position_name) = '' THEN 'no_title' END, CASE WHEN trim(company_name) = '' THEN 'no_company' END,
+    CASE WHEN lower(country) <> lower(wanted_country) AND NOT (country = '' AND contains(lower(location_text), lower(wanted_country))) THEN 'wrong_country' END, CASE WHEN wanted_remote = 'remote' AND remote_type <> 'remote' THEN 'wrong_mode' END,
+    CASE WHEN sort_by = 'last_seen' AND last_seen_epoch > earlier THEN 'out_of_order' END], lambda x: x IS NOT NULL)) AS kind, canonical_url, position FROM l)
+SELECT * FROM f UNION ALL SELECT coalesce(a.case_id, b.case_id), 'index', 'differs', b.canonical_url, coalesce(a.position, b.position)
+FROM (SELECT * FROM r WHERE store = 'database') a FULL JOIN (SELECT * FROM r WHERE store = 'index') b ON a.case_id = b.case_id AND a.position = b.position WHERE a.canonical_url IS DISTINCT FROM b.canonical_url
+""")
+def q21_parity_audit(spark, sf_dir):
+    """Q21: many searches at two stores, judged together."""
+    cases, results = _answers(spark, sf_dir)
+    return P.parity_audit(cases.drop("ats_key"), results)
+
+
 @query("""
 WITH a AS (SELECT CAST(row_number() OVER (ORDER BY last_seen_epoch DESC, canonical_url) AS INTEGER) AS position, canonical_url AS expected FROM postings WHERE NOT hidden QUALIFY position <= 50),
 b AS (SELECT CAST(row_number() OVER (ORDER BY last_seen_epoch DESC, canonical_url) AS INTEGER) AS position, canonical_url AS actual FROM postings WHERE NOT hidden AND remote_type <> 'unknown' QUALIFY position <= 50)

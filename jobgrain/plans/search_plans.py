@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from jobgrain.operators import quality as Q
 from jobgrain.operators import search as S
+from jobgrain.plans.quality_plans import _FLAGGED, _PENALTY, flagged
 from jobgrain.plans.registry import query
 from jobgrain.sources.views import AS_OF, application_state, postings, table
 
@@ -129,13 +131,15 @@ def a1_result_summary(spark, sf_dir):
 
 
 @query(f"""
-SELECT ats_key, count(*) AS total, round(avg(confidence), 4) AS avg_confidence, max(last_seen_epoch) AS newest_seen,
+{_FLAGGED}, sc AS (SELECT canonical_url, CAST(greatest(0, least(100, 100 - coalesce(list_sum(list_transform(quality_flags, lambda f: {_PENALTY})), 0))) AS INTEGER) AS score FROM fl)
+SELECT ats_key, count(*) AS total, round(avg(confidence), 4) AS avg_confidence, round(avg(score), 2) AS avg_quality, max(last_seen_epoch) AS newest_seen,
   count(*) FILTER (last_seen_epoch >= {AS_OF} - 3 * 86400) AS fresh, round(count(*) FILTER (last_seen_epoch >= {AS_OF} - 3 * 86400) * 100 / count(*), 2) AS fresh_percent
-FROM postings WHERE NOT hidden GROUP BY 1
+FROM postings JOIN sc USING (canonical_url) WHERE NOT hidden GROUP BY 1
 """)
 def a2_source_facets(spark, sf_dir):
-    """A2."""
-    return S.source_facets(postings(spark, sf_dir).where("not hidden"), AS_OF)
+    """A2: with the quality score of each posting's flags."""
+    scored = flagged(spark, sf_dir).withColumn("quality_score", Q.quality_score(F.col("quality_flags")))
+    return S.source_facets(scored.where("not hidden"), AS_OF)
 
 
 @query("""

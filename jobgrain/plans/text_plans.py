@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobgrain.functions import text as T
+from jobgrain.operators import extract as X
 from jobgrain.plans.registry import query
 from jobgrain.sources.views import postings, table
 
@@ -60,3 +61,24 @@ def t11_posting_date(spark, sf_dir):
     """T11 on ten-digit epochs (other forms: tests)."""
     padded = F.when(F.length("posting_date").between(1, 9), F.concat(F.lit("0"), F.col("posting_date"))).otherwise(F.col("posting_date"))
     return postings(spark, sf_dir).select("posting_no", T.posted_epoch(padded, 0).alias("epoch"))
+
+
+@query("""
+WITH n AS (SELECT company_id, company_name, canonical_url, position_name, first_seen_epoch, source_job_id, ats_key, count(*) OVER (PARTITION BY company_id) AS k FROM postings)
+SELECT company_id, true AS feed_ok, company_name, position_name, canonical_url, 'Pay & terms of ' || ats_key AS description_plain, source_job_id, ats_key AS department, CASE WHEN position_name <> '' THEN first_seen_epoch END AS posted_at_epoch FROM n WHERE company_id % 7 <> 0
+UNION ALL SELECT DISTINCT company_id, false, '', '', '', '', '', '', NULL FROM n WHERE company_id % 7 = 0
+""")
+def s2_rss_postings(spark, sf_dir):
+    """A feed for each company, cut off in the middle for some, as postings."""
+    rows = postings(spark, sf_dir)
+    date = F.date_format(F.timestamp_seconds("first_seen_epoch"), "dd MMM yyyy HH:mm:ss")
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    item = tag("item", F.concat(
+        tag("title", F.col("position_name")), tag("link", F.concat("canonical_url", F.lit("?utm_source=rss"))), tag("description", F.concat(F.lit("<![CDATA[<p>Pay &amp; terms of ]]>"), "ats_key", F.lit("<![CDATA[</p>]]>"))),
+        tag("pubDate", F.when(F.col("position_name") != "", F.concat(F.lit("Mon, "), date, F.lit(" GMT"))).otherwise("soon")), F.lit('<guid isPermaLink="false">'), F.col("source_job_id"), F.lit("</guid>"), tag("category", F.col("ats_key")),
+    ))
+    feeds = rows.groupBy("company_id").agg(F.first("company_name").alias("name"), F.array_join(F.collect_list(item), "").alias("items"))
+    body = tag("channel", F.concat(tag("title", F.col("name")), F.col("items")))
+    whole = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0">'), body, F.lit("</rss>"))
+    payload = F.when(F.col("company_id") % 7 == 0, F.substring(whole, F.lit(1), F.length(whole) - 30)).otherwise(whole)
+    return X.rss_postings(feeds.select("company_id", payload.alias("payload")))

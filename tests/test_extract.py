@@ -106,3 +106,24 @@ def test_misspelt_queries_find_what_a_scan_finds(spark):
                     found.append((*total, url))
         want += [(q, k + 1, url, typos, -less) for k, (typos, less, url) in enumerate(sorted(found)[:15])]
     assert got == sorted(want) and {r[0] for r in got} == {0, 1, 3, 4, 5}
+
+
+def test_parity_audit_finds_each_kind_of_fault(spark):
+    cases = spark.createDataFrame([(1, "Spain", "remote", "last_seen"), (2, "", "", "relevance")], "case_id int, wanted_country string, wanted_remote string, sort_by string")
+    row = lambda case, store, at, url, **more: {"case_id": case, "store": store, "position": at, "canonical_url": url, "position_name": "t", "company_name": "c", "country": "Spain", "location_text": "", "remote_type": "remote", "last_seen_epoch": 10 - at} | more
+    rows = [
+        row(1, "a", 1, "http://x/1"), row(1, "a", 2, "http://x/2"), row(1, "b", 1, "http://x/1", country="", location_text="Madrid, spain"), row(1, "b", 2, "ftp://x", country="Peru", last_seen_epoch=99), row(1, "b", 3, "http://x/3", remote_type="unknown"),
+        row(2, "a", 1, "http://x/9", position_name=" "), row(2, "b", 1, "http://x/9", company_name=None, country="Peru", last_seen_epoch=1),
+    ]
+    results = spark.createDataFrame(rows, "case_id int, store string, position int, canonical_url string, position_name string, company_name string, country string, location_text string, remote_type string, last_seen_epoch int")
+    got = sorted((r.case_id, r.store, r.kind, r.position) for r in P.parity_audit(cases, results).collect())
+    assert got == sorted([
+        (1, "b", "no_url", 2), (1, "b", "wrong_country", 2), (1, "b", "out_of_order", 2), (1, "b", "wrong_mode", 3), (2, "a", "no_title", 1), (2, "b", "no_company", 1), (1, "b", "differs", 2), (1, "b", "differs", 3),
+    ])
+
+
+def test_feeds(spark):
+    good = '<rss version="2.0"><channel><title>Acme</title><item><title>Clerk</title><link>https://a.b/1?utm_source=x</link><pubDate>Tue, 02 Jan 2024 03:04:05 +0100</pubDate></item><item/></channel></rss>'
+    rows = spark.createDataFrame([(1, good), (2, "<rss><channel><item>"), (3, None), (4, ""), (5, "<rss><channel><title>E</title></channel></rss>"), (6, "plain")], "id int, payload string")
+    got = sorted(((r.id, r.feed_ok, r.company_name, r.position_name, r.canonical_url, r.posted_at_epoch) for r in X.rss_postings(rows).collect()), key=str)
+    assert got == [(1, True, "Acme", "", "", None), (1, True, "Acme", "Clerk", "https://a.b/1", 1704161045), *[(i, i == 5, "E" if i == 5 else "", "", "", None) for i in (2, 3, 4, 5, 6)]]
