@@ -163,6 +163,17 @@ def duplicate_of(postings: DataFrame) -> DataFrame:
     return out.select("canonical_url", F.when(F.col("canonical_url") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("duplicate_of"))
 
 
+#: What diagnostics show of a posting and of its cached row.
+SHOWN = ("canonical_url", "company_name", "position_name", "location_text", "city", "country", "region", "remote_type", "ats_key", "source_job_id", "posting_date", "posted_at_epoch", "first_seen_epoch", "last_seen_epoch", "hidden", "parser_version", "confidence")
+CACHED_SHOWN = ("raw_payload_hash", "validation_status", "validation_error")
+
+
+def diagnostics(postings: DataFrame, cache: DataFrame, scored: DataFrame) -> DataFrame:
+    """Postings with their quality (scored: canonical_url, quality_score, quality_flags, rejection_reason) and what the cache knows of them; null where it knows nothing."""
+    c = cache.select("canonical_url", *CACHED_SHOWN, F.col("last_seen_epoch").alias("cache_seen_epoch"))
+    return postings.select(*SHOWN).join(scored, "canonical_url", "left").join(c, "canonical_url", "left")
+
+
 def recent_title_duplicates(batch: DataFrame, visible: DataFrame, days: int = 7) -> DataFrame:
     """Rows of the batch whose company and title were seen within some days under another URL."""
     key = lambda df, p: df.select(F.lower("company_name").alias("_c"), F.lower("position_name").alias("_t"), F.col("canonical_url").alias(f"{p}_url"), F.col("last_seen_epoch").alias(f"{p}_seen"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from jobgrain.operators import audit as A
 from jobgrain.operators import quality as Q
 from jobgrain.plans.registry import query
-from jobgrain.sources.views import AS_OF, posting_cache, postings
+from jobgrain.sources.views import AS_OF, EARLIER, posting_cache, postings
 
 _BLANKS = "('', 'unknown', 'n/a', 'na', 'none', 'null', 'undefined', 'not available', 'not applicable', 'not specified', 'unspecified')"
 _ODD = "('unknown', 'n/a', 'na', 'none', 'null', 'undefined', 'not available', 'not applicable', 'not specified', 'unspecified', 'remote', 'remote only', 'work from home', 'wfh', 'multiple', 'multiple locations', 'various', 'various locations', 'global', 'worldwide')"
@@ -58,6 +59,16 @@ def q3_rejection_reason(spark, sf_dir):
     return flagged(spark, sf_dir).select("canonical_url", Q.rejection_reason(F.col("quality_flags")).alias("reason"))
 
 
+@query(f"""{_FLAGGED}, q AS (SELECT canonical_url, array_to_string(quality_flags, ',') AS quality_flags, CAST(greatest(0, least(100, 100 - coalesce(list_sum(list_transform(quality_flags, lambda f: {_PENALTY})), 0))) AS INTEGER) AS quality_score FROM fl)
+SELECT {', '.join(f'p.{c}' for c in A.SHOWN)}, quality_score, quality_flags, {', '.join(f'k.{c}' for c in A.CACHED_SHOWN)}, k.last_seen_epoch AS cache_seen_epoch
+FROM postings p JOIN q USING (canonical_url) LEFT JOIN (SELECT * FROM posting_cache WHERE last_seen_epoch < {EARLIER}) k ON p.canonical_url = k.canonical_url
+""")
+def j16_diagnostics(spark, sf_dir):
+    """Postings with their quality and an earlier state of the cache."""
+    scored = flagged(spark, sf_dir).select("canonical_url", Q.quality_score(F.col("quality_flags")).alias("quality_score"), F.array_join("quality_flags", ",").alias("quality_flags"))
+    return A.diagnostics(postings(spark, sf_dir), posting_cache(spark, sf_dir).where(F.col("last_seen_epoch") < EARLIER), scored)
+
+
 @query(f"{_FLAGGED} SELECT ats_key, parser_version, flag, count(*) AS total FROM (SELECT ats_key, parser_version, unnest(quality_flags) AS flag FROM fl) u GROUP BY 1, 2, 3")
 def a7_flag_counts(spark, sf_dir):
     """A7."""

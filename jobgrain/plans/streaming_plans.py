@@ -169,3 +169,22 @@ def st1_ingest(spark, sf_dir):
         .union(tables.read("rejections").groupBy(F.lit("rejection"), "canonical_url", image("validation_status", "validation_error", "seen_epoch")).agg(F.count("*")))
         .union(tables.read("posting_cache").select(F.lit("cache"), "canonical_url", image("last_seen_epoch", "validation_status", "validation_error", "company_name"), one))
     )
+
+
+@query("""
+WITH e AS (SELECT event_id, event_type AS type, CAST(value AS VARCHAR) AS count_, json_extract_string(props, '$.k') AS k, user_id FROM events)
+SELECT event_id, CASE type WHEN 'click' THEN 'suggest' ELSE 'postings' END AS event_type, 'q' || k || ' ' || type AS query, CAST(least(2000000, greatest(0, floor(CAST(count_ AS DOUBLE)))) AS BIGINT) AS result_count, 'NATION_' || (user_id % 25) || ',NATION_1' AS country_filters,
+  sha256('s' || user_id) AS anonymous_session_key FROM e
+""")
+def s7_event_append(spark, sf_dir):
+    """A stream of landed events appended in their stored form."""
+    schema = table(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    k, blank = F.get_json_object("props", "$.k"), F.lit("")
+    raw = e.select(
+        "event_id", F.when(F.col("event_type") == "click", " Search-Suggest").otherwise(F.col("event_type")).alias("type"), F.concat(F.lit("  q"), k, F.lit("   "), F.col("event_type")).alias("query"), F.col("value").cast("string").alias("result_count"),
+        F.concat(F.lit(" NATION_"), (F.col("user_id") % 25).cast("string"), F.lit(",, NATION_1 ")).alias("countries"), blank.alias("country"), blank.alias("language"), F.upper(F.sha2(F.concat(F.lit("s"), F.col("user_id").cast("string")), 256)).alias("session"), blank.alias("referrer"), blank.alias("agent"),
+    )
+    tables = VersionedTables(spark, new_path(spark, "events"))
+    jobs.run_batches(raw, jobs.event_sink(tables), new_path(spark, "events-state"))
+    return tables.read("events").select("event_id", "event_type", "query", "result_count", "country_filters", "anonymous_session_key")

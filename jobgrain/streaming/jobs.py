@@ -15,6 +15,7 @@ from jobgrain.functions.text import canonical_url, posted_epoch, stored_remote_t
 from jobgrain.operators.drift import FACTS, KEY, OUTCOME, Baseline, shape_facts
 from jobgrain.operators.merge import apply_outbox, compact_outbox, outbox_of, upsert, upsert_cache
 from jobgrain.operators.quality import public_gate, validation_error
+from jobgrain.operators.usage import normalised_events
 from jobgrain.sources.storage import Version, VersionedTables, new_path
 
 
@@ -201,6 +202,25 @@ def ingest_sink(tables: VersionedTables) -> Callable[[DataFrame, int], None]:
     return land
 
 
+def event_sink(tables: VersionedTables) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: landed search events in their stored form into the table ``events``, each batch once however often it is run.
+
+    Events that repeat an id within the batch are stored once, the first by (type, query).
+    """
+    if not tables.batches():
+        tables.commit(Version(-1))
+
+    def append(batch: DataFrame, epoch: int) -> None:
+        if epoch in tables.batches():
+            return
+        version = tables.next(epoch)
+        one = batch.groupBy("event_id").agg(F.min_by(F.struct(*batch.columns), F.struct("type", "query")).alias("e")).select("e.*")
+        tables.append(normalised_events(one), "events", version)
+        tables.commit(version)
+
+    return append
+
+
 def rejections_of(rows: DataFrame) -> DataFrame:
     return rows.where("not accepted").select("canonical_url", "ats_key", "validation_status", "validation_error", "seen_epoch")
 

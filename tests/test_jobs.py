@@ -245,3 +245,14 @@ def test_tenants_are_skipped_where_the_sum_would_break_a_guard(spark):
     got = [tuple(r) for r in O.safe_tenants(projected).orderBy("before").select("tenant", "before").collect()]
     assert got == [("clean", 0), *((f"t{i:04d}", 10 + 10 * i) for i in range(6)), ("tiny", 70)]
     assert [tuple(r) for r in O.safe_batches(projected, (20, 10000)).orderBy("stage").collect()] == [("a", 20, 2, 20, 10, 0, True), ("a", 10000, 8, 79, 60, 0, False)]
+
+
+def test_events_are_appended_once(spark):
+    tables = VersionedTables(spark, folder())
+    columns = ["event_id", "type", "query", "result_count", "countries", "country", "language", "session", "referrer", "agent"]
+    row = lambda i, q: (i, "postings", q, "3", "", "", "", "", "", "")
+    first, second = (spark.createDataFrame([row(*r) for r in rows], columns) for rows in ([(1, "a"), (1, "b"), (2, "c")], [(3, "d")]))
+    sink = jobs.event_sink(tables)
+    for batch, epoch in ((first, 0), (first, 0), (second, 1), (second, 1)):
+        sink(batch, epoch)
+    assert sorted((r.event_id, r.query) for r in tables.read("events").collect()) == [(1, "a"), (2, "c"), (3, "d")]
