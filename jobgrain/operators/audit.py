@@ -89,12 +89,22 @@ def backlog(state: DataFrame, as_of: int, paused: tuple[str, ...] = ()) -> DataF
     )
 
 
-def due_targets(state: DataFrame, as_of: int, per_source: int, limit: int) -> DataFrame:
-    """The targets to run next: ranked within their source (failing last, earliest due first), capped per source, then overall."""
+def due_targets(state: DataFrame, as_of: int, per_source: int, limit: int, caps: DataFrame | None = None, used: DataFrame | None = None, daily_budget: int | None = None) -> DataFrame:
+    """The targets to run next: ranked within their source (failing last, earliest due first), capped per source, then overall.
+
+    A source's cap is ``per_source``, or less: the cap of its lane (caps: ats_key, cap), and what its daily budget leaves (used: ats_key, used).
+    """
     due = state.where(F.col("next_sync_epoch") <= as_of)
     own = W.partitionBy("ats_key").orderBy(F.col("consecutive_failures") > 0, "next_sync_epoch", "company_name", "company_url")
-    ranked = due.withColumn("source_rank", F.row_number().over(own)).where(F.col("source_rank") <= per_source)
-    return ranked.orderBy("source_rank", "next_sync_epoch", "ats_key", "company_url").limit(limit)
+    ranked, most = due.withColumn("source_rank", F.row_number().over(own)).where(F.col("source_rank") <= per_source), [F.lit(per_source)]
+    if caps is not None:
+        ranked = ranked.join(caps.select("ats_key", F.col("cap").alias("_cap")), "ats_key", "left")
+        most.append(F.coalesce("_cap", F.lit(per_source)))
+    if used is not None and daily_budget is not None:
+        ranked = ranked.join(used.select("ats_key", F.col("used").alias("_used")), "ats_key", "left")
+        most.append(F.greatest(F.lit(0), daily_budget - F.coalesce("_used", F.lit(0))))
+    kept = ranked.where(F.col("source_rank") <= (F.least(*most) if len(most) > 1 else most[0]))
+    return kept.orderBy("source_rank", "next_sync_epoch", "ats_key", "company_url").limit(limit).select(*state.columns, "source_rank")
 
 
 def days_to_clear(due: DataFrame, budgets: list[int]) -> DataFrame:

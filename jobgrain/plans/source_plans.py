@@ -73,7 +73,7 @@ def q9_protection_events(spark, sf_dir):
     return O.apply_protection(sources(spark, sf_dir), _source_actions(spark, sf_dir))[1]
 
 
-@query(f"""
+_LANES = f"""
 WITH s AS (SELECT ats_key, count(*) FILTER (next_sync_epoch <= {EVENTS_AS_OF}) AS due, count(last_success_epoch) AS su, count(*) FILTER (consecutive_failures > 1) AS fa FROM sync_state GROUP BY 1),
 e AS (SELECT ats_key, count(*) FILTER (error_type = 'parser_schema' AND error_message LIKE '%8') AS pb, count(*) FILTER (error_type = 'network' AND error_message LIKE '%0') AS net, count(*) FILTER (http_status = 429 AND error_message LIKE '%2') AS rl, count(*) FILTER (http_status = 403 AND error_message LIKE '%2') AS au, count(*) FILTER (error_type = 'validation') AS sq FROM run_errors GROUP BY 1),
 j AS (SELECT ats_key, CASE WHEN NOT enabled THEN 'disabled' WHEN protection_status = 'canary_only' THEN 'canary' WHEN protection_status = 'quarantine_only' THEN 'quarantine_only' ELSE 'normal' END AS mode, due, su, fa, round(su * 100 / nullif(su + fa, 0), 2) AS rate, coalesce(pb, 0) AS pb, coalesce(net, 0) AS net, coalesce(rl, 0) AS rl, coalesce(au, 0) AS au, coalesce(sq, 0) AS sq FROM sources JOIN s USING (ats_key) LEFT JOIN e USING (ats_key)),
@@ -82,7 +82,10 @@ SELECT ats_key, lane, greatest(0, least(40, CASE WHEN due > 0 THEN due ELSE 40 E
   concat_ws(',', CASE lane WHEN 'disabled' THEN 'source_policy_disabled' WHEN 'parser_attention' THEN 'parser_attention' END, CASE WHEN lane = 'stability' AND net + rl + au >= 3 AND net > 0 THEN 'network' END, CASE WHEN lane = 'stability' AND net + rl + au >= 3 AND rl > 0 THEN 'rate_limit' END,
     CASE WHEN lane = 'stability' AND net + rl + au >= 3 AND au > 0 THEN 'auth' END, CASE WHEN lane = 'stability' AND net + rl + au < 3 THEN 'low_success_rate' END, CASE WHEN lane = 'source_quality' THEN 'source_quality' END,
     CASE WHEN lane = 'canary' THEN CASE WHEN mode = 'canary' THEN 'canary_only' ELSE 'quarantine_only' END END, CASE WHEN due > 0 THEN 'due_backlog' END, CASE WHEN lane = 'healthy' AND rate >= 80 THEN 'healthy_success_rate' END) AS reasons FROM l
-""")
+"""
+
+
+@query(_LANES)
 def q10_lanes(spark, sf_dir):
     """Lane and cap of each source from its recent figures."""
     s = sync_state(spark, sf_dir).groupBy("ats_key").agg(F.count_if(F.col("next_sync_epoch") <= EVENTS_AS_OF).alias("due"), F.count("last_success_epoch").alias("successes"), F.count_if(F.col("consecutive_failures") > 1).alias("failures"))
@@ -96,6 +99,18 @@ def q10_lanes(spark, sf_dir):
     return O.lanes(rows, 40).withColumn("reasons", F.array_join("reasons", ","))
 
 
+@query(f"""
+WITH lane AS ({_LANES}), u AS (SELECT ats_key, count(*) AS used FROM run_errors WHERE created_epoch >= {EVENTS_AS_OF} - 2 * 86400 GROUP BY 1),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY ats_key ORDER BY consecutive_failures > 0, next_sync_epoch, company_name, company_url) AS INTEGER) AS source_rank FROM sync_state WHERE next_sync_epoch <= {EVENTS_AS_OF})
+SELECT ats_key, company_url, source_rank FROM r LEFT JOIN lane USING (ats_key) LEFT JOIN u USING (ats_key) WHERE source_rank <= least(10, coalesce(cap, 10), greatest(0, 20 - coalesce(used, 0))) ORDER BY source_rank, next_sync_epoch, ats_key, company_url LIMIT 60
+""")
+def w3_capped_targets(spark, sf_dir):
+    """Due targets under the caps of their sources' lanes and what is left of daily budgets."""
+    used = errors(spark, sf_dir).where(F.col("created_epoch") >= EVENTS_AS_OF - 2 * 86_400).groupBy("ats_key").agg(F.count("*").alias("used"))
+    return A.due_targets(sync_state(spark, sf_dir), EVENTS_AS_OF, 10, 60, q10_lanes(spark, sf_dir), used, 20).select("ats_key", "company_url", "source_rank")
+
+
+
 def _shapes(spark, sf_dir):
     """Baselines and events with shapes of four kinds, by posting."""
     k = F.col("posting_no")
