@@ -117,10 +117,10 @@ def place_filter(rows: DataFrame, states: tuple[str, ...] = (), counties: tuple[
     return rows.where(reduce(lambda a, b: a & b, parts)) if parts else rows
 
 
-def token_matches(token: str) -> Column:
-    """A search word against rows of ``place_options``: in company, title, location, source or work mode, or the name of the row's country."""
+def token_matches(token: str, fields: tuple[str, ...] = ("company_name", "position_name", "location_text", "ats_key")) -> Column:
+    """A search word against rows of ``place_options``: in company, title, location, source (or the ``fields`` given) or work mode, or the name of the row's country."""
     word = plain(token)
-    texts = [search_text(F.col(c)) for c in ("company_name", "position_name", "location_text", "ats_key")]
+    texts = [search_text(F.col(c)) for c in fields]
     hit = any_of(*[F.contains(t, F.lit(word)) for t in texts], F.contains(search_text(work_mode(F.col("location_text"))), F.lit(word)))
     code = next((c[0] for c in COUNTRIES if word in {plain(n) for n in (c[1], *filter(None, c[4].split(",")))}), None)
     return hit | (F.col("country_value") == code) if code else hit
