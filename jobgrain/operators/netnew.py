@@ -74,12 +74,15 @@ def first_come(keys: DataFrame) -> DataFrame:
     while not rest.isEmpty():
         own = F.struct("arrival", "candidate_id")
         first = rest.groupBy("kind", "key").agg(F.min(own).alias("first"))
-        leads = rest.join(first, ["kind", "key"]).groupBy("candidate_id").agg(F.bool_and(F.col("first") == own).alias("leads")).where("leads").select("candidate_id")
-        leads = _written(leads, "entered")
+        held = rest.join(first, ["kind", "key"])
+        firsts = held.groupBy("candidate_id").agg(F.bool_and(F.col("first") == own).alias("leads"), F.collect_set(F.when(F.col("first") != own, F.col("first.candidate_id"))).alias("after"))
+        firsts = _written(firsts, "firsts")
+        leads = firsts.where("leads").select("candidate_id")
         entered.append(leads)
-        taken = rest.join(leads, "candidate_id", "left_semi").select("kind", "key").distinct()
-        settled = rest.join(taken, ["kind", "key"], "left_semi").select("candidate_id").distinct()
-        rest = _written(rest.join(settled, "candidate_id", "left_anti"), "keys")
+        # a lead comes first for all its keys, so those share a key with it that stand after it
+        behind = firsts.where("not leads").select("candidate_id", F.explode("after").alias("first_id"))
+        behind = behind.join(leads.withColumnRenamed("candidate_id", "first_id"), "first_id", "left_semi").select("candidate_id").distinct()
+        rest = _written(rest.join(leads.union(behind), "candidate_id", "left_anti"), "keys")
     return reduce(DataFrame.union, entered) if entered else keys.select("candidate_id").where("false")
 
 
@@ -90,6 +93,7 @@ def classify_candidates(candidates: DataFrame, existing: DataFrame) -> DataFrame
     batch_source_id, batch_url: a net-new candidate before it has the same source id or one of its URLs; reactivation: only hidden postings match; update: it fills
     a field that a shown match lacks; same_source_id, same_url (canonical or apply URL), same_normalized_url: shown already; net_new.
     """
+    candidates = _written(candidates, "candidates")  # read four times
     kinds = {"id": [_source_id()], "url": [*_urls(), *(canonical_url(u) for u in _urls())]}
     keys = _written(_keys(candidates, ["candidate_id", "arrival"], kinds), "candidate-keys")
     known = _written(known_matches(candidates, existing), "known")

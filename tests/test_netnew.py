@@ -80,3 +80,20 @@ def test_chains_of_shared_keys_are_followed(spark):
 def test_query_has_all_classes(spark, small):
     got = N.classify_candidates(netnew_plans.candidates(spark, small), netnew_plans.existing(spark, small))
     assert {r["class"] for r in got.select("class").distinct().collect()} == set(N.CLASSES)
+
+
+def test_candidates_are_made_once(spark):
+    """What makes the candidates runs once, not again for their keys, their matches and the result."""
+    made = spark.sparkContext.accumulator(0)
+
+    def one(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    row = {"ats_key": "s", "canonical_url": "https://a.b/1", "apply_url": "", "source_job_id": "", "country": "", "region": "", "city": "", "location_text": "", "remote_type": "remote"}
+    left = spark.createDataFrame([row | {"candidate_id": str(i), "arrival": i} for i in range(8)], f"{SCHEMA}, candidate_id string, arrival long")
+    right = spark.createDataFrame([], f"{SCHEMA}, hidden boolean")
+    got = {r.candidate_id: r["class"] for r in N.classify_candidates(left.mapInArrow(one, left.schema), right).collect()}
+    assert got == {"0": "net_new"} | {str(i): "batch_url" for i in range(1, 8)}
+    assert made.value == 8
