@@ -188,10 +188,11 @@ FIELD_PATHS = {
 
 def payload_fields(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """One flat record per JSON payload: each field from the first of its paths that holds a value; malformed payloads give empty fields."""
-    v = F.try_parse_json(F.col(column))
-    at = lambda path: F.nullif(F.trim(F.try_variant_get(v, f"$.{path}", "string")), F.lit(""))
-    scalar = lambda x: F.when(~x.rlike(r"^[\[{]"), x)
-    return payloads.select(*[c for c in payloads.columns if c != column], *[F.coalesce(*[scalar(at(p)) for p in paths], F.lit("")).alias(f) for f, paths in FIELD_PATHS.items()])
+    others = [c for c in payloads.columns if c != column]
+    read = payloads.select(*others, F.try_parse_json(F.col(column)).alias("_parsed_payload"))  # a column of its own, so each payload is parsed once
+    at = lambda path: F.try_variant_get("_parsed_payload", f"$.{path}", "string")
+    said = lambda paths: F.filter(F.transform(F.array(*map(at, paths)), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^[\[{]"))
+    return read.select(*others, *[F.coalesce(F.get(said(paths), F.lit(0)), F.lit("")).alias(f) for f, paths in FIELD_PATHS.items()])
 
 
 def _flat(value, depth: int = 0) -> list[str]:

@@ -127,3 +127,15 @@ def test_feeds(spark):
     rows = spark.createDataFrame([(1, good), (2, "<rss><channel><item>"), (3, None), (4, ""), (5, "<rss><channel><title>E</title></channel></rss>"), (6, "plain")], "id int, payload string")
     got = sorted(((r.id, r.feed_ok, r.company_name, r.position_name, r.canonical_url, r.posted_at_epoch) for r in X.rss_postings(rows).collect()), key=str)
     assert got == [(1, True, "Acme", "", "", None), (1, True, "Acme", "Clerk", "https://a.b/1", 1704161045), *[(i, i == 5, "E" if i == 5 else "", "", "", None) for i in (2, 3, 4, 5, 6)]]
+
+
+def test_payloads_are_parsed_once(spark):
+    """Fields by their paths, from one parse of each payload."""
+    from jobgrain.operators import backfill
+
+    odd = ['{"title": "  ", "name": " A ", "company": {"name": ["x"]}, "id": 7}', '{"company": "C", "location": {"city": "B"}}', "{broken", None]
+    frame = backfill.payload_fields(spark.createDataFrame(list(enumerate(odd)), "n long, payload string"))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+    got = {r.n: (r.position_name, r.company_name, r.location_text, r.city, r.source_job_id) for r in frame.collect()}
+    assert got == {0: ("A", "", "", "", "7"), 1: ("", "C", "", "B", ""), 2: ("",) * 5, 3: ("",) * 5}
