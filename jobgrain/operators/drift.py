@@ -7,6 +7,7 @@ streaming job alike.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -59,15 +60,35 @@ def shape_facts(observed: DataFrame, ignored: tuple[str, ...] = (), job_lists: t
     }).drop("_items", "_empty")
 
 
+#: Facts whose outcome a baseline remembers at most; others are judged each time.
+MOST_SAID = 10_000
+
+
+def facts_text() -> Column:
+    """The facts of a shape as JSON: one short text in the place of arrays of paths."""
+    return F.to_json(F.struct(*FACTS)).alias("facts")
+
+
 @dataclass
 class Baseline:
     """The shape that a parser's payloads are held against."""
 
     core: list[str] | None = None
     bare: list[str] = field(default_factory=list)
+    #: Outcomes of facts that this baseline has met.
+    said: dict[str, tuple[str, float | None]] = field(default_factory=dict)
 
     def take(self, core: list[str], bare: list[str]) -> None:
-        self.core, self.bare = core, bare
+        self.core, self.bare, self.said = core, bare, {}
+
+    def meet_text(self, facts: str) -> tuple[str, float | None]:
+        """``meet`` for facts as JSON, which are the same for most observations of a parser."""
+        if (out := self.said.get(facts)) is None:
+            read = json.loads(facts)
+            out = self.meet(*(read[c] for c in FACTS))
+            if out[0] not in ("bootstrapped", "baseline_replaced") and len(self.said) < MOST_SAID:
+                self.said[facts] = out
+        return out
 
     def meet(self, core: list[str], bare: list[str], filled: list[str], no_jobs: bool, no_shape: bool) -> tuple[str, float | None]:
         """The outcome of the next observation, and its similarity where that was asked for; the baseline may move."""
@@ -90,7 +111,8 @@ class Baseline:
 
 
 KEY = ("ats_key", "parser_version")
-OUTCOME = "ats_key string, parser_version string, observed_epoch long, ident long, outcome string, similarity double"
+IDENTITY, JUDGED = "ats_key string, parser_version string, observed_epoch long, ident long", "outcome string, similarity double"
+OUTCOME = f"{IDENTITY}, {JUDGED}"
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,29 +120,33 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, base = None, Baseline()
     for b in batches:
         outcome, similarity = [], []
-        for *k, core, bare, filled, no_jobs, no_shape in zip(*(b.column(c).to_pylist() for c in (*KEY, *FACTS)), strict=True):
+        facts = b.column("facts").dictionary_encode()
+        texts = facts.dictionary.to_pylist()
+        for *k, n in zip(*(b.column(c).to_pylist() for c in KEY), facts.indices.to_pylist(), strict=True):
             if k != key:
                 key, base = k, Baseline()
-            o, s = base.meet(core, bare, filled, no_jobs, no_shape)
+            o, s = base.meet_text(texts[n])
             outcome.append(o)
             similarity.append(s)
-        names = (*KEY, "observed_epoch", "ident")
+        names = [c for c in b.schema.names if c != "facts"]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(outcome, pa.string()), pa.array(similarity, pa.float64())], [*names, "outcome", "similarity"])
 
 
-def drift_outcomes(observed: DataFrame, **rules) -> DataFrame:
+def drift_outcomes(observed: DataFrame, keep: tuple[str, ...] = (), **rules) -> DataFrame:
     """What each observation (ats_key, parser_version, observed_epoch, ident, shape_paths, perhaps payload) means, in the order of time and ident.
 
     bootstrapped: the first shape is the baseline; baseline_replaced: an array that the baseline knows only as empty has items now; same_core;
     similar (Jaccard of core paths 0.55 or more); drift; empty_no_jobs and skipped say nothing about the parser. A parser's observations are read in sorted order by
-    one task, which keeps its baseline only.
+    one task, which keeps its baseline only. Columns to ``keep`` go along.
     """
-    rows = shape_facts(observed, **rules).select(*KEY, F.col("observed_epoch").cast("long"), F.col("ident").cast("long"), *FACTS)
-    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "observed_epoch", "ident").mapInArrow(_fold, OUTCOME)
+    rows = shape_facts(observed, **rules).select(*KEY, F.col("observed_epoch").cast("long"), F.col("ident").cast("long"), *keep, facts_text())
+    kept = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    out = rows.repartition(*KEY).sortWithinPartitions(*KEY, "observed_epoch", "ident").mapInArrow(_fold, f"{IDENTITY}{kept}, {JUDGED}")
+    return out.select(*KEY, "observed_epoch", "ident", "outcome", "similarity", *keep)
 
 
 def newest_drift(observed: DataFrame, limit: int = 100) -> DataFrame:
     """The newest drift events: (ats_key, parser_version, ident, observed_epoch, similarity, shape_hash)."""
-    newest = drift_outcomes(observed).where("outcome = 'drift'").orderBy(F.desc("observed_epoch"), F.desc("ident")).limit(limit).drop("outcome")
-    shapes = observed.select(*KEY, "ident", shape_hash(F.col("shape_paths")).alias("shape_hash"))
-    return newest.join(shapes, [*KEY, "ident"])
+    hashed = observed.withColumn("shape_hash", shape_hash(F.col("shape_paths")))
+    newest = drift_outcomes(hashed, ("shape_hash",)).where("outcome = 'drift'").orderBy(F.desc("observed_epoch"), F.desc("ident")).limit(limit)
+    return newest.select(*KEY, "ident", "observed_epoch", "similarity", "shape_hash")

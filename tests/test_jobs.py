@@ -11,6 +11,7 @@ from jobgrain.operators import drift as D
 from jobgrain.operators import merge as M
 from jobgrain.operators import search as S
 from jobgrain.operators import sources as O
+from jobgrain.operators.extract import shape_paths
 from jobgrain.plans import merge_plans, streaming_plans
 from jobgrain.sources.storage import Version, VersionedTables
 from jobgrain.sources.views import incoming, posting_cache
@@ -256,3 +257,20 @@ def test_events_are_appended_once(spark):
     for batch, epoch in ((first, 0), (first, 0), (second, 1), (second, 1)):
         sink(batch, epoch)
     assert sorted((r.event_id, r.query) for r in tables.read("events").collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_waiting_observations_share_their_facts(spark, tmp_path):
+    """The state grows by a few bytes an observation, not by the paths of its shape."""
+    wide = [f"field_{i}.of_a_wide_payload:string" for i in range(100)]
+    rows = spark.range(4000).select(F.lit("a").alias("ats_key"), F.lit("v1").alias("parser_version"), "id", F.lit("{}").alias("payload"), F.array(*map(F.lit, wide)).alias("shape_paths"))
+    rows.select("*", F.timestamp_seconds(F.col("id") + 10**9).alias("observed_at"), F.col("id").alias("ident")).drop("id").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    run = jobs.shape_drift(stream, late="8 hours").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert max(s["memoryUsedBytes"] for p in run.recentProgress for s in p["stateOperators"]) < 2_000_000
+
+
+def test_newest_drift_reads_each_payload_once(spark):
+    frame = spark.createDataFrame([("a", "v1", 1, 1, "{}"), ("a", "v1", 2, 2, '{"x": 1}')], "ats_key string, parser_version string, observed_epoch long, ident long, payload string")
+    newest = D.newest_drift(frame.withColumn("shape_paths", shape_paths(F.col("payload"))))
+    assert newest._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
