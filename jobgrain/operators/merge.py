@@ -16,11 +16,12 @@ OVERWRITTEN = ("company_name", "position_name", "apply_url", "confidence", "pars
 KEPT = ("country", "region", "city", "industry", "department", "employment_type", "location_text", "posting_date", "posted_at_epoch", "source_job_id", "description_plain", "description_html", "ats_key")
 
 
-def fold_batch(batch: DataFrame) -> DataFrame:
+def fold_batch(batch: DataFrame, gathered: bool = False) -> DataFrame:
     """One row per URL, as if its rows had been applied one by one in the order of ``arrival``.
 
     ``accepted`` (all, if the batch has no such column) tells which rows passed the gate: only those give values, and the last row
-    decides whether the posting is shown.
+    decides whether the posting is shown. The rows of a URL are brought together before they are folded, unless they are ``gathered`` by URL already: a row is
+    smaller than its sums, each of which would take its own copy of the arrival along.
     """
     rows = batch if "accepted" in batch.columns else batch.withColumn("accepted", F.lit(True))
     ok = F.coalesce("accepted", F.lit(False))
@@ -30,19 +31,21 @@ def fold_batch(batch: DataFrame) -> DataFrame:
     filled = [at(F.col(c), ok & ~is_blank(F.col(c))).alias(c) for c in kept]
     remote = F.coalesce(at(F.col("remote_type"), ok & (trimmed(F.col("remote_type")) != "unknown")), F.lit("unknown")).alias("remote_type")
     seen = lambda f: f(F.when(ok, F.col("seen_epoch")))
+    used = [c for c in ("canonical_url", *OVERWRITTEN, *KEPT, "remote_type", "seen_epoch", "arrival", "accepted") if c in rows.columns]
+    rows = rows if gathered else rows.select(*used).repartition("canonical_url")
     return rows.groupBy("canonical_url").agg(
         *last, *filled, remote, seen(F.min).alias("first_seen_epoch"), seen(F.max).alias("last_seen_epoch"), F.count("*").alias("rows_in_batch"), F.count_if(ok).alias("accepted_rows"), F.max_by(ok, "arrival").alias("shown")
     )
 
 
-def upsert(current: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert(current: DataFrame, batch: DataFrame, gathered: bool = False) -> DataFrame:
     """The next snapshot: all columns of the snapshot, and change in new / updated / unhidden / hidden / untouched.
 
     Title, company and confidence are overwritten; places, dates, texts and ids keep the old value under a blank new one; the remote
     type keeps it under unknown; the earliest first and the latest last sighting stay; a seen posting is shown again. A posting whose last
     row failed the gate is hidden, and one that never passed it does not enter. Columns that only the snapshot has stay as they are.
     """
-    n = fold_batch(batch)
+    n = fold_batch(batch, gathered)
     own = [c for c in (*OVERWRITTEN, *KEPT) if c in n.columns]
     n = n.select("canonical_url", *[F.col(c).alias(f"n_{c}") for c in (*own, "remote_type", "first_seen_epoch", "last_seen_epoch")], (F.col("accepted_rows") > 0).alias("passed"), "shown", F.lit(True).alias("seen"))
     both = current.withColumn("known", F.lit(True)).join(n, "canonical_url", "full_outer")

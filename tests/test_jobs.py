@@ -274,3 +274,9 @@ def test_newest_drift_reads_each_payload_once(spark):
     frame = spark.createDataFrame([("a", "v1", 1, 1, "{}"), ("a", "v1", 2, 2, '{"x": 1}')], "ats_key string, parser_version string, observed_epoch long, ident long, payload string")
     newest = D.newest_drift(frame.withColumn("shape_paths", shape_paths(F.col("payload"))))
     assert newest._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_rows_of_a_url_meet_before_they_are_folded(spark, small):
+    """What is shuffled are rows, not their sums with a copy of the arrival each."""
+    plan = M.fold_batch(incoming(spark, small))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_max_by") < plan.index("Exchange hashpartitioning(canonical_url")
