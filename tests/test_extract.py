@@ -108,6 +108,22 @@ def test_misspelt_queries_find_what_a_scan_finds(spark):
     assert got == sorted(want) and {r[0] for r in got} == {0, 1, 3, 4, 5}
 
 
+def test_search_moves_hits_once(spark):
+    """The index needs no shuffle, the hits of a search move to their URL alone; the rows of a URL count together."""
+    from jobgrain.operators import term_index
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    posts = [("u1", "nurse", "levers", "", False), ("u1", "", "", "Berlin", False), ("u2", "nurse", "taleo", "", False), ("u2", "berlin", "", "", True)]
+    frame = spark.createDataFrame(posts, "canonical_url string, position_name string, ats_key string, city string, hidden boolean")
+    frame = frame.withColumn("description_plain", F.when(F.col("city") != "", "levers").otherwise(""))
+    index = term_index.build_index(frame)
+    assert "Exchange" not in plan(index)
+    found = term_index.typo_search(spark.createDataFrame([(0, "nurse berlin"), (1, "lever"), (2, "taleos"), (3, "nurse")], "query_id int, text string"), index)
+    moves = [line.split("Exchange ")[1] for line in plan(found).splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("word" in m for m in moves) == 0 and sum(m.startswith("hashpartitioning(canonical_url") for m in moves) == 1
+    assert sorted(map(tuple, found.collect())) == [(0, 1, "u1", 0, 60), (1, 1, "u1", 1, 10), (3, 1, "u1", 0, 40), (3, 2, "u2", 0, 40)]
+
+
 def test_parity_audit_finds_each_kind_of_fault(spark):
     cases = spark.createDataFrame([(1, "Spain", "remote", "last_seen"), (2, "", "", "relevance")], "case_id int, wanted_country string, wanted_remote string, sort_by string")
     row = lambda case, store, at, url, **more: {"case_id": case, "store": store, "position": at, "canonical_url": url, "position_name": "t", "company_name": "c", "country": "Spain", "location_text": "", "remote_type": "remote", "last_seen_epoch": 10 - at} | more
