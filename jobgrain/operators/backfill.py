@@ -101,10 +101,21 @@ def place_plan(postings: DataFrame) -> DataFrame:
 
 
 def plan_summary(changes: DataFrame) -> DataFrame:
-    """Changes by field, by source and by rule in one pass: (level, value, changes, rows)."""
-    sets = changes.groupingSets([["field"], ["ats_key"], ["rule"]], "field", "ats_key", "rule").agg(F.grouping("field").alias("gf"), F.grouping("ats_key").alias("ga"), F.count("*").alias("changes"), F.countDistinct("canonical_url").alias("rows"))
-    level = F.when(F.col("gf") == 0, "field").when(F.col("ga") == 0, "source").otherwise("rule")
-    return sets.select(level.alias("level"), F.coalesce("field", "ats_key", "rule").alias("value"), "changes", "rows")
+    """Changes by field, by source and by rule: (level, value, changes, rows).
+
+    The changes of a URL are brought together once, without sums before, and leave as its counts; the first change of a value counts the row. So no task keeps the URLs of each level apart.
+    """
+    columns = {"field": "field", "source": "ats_key", "rule": "rule"}
+    each = changes.select("canonical_url", *columns.values()).repartition("canonical_url").groupBy("canonical_url", *columns.values()).agg(F.count("*").alias("n"))
+    of_row = each.groupBy("canonical_url").agg(F.collect_list(F.struct(*columns.values(), "n")).alias("c"))
+
+    def counts(level: str, column: str) -> Column:
+        first = lambda x, i: ~F.exists(F.slice("c", F.lit(1), i), lambda y: y[column].eqNullSafe(x[column]))
+        return F.transform("c", lambda x, i: F.struct(F.lit(level).alias("level"), x[column].alias("value"), x["n"].alias("n"), first(x, i).alias("first")))
+
+    levels = of_row.select("canonical_url", F.explode(F.concat(*[counts(level, column) for level, column in columns.items()])).alias("x"))
+    named = F.col("x.first") & F.col("canonical_url").isNotNull()
+    return levels.groupBy("x.level", "x.value").agg(F.sum("x.n").alias("changes"), F.count_if(named).alias("rows"))
 
 
 def detail_plan(postings: DataFrame, details: DataFrame, fields: tuple[str, ...] = ("location_text", "country", "region", "city", "posting_date", "department", "description_plain")) -> DataFrame:

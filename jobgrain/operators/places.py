@@ -1,6 +1,6 @@
 """Where a posting is: country, region and city from a location text, and filters by place.
 
-Location texts repeat, so each distinct text is resolved once, by joins with the gazetteer, and joined back.
+Location texts repeat, so each distinct text is resolved once, by joins with the gazetteer, and written; joined back by its size, it leaves the postings where they are.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from jobgrain.functions.geo import COUNTRIES, NO_COUNTRY, REGION_HINTS, US_STATES, city_of, countries, gazetteer, has_state, plain, state_country, word_runs
 from jobgrain.functions.text import any_of, is_blank, remote_type, search_text, stored_remote_type, trimmed, work_mode
 from jobgrain.operators.quality import location_is_narrative
+from jobgrain.sources.storage import written
 
 
 def _words(c: Column) -> Column:
@@ -59,7 +60,7 @@ def infer_places(postings: DataFrame) -> DataFrame:
         "location_text", F.coalesce("country_name", F.lit("")).alias("inferred_country"), F.coalesce("business_region", F.lit("")).alias("inferred_region"),
         city_of(F.col("location_text"), F.col("country_name")).alias("inferred_city"),
     )
-    return postings.join(resolved, "location_text", "left").fillna("", ["inferred_country", "inferred_region", "inferred_city"])
+    return postings.join(written(resolved, "places"), "location_text", "left").fillna("", ["inferred_country", "inferred_region", "inferred_city"])
 
 
 def place_options(postings: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def place_options(postings: DataFrame) -> DataFrame:
         "location_text", F.coalesce("code", F.concat(F.lit("RAW:"), F.col("raw")), F.lit("")).alias("country_value"),
         F.coalesce("country", F.initcap("raw"), F.lit("")).alias("country_label"), F.coalesce(hinted, F.col("sales_region"), F.lit("")).alias("sales_region"),
     )
-    return postings.join(resolved, "location_text", "left").fillna("", ["country_value", "country_label", "sales_region"])
+    return postings.join(written(resolved, "places"), "location_text", "left").fillna("", ["country_value", "country_label", "sales_region"])
 
 
 def place_filter(rows: DataFrame, states: tuple[str, ...] = (), counties: tuple[str, ...] = (), country_values: tuple[str, ...] = (), regions: tuple[str, ...] = ()) -> DataFrame:

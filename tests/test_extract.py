@@ -155,3 +155,23 @@ def test_payloads_are_parsed_once(spark):
     assert plan.count("parseJson") == 1
     got = {r.n: (r.position_name, r.company_name, r.location_text, r.city, r.source_job_id) for r in frame.collect()}
     assert got == {0: ("A", "", "", "", "7"), 1: ("", "C", "", "B", ""), 2: ("",) * 5, 3: ("",) * 5}
+
+
+def test_plan_summary_keeps_urls_once(spark):
+    """Changes of a URL count once per value, repeats and all; the URLs are not kept apart for each level."""
+    from jobgrain.operators import backfill
+
+    rows = [("u1", "s", "city", "a"), ("u1", "s", "city", "a"), ("u1", None, "region", "a"), ("u2", "s", "city", "b"), (None, "s", "city", "b")]
+    got = backfill.plan_summary(spark.createDataFrame(rows, "canonical_url string, ats_key string, field string, rule string"))
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {("field", "city", 4, 2), ("field", "region", 1, 1), ("source", "s", 4, 2), ("source", None, 1, 1), ("rule", "a", 3, 1), ("rule", "b", 2, 1)}
+    assert {(r.level, r.value, r.changes, r["rows"]) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_postings_stay_where_they_are_for_their_places(spark):
+    """Frequent location texts bring no rows together."""
+    from jobgrain.operators import places
+
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("canonical_url"), F.when(F.col("id") % 4 == 0, "Berlin, Germany").otherwise("Remote").alias("location_text"))
+    for found in (places.infer_places(rows), places.place_options(rows)):
+        assert "Exchange hashpartitioning(location_text" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1000
