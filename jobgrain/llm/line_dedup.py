@@ -34,6 +34,10 @@ HASH_BITS = 44
 PLACES = 32
 #: Shingle counts: signatures by many hashes below the second, by one permutation from the first on, both within.
 LONG_FROM, SHORT_UNDER, SHORT_PARTNER = 89, 112, 140
+#: Pairs of a block that are compared one by one.
+FEW = 24
+#: Of the polynomial that hashes a shingle.
+BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Lines of one block.
 BLOCK = 512
 #: Lines of one portion, within which repeats of a line are stored and banded once.
@@ -61,17 +65,25 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         texts = [t if len(t) >= SHINGLE else t + "\uffff" * (SHINGLE - len(t)) for t in texts]
         n = np.maximum(n, SHINGLE)
     flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    with np.errstate(over="ignore"):
-        h = np.zeros(len(flat) - SHINGLE + 1, dtype=np.uint64)
-        for k in range(SHINGLE):
-            h *= np.uint64(0x9E3779B97F4A7C15)
-            h += flat[k : k + len(h)]
+    with np.errstate(over="ignore"):  # a polynomial over the 4 + 3 characters of a shingle
+        two = flat[:-1] * BASE
+        two += flat[1:]
+        three = two[4:-1] * BASE
+        three += flat[6:]
+        h = two[:-5] * (BASE * BASE)
+        h += two[2:-3]
+        h *= BASE * BASE * BASE
+        h += three
     line = np.repeat(np.arange(len(texts), dtype=np.uint64), n)[: len(h)]
     inside = np.ones(len(h), dtype=bool)
     ends = np.cumsum(n)
     for k in range(1, SHINGLE):
         inside[ends[:-1] - k] = False  # shingles that would reach into the next text
-    key = line[inside] << np.uint64(HASH_BITS) | mix64(h[inside]) >> np.uint64(64 - HASH_BITS)
+    key = mix64(h)
+    key >>= np.uint64(64 - HASH_BITS)
+    line <<= np.uint64(HASH_BITS)
+    key |= line
+    key = key[inside]
     key.sort()
     key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     return key & np.uint64((1 << HASH_BITS) - 1), np.searchsorted(key, np.arange(1, len(texts) + 1, dtype=np.uint64) << np.uint64(HASH_BITS))
@@ -216,7 +228,7 @@ def _entries(bits: int):
                 keys.append(key)
                 forms.append(form)
                 size += len(form)
-                if size > 300_000:
+                if size > 100_000:
                     bands()
                     keys, forms, size = [], [], 0
                     if sum(map(len, held)) >= PORTION * BANDS:
@@ -294,29 +306,39 @@ def _verify_blocks(threshold: float):
         for b in chunked(batches, 16):
             a_out, b_out = [], []
             whole = rows_of(b, "bi").to_numpy() == rows_of(b, "bj").to_numpy()
-            for same, band, items in zip(whole, rows_of(b, "band").to_pylist(), rows_of(b, "items").to_pylist(), strict=True):
-                names: dict[int, int] = {}
-                root = np.array([names.setdefault(x["root"], len(names)) for x in items])
-                side = np.array([x["side"] for x in items])
-                bands = np.zeros((len(items), PLACES), dtype=np.int64)
-                for i, x in enumerate(items):
-                    own = np.array(x["bands"], dtype=np.int64)
-                    bands[i, own & (PLACES - 1)] = own
-                todo = np.triu(root[:, None] != root[None, :]) if same else (root[:, None] != root[None, :]) & (side[:, None] < side[None, :])
+            ends = np.cumsum(pc.list_value_length(rows_of(b, "items")).to_numpy())
+            items = rows_of(b, "items").flatten()
+            roots, sides, forms, lists = (pc.struct_field(items, c) for c in ("root", "side", "form", "bands"))
+            roots, sides, held = roots.to_numpy(), sides.to_numpy(), lists.flatten().to_numpy()
+            bands = np.zeros((len(items), PLACES), dtype=np.int64)
+            bands[np.repeat(np.arange(len(items)), pc.list_value_length(lists).to_numpy()), held & (PLACES - 1)] = held
+            for same, band, start, end in zip(whole, rows_of(b, "band").to_pylist(), [0, *ends[:-1]], ends, strict=True):
+                keys, root = np.unique(roots[start:end], return_inverse=True)
+                side = sides[start:end]
+                i, j = np.nonzero(np.triu(root[:, None] != root[None, :]) if same else (root[:, None] != root[None, :]) & (side[:, None] < side[None, :]))
                 for place in range(band & (PLACES - 1)):
-                    todo &= (bands[:, None, place] != bands[None, :, place]) | (bands[:, None, place] == 0)
-                if not todo.any():
+                    x = bands[start:end, place]
+                    if len(i) and x.any():
+                        open_ = (x[i] != x[j]) | (x[i] == 0)
+                        i, j = i[open_], j[open_]
+                if not len(i):
                     continue
-                at = np.flatnonzero(todo.any(0) | todo.any(1))
-                h, ends = shingles([items[i]["form"] for i in at])
-                n = np.diff(ends, prepend=0)
-                both = _shared(h, ends)
-                near = todo[np.ix_(at, at)] & (both >= threshold * (n[:, None] + n[None, :] - both) - 1e-6)
-                forest, keys = Forest(len(names)), list(names)
-                for i, j in zip(*np.nonzero(near), strict=True):
-                    if forest.join(int(root[at[i]]), int(root[at[j]])):
-                        a_out.append(keys[root[at[i]]])
-                        b_out.append(keys[root[at[j]]])
+                at = np.unique(np.concatenate([i, j]))
+                h, stops = shingles(forms.take(pa.array(start + at)).to_pylist())
+                n, i, j = np.diff(stops, prepend=0), np.searchsorted(at, i), np.searchsorted(at, j)
+                close = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-6
+                i, j = i[close], j[close]
+                if len(i) <= FEW:
+                    sets = np.split(h, stops[:-1])
+                    near = np.array([jaccard_at_least(sets[x], sets[y], threshold) for x, y in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
+                else:
+                    both = _shared(h, stops)[i, j]
+                    near = both >= threshold * (n[i] + n[j] - both) - 1e-6
+                forest = Forest(len(keys))
+                for x, y in zip(root[at[i[near]]].tolist(), root[at[j[near]]].tolist(), strict=True):
+                    if forest.join(x, y):
+                        a_out.append(int(keys[x]))
+                        b_out.append(int(keys[y]))
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
     return run
