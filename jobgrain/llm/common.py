@@ -36,12 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back; narrow rows whose number is known go to few files."""
+#: Spark's setting by which a query's shuffle files go as soon as it has ended, instead of when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, rows: int | None = None, free: bool = False) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back; narrow rows whose number is known go to few files.
+
+    ``free``: the shuffle files of the write go with its end.
+    """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(1, rows // FILE_ROWS))
-    df.write.option("compression", "zstd").parquet(path)
+    before = df.sparkSession.conf.get(CLEANUP, None)
+    if free:
+        df.sparkSession.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if free and before is None:
+            df.sparkSession.conf.unset(CLEANUP)
+        elif free:
+            df.sparkSession.conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out

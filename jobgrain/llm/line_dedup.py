@@ -6,8 +6,9 @@
    hash into 48 ranges (one-permutation hashing, empty ranges borrowing from the next); between 89 and 140 shingles both.
 3. In each band's bucket the members are compared with the smallest one (as many pairs as members). A task first compares the
    lines of a portion among themselves: of those that share a band only the smallest goes on to the band's bucket, so a bucket
-   gets one entry for each portion at most, however many lines share it. Entries travel packed, many to a row.
-4. Buckets that still hold several components after union-find are compared in full, in bounded blocks
+   gets one entry for each portion at most, however many lines share it. Entries travel packed, many to a row. A line that meets
+   only its repeats leaves the buckets, a bucket of two leaves one pair.
+4. Buckets of three or more lines that still hold several components after union-find are compared in full, in bounded blocks
    inside tasks, so that no link inside a bucket is lost and no group's pairs are ever written out.
 
 Bucket entries carry 64 bits of a name; as soon as texts are fetched, every distinct text (told apart by all 128 bits) is a node
@@ -45,7 +46,10 @@ PORTION = 1 << 15
 
 
 def normal(line: str) -> str:
-    return " ".join(line.lower().split())
+    line = line.lower()
+    if line.isprintable() and "  " not in line and line[:1] != " " and line[-1:] != " ":  # of all white space only the blank is printable
+        return line
+    return " ".join(line.split())
 
 
 def line_keys(texts: list[str]) -> np.ndarray:
@@ -54,6 +58,15 @@ def line_keys(texts: list[str]) -> np.ndarray:
     return np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
 
 
+def _mixed(x: np.ndarray, spare: np.ndarray) -> None:
+    """``mix64`` in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        np.right_shift(x, np.uint64(shift), out=spare)
+        x ^= spare
+        if factor > 1:
+            x *= np.uint64(factor)
+
+
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, ends): 44-bit hashes of the character shingles of all texts, distinct and sorted within each text.
 
@@ -68,25 +81,28 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):  # a polynomial over the 4 + 3 characters of a shingle
         two = flat[:-1] * BASE
         two += flat[1:]
-        three = two[4:-1] * BASE
+        key = two[:-5] * (BASE * BASE)
+        key += two[2:-3]
+        key *= BASE * BASE * BASE
+        three = two[4:-1]
+        three *= BASE
         three += flat[6:]
-        h = two[:-5] * (BASE * BASE)
-        h += two[2:-3]
-        h *= BASE * BASE * BASE
-        h += three
-    line = np.repeat(np.arange(len(texts), dtype=np.uint64), n)[: len(h)]
-    inside = np.ones(len(h), dtype=bool)
-    ends = np.cumsum(n)
-    for k in range(1, SHINGLE):
-        inside[ends[:-1] - k] = False  # shingles that would reach into the next text
-    key = mix64(h)
+        key += three
+        _mixed(key, three)
     key >>= np.uint64(64 - HASH_BITS)
-    line <<= np.uint64(HASH_BITS)
-    key |= line
-    key = key[inside]
+    line = np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(HASH_BITS)
+    key |= np.repeat(line[:-1], n)[: len(key)]
+    ends = np.cumsum(n)[:-1]
+    first = key[ends - n[:-1]]
+    for k in range(1, SHINGLE):
+        key[ends - k] = first  # shingles that would reach into the next text repeat the first of theirs
     key.sort()
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    return key & np.uint64((1 << HASH_BITS) - 1), np.searchsorted(key, np.arange(1, len(texts) + 1, dtype=np.uint64) << np.uint64(HASH_BITS))
+    new = np.ones(len(key), dtype=bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    key = key[new]
+    ends = np.searchsorted(key, line[1:])
+    key &= np.uint64((1 << HASH_BITS) - 1)
+    return key, ends
 
 
 def _bands(minima: np.ndarray, kind: int) -> np.ndarray:
@@ -105,12 +121,12 @@ def _many_hashes(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     seeds = mix64(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
     out = np.empty((len(ends), MINIMA), dtype=np.uint64)
     h = (h >> np.uint64(HASH_BITS - 32)).astype(np.uint32)
-    for k, s in enumerate(seeds):
-        x = h ^ np.uint32(s >> np.uint64(32))
+    for k in range(0, MINIMA, ROWS):
+        x = h ^ (seeds[k : k + ROWS, None] >> np.uint64(32)).astype(np.uint32)
         x *= np.uint32(0x9E3779B1)
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x85EBCA77)
-        out[:, k] = np.minimum.reduceat(x, starts)
+        out[:, k : k + ROWS] = np.minimum.reduceat(x, starts, axis=1).T
     return out
 
 
@@ -125,15 +141,16 @@ def _one_permutation(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = np.full(len(ends) * MINIMA, none, dtype=np.uint64)
     out[cell[first]] = h[first]
     out = out.reshape(-1, MINIMA)
-    empty, filled = out == none, out.copy()
+    filled = out.copy()
+    row, place = np.nonzero(out == none)
     for step in range(1, MINIMA):
-        if not empty.any():
+        if not len(row):
             break
+        borrowed = out[row, (place + step) % MINIMA]
+        usable = borrowed != none
         with np.errstate(over="ignore"):
-            borrowed = np.roll(out, -step, axis=1)
-            usable = empty & (borrowed != none)
-            filled[usable] = mix64(borrowed[usable] + np.uint64(step))
-        empty &= ~usable
+            filled[row[usable], place[usable]] = mix64(borrowed[usable] + np.uint64(step))
+        row, place = row[~usable], place[~usable]
     return filled
 
 
@@ -243,14 +260,34 @@ def _entries(bits: int):
     return run
 
 
+def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
+    """The distinct rows, sorted."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return [c[new] for c in columns]
+
+
 def _buckets(table: pa.Table) -> pa.Table:
-    """Packed entries of one destination -> (band, key, low) of all lines that share a band with another one."""
+    """Packed entries of one destination -> (band, key, low) of the lines of bands that hold three or more, each row once; of a
+    band of two only their pair, without the band, once for all the bands they share here. A line that meets only itself has no row."""
     join = lambda c, kind: np.frombuffer(b"".join(x for x in table.column(c).to_pylist() if x), dtype=kind)
     dest = np.int64(table.column("dest")[0].as_py() << 32)
     entries, members = join("entries", ENTRY), join("members", MEMBER)
     band, low, at, key = _bucketed(entries["band"], entries["key"])
-    columns = (np.concatenate([band[at], members["band"]]).astype(np.int64) | dest, np.concatenate([key, members["key"]]), np.concatenate([low[at], members["low"]]))
-    return pa.table(dict(zip(("band", "key", "low"), columns, strict=True)))
+    band, key, low = np.concatenate([band[at], members["band"]]), np.concatenate([key, members["key"]]), np.concatenate([low[at], members["low"]])
+    band, key, low = _distinct(band, key, low)
+    starts = cut(band)
+    other = np.ones(len(band), dtype=bool)
+    other[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1])
+    lines = np.repeat(np.add.reduceat(other, starts, dtype=np.int64), np.diff(starts, append=len(band))) if len(band) else starts
+    many, two = lines > 2, (lines == 2) & (key != low)
+    ends, hubs = _distinct(key[two], low[two])
+    bands = pa.array(band[many].astype(np.int64) | dest, pa.int64())
+    return pa.table({"band": pa.concat_arrays([bands, pa.nulls(len(ends), pa.int64())]), "key": np.concatenate([key[many], ends]), "low": np.concatenate([low[many], hubs])})
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -350,20 +387,22 @@ def line_roots(lines: DataFrame, threshold: float = 0.8, block: int = BLOCK) ->
     ``root`` is a number that the lines of one component share.
     """
     texts = lines.where("form is not null").select("key", "sum", "form")
-    bits = (destinations(texts.count() * BANDS) - 1).bit_length()
+    bits = (destinations(lines.count() * BANDS) - 1).bit_length()  # a count of rows reads no column
     entries = texts.select("key", "form").mapInArrow(_entries(bits), "dest long, entries binary, members binary")
     met = entries.groupBy("dest").applyInArrow(_buckets, "band long, key long, low long")
-    met = materialize(met.distinct())
-    forms = texts.join(met.select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "sum"])
-    forms = materialize(forms.withColumn("node", F.monotonically_increasing_id()))
+    met = materialize(met, free=True)
+    keys = met.select(F.explode(F.array("key", "low")).alias("key")).distinct()
+    forms = texts.join(keys, "key", "left_semi").dropDuplicates(["key", "sum"])
+    forms = materialize(forms.withColumn("node", F.monotonically_increasing_id()), free=True)
     side = lambda key, name: forms.select(F.col("key").alias(key), F.col("node").alias(name), F.col("form").alias(f"form_{name}"))
-    pairs = met.where("key <> low").select("low", "key").distinct().join(side("key", "b"), "key").join(side("low", "a"), "low")
+    twins = forms.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")  # distinct texts of one key
+    pairs = met.where("key <> low").select("low", "key").distinct().union(twins.select("key", "key")).join(side("key", "b"), "key").join(side("low", "a"), "low")
     near = pairs.select("a", "b", "form_a", "form_b").mapInArrow(_verify_pairs(threshold), "a long, b long")
-    roots = materialize(connected_components(near))
-    named = met.join(forms.select("key", "node"), "key").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    named = materialize(named.distinct())
-    mixed = named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("n > 2 and x <> y")
-    rest = materialize(named.join(mixed.select("band"), "band"))
+    roots = materialize(connected_components(near), free=True)
+    named = met.where("band is not null").select("band", "key").distinct().join(forms.select("key", "node"), "key").join(roots, "node", "left")
+    named = materialize(named.select("band", "node", F.coalesce("root", "node").alias("root")), free=True)
+    mixed = named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    rest = materialize(named.join(mixed.select("band"), "band"), free=True)
     members = rest.groupBy("node").agg(F.collect_list("band").alias("bands")).join(forms.select("node", "form"), "node")
     found = block_pairs(rest.join(members, "node"), ["band"], "node", ["root", "form", "bands"], block).select("band", "bi", "bj", "items")
     joined = connected_components(found.mapInArrow(_verify_blocks(threshold), "a long, b long"))
@@ -373,19 +412,20 @@ def line_roots(lines: DataFrame, threshold: float = 0.8, block: int = BLOCK) ->
     return every.join(forms.select("key", "sum", "node"), "node").select("key", "sum", "root")
 
 
-def _classes(docs: DataFrame, threshold: float, marks: tuple[str, ...] = ()) -> DataFrame:
-    """One row per non-blank line: doc_id, the marks of its text (if asked for), line_no, and its class."""
+def _classes(docs: DataFrame, threshold: float, marks: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """One row per non-blank line: doc_id, the marks of its text (if asked for), line_no, key and sum; and (key, sum, p) with the
+    first place of the class, of the lines that occur again or resemble another one. Any other line is a class of its own."""
     docs = text_marks(require(docs, "doc_id", "text")).select("doc_id", *marks, "text")
     schema = ", ".join(["doc_id long", *[f"{c} long" for c in marks], "line_no int, key long, sum long, form string"])
     seen = materialize(docs.mapInArrow(_occurrences, schema))
     roots = line_roots(seen.select("key", "sum", "form"), threshold)
     seen = seen.drop("form")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
-    firsts = seen.groupBy("key", "sum").agg(F.min(place).alias("first")).join(roots, ["key", "sum"], "left")
+    firsts = seen.groupBy("key", "sum").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(roots, ["key", "sum"], "left")
+    firsts = materialize(firsts.where("n > 1 or root is not null"), free=True)
     linked = firsts.where("root is not null")
     least = linked.groupBy("root").agg(F.min("first").alias("p"))
-    named = linked.join(least, "root").select("key", "sum", "p").union(firsts.where("root is null").select("key", "sum", "first"))
-    return seen.join(named, ["key", "sum"]).select("doc_id", *marks, "line_no", F.col("p.doc_id").alias("class_doc_id"), F.col("p.line_no").alias("class_line_no"))
+    return seen, linked.join(least, "root").select("key", "sum", "p").union(firsts.where("root is null").select("key", "sum", "first"))
 
 
 def line_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -396,7 +436,10 @@ def line_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     row. Rows that repeat a doc_id are ties: each line keeps a row, and lines that tie for the first place are all kept.
     A null doc_id counts as larger than any other. An empty table gives an empty result; further columns are ignored.
     """
-    out = _classes(docs, threshold)
+    seen, named = _classes(docs, threshold)
+    own = F.col("p").isNull()
+    doc, line = (F.when(own, F.col(c)).otherwise(F.col(f"p.{c}")).alias(f"class_{c}") for c in ("doc_id", "line_no"))
+    out = seen.join(named, ["key", "sum"], "left").select("doc_id", "line_no", doc, line)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no")))
 
 
@@ -407,8 +450,9 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     rows that are equal in both lose the same ones; rows with a null doc_id take part like others.
     """
     gone = free_name(docs, "lost_lines")
-    kept = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no"))
-    lost = _classes(docs, threshold, MARKS).where(~kept).groupBy("doc_id", *MARKS).agg(F.collect_set("line_no").alias(gone))
+    kept = F.col("doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("line_no") == F.col("p.line_no"))
+    seen, named = _classes(docs, threshold, MARKS)
+    lost = seen.join(named, ["key", "sum"]).where(~kept).groupBy("doc_id", *MARKS).agg(F.collect_set("line_no").alias(gone))
     names = {c: free_name(docs, c) for c in MARKS}
     text = F.col("text").cast("string")
     left = docs.withColumns({names[MARKS[0]]: F.xxhash64(text), names[MARKS[1]]: F.xxhash64(F.lit("mark"), text)})
