@@ -26,10 +26,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """A table in the shared folder: lineage is cut, and Spark knows its size where it is joined."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+#: Setting that deletes the shuffle files of a statement at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """A table in the shared folder: lineage is cut, and Spark knows its size where it is joined.
+
+    ``free``: for large tables; they are packed closer, and the shuffle files of the write go with its end.
+    """
+    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
+    if not free:
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -97,3 +97,24 @@ def test_candidates_are_made_once(spark):
     got = {r.candidate_id: r["class"] for r in N.classify_candidates(left.mapInArrow(one, left.schema), right).collect()}
     assert got == {"0": "net_new"} | {str(i): "batch_url" for i in range(1, 8)}
     assert made.value == 8
+
+
+def test_each_candidate_moves_few_bytes(spark, small):
+    """Candidates go by numbers: what is shuffled and written of one is a few times its keys, not its id, arrival and texts at every step."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def moved():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() + s.outputBytes() for s in map(stages.apply, range(stages.size()))}
+
+    before = moved()
+    assert netnew_plans.j10_net_new_classes(spark, small).count() == 6000
+    assert sum(n for stage, n in moved().items() if stage not in before) < 300 * 6000
+
+
+def test_candidates_without_keys_and_rows_that_are_no_candidates(spark):
+    row = {"ats_key": "s", "canonical_url": "", "apply_url": " ", "source_job_id": None, "country": "", "region": "", "city": "", "location_text": "", "remote_type": "remote"}
+    left = spark.createDataFrame([row | {"number": i} for i in range(2)], f"{SCHEMA}, number long")
+    said = N.said_of(left, spark.createDataFrame([], f"{SCHEMA}, hidden boolean"))
+    got = N.with_classes(spark.createDataFrame([(i, f"row {i}") for i in range(3)], "number long, name string"), said)
+    assert sorted(map(tuple, got.collect())) == [("row 0", "net_new"), ("row 1", "net_new")]
